@@ -1 +1,8 @@
 """Spark library for time-lapse frames, image grouping and feature winnowing."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run inside tasks travel with the job, so executors need no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

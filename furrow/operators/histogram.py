@@ -64,7 +64,6 @@ def first_reference(packed: DataFrame, by: Sequence[str] = (), image: str = "ima
     return packed.groupBy(*by).agg(F.min_by("hist", image).alias("ref"))
 
 
-@F.pandas_udf("int")
 def _peak_lag(hist: pd.Series, ref: pd.Series) -> pd.Series:
     """Lag with the largest cross-correlation; the smallest such lag on ties."""
     lags = np.arange(1 - BINS, BINS)
@@ -83,7 +82,8 @@ def _peak_lag(hist: pd.Series, ref: pd.Series) -> pd.Series:
 def shifts_to(packed: DataFrame, refs: DataFrame, by: Sequence[str] = (), image: str = "image_id") -> DataFrame:
     """Signed shift of every image against its group's reference histogram."""
     paired = attach(packed.select(*by, image, "hist"), refs, by, [image])
-    return paired.select(*by, image, _peak_lag("hist", "ref").alias("shift"))
+    peak_lag = F.pandas_udf(_peak_lag, "int")
+    return paired.select(*by, image, peak_lag("hist", "ref").alias("shift"))
 
 
 def shifts_to_mean(packed: DataFrame, by: Sequence[str] = (), image: str = "image_id") -> DataFrame:

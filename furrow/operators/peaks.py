@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import highlight
+from ..functions.highlight import linear, linear_array, logistic, logistic_array
 from ..joins import match
 
 STEPS = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
@@ -68,9 +68,9 @@ def spots_of_area(
         for i, (data, s) in enumerate(zip(crop, by)):
             b = np.frombuffer(data, dtype=np.uint8).reshape(mask.shape).astype(np.float64)
             if mode == "linear":
-                v = highlight.linear_array(b, int(s), lower)
+                v = linear_array(b, int(s), lower)
             else:
-                v = highlight.logistic_array(b, int(s), lower, distance, out_value)
+                v = logistic_array(b, int(s), lower, distance, out_value)
             found[i] = peak_count_array(np.where(mask, v, 0.0), threshold)
         return pd.Series(found)
 
@@ -89,7 +89,7 @@ def spot_images(pixels: DataFrame, image: str = "image_id") -> DataFrame:
 
 def highlight_column(b: Column, shift: Column, lower: int, mode: str, distance: int, out_value: float) -> Column:
     if mode == "linear":
-        return highlight.linear(b, shift, lower)
-    return highlight.logistic(b, shift, lower, distance, out_value)
+        return linear(b, shift, lower)
+    return logistic(b, shift, lower, distance, out_value)
 
 

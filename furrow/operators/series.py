@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..joins import attach, match
+from ..lineage import cut
 from .order import BLOCK_ROWS, centred_mean, nearest_known, number_rows
 
 
@@ -171,9 +172,57 @@ def two_level_label(value: Column, level1: Sequence[float], level2: Sequence[flo
     return F.when(coarse == 0, nearest_label(value, level2)).otherwise(coarse + 1)
 
 
-def cluster_frames(frames: DataFrame, metric: str, cluster: str = "cluster", seed: int = 7) -> DataFrame:
-    """Fit both levels and label every frame."""
-    level1 = fit_centroids(frames, metric, 3, seed)
-    lowest = frames.filter(nearest_label(F.col(metric), level1) == 0)
-    level2 = fit_centroids(lowest, metric, 2, seed)
-    return frames.withColumn(cluster, two_level_label(F.col(metric), level1, level2))
+def _labels_of(value: Column, centroids: Column) -> Column:
+    gaps = F.transform(centroids, lambda c: F.abs(value - c))
+    return F.array_position(gaps, F.array_min(gaps)) - 1
+
+
+def fit_centroids_by(
+    frames: DataFrame, by: Sequence[str], metric: str, k: int, max_iter: int = 20, tol: float = 1e-9
+) -> DataFrame:
+    """Sorted 1-D k-means centroids of every group as ``(by..., centroids)``.
+
+    Starts evenly between the group's smallest and largest value. Each round
+    is one aggregation over the distinct values; an emptied cluster keeps its
+    centroid.
+    """
+    if k < 2:
+        raise ValueError("need at least two clusters")
+    known = frames.filter(F.col(metric).isNotNull())
+    values = cut(known.groupBy(*by, F.col(metric).cast("double").alias("_v")).agg(F.count("*").alias("_n")))
+    lo, hi = F.min("_v"), F.max("_v")
+    start = F.array(*[lo + (hi - lo) * ((j + 0.5) / k) for j in range(k)])
+    current = cut(values.groupBy(*by).agg(start.alias("centroids")))
+    for _ in range(max_iter):
+        labelled = attach(values, current, by, ["_v"]).withColumn("_label", _labels_of(F.col("_v"), F.col("centroids")))
+        means = labelled.groupBy(*by, "_label").agg((F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("_mean"))
+        means = means.groupBy(*by).agg(
+            F.map_from_entries(F.collect_list(F.struct(F.col("_label"), F.col("_mean")))).alias("_means")
+        )
+        joined = attach(current, means, by, ["centroids"])
+        moved = F.transform(
+            F.col("centroids"), lambda c, j: F.coalesce(F.try_element_at("_means", j.cast("bigint")), c)
+        )
+        updated = cut(joined.select(*by, moved.alias("centroids"), F.col("centroids").alias("_old")))
+        gap = F.array_max(F.zip_with("centroids", "_old", lambda a, b: F.abs(a - b)))
+        change = updated.agg(F.max(gap)).first()[0]
+        current = updated.drop("_old")
+        if change is None or change <= tol:
+            break
+    return current.withColumn("centroids", F.array_sort("centroids"))
+
+
+def cluster_frames(
+    frames: DataFrame, by: Sequence[str], metric: str, cluster: str = "cluster", key: str = "image_id", max_iter: int = 20
+) -> DataFrame:
+    """Fit both levels in every group and label every frame 0..3."""
+    level1 = fit_centroids_by(frames, by, metric, 3, max_iter)
+    coarse = cut(
+        attach(frames, level1, by, [key])
+        .withColumn("_coarse", _labels_of(F.col(metric), F.col("centroids")))
+        .drop("centroids")
+    )
+    level2 = fit_centroids_by(coarse.filter(F.col("_coarse") == 0), by, metric, 2, max_iter)
+    fine = _labels_of(F.col(metric), F.col("centroids"))
+    label = F.when(F.col("_coarse") == 0, fine).otherwise(F.col("_coarse") + 1).cast("int")
+    return attach(coarse, level2, by, [key]).withColumn(cluster, label).drop("centroids", "_coarse")

@@ -135,7 +135,6 @@ def run_batch(
     params: FrameParams,
     cache_dir: str | None = None,
     glob: str = "*.jpg",
-    seed: int = 7,
 ) -> dict[str, DataFrame]:
     """Analyse folders of images, one batch per folder.
 
@@ -167,7 +166,7 @@ def run_batch(
             )
         )
         good = match(shares, valid, [*by, "image_id"], "left_semi")
-        labelled = cut(series.cluster_frames(good, "share", seed=seed))
+        labelled = cut(series.cluster_frames(good, by, "share"))
         # The best share counts all images; bad ones then fall out by their missing label.
         with_bad = match(shares, labelled.select("batch", "image_id", "cluster"), [*by, "image_id"], "left")
         best = series.best_frames(with_bad, by, "share", params.best_share, cluster="cluster").select("batch", "image_id")
@@ -181,7 +180,7 @@ def run_batch(
         marked = match(labelled, counted, [*by, "image_id"], "left")
         return marked.withColumn("is_best", F.col("n_spots").isNotNull())
 
-    frames = cache.load_or_compute(spark, f"{cache_dir}/frames", f"{stamp}|{seed}", finish) if cache_dir else finish()
+    frames = cache.load_or_compute(spark, f"{cache_dir}/frames", stamp, finish) if cache_dir else finish()
     usable = features.filter("ok")
     bad = usable.filter(
         histogram.is_bad_frame(F.col("hist_gray"), F.lit(params.height * params.width), params.bad_share)
