@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 SPREAD = 32
 
 
@@ -29,14 +31,28 @@ def attach(
 
     Rows of one hot key go to ``ways`` tasks: the small side is repeated that
     many times and the big side picks a copy by a hash of ``spread_by``. With
-    no keys, ``small`` is a global aggregate of one row and its columns are
-    read as scalar subqueries, so nothing is joined.
+    no keys, ``small`` is a global aggregate of one row and is read as a scalar
+    subquery, so nothing is joined.
     """
     extra = [c for c in small.columns if c not in keys]
     if not keys:
-        return big.withColumns({c: small.select(c).scalar() for c in extra})
+        row = small.select(F.struct(*extra).alias("_row")).scalar()
+        return big.withColumn("_row", row).select(*big.columns, *[F.col(f"_row.{c}").alias(c) for c in extra])
     copies = small.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
     spread = big.withColumn("_copy", F.pmod(F.xxhash64(*spread_by), F.lit(ways)).cast("int"))
     return match(spread, copies, [*keys, "_copy"]).drop("_copy")
 
 
+def attach_measured(
+    big: DataFrame, small: DataFrame, keys: Sequence[str], spread_by: Sequence[str], row_bytes: int, max_bytes: int = 16 << 20
+) -> DataFrame:
+    """Like ``attach``, for wide ``big`` rows: broadcast when the measured small side fits.
+
+    ``small`` is stored first, so counting it is cheap and it is computed once.
+    """
+    if not keys:
+        return attach(big, small, keys, spread_by)
+    small = cut(small)
+    if small.count() * row_bytes <= max_bytes:
+        return match(big, F.broadcast(small), keys)
+    return attach(big, small, keys, spread_by)

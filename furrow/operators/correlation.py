@@ -27,7 +27,7 @@ TILE_CELLS = 500_000
 _TILE_SCHEMA = "t1 string, t2 string, products double, s1 double, q1 double, s2 double, q2 double"
 
 
-def _multiply_tile(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _multiply_tile(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Sums of products of one tile; slice 0 lists every pair, with the taxon sums."""
     _, left, right = key
     marks = rows[rows["mark"]]

@@ -17,16 +17,16 @@ def _term() -> Column:
 
 
 def _kl(terms: Column, sum_a: Column, sum_b: Column) -> Column:
-    """Divergence of the profiles re-normalised to one, capped."""
+    """Divergence of the profiles re-normalised to one, capped; null when nothing is left."""
     ratio = F.try_divide(sum_b, sum_a)
-    return F.least(F.try_divide(terms, sum_a) + F.log2(F.when(ratio > 0, ratio)), F.lit(CAP))
+    value = F.try_divide(terms, sum_a) + F.log2(F.when(ratio > 0, ratio))
+    return F.when(terms == float("inf"), F.lit(CAP)).when(value.isNotNull(), F.least(value, F.lit(CAP)))
 
 
 def kl_divergence(profile: DataFrame) -> DataFrame:
     """One row ``kl`` for a profile table ``(taxon, a, b)``."""
     sums = profile.agg(F.sum(_term()).alias("t"), F.sum("a").alias("sa"), F.sum("b").alias("sb"))
-    capped = F.when(F.col("t") == float("inf"), F.lit(CAP)).otherwise(_kl(F.col("t"), F.col("sa"), F.col("sb")))
-    return sums.select(capped.alias("kl"))
+    return sums.select(_kl(F.col("t"), F.col("sa"), F.col("sb")).alias("kl"))
 
 
 def divergence_curve(profile: DataFrame, ranking: DataFrame, rank: str = "rank") -> DataFrame:
@@ -42,5 +42,5 @@ def divergence_curve(profile: DataFrame, ranking: DataFrame, rank: str = "rank")
         [F.col("_rank").desc_nulls_first(), F.col("taxon").desc()],
         {"_t": _term(), "_sa": F.col("a"), "_sb": F.col("b")},
     )
-    capped = F.when(F.col("_t") == float("inf"), F.lit(CAP)).otherwise(_kl(F.col("_t"), F.col("_sa"), F.col("_sb")))
-    return tails.filter(F.col("_rank").isNotNull()).select((F.col("_rank") - 1).cast("long").alias("k"), capped.alias("kl"))
+    kl = _kl(F.col("_t"), F.col("_sa"), F.col("_sb"))
+    return tails.filter(F.col("_rank").isNotNull()).select((F.col("_rank") - 1).cast("long").alias("k"), kl.alias("kl"))

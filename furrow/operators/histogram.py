@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..joins import attach
+from ..joins import attach, attach_measured
 
 BINS = 256
 
@@ -49,19 +49,23 @@ def mean_histogram(packed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return unpack(packed.select(*by, "hist")).groupBy(*by, "bin").agg(F.avg("n").alias("mean_n"))
 
 
-def mean_reference(packed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Mean histogram times the image count, one array per group.
+def mean_references(packed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Mean histogram times the image count, one ``(by..., ref, base)`` row per group.
 
     The position of the correlation peak ignores a positive factor, and whole
     numbers keep ties exact.
     """
     sums = unpack(packed.select(*by, "hist")).groupBy(*by, "bin").agg(F.sum("n").alias("n"))
-    return pack(sums, by).withColumnRenamed("hist", "ref")
+    return pack(sums, by).select(*by, F.col("hist").alias("ref"), F.lit(0).alias("base"))
 
 
-def first_reference(packed: DataFrame, by: Sequence[str] = (), image: str = "image_id") -> DataFrame:
-    """Histogram of the image with the smallest key, one array per group."""
-    return packed.groupBy(*by).agg(F.min_by("hist", image).alias("ref"))
+def first_references(packed: DataFrame, by: Sequence[str] = (), image: str = "image_id") -> DataFrame:
+    """Histogram of the image with the smallest key, based on its own shift against the mean."""
+    first = packed.groupBy(*by).agg(F.min_by("hist", image).alias("ref"))
+    means = mean_references(packed, by).select(*by, F.col("ref").alias("mean"))
+    peak_lag = F.pandas_udf(_peak_lag, "int")
+    both = attach(first, means, by, ["ref"])
+    return both.select(*by, "ref", peak_lag("ref", "mean").alias("base"))
 
 
 def _peak_lag(hist: pd.Series, ref: pd.Series) -> pd.Series:
@@ -79,29 +83,21 @@ def _peak_lag(hist: pd.Series, ref: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def shifts_to(packed: DataFrame, refs: DataFrame, by: Sequence[str] = (), image: str = "image_id") -> DataFrame:
-    """Signed shift of every image against its group's reference histogram."""
-    paired = attach(packed.select(*by, image, "hist"), refs, by, [image])
+def with_shift(packed: DataFrame, refs: DataFrame, by: Sequence[str] = (), image: str = "image_id") -> DataFrame:
+    """Add each image's signed ``shift``: its lag against the group's reference plus the reference's base."""
     peak_lag = F.pandas_udf(_peak_lag, "int")
-    return paired.select(*by, image, peak_lag("hist", "ref").alias("shift"))
+    paired = attach_measured(packed, refs, by, [image], row_bytes=BINS * 8)
+    return paired.withColumn("shift", peak_lag("hist", "ref") + F.col("base")).drop("ref", "base")
 
 
-def shifts_to_mean(packed: DataFrame, by: Sequence[str] = (), image: str = "image_id") -> DataFrame:
+def with_shift_to_mean(packed: DataFrame, by: Sequence[str] = (), image: str = "image_id") -> DataFrame:
     """Shift of every image against the mean histogram of its group."""
-    return shifts_to(packed, mean_reference(packed, by), by, image)
+    return with_shift(packed, mean_references(packed, by), by, image)
 
 
-def shifts_to_first(packed: DataFrame, by: Sequence[str] = (), image: str = "image_id") -> DataFrame:
+def with_shift_to_first(packed: DataFrame, by: Sequence[str] = (), image: str = "image_id") -> DataFrame:
     """Shift against the first image plus that image's own shift against the mean."""
-    first = first_reference(packed, by, image)
-    against_first = shifts_to(packed, first, by, image)
-    one = first.withColumnRenamed("ref", "hist").withColumn(image, F.lit(0))
-    overall = shifts_to(one, mean_reference(packed, by), by, image).select(*by, F.col("shift").alias("overall"))
-    return (
-        attach(against_first, overall, by, [image])
-        .withColumn("shift", F.col("shift") + F.col("overall"))
-        .select(*by, image, "shift")
-    )
+    return with_shift(packed, first_references(packed, by, image), by, image)
 
 
 def rolled(hist: Column, shift: Column) -> Column:

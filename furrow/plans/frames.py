@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.color import gray_array, lab_b_array
@@ -95,7 +95,11 @@ def rejects(features: DataFrame) -> DataFrame:
     return features.filter(~F.col("ok")).select("path", "image_id", "batch")
 
 
-def _spots(params: FrameParams):
+def _is_bad(params: FrameParams) -> Column:
+    return histogram.is_bad_frame(F.col("hist_gray"), F.lit(params.height * params.width), params.bad_share)
+
+
+def _spots(params: FrameParams) -> Column:
     area = area_mask(params)
     return peaks.spots_of_area(
         F.col("area"),
@@ -115,11 +119,9 @@ def analyze(features: DataFrame, params: FrameParams, reference: str = "first",
     ``reference`` is ``first`` (first image, then moved by its shift against
     the mean) or ``mean``.
     """
-    usable = features.filter("ok")
-    shift = histogram.shifts_to_first if reference == "first" else histogram.shifts_to_mean
-    shifts = shift(usable.select(*by, "image_id", "hist"), by)
+    shifted = histogram.with_shift_to_first if reference == "first" else histogram.with_shift_to_mean
     n_plot = F.lit(int(plot_mask(params).sum()))
-    return match(usable, shifts, [*by, "image_id"]).select(
+    return shifted(features.filter("ok"), by).select(
         *by,
         "image_id",
         "number",
@@ -151,27 +153,25 @@ def run_batch(
     features = cache.load_or_compute(spark, f"{cache_dir}/features", stamp, build) if cache_dir else cut(build())
 
     def finish() -> DataFrame:
-        usable = features.filter("ok")
-        frame_pixels = F.lit(params.height * params.width)
-        valid = usable.filter(~histogram.is_bad_frame(F.col("hist_gray"), frame_pixels, params.bad_share))
-        shifts = histogram.shifts_to_mean(usable.select("batch", "image_id", "hist"), by)
         n_plot = F.lit(int(plot_mask(params).sum()))
         shares = cut(
-            match(usable, shifts, [*by, "image_id"]).select(
+            histogram.with_shift_to_mean(features.filter("ok"), by).select(
                 "batch",
                 "image_id",
                 "number",
                 "shift",
                 histogram.range_share(F.col("hist"), F.col("shift"), params.lower, params.upper, n_plot).alias("share"),
+                _is_bad(params).alias("is_bad"),
             )
         )
-        good = match(shares, valid, [*by, "image_id"], "left_semi")
+        good = shares.filter(~F.col("is_bad")).drop("is_bad")
         labelled = cut(series.cluster_frames(good, by, "share"))
         # The best share counts all images; bad ones then fall out by their missing label.
         with_bad = match(shares, labelled.select("batch", "image_id", "cluster"), [*by, "image_id"], "left")
-        best = series.best_frames(with_bad, by, "share", params.best_share, cluster="cluster").select("batch", "image_id")
-        counted = match(features.select("batch", "image_id", "area"), best, [*by, "image_id"], "left_semi")
-        counted = match(counted, shifts, [*by, "image_id"]).select("batch", "image_id", _spots(params).alias("n_spots"))
+        best = series.best_frames(with_bad, by, "share", params.best_share, cluster="cluster")
+        counted = match(
+            features.select("batch", "image_id", "area"), best.select("batch", "image_id", "shift"), [*by, "image_id"]
+        ).select("batch", "image_id", _spots(params).alias("n_spots"))
         if params.check_present:
             present = series.flowers_present(labelled, "share", params.present_threshold, True).select("present")
             counted = attach(counted, present, [], ["image_id"]).select(
@@ -181,11 +181,8 @@ def run_batch(
         return marked.withColumn("is_best", F.col("n_spots").isNotNull())
 
     frames = cache.load_or_compute(spark, f"{cache_dir}/frames", stamp, finish) if cache_dir else finish()
-    usable = features.filter("ok")
-    bad = usable.filter(
-        histogram.is_bad_frame(F.col("hist_gray"), F.lit(params.height * params.width), params.bad_share)
-    )
-    return {"frames": frames, "bad": bad.select("batch", "image_id"), "rejects": rejects(features)}
+    bad = features.filter("ok").filter(_is_bad(params)).select("batch", "image_id")
+    return {"frames": frames, "bad": bad, "rejects": rejects(features)}
 
 
 def report(

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import color, geometry, highlight
-from ..joins import match
 from ..lineage import cut, shared_dir
 from ..operators import clusters, correlation, divergence, graph, histogram, order, peaks, periods, series
 from ..operators import counts as tables
@@ -56,31 +55,32 @@ def mean_histogram(spark, sf_dir):
 
 @query
 def histogram_shift_mean(spark, sf_dir):
-    return histogram.shifts_to_mean(_packed(spark, sf_dir))
+    packed = cut(_packed(spark, sf_dir))
+    return histogram.with_shift_to_mean(packed).select("image_id", "shift")
 
 
 @query
 def histogram_shift_first(spark, sf_dir):
-    return histogram.shifts_to_first(_packed(spark, sf_dir))
+    packed = cut(_packed(spark, sf_dir))
+    return histogram.with_shift_to_first(packed).select("image_id", "shift")
 
 
 @query
 def histogram_shift_by_batch(spark, sf_dir):
-    return histogram.shifts_to_mean(_packed(spark, sf_dir, "batch"), ["batch"])
+    packed = cut(_packed(spark, sf_dir, "batch"))
+    return histogram.with_shift_to_mean(packed, ["batch"]).select("batch", "image_id", "shift")
 
 
 @query
 def aligned_mean_histogram(spark, sf_dir):
-    packed = cut(_packed(spark, sf_dir))
-    shifted = match(packed, histogram.shifts_to_mean(packed), ["image_id"])
+    shifted = histogram.with_shift_to_mean(cut(_packed(spark, sf_dir)))
     return histogram.aligned_mean(shifted).withColumn("mean_n", rounded(F.col("mean_n")))
 
 
 @query
 def flower_fraction(spark, sf_dir):
     """Histogram per image, shift against the mean, share of pixels in the shifted range."""
-    packed = cut(_packed(spark, sf_dir))
-    shifted = match(packed, histogram.shifts_to_mean(packed), ["image_id"])
+    shifted = histogram.with_shift_to_mean(cut(_packed(spark, sf_dir)))
     n_plot = histogram.total(F.col("hist"))
     share = histogram.range_share(F.col("hist"), F.col("shift"), LOWER, UPPER, n_plot)
     return shifted.select("image_id", "shift", rounded(share).alias("share"))
