@@ -28,6 +28,11 @@ def rounded(value: Column, places: int = 6) -> Column:
     return F.round(value, places) + F.lit(0.0)
 
 
+def settled(value: Column, places: int = 9) -> Column:
+    """Rounded after a tiny step, for values that often end in an exact half."""
+    return rounded(value + F.lit(1e-11), places)
+
+
 def hist_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per pixel of an image per user; the user shifts the exposure."""
     events = table(spark, sf_dir, "events")

@@ -16,6 +16,10 @@ def r(expr: str, places: int = 6) -> str:
     return f"(round({expr}, {places}) + 0.0)"
 
 
+def settled(expr: str, places: int = 9) -> str:
+    return r(f"{expr} + CAST(1e-11 AS DOUBLE)", places)
+
+
 # --- histograms -----------------------------------------------------------
 
 PX = """px AS (SELECT user_id AS image_id, event_type AS batch,
@@ -124,7 +128,7 @@ sql("interpolate_count", FR, NUMBERED, interpolated("floor(metric)"),
 sql("moving_average_60", FR, NUMBERED, SMOOTHED.format("metric", "num"),
     body=f"SELECT batch, image_id, {r('mean', 8)} AS smoothed FROM smoothed")
 sql("estimate_metric", FR, NUMBERED, interpolated("metric"), SMOOTHED.format("estimate", "filled"),
-    body=f"SELECT batch, image_id, {r('mean', 9)} AS estimate FROM smoothed")
+    body=f"SELECT batch, image_id, {settled('mean')} AS estimate FROM smoothed")
 
 PERIODS = """per AS (SELECT *, CAST(CASE WHEN hour({0}) >= 18 THEN 3 WHEN hour({0}) >= 12 THEN 2
        WHEN hour({0}) >= 6 THEN 1 ELSE 0 END AS INTEGER) AS period FROM {1}),
@@ -144,7 +148,7 @@ modes AS (SELECT {using}, bin_left + {tol} / CAST(2 AS DOUBLE) AS {name} FROM (
           SELECT *, row_number() OVER (PARTITION BY {using} ORDER BY n DESC, bin_left) AS k FROM bins) WHERE k = 1)"""
 
 
-MEANS = f"""SELECT every.batch, every.period, {r("coalesce(m, -1)", 9)} AS mean_share FROM every LEFT JOIN
+MEANS = f"""SELECT every.batch, every.period, {settled("coalesce(m, -1)")} AS mean_share FROM every LEFT JOIN
   (SELECT batch, period, avg(metric) AS m FROM per GROUP BY batch, period) g
   ON g.batch = every.batch AND g.period = every.period"""
 sql("fraction_by_period", FR, PERIODS.format("ts", "fr", "fr"), body=MEANS)
@@ -156,7 +160,7 @@ sql(
     PERIODS.format("lts", "today", "fr"),
     body=MEANS,
 )
-sql("fraction_by_day", FR, body=f"SELECT batch, 0 AS period, {r('avg(metric)', 9)} AS mean_share FROM fr GROUP BY batch")
+sql("fraction_by_day", FR, body=f"SELECT batch, 0 AS period, {settled('avg(metric)')} AS mean_share FROM fr GROUP BY batch")
 sql(
     "modal_count_by_period", FR, PERIODS.format("ts", "fr", "fr"),
     "tallied AS (SELECT * FROM per WHERE counted)", modal("tallied", ["batch", "period"], "metric", 5, "typical"),
@@ -234,7 +238,7 @@ sql(
     PERIODS.format("ts", "smoothed", "fr"),
     "tallied AS (SELECT batch, period, floor(metric) AS spots FROM per WHERE counted)",
     modal("tallied", ["batch", "period"], "spots", 5, "typical"),
-    body=f"""SELECT every.batch, every.period, {r("coalesce(m, -1)", 9)} AS mean_share,
+    body=f"""SELECT every.batch, every.period, {settled("coalesce(m, -1)")} AS mean_share,
   CAST(coalesce(typical, -1) AS DOUBLE) AS typical_count
 FROM every LEFT JOIN (SELECT batch, period, avg(mean) AS m FROM per GROUP BY batch, period) g
   ON g.batch = every.batch AND g.period = every.period

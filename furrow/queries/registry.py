@@ -17,7 +17,7 @@ from ..plans import grouping, winnow
 from ..sources import cache
 from ..sources import tables as files
 from . import inputs
-from .inputs import LIMITS, SIDE, SMALL_PLOT, WHOLE_FRAME, rounded
+from .inputs import LIMITS, SIDE, SMALL_PLOT, WHOLE_FRAME, rounded, settled
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -151,25 +151,25 @@ def moving_average_60(spark, sf_dir):
 def estimate_metric(spark, sf_dir):
     known = F.when(F.col("counted"), F.col("metric"))
     out = series.estimate(_numbered(spark, sf_dir), DAY, known, "estimate")
-    return out.select("batch", "image_id", rounded(F.col("estimate"), 9).alias("estimate"))
+    return out.select("batch", "image_id", settled(F.col("estimate")).alias("estimate"))
 
 
 @query
 def fraction_by_period(spark, sf_dir):
     out = periods.mean_by_period(inputs.frames(spark, sf_dir), DAY, "metric", LIMITS)
-    return out.withColumn("mean_share", rounded(F.col("mean_share"), 9))
+    return out.withColumn("mean_share", settled(F.col("mean_share")))
 
 
 @query
 def fraction_by_local_period(spark, sf_dir):
     out = periods.mean_by_period(inputs.frames(spark, sf_dir), DAY, "metric", LIMITS, "America/Regina")
-    return out.withColumn("mean_share", rounded(F.col("mean_share"), 9))
+    return out.withColumn("mean_share", settled(F.col("mean_share")))
 
 
 @query
 def fraction_by_day(spark, sf_dir):
     out = periods.mean_by_period(inputs.frames(spark, sf_dir), DAY, "metric")
-    return out.withColumn("mean_share", rounded(F.col("mean_share"), 9))
+    return out.withColumn("mean_share", settled(F.col("mean_share")))
 
 
 @query
@@ -284,7 +284,7 @@ def daily_report(spark, sf_dir):
         F.when(F.col("counted"), F.floor("metric")).alias("n_spots"),
     )
     out = frame_plans.report(rows, LIMITS, "UTC")
-    return out.withColumn("mean_share", rounded(F.col("mean_share"), 9))
+    return out.withColumn("mean_share", settled(F.col("mean_share")))
 
 
 # --- geometry and pixels --------------------------------------------------
