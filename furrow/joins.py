@@ -38,6 +38,8 @@ def attach(
     if not keys:
         row = small.select(F.struct(*extra).alias("_row")).scalar()
         return big.withColumn("_row", row).select(*big.columns, *[F.col(f"_row.{c}").alias(c) for c in extra])
+    if ways == 1:
+        return match(big, small, keys)
     copies = small.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
     spread = big.withColumn("_copy", F.pmod(F.xxhash64(*spread_by), F.lit(ways)).cast("int"))
     return match(spread, copies, [*keys, "_copy"]).drop("_copy")

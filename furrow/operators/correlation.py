@@ -23,6 +23,7 @@ from .order import running_totals
 BLOCK_TAXA = 256
 SLICE_SAMPLES = 32_768
 TILE_CELLS = 500_000
+MOST_WAYS = 1024
 
 _TILE_SCHEMA = "t1 string, t2 string, products double, s1 double, q1 double, s2 double, q2 double"
 
@@ -30,33 +31,42 @@ _TILE_SCHEMA = "t1 string, t2 string, products double, s1 double, q1 double, s2
 def _multiply_tile(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Sums of products of one tile; slice 0 lists every pair, with the taxon sums."""
     _, left, right = key
-    marks = rows[rows["mark"]]
-    cells = rows[~rows["mark"]]
-    sums = marks.set_index("taxon")[["s", "q"]]
-    sample = pd.factorize(cells["sample"])[0]
+    mark = rows["mark"].to_numpy()
+    sample = pd.factorize(rows["sample"])[0]
+    n_samples = sample.max(initial=-1) + 1
+    listed = bool(mark.any())
 
     def side(block: int):
-        names = np.array(sorted(set(rows.loc[rows["block"] == block, "taxon"])), dtype=object)
-        mine = (cells["block"] == block).to_numpy()
-        dense = np.zeros((sample.max(initial=-1) + 1, len(names)))
-        column = pd.Index(names).get_indexer(cells.loc[mine, "taxon"])
-        dense[sample[mine], column] = cells.loc[mine, "n"].to_numpy()
-        return names, dense
-
-    names1, dense1 = side(left)
-    names2, dense2 = (names1, dense1) if left == right else side(right)
+        """Names in order, dense cells, and the sums known from the marks."""
+        mine = (rows["block"] == block).to_numpy()
+        names = np.array(sorted(set(rows.loc[mine, "taxon"])), dtype=object)
+        column = pd.Index(names).get_indexer(rows["taxon"])
+        cells, marks = mine & ~mark, mine & mark
+        dense = np.zeros((n_samples, len(names)))
+        dense[sample[cells], column[cells]] = rows["n"].to_numpy()[cells]
+        sums = np.full((2, len(names)), np.nan)
+        sums[:, column[marks]] = rows.loc[marks, ["s", "q"]].to_numpy().T
+        return names, dense, sums
+
+    names1, dense1, sums1 = side(left)
+    names2, dense2, sums2 = (names1, dense1, sums1) if left == right else side(right)
     products = dense1.T @ dense2
-    wanted = np.ones_like(products, dtype=bool) if len(marks) else products != 0
+    wanted = np.full(products.shape, True) if listed else products != 0
     if left == right:
-        wanted &= np.triu(np.ones_like(wanted), 1)
+        wanted = np.triu(wanted, 1)
     i, j = np.nonzero(wanted)
     a, b = names1[i], names2[j]
-    ordered = a < b
-    out = pd.DataFrame({"t1": np.where(ordered, a, b), "t2": np.where(ordered, b, a), "products": products[i, j]})
-    for n, t in (("1", "t1"), ("2", "t2")):
-        found = sums.reindex(out[t])
-        out["s" + n], out["q" + n] = found["s"].to_numpy(), found["q"].to_numpy()
-    return out
+    swap = a > b
+    columns = {
+        "t1": np.where(swap, b, a),
+        "t2": np.where(swap, a, b),
+        "products": products[i, j],
+        "s1": np.where(swap, sums2[0, j], sums1[0, i]),
+        "q1": np.where(swap, sums2[1, j], sums1[1, i]),
+        "s2": np.where(swap, sums1[0, i], sums2[0, j]),
+        "q2": np.where(swap, sums1[1, i], sums2[1, j]),
+    }
+    return pd.DataFrame(columns)
 
 
 def taxon_sums(cells: DataFrame, n_samples: int) -> DataFrame:
@@ -91,7 +101,10 @@ def centred_ranks(cells: DataFrame, n_samples: int) -> DataFrame:
         ).alias("_rank"),
     )
     present = cells.filter(F.col("n") != 0)
-    return attach(present, placed, ["taxon", "n"], ["sample"]).select("sample", "taxon", F.col("_rank").alias("n"))
+    # Spread the rows of a value only as far as the most frequent value asks for.
+    most = ranked.agg(F.max("ties")).first()[0] or 1
+    ways = max(1, min(MOST_WAYS, math.ceil(most / TILE_CELLS)))
+    return attach(present, placed, ["taxon", "n"], ["sample"], ways).select("sample", "taxon", F.col("_rank").alias("n"))
 
 
 def correlations(counts: DataFrame, method: str = "spearman") -> tuple[DataFrame, DataFrame]:
@@ -128,7 +141,7 @@ def correlations(counts: DataFrame, method: str = "spearman") -> tuple[DataFrame
     )
     tiles = rows.groupBy("slice", "left", "right").applyInPandas(_multiply_tile, _TILE_SCHEMA)
     pairs = tiles.groupBy("t1", "t2").agg(
-        F.sum("products").alias("p"), *[F.max(c).alias(c) for c in ("s1", "q1", "s2", "q2")]
+        F.sum("products").alias("p"), *[F.max(F.nanvl(c, F.lit(None))).alias(c) for c in ("s1", "q1", "s2", "q2")]
     )
     n = F.lit(float(n_samples))
     spread = F.sqrt(n * F.col("q1") - F.col("s1") * F.col("s1")) * F.sqrt(n * F.col("q2") - F.col("s2") * F.col("s2"))

@@ -21,13 +21,17 @@ CHUNK_EDGES = 4096
 SOURCES_PER_BATCH = 4096
 
 
-def _both_ways(edges: DataFrame) -> DataFrame:
+def both_ways(edges: DataFrame) -> DataFrame:
     """Directed copies of undirected edges, each once, without self loops."""
     plain = edges.select("src", "dst").filter(F.col("src") != F.col("dst"))
     back = plain.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return plain.unionByName(back).distinct()
 
 
+def _links(edges: DataFrame, symmetric: bool) -> DataFrame:
+    return edges.select("src", "dst") if symmetric else both_ways(edges)
+
+
 def _chunked(links: DataFrame) -> DataFrame:
     """Links with their chunk number and the chunk count of the far node."""
     links = cut(links)
@@ -82,23 +86,29 @@ def _levels(starts: DataFrame, links: DataFrame) -> list[DataFrame]:
 
 
 def _scores(nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """All nodes with their score, zero when none was found."""
-    joined = nodes.select(F.col("id").alias("node")).join(found, "node", "left")
-    return joined.select("node", F.coalesce("score", F.lit(0.0)).alias("score"))
+    """All nodes with the sum of the scores found for them, zero without any."""
+    zero = nodes.select(F.col("id").alias("node"), F.lit(0.0).alias("score"))
+    return zero.unionByName(found.select("node", "score")).groupBy("node").agg(F.sum("score").alias("score"))
 
 
-def degree_centrality(nodes: DataFrame, edges: DataFrame, self_loops: bool = False) -> DataFrame:
-    """Degree over ``n - 1``; a self loop, if asked for, counts twice."""
-    counted = nodes.agg(F.count("*").alias("_n"))
-    degree = _both_ways(edges).groupBy(F.col("src").alias("node")).agg(F.count("*").cast("double").alias("score"))
-    scored = attach(_scores(nodes, degree), counted, [], ["node"])
+def degree_centrality(
+    nodes: DataFrame, edges: DataFrame, self_loops: bool = False, symmetric: bool = False
+) -> DataFrame:
+    """Degree over ``n - 1``; a self loop, if asked for, counts twice.
+
+    Here as below, ``symmetric`` tells that ``edges`` already hold both directions once.
+    """
+    ends = _links(edges, symmetric).select(F.col("src").alias("node"), F.lit(1.0).alias("score"))
+    scored = attach(_scores(nodes, ends), nodes.agg(F.count("*").alias("_n")), [], ["node"])
     links = F.col("score") + (2 if self_loops else 0)
     return scored.select("node", F.when(F.col("_n") > 1, F.try_divide(links, F.col("_n") - 1)).otherwise(1.0).alias("score"))
 
 
-def closeness_centrality(nodes: DataFrame, edges: DataFrame, per_batch: int = SOURCES_PER_BATCH) -> DataFrame:
+def closeness_centrality(
+    nodes: DataFrame, edges: DataFrame, per_batch: int = SOURCES_PER_BATCH, symmetric: bool = False
+) -> DataFrame:
     """Reached share times inverse mean distance, for graphs of several components too."""
-    links = _chunked(_both_ways(edges))
+    links = _chunked(_links(edges, symmetric))
     parts = []
     for starts in _batches(_start_nodes(nodes, links), per_batch):
         levels = [
@@ -116,7 +126,11 @@ def closeness_centrality(nodes: DataFrame, edges: DataFrame, per_batch: int = SO
 
 
 def betweenness_centrality(
-    nodes: DataFrame, edges: DataFrame, per_batch: int = SOURCES_PER_BATCH, sources: DataFrame | None = None
+    nodes: DataFrame,
+    edges: DataFrame,
+    per_batch: int = SOURCES_PER_BATCH,
+    sources: DataFrame | None = None,
+    symmetric: bool = False,
 ) -> DataFrame:
     """Normalised betweenness by Brandes' accumulation, end points excluded.
 
@@ -124,7 +138,7 @@ def betweenness_centrality(
     them; by default every node is one and the result is exact.
     """
     n_nodes = nodes.count()
-    links = _chunked(_both_ways(edges))
+    links = _chunked(_links(edges, symmetric))
     starts = _start_nodes(nodes, links)
     scale = 1.0
     if sources is not None:
@@ -165,9 +179,8 @@ def betweenness_centrality(
             below = delta
     if not parts or n_nodes < 3:
         return nodes.select(F.col("id").alias("node"), F.lit(0.0).alias("score"))
-    total = reduce(DataFrame.unionByName, parts).groupBy("node").agg(F.sum("score").alias("score"))
     norm = scale / ((n_nodes - 1) * (n_nodes - 2))
-    return _scores(nodes, total.select("node", (F.col("score") * norm).alias("score")))
+    return _scores(nodes, reduce(DataFrame.unionByName, parts)).withColumn("score", F.col("score") * norm)
 
 
 def eigenvector_centrality(
@@ -177,6 +190,7 @@ def eigenvector_centrality(
     tol: float = 1e-6,
     self_loops: bool = False,
     steps_per_round: int = 5,
+    symmetric: bool = False,
 ) -> DataFrame:
     """Leading eigenvector of the adjacency matrix, of length one, by power iteration.
 
@@ -188,7 +202,7 @@ def eigenvector_centrality(
     if n_nodes == 0:
         return nodes.select(F.col("id").alias("node"), F.lit(0.0).alias("score"))
     keep = nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"))
-    links = _chunked(_both_ways(edges).unionByName(keep))
+    links = _chunked(_links(edges, symmetric).unionByName(keep))
     own_weight = 2.0 if self_loops else 1.0
     current = links.groupBy(F.col("src").alias("node")).agg(F.max("src_parts").alias("parts"))
     current = current.withColumn("x", F.lit(1.0 / math.sqrt(n_nodes)))

@@ -83,23 +83,30 @@ def block_of(rn: str, block_rows: int) -> Column:
 def nearest_known(
     df: DataFrame, by: Sequence[str], value: Column, rn: str = "rn", block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Add ``_prev`` and ``_next``: the closest known ``(rn, value)`` at or around each numbered row."""
+    """Add ``_prev`` and ``_next``: the closest known ``(rn, value)`` at or around each numbered row.
+
+    Both directions use windows that grow from the start, which Spark evaluates
+    in one pass; looking ahead is looking back in reverse order.
+    """
     known = F.when(F.col("_value").isNotNull(), F.struct(F.col(rn).alias("rn"), F.col("_value").alias("value")))
     rows = df.withColumn("_value", value).withColumn("_block", block_of(rn, block_rows))
     keys = [*by, "_block"]
-    inside = Window.partitionBy(*keys).orderBy(rn)
-    blocks = Window.partitionBy(*by).orderBy("_block")
+
+    def latest(column: Column | str, part: Sequence[str], order: Column, to: int) -> Column:
+        window = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, to)
+        return F.last(column, ignorenulls=True).over(window)
+
     ends = rows.groupBy(*keys).agg(F.min(known).alias("_lo"), F.max(known).alias("_hi"))
     carry = ends.select(
         *keys,
-        F.last("_hi", ignorenulls=True).over(blocks.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-        F.first("_lo", ignorenulls=True).over(blocks.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+        latest("_hi", by, F.col("_block").asc(), -1).alias("_before"),
+        latest("_lo", by, F.col("_block").desc(), -1).alias("_after"),
     )
-    local = rows.withColumns(
-        {
-            "_prev": F.last(known, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)),
-            "_next": F.first(known, ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing)),
-        }
+    local = rows.withColumn("_known", known).select(
+        *df.columns,
+        "_block",
+        latest("_known", keys, F.col(rn).asc(), 0).alias("_prev"),
+        latest("_known", keys, F.col(rn).desc(), 0).alias("_next"),
     )
     return match(local, carry, keys).select(
         *df.columns,

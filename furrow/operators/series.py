@@ -195,18 +195,19 @@ def fit_centroids_by(
     current = cut(values.groupBy(*by).agg(start.alias("centroids")))
     for _ in range(max_iter):
         labelled = attach(values, current, by, ["_v"]).withColumn("_label", _labels_of(F.col("_v"), F.col("centroids")))
-        means = labelled.groupBy(*by, "_label").agg((F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("_mean"))
-        means = means.groupBy(*by).agg(
-            F.map_from_entries(F.collect_list(F.struct(F.col("_label"), F.col("_mean")))).alias("_means")
-        )
-        joined = attach(current, means, by, ["centroids"])
-        moved = F.transform(
-            F.col("centroids"), lambda c, j: F.coalesce(F.try_element_at("_means", j.cast("bigint")), c)
+
+        def mean(j: int) -> Column:
+            mine = F.col("_label") == j
+            size = F.sum(F.when(mine, F.col("_n")))
+            return F.coalesce(F.sum(F.when(mine, F.col("_v") * F.col("_n"))) / size, F.any_value("centroids")[j])
+
+        moved = labelled.groupBy(*by).agg(
+            F.array(*[mean(j) for j in range(k)]).alias("centroids"), F.any_value("centroids").alias("_old")
         )
-        updated = cut(joined.select(*by, moved.alias("centroids"), F.col("centroids").alias("_old")))
         gap = F.array_max(F.zip_with("centroids", "_old", lambda a, b: F.abs(a - b)))
-        change = updated.agg(F.max(gap)).first()[0]
-        current = updated.drop("_old")
+        current = cut(moved.select(*by, "centroids", gap.alias("_gap")))
+        change = current.agg(F.max("_gap")).first()[0]
+        current = current.drop("_gap")
         if change is None or change <= tol:
             break
     return current.withColumn("centroids", F.array_sort("centroids"))

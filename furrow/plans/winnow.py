@@ -9,7 +9,7 @@ from ..lineage import cut
 from ..operators import counts as tables
 from ..operators.correlation import correlations, strong_edges
 from ..operators.divergence import divergence_curve, kl_divergence
-from ..operators.graph import centrality, top_nodes
+from ..operators.graph import both_ways, centrality, top_nodes
 from ..params import WinnowParams
 
 
@@ -28,11 +28,13 @@ def pulls(nodes: DataFrame, edges: DataFrame, params: WinnowParams, max_steps: i
     """
     pulled: list[tuple[int, str, float]] = []
     step = 0
+    edges = cut(both_ways(edges))
     while step * params.num_to_pull < params.num_required and step < max_steps:
         gone = [taxon for _, taxon, _ in pulled]
         left = nodes.filter(~F.col("id").isin(gone)) if gone else nodes
         links = edges.filter(~F.col("src").isin(gone) & ~F.col("dst").isin(gone)) if gone else edges
-        best = top_nodes(centrality(left, links, params.centrality), params.num_to_pull).collect()
+        scores = centrality(left, links, params.centrality, symmetric=True)
+        best = top_nodes(scores, params.num_to_pull).collect()
         if not best:
             break
         pulled += [(step, row["node"], row["score"]) for row in best]

@@ -220,7 +220,7 @@ def lloyd(name: str, source: str, k: int, rounds: int) -> str:
 
 sql("centroids_by_batch", FR, lloyd("km", "fr", 3, 10), recursive=True,
     body=" UNION ALL ".join(
-        f"SELECT batch, CAST({j} AS INTEGER) AS cluster, {r(f'c{j}')} AS centroid FROM km WHERE round = 10" for j in range(3)))
+        f"SELECT batch, CAST({j} AS INTEGER) AS cluster, {settled(f'c{j}')} AS centroid FROM km WHERE round = 10" for j in range(3)))
 sql(
     "two_level_fit", FR, lloyd("km", "fr", 3, 5),
     "coarse AS (SELECT f.*, " + nearest("coarse", "metric", ("c0", "c1", "c2"))
@@ -421,22 +421,23 @@ pairs AS (SELECT a.taxon AS t1, b.taxon AS t2,
   LEFT JOIN products ON products.t1 = a.taxon AND products.t2 = b.taxon)"""
 
 
-def strong(thresh: float) -> str:
-    return f"edges AS (SELECT t1 AS src, t2 AS dst, round(abs(r), 9) AS weight FROM pairs WHERE round(abs(r), 9) >= {thresh})"
+def strong(factor: float) -> str:
+    return f"""edges AS (SELECT t1 AS src, t2 AS dst, round(abs(r), 9) AS weight FROM pairs
+  WHERE round(abs(r), 9) >= CAST({factor} AS DOUBLE) / sqrt((SELECT count(DISTINCT sample) FROM counts)))"""
 
 
 EDGES = f"SELECT src, dst, {r('weight')} AS weight FROM edges"
 sql("pearson_matrix", COUNTS, CELLS, pairs("cells"), body=f"SELECT t1, t2, {r('r')} AS r FROM pairs")
 sql("spearman_matrix", COUNTS, CELLS, RANKED, pairs("ranked"), body=f"SELECT t1, t2, {r('r')} AS r FROM pairs")
-sql("pearson_edges", COUNTS, CELLS, pairs("cells"), strong(0.1), body=EDGES)
-sql("spearman_edges", COUNTS, CELLS, RANKED, pairs("ranked"), strong(0.1), body=EDGES)
-sql("sparse_pearson_edges", FINE, SPARSE_PAIRS, strong(0.3), body=EDGES)
-sql("sparse_spearman_edges", FINE, CELLS, RANKED, pairs("ranked"), strong(0.3), body=EDGES)
+sql("pearson_edges", COUNTS, CELLS, pairs("cells"), strong(1.4), body=EDGES)
+sql("spearman_edges", COUNTS, CELLS, RANKED, pairs("ranked"), strong(1.4), body=EDGES)
+sql("sparse_pearson_edges", FINE, SPARSE_PAIRS, strong(3.5), body=EDGES)
+sql("sparse_spearman_edges", FINE, CELLS, RANKED, pairs("ranked"), strong(3.5), body=EDGES)
 
 # --- graphs ---------------------------------------------------------------
 
 GRAPH = [
-    COUNTS, CELLS, pairs("cells"), strong(0.1),
+    COUNTS, CELLS, pairs("cells"), strong(1.4),
     "nodes AS (SELECT taxon AS id FROM cells GROUP BY taxon HAVING min(n) < max(n))",
     "size AS (SELECT count(*) AS n FROM nodes)",
     "adj AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges)",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -261,7 +262,7 @@ def centroids_by_batch(spark, sf_dir):
     """Ten rounds of 1-D k-means in every batch."""
     fitted = series.fit_centroids_by(inputs.frames(spark, sf_dir), DAY, "metric", 3, max_iter=10, tol=-1.0)
     return fitted.select("batch", F.posexplode("centroids").alias("cluster", "centroid")).withColumn(
-        "centroid", rounded(F.col("centroid"))
+        "centroid", settled(F.col("centroid"))
     )
 
 
@@ -570,37 +571,45 @@ def spearman_matrix(spark, sf_dir):
     return pairs.withColumn("r", rounded(F.col("r")))
 
 
+def _threshold(rows: DataFrame, factor: float) -> float:
+    """A threshold that keeps a like share of chance correlations at every sample count."""
+    return factor / math.sqrt(rows.select("sample").distinct().count())
+
+
+def _strong(rows: DataFrame, method: str, factor: float) -> DataFrame:
+    pairs, _ = correlation.correlations(rows, method)
+    return correlation.strong_edges(pairs, _threshold(rows, factor)).withColumn("weight", rounded(F.col("weight")))
+
+
 @query
 def pearson_edges(spark, sf_dir):
-    edges = correlation.strong_edges(_correlations(spark, sf_dir, "pearson")[0], 0.1)
-    return edges.withColumn("weight", rounded(F.col("weight")))
+    return _strong(inputs.with_sample(inputs.counts(spark, sf_dir)), "pearson", 1.4)
 
 
 @query
 def spearman_edges(spark, sf_dir):
-    edges = correlation.strong_edges(_correlations(spark, sf_dir, "spearman")[0], 0.1)
-    return edges.withColumn("weight", rounded(F.col("weight")))
+    return _strong(inputs.with_sample(inputs.counts(spark, sf_dir)), "spearman", 1.4)
 
 
 @query
 def sparse_pearson_edges(spark, sf_dir):
     """Over a thousand taxa, most cells absent: several tiles."""
-    pairs, _ = correlation.correlations(inputs.with_sample(inputs.fine_counts(spark, sf_dir)), "pearson")
-    return correlation.strong_edges(pairs, 0.3).withColumn("weight", rounded(F.col("weight")))
+    return _strong(inputs.with_sample(inputs.fine_counts(spark, sf_dir)), "pearson", 3.5)
 
 
 @query
 def sparse_spearman_edges(spark, sf_dir):
-    pairs, _ = correlation.correlations(inputs.with_sample(inputs.fine_counts(spark, sf_dir)), "spearman")
-    return correlation.strong_edges(pairs, 0.3).withColumn("weight", rounded(F.col("weight")))
+    return _strong(inputs.with_sample(inputs.fine_counts(spark, sf_dir)), "spearman", 3.5)
 
 
 # --- graphs ---------------------------------------------------------------
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    pairs, taxa = _correlations(spark, sf_dir, "pearson")
-    return taxa.select(F.col("taxon").alias("id")), cut(correlation.strong_edges(pairs, 0.1))
+    rows = inputs.with_sample(inputs.counts(spark, sf_dir))
+    pairs, taxa = correlation.correlations(rows, "pearson")
+    edges = correlation.strong_edges(pairs, _threshold(rows, 1.4))
+    return taxa.select(F.col("taxon").alias("id")), cut(edges)
 
 
 def _scored(spark: SparkSession, sf_dir: str, kind: str, **options) -> DataFrame:
@@ -666,8 +675,10 @@ def divergence_curve(spark, sf_dir):
 @query
 def winnow_loop(spark, sf_dir):
     """Pull the best-connected taxon until none is left."""
-    params = WinnowParams(keep_thresh=0.1, correlation="pearson", centrality="degree")
-    pulled = winnow.run(inputs.counts(spark, sf_dir), "F", "O", params)["pulled"]
+    rows = inputs.counts(spark, sf_dir)
+    thresh = _threshold(inputs.with_sample(rows), 1.4)
+    params = WinnowParams(keep_thresh=thresh, correlation="pearson", centrality="degree")
+    pulled = winnow.run(rows, "F", "O", params)["pulled"]
     return pulled.select("step", "taxon", rounded(F.col("score")).alias("score"), rounded(F.col("kl"), 9).alias("kl"))
 
 
