@@ -34,7 +34,7 @@ def _linear(c: Column) -> Column:
 
 
 def _lab_curve(t: Column) -> Column:
-    return F.when(t > LAB_CUT, F.pow(t, F.lit(1.0 / 3.0))).otherwise(LAB_SLOPE * t + LAB_OFFSET)
+    return F.when(t > LAB_CUT, F.cbrt(t)).otherwise(LAB_SLOPE * t + LAB_OFFSET)
 
 
 def lab_b(r: Column, g: Column, b: Column) -> Column:
@@ -65,7 +65,7 @@ def lab_b_array(bgr: np.ndarray) -> np.ndarray:
     lb, lg, lr = (_LINEAR[bgr[..., i]] for i in range(3))
 
     def curve(t: np.ndarray) -> np.ndarray:
-        return np.where(t > LAB_CUT, t ** (1.0 / 3.0), LAB_SLOPE * t + LAB_OFFSET)
+        return np.where(t > LAB_CUT, np.cbrt(t), LAB_SLOPE * t + LAB_OFFSET)
 
     y = XYZ_Y[0] * lr + XYZ_Y[1] * lg + XYZ_Y[2] * lb
     z = (XYZ_Z[0] * lr + XYZ_Z[1] * lg + XYZ_Z[2] * lb) / WHITE_Z

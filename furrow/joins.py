@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .lineage import cut
 
 SPREAD = 32
+BROADCAST_BYTES = 16 << 20
 
 
 def match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -45,16 +46,32 @@ def attach(
     return match(spread, copies, [*keys, "_copy"]).drop("_copy")
 
 
-def attach_measured(
-    big: DataFrame, small: DataFrame, keys: Sequence[str], spread_by: Sequence[str], row_bytes: int, max_bytes: int = 16 << 20
-) -> DataFrame:
-    """Like ``attach``, for wide ``big`` rows: broadcast when the measured small side fits.
+def match_measured(big: DataFrame, small: DataFrame, keys: Sequence[str], row_bytes: int = 128) -> DataFrame:
+    """Inner equi join that broadcasts ``small`` when its measured size allows, and shuffles otherwise.
 
-    ``small`` is stored first, so counting it is cheap and it is computed once.
+    For ``big`` sides without hot keys. ``small`` is stored first, so it is
+    computed once and counting it is cheap.
     """
+    small = cut(small)
+    return match(big, F.broadcast(small) if _fits(small, row_bytes) else small, keys)
+
+
+def attach_measured(
+    big: DataFrame,
+    small: DataFrame,
+    keys: Sequence[str],
+    spread_by: Sequence[str],
+    row_bytes: int = 128,
+    stored: bool = False,
+) -> DataFrame:
+    """Like ``attach``, but broadcasts the small side when its measured size allows."""
     if not keys:
         return attach(big, small, keys, spread_by)
-    small = cut(small)
-    if small.count() * row_bytes <= max_bytes:
+    small = small if stored else cut(small)
+    if _fits(small, row_bytes):
         return match(big, F.broadcast(small), keys)
     return attach(big, small, keys, spread_by)
+
+
+def _fits(stored: DataFrame, row_bytes: int) -> bool:
+    return stored.count() * row_bytes <= BROADCAST_BYTES

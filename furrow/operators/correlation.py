@@ -1,10 +1,10 @@
 """Correlation between all taxa of a sparse count table.
 
 The products of every pair of taxa are a matrix product. It is computed in
-tiles: taxa are hashed into blocks, samples into slices, and each task
-multiplies one slice of two blocks with NumPy. A hot sample is spread over the
-blocks and a hot taxon over the slices, so every task has bounded work. Cells
-that are absent count as zero.
+tiles: taxa are numbered and cut into blocks, samples are hashed into slices,
+and each task multiplies one slice of two blocks with NumPy. A hot sample is
+spread over the blocks and a hot taxon over the slices, so every task has
+bounded work. Cells that are absent count as zero.
 """
 
 from __future__ import annotations
@@ -13,60 +13,54 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..joins import attach
+from ..joins import attach, attach_measured
 from ..lineage import cut
-from .order import running_totals
-
-BLOCK_TAXA = 256
-SLICE_SAMPLES = 32_768
-TILE_CELLS = 500_000
+from .order import number_rows, running_totals
+
+BLOCK_TAXA = 512
+SLICE_SAMPLES = 131_072
+TILE_CELLS = 2_000_000
+# Samples held densely at a time: 32 MB per block of 512 taxa.
+DENSE_SAMPLES = 8_192
+# Taxa that one task may number; more are numbered across the cluster.
+ONE_TASK_TAXA = 200_000
+HOT_ROWS = 500_000
 MOST_WAYS = 1024
 
-_TILE_SCHEMA = "t1 string, t2 string, products double, s1 double, q1 double, s2 double, q2 double"
-
-
-def _multiply_tile(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Sums of products of one tile; slice 0 lists every pair, with the taxon sums."""
-    _, left, right = key
-    mark = rows["mark"].to_numpy()
-    sample = pd.factorize(rows["sample"])[0]
-    n_samples = sample.max(initial=-1) + 1
-    listed = bool(mark.any())
-
-    def side(block: int):
-        """Names in order, dense cells, and the sums known from the marks."""
-        mine = (rows["block"] == block).to_numpy()
-        names = np.array(sorted(set(rows.loc[mine, "taxon"])), dtype=object)
-        column = pd.Index(names).get_indexer(rows["taxon"])
-        cells, marks = mine & ~mark, mine & mark
-        dense = np.zeros((n_samples, len(names)))
-        dense[sample[cells], column[cells]] = rows["n"].to_numpy()[cells]
-        sums = np.full((2, len(names)), np.nan)
-        sums[:, column[marks]] = rows.loc[marks, ["s", "q"]].to_numpy().T
-        return names, dense, sums
-
-    names1, dense1, sums1 = side(left)
-    names2, dense2, sums2 = (names1, dense1, sums1) if left == right else side(right)
-    products = dense1.T @ dense2
-    wanted = np.full(products.shape, True) if listed else products != 0
-    if left == right:
-        wanted = np.triu(wanted, 1)
-    i, j = np.nonzero(wanted)
-    a, b = names1[i], names2[j]
-    swap = a > b
-    columns = {
-        "t1": np.where(swap, b, a),
-        "t2": np.where(swap, a, b),
-        "products": products[i, j],
-        "s1": np.where(swap, sums2[0, j], sums1[0, i]),
-        "q1": np.where(swap, sums2[1, j], sums1[1, i]),
-        "s2": np.where(swap, sums1[0, i], sums2[0, j]),
-        "q2": np.where(swap, sums1[1, i], sums2[1, j]),
-    }
-    return pd.DataFrame(columns)
+
+def _tile_products(n_taxa: int, width: int):
+    """Task function: sums of products of the taxa of two blocks over one slice of samples."""
+
+    def multiply(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        piece, left, right = (int(k) for k in key)
+        sample = pd.factorize(rows["sample"])[0]
+        block, columns, values = (rows[c].to_numpy() for c in ("block", "columns", "values"))
+        sizes = {b: min(width, n_taxa - b * width) for b in (left, right)}
+
+        def dense(b: int, start: int) -> np.ndarray:
+            """Cells of one block for the samples from ``start`` on."""
+            mine = np.flatnonzero((block == b) & (sample >= start) & (sample < start + DENSE_SAMPLES))
+            cells = np.zeros((min(DENSE_SAMPLES, sample.max() + 1 - start), sizes[b]))
+            if len(mine):
+                at = np.repeat(sample[mine] - start, [len(c) for c in columns[mine]])
+                cells[at, np.concatenate(columns[mine])] = np.concatenate(values[mine])
+            return cells
+
+        products = np.zeros((sizes[left], sizes[right]))
+        for start in range(0, sample.max(initial=-1) + 1, DENSE_SAMPLES):
+            first = dense(left, start)
+            products += first.T @ (first if left == right else dense(right, start))
+        # Slice 0 lists every pair; elsewhere only pairs that meet matter.
+        wanted = np.full(products.shape, True) if piece == 0 else products != 0
+        if left == right:
+            wanted = np.triu(wanted, 1)
+        i, j = np.nonzero(wanted)
+        return pd.DataFrame({"i": i + left * width, "j": j + right * width, "products": products[i, j]})
+
+    return multiply
 
 
 def taxon_sums(cells: DataFrame, n_samples: int) -> DataFrame:
@@ -80,10 +74,11 @@ def taxon_sums(cells: DataFrame, n_samples: int) -> DataFrame:
 
 
 def centred_ranks(cells: DataFrame, n_samples: int) -> DataFrame:
-    """Replace values by average ranks, moved so that an absent cell (a zero) ranks 0.
+    """Average rank of every distinct value of a taxon: ``(taxon, n, ties, rank)``.
 
-    Ranks come from the counts of distinct values, so a large taxon is never
-    sorted in one task. Correlation does not see the move.
+    Ranks are moved so that an absent cell (a zero) ranks 0, which correlation
+    does not see. They come from the counts of distinct values, so a large
+    taxon is never sorted in one task.
     """
     values = cells.filter(F.col("n") != 0).groupBy("taxon", "n").agg(F.count("*").alias("ties"))
     ranked = running_totals(values, ["taxon"], [F.col("n").asc()], {"_below": F.col("ties")}, inclusive=False)
@@ -93,18 +88,27 @@ def centred_ranks(cells: DataFrame, n_samples: int) -> DataFrame:
     )
     zeros = F.lit(n_samples) - F.col("_all")
     zero_rank = F.col("_neg") + (zeros + 1) / 2
-    placed = attach(ranked, sides, ["taxon"], ["n"]).select(
-        "taxon",
-        "n",
-        (
-            F.col("_below") + (F.col("ties") + 1) / 2 + F.when(F.col("n") > 0, zeros).otherwise(0) - zero_rank
-        ).alias("_rank"),
-    )
-    present = cells.filter(F.col("n") != 0)
-    # Spread the rows of a value only as far as the most frequent value asks for.
-    most = ranked.agg(F.max("ties")).first()[0] or 1
-    ways = max(1, min(MOST_WAYS, math.ceil(most / TILE_CELLS)))
-    return attach(present, placed, ["taxon", "n"], ["sample"], ways).select("sample", "taxon", F.col("_rank").alias("n"))
+    rank = F.col("_below") + (F.col("ties") + 1) / 2 + F.when(F.col("n") > 0, zeros).otherwise(0) - zero_rank
+    return attach_measured(ranked, sides, ["taxon"], ["n"]).select("taxon", "n", "ties", rank.alias("rank"))
+
+
+def _ranked_cells(cells: DataFrame, ranks: DataFrame) -> DataFrame:
+    """Cells with their value's rank; a frequent value is spread as far as it asks for."""
+    most = ranks.agg(F.max("ties")).first()[0] or 1
+    ways = max(1, min(MOST_WAYS, math.ceil(most / HOT_ROWS)))
+    found = attach(cells.filter(F.col("n") != 0), ranks.drop("ties"), ["taxon", "n"], ["sample"], ways)
+    return found.select("sample", "taxon", F.col("rank").alias("n"))
+
+
+def _numbered(facts: DataFrame) -> tuple[DataFrame, int]:
+    """Facts per taxon with ``id`` from 0 in name order, and their number."""
+    facts = cut(facts)
+    n = facts.count()
+    if n > ONE_TASK_TAXA:
+        rows = cut(number_rows(facts, (), [F.col("taxon").asc()]))
+    else:
+        rows = facts.withColumn("rn", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("taxon")))
+    return rows.withColumn("id", (F.col("rn") - 1).cast("int")).drop("rn"), n
 
 
 def correlations(counts: DataFrame, method: str = "spearman") -> tuple[DataFrame, DataFrame]:
@@ -115,38 +119,55 @@ def correlations(counts: DataFrame, method: str = "spearman") -> tuple[DataFrame
     """
     if method not in ("spearman", "pearson"):
         raise ValueError("method is 'spearman' or 'pearson'")
+    spark = counts.sparkSession
     cells = cut(counts.select("sample", F.col("taxon").cast("string").alias("taxon"), F.col("n").cast("double").alias("n")))
-    size = cells.agg(
-        F.count_distinct("sample").alias("samples"), F.approx_count_distinct("taxon").alias("taxa"), F.count("*").alias("cells")
-    ).first()
-    n_samples = size["samples"]
-    blocks = max(1, math.ceil(size["taxa"] / BLOCK_TAXA))
-    slices = max(1, math.ceil(n_samples / SLICE_SAMPLES), math.ceil(2 * size["cells"] / (blocks * TILE_CELLS)))
-
-    varying = cut(taxon_sums(cells, n_samples).filter(~F.col("constant")).select("taxon"))
-    values = centred_ranks(cells, n_samples) if method == "spearman" else cells.filter(F.col("n") != 0)
-    values = values.join(varying, "taxon", "left_semi")
-    sums = values.groupBy("taxon").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"))
-
-    block = F.pmod(F.xxhash64("taxon"), F.lit(blocks)).cast("int")
-    piece = F.pmod(F.xxhash64("sample"), F.lit(slices)).cast("int")
-    marks = sums.select("taxon", "s", "q", F.lit(0).alias("slice"), F.lit(True).alias("mark"))
+    n_samples, n_cells = cells.agg(F.count_distinct("sample"), F.count("*")).first()
+    facts = taxon_sums(cells, n_samples).filter(~F.col("constant")).drop("constant")
+    if method == "spearman":
+        ranks = cut(centred_ranks(cells, n_samples))
+        values = _ranked_cells(cells, ranks)
+        sums = ranks.groupBy("taxon").agg(
+            F.sum(F.col("ties") * F.col("rank")).alias("s"), F.sum(F.col("ties") * F.col("rank") ** 2).alias("q")
+        )
+        facts = sums.join(facts.select("taxon"), "taxon", "left_semi")
+    else:
+        values = cells.filter(F.col("n") != 0)
+    taxa, n_taxa = _numbered(facts)
+    blocks = max(1, math.ceil(n_taxa / BLOCK_TAXA))
+    slices = max(1, math.ceil(n_samples / SLICE_SAMPLES), math.ceil(2 * n_cells / (blocks * TILE_CELLS)))
+
+    # One row per sample and block: at most BLOCK_TAXA cells each.
+    numbered = attach_measured(values, taxa.select("taxon", "id"), ["taxon"], ["sample"], stored=True)
+    cell = F.struct((F.col("id") % BLOCK_TAXA).alias("column"), F.col("n").alias("value"))
+    packed = (
+        numbered.groupBy("sample", F.floor(F.col("id") / BLOCK_TAXA).cast("int").alias("block"))
+        .agg(F.collect_list(cell).alias("cells"))
+        .select(
+            F.pmod(F.xxhash64("sample"), F.lit(slices)).cast("int").alias("slice"),
+            "sample",
+            "block",
+            F.col("cells.column").alias("columns"),
+            F.col("cells.value").alias("values"),
+        )
+    )
+    # An empty row per block, so that slice 0 has all tiles.
+    present = spark.range(blocks).select(F.col("id").cast("int").alias("block"), F.lit(0).alias("slice"))
     rows = (
-        values.withColumns({"slice": piece, "mark": F.lit(False)})
-        .unionByName(marks, allowMissingColumns=True)
-        .withColumn("block", block)
+        packed.unionByName(present, allowMissingColumns=True)
         .withColumn("_with", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         .withColumns({"left": F.least("block", "_with"), "right": F.greatest("block", "_with")})
         .drop("_with")
     )
-    tiles = rows.groupBy("slice", "left", "right").applyInPandas(_multiply_tile, _TILE_SCHEMA)
-    pairs = tiles.groupBy("t1", "t2").agg(
-        F.sum("products").alias("p"), *[F.max(F.nanvl(c, F.lit(None))).alias(c) for c in ("s1", "q1", "s2", "q2")]
-    )
+    multiply = _tile_products(n_taxa, BLOCK_TAXA)
+    tiles = rows.groupBy("slice", "left", "right").applyInPandas(multiply, "i int, j int, products double")
+    pairs = tiles.groupBy("i", "j").agg(F.sum("products").alias("p"))
+    for side, other, suffix in (("i", "j", "1"), ("j", "i", "2")):
+        facts = taxa.select(F.col("id").alias(side), *[F.col(c).alias(c + suffix) for c in ("taxon", "s", "q")])
+        pairs = attach_measured(pairs, facts, [side], [other], stored=True)
     n = F.lit(float(n_samples))
     spread = F.sqrt(n * F.col("q1") - F.col("s1") * F.col("s1")) * F.sqrt(n * F.col("q2") - F.col("s2") * F.col("s2"))
     r = F.try_divide(n * F.col("p") - F.col("s1") * F.col("s2"), spread)
-    return pairs.select("t1", "t2", F.coalesce(r, F.lit(0.0)).alias("r")), varying
+    return pairs.select(F.col("taxon1").alias("t1"), F.col("taxon2").alias("t2"), F.coalesce(r, F.lit(0.0)).alias("r")), taxa.select("taxon")
 
 
 def strong_edges(pairs: DataFrame, keep_thresh: float = 0.5) -> DataFrame:

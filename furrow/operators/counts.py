@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..joins import attach
+from ..joins import attach, attach_measured
 
 
 def stack(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def smooth_matrix(counts: DataFrame, sample: Sequence[str], kind: str = "b") ->
     which sums to one.
     """
     totals = counts.groupBy("taxon").agg(F.sum("n").alias("_total"))
-    rows = attach(counts, totals, ["taxon"], sample)
+    rows = attach_measured(counts, totals, ["taxon"], sample)
     if kind == "b":
         rows = attach(rows, counts.select(*sample).distinct().agg(F.count("*").alias("_samples")), [], sample)
         bottom = F.col("_total") + F.col("_samples")

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..joins import match
+from ..joins import match_measured
 from ..lineage import cut
 
 # Rows per window task once rows are numbered.
@@ -50,7 +50,7 @@ def number_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column], name:
         .withColumn("_base", F.coalesce(F.sum("_rows").over(_earlier(by)), F.lit(0)) - F.col("_first") + 1)
         .drop("_first", "_rows")
     )
-    numbered = match(placed, starts, [*by, "_range"])
+    numbered = match_measured(placed, starts, [*by, "_range"])
     return numbered.withColumn(name, F.col("_place") + F.col("_base")).drop("_range", "_place", "_base")
 
 
@@ -72,7 +72,7 @@ def running_totals(
     summed = placed.withColumns(
         {f"_local_{n}": F.coalesce(F.sum(f"_in_{n}").over(local), F.lit(0.0)) for n in totals}
     )
-    joined = match(summed, carried, [*by, "_range"])
+    joined = match_measured(summed, carried, [*by, "_range"])
     return joined.select(*df.columns, *[(F.col(f"_local_{n}") + F.col(f"_carry_{n}")).alias(n) for n in totals])
 
 
@@ -108,7 +108,7 @@ def nearest_known(
         latest("_known", keys, F.col(rn).asc(), 0).alias("_prev"),
         latest("_known", keys, F.col(rn).desc(), 0).alias("_next"),
     )
-    return match(local, carry, keys).select(
+    return match_measured(local, carry, keys).select(
         *df.columns,
         F.coalesce("_prev", "_before").alias("_prev"),
         F.coalesce("_next", "_after").alias("_next"),

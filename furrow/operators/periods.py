@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clock import local_clock, period_index, period_starts
-from ..joins import attach, match
+from ..joins import attach, attach_measured, match
 
 
 def in_periods(
@@ -25,7 +25,7 @@ def in_periods(
     dated = frames.filter(F.col(ts).isNotNull()).withColumn("_clock", clock)
     first = dated.groupBy(*by).agg(F.to_date(F.min_by("_clock", key)).alias("_day"))
     return (
-        attach(dated, first, by, [key])
+        attach_measured(dated, first, by, [key])
         .filter(F.to_date("_clock") == F.col("_day"))
         .withColumn("period", period_index(F.col("_clock"), limits))
         .drop("_clock", "_day")

@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..joins import attach, match
+from ..joins import attach, attach_measured, match
 from ..lineage import cut
 from .order import BLOCK_ROWS, centred_mean, nearest_known, number_rows
 
@@ -79,7 +79,7 @@ def best_frames(
     if not 0 < share <= 1:
         raise ValueError("share must lie in (0, 1]")
     ranked = number_rows(frames, by, [F.col(metric).asc(), F.col(key).asc()], "_rank")
-    sized = attach(ranked, group_sizes(frames, by, "_n"), by, [key])
+    sized = attach_measured(ranked, group_sizes(frames, by, "_n"), by, [key])
     best = sized.filter(F.col("_rank") <= F.floor(F.col("_n") * F.lit(float(share))))
     if cluster is not None:
         best = best.filter(F.col(cluster) == 0)
@@ -141,7 +141,7 @@ def drop_bad(frames: DataFrame, bad: DataFrame, image: str = "image_id") -> Data
 def between_counted(frames: DataFrame, by: Sequence[str], counted: Column, ts: str = "ts", spread_by: str = "image_id") -> DataFrame:
     """Frames from the first to the last counted one, both included."""
     span = frames.filter(counted).groupBy(*by).agg(F.min(ts).alias("_from"), F.max(ts).alias("_to"))
-    ranged = attach(frames, span, by, [spread_by])
+    ranged = attach_measured(frames, span, by, [spread_by])
     return ranged.filter(F.col(ts).between(F.col("_from"), F.col("_to"))).drop("_from", "_to")
 
 

@@ -57,7 +57,8 @@ def frame_features(images: DataFrame, params: FrameParams) -> DataFrame:
     that do not decode, or have another size, keep their row with ``ok`` false.
     """
     plot, area = plot_mask(params), area_mask(params)
-    rows, cols = _window(area)
+    plot_box, area_box = _window(plot), _window(area)
+    plot = plot[plot_box]
     size = (params.height, params.width)
 
     def per_frame(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -72,10 +73,11 @@ def frame_features(images: DataFrame, params: FrameParams) -> DataFrame:
                     continue
                 pixels = np.frombuffer(data, dtype=np.uint8).reshape(height, width, channels)
                 bgr = np.repeat(pixels, 3, axis=2) if channels == 1 else pixels[..., :3]
-                in_plot = bgr[plot]
-                out["hist_gray"].append(np.bincount(gray_array(in_plot), minlength=256))
-                out["hist"].append(np.bincount(lab_b_array(in_plot), minlength=256))
-                out["area"].append(lab_b_array(bgr[rows, cols]).astype(np.uint8).tobytes())
+                boxed = bgr[plot_box]
+                in_plot = boxed if plot.all() else boxed[plot]
+                out["hist_gray"].append(np.bincount(gray_array(in_plot).ravel(), minlength=256))
+                out["hist"].append(np.bincount(lab_b_array(in_plot).ravel(), minlength=256))
+                out["area"].append(lab_b_array(bgr[area_box]).astype(np.uint8).tobytes())
             yield batch[["path", "image_id", "batch", "number"]].assign(**out)
 
     return images.select(

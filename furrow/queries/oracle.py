@@ -263,7 +263,7 @@ def linear_light(c: str) -> str:
 
 
 def lab_curve(t: str) -> str:
-    return f"CASE WHEN {t} > 0.008856 THEN pow({t}, CAST(1 AS DOUBLE) / 3) ELSE 7.787 * {t} + CAST(16 AS DOUBLE) / 116 END"
+    return f"CASE WHEN {t} > 0.008856 THEN cbrt({t}) ELSE 7.787 * {t} + CAST(16 AS DOUBLE) / 116 END"
 
 
 LAB = f"""light AS (SELECT image_id, y, x, {linear_light('b')} AS lb, {linear_light('g')} AS lg, {linear_light('r')} AS lr FROM bgr),

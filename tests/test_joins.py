@@ -1,6 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
-from furrow.joins import attach, attach_measured, match
+from furrow import joins
+from furrow.joins import attach, attach_measured, match, match_measured
 
 
 def _big(spark):
@@ -23,9 +25,11 @@ def test_attach_keeps_hot_and_null_keys(spark):
     _check(attach(_big(spark), _small(spark), ["k"], ["id"]))
 
 
-def test_attach_measured_both_ways(spark):
-    _check(attach_measured(_big(spark), _small(spark), ["k"], ["id"], row_bytes=8))
-    _check(attach_measured(_big(spark), _small(spark), ["k"], ["id"], row_bytes=8, max_bytes=1))
+@pytest.mark.parametrize("limit", [joins.BROADCAST_BYTES, 1])
+def test_measured_joins_on_both_sides_of_the_limit(spark, monkeypatch, limit):
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", limit)
+    _check(attach_measured(_big(spark), _small(spark), ["k"], ["id"]))
+    _check(match_measured(_big(spark), _small(spark), ["k"]))
 
 
 def test_attach_without_keys_reads_one_row(spark):
