@@ -12,6 +12,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import weakref
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,15 +43,32 @@ def _app_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/furrow-{spark.conf.get('spark.app.id')}"
 
 
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back."""
     spark = df.sparkSession
     path = f"{_app_dir(spark)}/{uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    held = spark.read.schema(df.schema).parquet(path)
+    _paths[held] = path
+    return held
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete cut tables that nothing reads any more; other tables are left alone."""
+    for table in tables:
+        path = _paths.pop(table, None)
+        if path is not None:
+            _delete(table.sparkSession, path)
 
 
 def forget(spark: SparkSession) -> None:
     """Delete this application's cut tables; results read from them end here."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_app_dir(spark))
+    _delete(spark, _app_dir(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -14,8 +14,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..joins import attach
-from ..lineage import cut
+from ..joins import attach, attach_measured
+from ..lineage import cut, discard
 
 CHUNK_EDGES = 4096
 SOURCES_PER_BATCH = 4096
@@ -36,8 +36,8 @@ def _chunked(links: DataFrame) -> DataFrame:
     """Links with their chunk number and the chunk count of the far node."""
     links = cut(links)
     parts = links.groupBy("src").agg(F.ceil(F.count("*") / CHUNK_EDGES).cast("int").alias("parts"))
-    near = attach(links, parts, ["src"], ["dst"])
-    far = attach(near, parts.select(F.col("src").alias("dst"), F.col("parts").alias("dst_parts")), ["dst"], ["src"])
+    near = attach_measured(links, parts, ["src"], ["dst"])
+    far = attach_measured(near, parts.select(F.col("src").alias("dst"), F.col("parts").alias("dst_parts")), ["dst"], ["src"])
     chunk = F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int")
     return cut(far.select("src", "dst", chunk.alias("chunk"), "dst_parts", F.col("parts").alias("src_parts")))
 
@@ -111,14 +111,12 @@ def closeness_centrality(
     links = _chunked(_links(edges, symmetric))
     parts = []
     for starts in _batches(_start_nodes(nodes, links), per_batch):
-        levels = [
-            level.groupBy("source").agg(F.count("*").alias("reached"), (F.count("*") * d).alias("far"))
-            for d, level in enumerate(_levels(starts, links))
-        ]
-        parts.append(reduce(DataFrame.unionByName, levels))
-    sums = reduce(DataFrame.unionByName, parts).groupBy(F.col("source").alias("node")).agg(
-        F.sum("reached").alias("reached"), F.sum("far").alias("far")
-    )
+        levels = _levels(starts, links)
+        steps = [level.select("source", F.lit(d).alias("d")) for d, level in enumerate(levels)]
+        sums = reduce(DataFrame.unionByName, steps).groupBy(F.col("source").alias("node"))
+        parts.append(cut(sums.agg(F.count("*").alias("reached"), F.sum("d").alias("far"))))
+        discard(*levels)
+    sums = reduce(DataFrame.unionByName, parts)
     sums = attach(sums, nodes.agg(F.count("*").alias("_n")), [], ["node"])
     others = F.col("reached") - 1
     score = F.coalesce(F.try_divide(others, F.col("far")) * F.try_divide(others, F.col("_n") - 1), F.lit(0.0))
@@ -146,7 +144,7 @@ def betweenness_centrality(
         scale = n_nodes / max(1, sources.select("id").distinct().count())
     parts = []
     for batch in _batches(starts, per_batch):
-        levels = _levels(batch, links)
+        levels, deltas = _levels(batch, links), []
         below = None
         for level in reversed(levels[1:]):
             own = level.withColumns({"share": F.lit(0.0), "own": F.lit(1)})
@@ -175,8 +173,12 @@ def betweenness_centrality(
                     .filter(F.col("own") == 1)
                     .select("source", "node", "parts", "paths", (F.col("paths") * F.col("share")).alias("delta"))
                 )
-                parts.append(delta.groupBy("node").agg(F.sum("delta").alias("score")))
+                deltas.append(delta)
             below = delta
+        if deltas:
+            gained = reduce(DataFrame.unionByName, deltas).groupBy("node").agg(F.sum("delta").alias("score"))
+            parts.append(cut(gained))
+        discard(*levels, *deltas)
     if not parts or n_nodes < 3:
         return nodes.select(F.col("id").alias("node"), F.lit(0.0).alias("score"))
     norm = scale / ((n_nodes - 1) * (n_nodes - 2))
@@ -206,7 +208,7 @@ def eigenvector_centrality(
     own_weight = 2.0 if self_loops else 1.0
     current = links.groupBy(F.col("src").alias("node")).agg(F.max("src_parts").alias("parts"))
     current = current.withColumn("x", F.lit(1.0 / math.sqrt(n_nodes)))
-    done = 0
+    done, stored = 0, None
     while done < max_iter:
         rounds = min(steps_per_round, max_iter - done)
         for _ in range(rounds):
@@ -218,7 +220,10 @@ def eigenvector_centrality(
                 F.sum(F.when(same, F.col("x"))).alias("old"),
             )
         done += rounds
-        current = cut(current)
+        previous, current = stored, cut(current)
+        if previous is not None:
+            discard(previous)
+        stored = current
         norms = current.agg(F.sqrt(F.sum(F.col("x") ** 2)).alias("x"), F.sqrt(F.sum(F.col("old") ** 2)).alias("old")).first()
         change = current.agg(F.sum(F.abs(F.col("x") / norms["x"] - F.col("old") / norms["old"]))).first()[0]
         current = current.select("node", "parts", (F.col("x") / norms["x"]).alias("x"))

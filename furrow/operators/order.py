@@ -17,7 +17,7 @@ from ..joins import match_measured
 from ..lineage import cut
 
 # Rows per window task once rows are numbered.
-BLOCK_ROWS = 1 << 16
+BLOCK_ROWS = 1 << 18
 
 
 def _ranges(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..joins import attach, attach_measured, match
-from ..lineage import cut
+from ..joins import attach_measured, match
+from ..lineage import cut, discard
 from .order import BLOCK_ROWS, centred_mean, nearest_known, number_rows
 
 
@@ -194,23 +194,25 @@ def fit_centroids_by(
     start = F.array(*[lo + (hi - lo) * ((j + 0.5) / k) for j in range(k)])
     current = cut(values.groupBy(*by).agg(start.alias("centroids")))
     for _ in range(max_iter):
-        labelled = attach(values, current, by, ["_v"]).withColumn("_label", _labels_of(F.col("_v"), F.col("centroids")))
+        paired = attach_measured(values, current, by, ["_v"], stored=True)
+        labelled = paired.withColumn("_label", _labels_of(F.col("_v"), F.col("centroids")))
 
         def mean(j: int) -> Column:
             mine = F.col("_label") == j
             size = F.sum(F.when(mine, F.col("_n")))
-            return F.coalesce(F.sum(F.when(mine, F.col("_v") * F.col("_n"))) / size, F.any_value("centroids")[j])
+            total = F.sum(F.when(mine, F.col("_v") * F.col("_n")))
+            return F.coalesce(total / size, F.any_value("centroids")[j])
 
         moved = labelled.groupBy(*by).agg(
             F.array(*[mean(j) for j in range(k)]).alias("centroids"), F.any_value("centroids").alias("_old")
         )
         gap = F.array_max(F.zip_with("centroids", "_old", lambda a, b: F.abs(a - b)))
-        current = cut(moved.select(*by, "centroids", gap.alias("_gap")))
+        last, current = current, cut(moved.select(*by, "centroids", gap.alias("_gap")))
+        discard(last)
         change = current.agg(F.max("_gap")).first()[0]
-        current = current.drop("_gap")
         if change is None or change <= tol:
             break
-    return current.withColumn("centroids", F.array_sort("centroids"))
+    return current.select(*by, F.array_sort("centroids").alias("centroids"))
 
 
 def cluster_frames(
@@ -219,11 +221,12 @@ def cluster_frames(
     """Fit both levels in every group and label every frame 0..3."""
     level1 = fit_centroids_by(frames, by, metric, 3, max_iter)
     coarse = cut(
-        attach(frames, level1, by, [key])
+        attach_measured(frames, level1, by, [key], stored=True)
         .withColumn("_coarse", _labels_of(F.col(metric), F.col("centroids")))
         .drop("centroids")
     )
     level2 = fit_centroids_by(coarse.filter(F.col("_coarse") == 0), by, metric, 2, max_iter)
     fine = _labels_of(F.col(metric), F.col("centroids"))
     label = F.when(F.col("_coarse") == 0, fine).otherwise(F.col("_coarse") + 1).cast("int")
-    return attach(coarse, level2, by, [key]).withColumn(cluster, label).drop("centroids", "_coarse")
+    labelled = attach_measured(coarse, level2, by, [key], stored=True).withColumn(cluster, label)
+    return labelled.drop("centroids", "_coarse")

@@ -74,5 +74,8 @@ def test_cut_keeps_rows_and_schema(spark):
     held = lineage.cut(df)
     assert held.schema.simpleString() == df.schema.simpleString() and held.count() == 10
     assert lineage.cut(df.limit(0)).isEmpty()
+    path = held.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0].replace("///", "/")
+    lineage.discard(df, held)
+    assert not os.path.exists(path)
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert named is None or lineage.shared_dir(spark) == named.rstrip("/")
