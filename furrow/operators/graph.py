@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..joins import attach, attach_measured
+from ..joins import attach_measured
 from ..lineage import cut, discard
 
 CHUNK_EDGES = 4096
@@ -33,11 +33,16 @@ def _links(edges: DataFrame, symmetric: bool) -> DataFrame:
 
 
 def _chunked(links: DataFrame) -> DataFrame:
-    """Links with their chunk number and the chunk count of the far node."""
+    """Links with their chunk number and the chunk counts of both ends; one chunk unless a node is a hub."""
     links = cut(links)
-    parts = links.groupBy("src").agg(F.ceil(F.count("*") / CHUNK_EDGES).cast("int").alias("parts"))
-    near = attach_measured(links, parts, ["src"], ["dst"])
-    far = attach_measured(near, parts.select(F.col("src").alias("dst"), F.col("parts").alias("dst_parts")), ["dst"], ["src"])
+    degrees = links.groupBy("src").agg(F.count("*").alias("degree"))
+    if (degrees.agg(F.max("degree")).first()[0] or 0) <= CHUNK_EDGES:
+        one = F.lit(1)
+        return links.select("src", "dst", F.lit(0).alias("chunk"), one.alias("dst_parts"), one.alias("src_parts"))
+    parts = cut(degrees.select("src", F.ceil(F.col("degree") / CHUNK_EDGES).cast("int").alias("parts")))
+    far_parts = parts.select(F.col("src").alias("dst"), F.col("parts").alias("dst_parts"))
+    near = attach_measured(links, parts, ["src"], ["dst"], stored=True)
+    far = attach_measured(near, far_parts, ["dst"], ["src"], stored=True)
     chunk = F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int")
     return cut(far.select("src", "dst", chunk.alias("chunk"), "dst_parts", F.col("parts").alias("src_parts")))
 
@@ -92,20 +97,27 @@ def _scores(nodes: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def degree_centrality(
-    nodes: DataFrame, edges: DataFrame, self_loops: bool = False, symmetric: bool = False
+    nodes: DataFrame, edges: DataFrame, self_loops: bool = False, symmetric: bool = False, n_nodes: int | None = None
 ) -> DataFrame:
     """Degree over ``n - 1``; a self loop, if asked for, counts twice.
 
-    Here as below, ``symmetric`` tells that ``edges`` already hold both directions once.
+    Here as below, ``symmetric`` tells that ``edges`` already hold both
+    directions once, and ``n_nodes`` gives the node count where it is known.
     """
+    n_nodes = nodes.count() if n_nodes is None else n_nodes
     ends = _links(edges, symmetric).select(F.col("src").alias("node"), F.lit(1.0).alias("score"))
-    scored = attach(_scores(nodes, ends), nodes.agg(F.count("*").alias("_n")), [], ["node"])
+    if n_nodes < 2:
+        return nodes.select(F.col("id").alias("node"), F.lit(1.0).alias("score"))
     links = F.col("score") + (2 if self_loops else 0)
-    return scored.select("node", F.when(F.col("_n") > 1, F.try_divide(links, F.col("_n") - 1)).otherwise(1.0).alias("score"))
+    return _scores(nodes, ends).select("node", (links / F.lit(float(n_nodes - 1))).alias("score"))
 
 
 def closeness_centrality(
-    nodes: DataFrame, edges: DataFrame, per_batch: int = SOURCES_PER_BATCH, symmetric: bool = False
+    nodes: DataFrame,
+    edges: DataFrame,
+    per_batch: int = SOURCES_PER_BATCH,
+    symmetric: bool = False,
+    n_nodes: int | None = None,
 ) -> DataFrame:
     """Reached share times inverse mean distance, for graphs of several components too."""
     links = _chunked(_links(edges, symmetric))
@@ -117,9 +129,9 @@ def closeness_centrality(
         parts.append(cut(sums.agg(F.count("*").alias("reached"), F.sum("d").alias("far"))))
         discard(*levels)
     sums = reduce(DataFrame.unionByName, parts)
-    sums = attach(sums, nodes.agg(F.count("*").alias("_n")), [], ["node"])
+    n_nodes = nodes.count() if n_nodes is None else n_nodes
     others = F.col("reached") - 1
-    score = F.coalesce(F.try_divide(others, F.col("far")) * F.try_divide(others, F.col("_n") - 1), F.lit(0.0))
+    score = F.coalesce(F.try_divide(others, F.col("far")) * others / F.lit(float(max(1, n_nodes - 1))), F.lit(0.0))
     return _scores(nodes, sums.select("node", score.alias("score")))
 
 
@@ -129,13 +141,14 @@ def betweenness_centrality(
     per_batch: int = SOURCES_PER_BATCH,
     sources: DataFrame | None = None,
     symmetric: bool = False,
+    n_nodes: int | None = None,
 ) -> DataFrame:
     """Normalised betweenness by Brandes' accumulation, end points excluded.
 
     ``sources`` limits the starting nodes for an estimate, scaled up to all of
     them; by default every node is one and the result is exact.
     """
-    n_nodes = nodes.count()
+    n_nodes = nodes.count() if n_nodes is None else n_nodes
     links = _chunked(_links(edges, symmetric))
     starts = _start_nodes(nodes, links)
     scale = 1.0
@@ -193,6 +206,7 @@ def eigenvector_centrality(
     self_loops: bool = False,
     steps_per_round: int = 5,
     symmetric: bool = False,
+    n_nodes: int | None = None,
 ) -> DataFrame:
     """Leading eigenvector of the adjacency matrix, of length one, by power iteration.
 
@@ -200,7 +214,7 @@ def eigenvector_centrality(
     Several products run as one job; iteration stops when the mean change of a
     node in one product falls below ``tol``.
     """
-    n_nodes = nodes.count()
+    n_nodes = nodes.count() if n_nodes is None else n_nodes
     if n_nodes == 0:
         return nodes.select(F.col("id").alias("node"), F.lit(0.0).alias("score"))
     keep = nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"))

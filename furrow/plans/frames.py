@@ -41,6 +41,19 @@ def area_mask(params: FrameParams) -> np.ndarray:
     )
 
 
+Masks = tuple[np.ndarray, np.ndarray]
+
+
+def frame_masks(params: FrameParams, masks: Masks | None = None) -> Masks:
+    """Plot and flower-area masks: given ones of the frame's size, or those of the parameters."""
+    if masks is None:
+        return plot_mask(params), area_mask(params)
+    for mask in masks:
+        if mask.shape != (params.height, params.width):
+            raise ValueError(f"mask of shape {mask.shape} does not fit the frame")
+    return masks[0] > 0, masks[1] > 0
+
+
 def _window(mask: np.ndarray) -> tuple[slice, slice]:
     """Smallest rectangle around the mask."""
     ys, xs = np.nonzero(mask)
@@ -49,14 +62,14 @@ def _window(mask: np.ndarray) -> tuple[slice, slice]:
     return slice(ys.min(), ys.max() + 1), slice(xs.min(), xs.max() + 1)
 
 
-def frame_features(images: DataFrame, params: FrameParams) -> DataFrame:
+def frame_features(images: DataFrame, params: FrameParams, masks: Masks | None = None) -> DataFrame:
     """Everything later steps need of an image, from one decode.
 
     Per image: gray and Lab b histograms of the plot, and the Lab b levels of
     the flower area (46 kB of a 2.7 MB frame at the default geometry). Files
     that do not decode, or have another size, keep their row with ``ok`` false.
     """
-    plot, area = plot_mask(params), area_mask(params)
+    plot, area = frame_masks(params, masks)
     plot_box, area_box = _window(plot), _window(area)
     plot = plot[plot_box]
     size = (params.height, params.width)
@@ -101,8 +114,12 @@ def _is_bad(params: FrameParams) -> Column:
     return histogram.is_bad_frame(F.col("hist_gray"), F.lit(params.height * params.width), params.bad_share)
 
 
-def _spots(params: FrameParams) -> Column:
-    area = area_mask(params)
+def _share(params: FrameParams, plot: np.ndarray) -> Column:
+    n_plot = F.lit(int(plot.sum()))
+    return histogram.range_share(F.col("hist"), F.col("shift"), params.lower, params.upper, n_plot)
+
+
+def _spots(params: FrameParams, area: np.ndarray) -> Column:
     return peaks.spots_of_area(
         F.col("area"),
         F.col("shift"),
@@ -115,21 +132,24 @@ def _spots(params: FrameParams) -> Column:
     )
 
 
-def analyze(features: DataFrame, params: FrameParams, reference: str = "first", by: Sequence[str] = ("batch",)) -> DataFrame:
+def analyze(
+    features: DataFrame,
+    params: FrameParams,
+    reference: str = "first",
+    by: Sequence[str] = ("batch",),
+    masks: Masks | None = None,
+) -> DataFrame:
     """Shift, flower-pixel share and spot count of every usable image.
 
     ``reference`` is ``first`` (first image, then moved by its shift against
     the mean) or ``mean``.
     """
+    if reference not in ("first", "mean"):
+        raise ValueError("reference is 'first' or 'mean'")
+    plot, area = frame_masks(params, masks)
     shifted = histogram.with_shift_to_first if reference == "first" else histogram.with_shift_to_mean
-    n_plot = F.lit(int(plot_mask(params).sum()))
     return shifted(features.filter("ok"), by).select(
-        *by,
-        "image_id",
-        "number",
-        "shift",
-        histogram.range_share(F.col("hist"), F.col("shift"), params.lower, params.upper, n_plot).alias("share"),
-        _spots(params).alias("n_spots"),
+        *by, "image_id", "number", "shift", _share(params, plot).alias("share"), _spots(params, area).alias("n_spots")
     )
 
 
@@ -155,15 +175,10 @@ def run_batch(
     features = cache.load_or_compute(spark, f"{cache_dir}/features", stamp, build) if cache_dir else cut(build())
 
     def finish() -> DataFrame:
-        n_plot = F.lit(int(plot_mask(params).sum()))
+        plot, area = frame_masks(params)
         shares = cut(
             histogram.with_shift_to_mean(features.filter("ok"), by).select(
-                "batch",
-                "image_id",
-                "number",
-                "shift",
-                histogram.range_share(F.col("hist"), F.col("shift"), params.lower, params.upper, n_plot).alias("share"),
-                _is_bad(params).alias("is_bad"),
+                "batch", "image_id", "number", "shift", _share(params, plot).alias("share"), _is_bad(params).alias("is_bad")
             )
         )
         good = shares.filter(~F.col("is_bad")).drop("is_bad")
@@ -173,7 +188,7 @@ def run_batch(
         best = series.best_frames(with_bad, by, "share", params.best_share, cluster="cluster")
         counted = match(
             features.select("batch", "image_id", "area"), best.select("batch", "image_id", "shift"), [*by, "image_id"]
-        ).select("batch", "image_id", _spots(params).alias("n_spots"))
+        ).select("batch", "image_id", _spots(params, area).alias("n_spots"))
         if params.check_present:
             present = series.flowers_present(labelled, "share", params.present_threshold, True).select("present")
             counted = attach(counted, present, [], ["image_id"]).select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import cut
@@ -29,11 +29,16 @@ def pulls(nodes: DataFrame, edges: DataFrame, params: WinnowParams, max_steps: i
     pulled: list[tuple[int, str, float]] = []
     step = 0
     edges = cut(both_ways(edges))
+    n_nodes = nodes.count()
     while step * params.num_to_pull < params.num_required and step < max_steps:
-        gone = [taxon for _, taxon, _ in pulled]
-        left = nodes.filter(~F.col("id").isin(gone)) if gone else nodes
-        links = edges.filter(~F.col("src").isin(gone) & ~F.col("dst").isin(gone)) if gone else edges
-        scores = centrality(left, links, params.centrality, symmetric=True)
+        # One array literal keeps the generated code alike from step to step.
+        gone = F.lit([taxon for _, taxon, _ in pulled]).cast("array<string>")
+
+        def kept(name: str) -> Column:
+            return ~F.array_contains(gone, F.col(name))
+
+        left, links = nodes.filter(kept("id")), edges.filter(kept("src") & kept("dst"))
+        scores = centrality(left, links, params.centrality, symmetric=True, n_nodes=n_nodes - len(pulled))
         best = top_nodes(scores, params.num_to_pull).collect()
         if not best:
             break

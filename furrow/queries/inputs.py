@@ -28,6 +28,10 @@ def rounded(value: Column, places: int = 6) -> Column:
     return F.round(value, places) + F.lit(0.0)
 
 
+def clock_text(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+
+
 def settled(value: Column, places: int = 9) -> Column:
     """Rounded after a tiny step, for values that often end in an exact half."""
     return rounded(value + F.lit(1e-11), places)
@@ -52,7 +56,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames ``(batch, image_id, ts, metric, counted, kind)``: a batch per day."""
     events = utc_clock(table(spark, sf_dir, "events"))
     return events.select(
-        F.to_date("ts").alias("batch"),
+        F.to_date("ts").cast("string").alias("batch"),
         F.col("event_id").alias("image_id"),
         "ts",
         F.col("value").alias("metric"),

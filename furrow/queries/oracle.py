@@ -85,7 +85,9 @@ sql(
 
 # --- frame series ---------------------------------------------------------
 
-FR = """fr AS (SELECT CAST(ts AS DATE) AS batch, event_id AS image_id, ts, value AS metric,
+CLOCK = "strftime({0}, '%Y-%m-%d %H:%M:%S.%f')"
+
+FR = """fr AS (SELECT strftime(ts, '%Y-%m-%d') AS batch, event_id AS image_id, ts, value AS metric,
        event_type = 'error' AS counted FROM events)"""
 NUMBERED = "num AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY ts NULLS FIRST, image_id) AS rn FROM fr)"
 
@@ -118,9 +120,9 @@ sql(
     """near AS (SELECT *, last_value(ts IGNORE NULLS) OVER w AS pt,
       last_value(CASE WHEN ts IS NOT NULL THEN rn END IGNORE NULLS) OVER w AS pr
       FROM num WINDOW w AS (ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""",
-    body="SELECT image_id, pt + (rn - pr) * INTERVAL 1 MINUTE AS ts FROM near",
+    body=f"SELECT image_id, {CLOCK.format('pt + (rn - pr) * INTERVAL 1 MINUTE')} AS ts FROM near",
 )
-sql("known_timestamps", FR, body="SELECT image_id, ts FROM fr WHERE image_id IN (SELECT image_id FROM fr WHERE counted)")
+sql("known_timestamps", FR, body=f"SELECT image_id, {CLOCK.format('ts')} AS ts FROM fr WHERE image_id IN (SELECT image_id FROM fr WHERE counted)")
 sql("interpolate_metric", FR, NUMBERED, interpolated("metric"),
     body=f"SELECT batch, image_id, {r('estimate', 8)} AS estimate FROM filled")
 sql("interpolate_count", FR, NUMBERED, interpolated("floor(metric)"),
@@ -176,7 +178,7 @@ sql(
     "between_counted", FR, "span AS (SELECT batch, min(ts) AS lo, max(ts) AS hi FROM fr WHERE counted GROUP BY batch)",
     body="SELECT fr.batch, image_id, metric FROM fr JOIN span ON fr.batch = span.batch AND ts BETWEEN lo AND hi",
 )
-sql("fraction_series", FR, body="SELECT batch, ts, metric FROM fr")
+sql("fraction_series", FR, body=f"SELECT batch, {CLOCK.format('ts')} AS ts, metric FROM fr")
 sql(
     "best_frames", FR,
     "ranked AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY metric, image_id) AS k, "
@@ -194,7 +196,7 @@ sql(
 sql("parity_split", body="SELECT event_id AS image_id, (row_number() OVER (ORDER BY event_id) - 1) % 2 = 0 AS is_train FROM events")
 sql("first_frame", FR, body="SELECT batch, min(image_id) AS image_id, arg_min(metric, image_id) AS metric FROM fr GROUP BY batch")
 sql("frame_number", FR,
-    body="SELECT strftime(batch, '%Y-%m-%d') || '/' || image_id || '.jpg' AS path, image_id AS number FROM fr")
+    body="SELECT batch || '/' || image_id || '.jpg' AS path, image_id AS number FROM fr")
 sql("reset_clusters", FR, body="SELECT batch, 0 AS cluster, count(*) AS n FROM fr GROUP BY batch")
 sql("cluster_filter", FR, body=f"""SELECT image_id, cluster FROM
   (SELECT image_id, {nearest('cluster', 'metric', (10, 60, 150))} FROM fr) WHERE cluster IN (1, 2)""")

@@ -18,7 +18,7 @@ from ..plans import grouping, winnow
 from ..sources import cache
 from ..sources import tables as files
 from . import inputs
-from .inputs import LIMITS, SIDE, SMALL_PLOT, WHOLE_FRAME, rounded, settled
+from .inputs import LIMITS, SIDE, SMALL_PLOT, WHOLE_FRAME, clock_text, rounded, settled
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -119,13 +119,15 @@ def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def fill_timestamps(spark, sf_dir):
-    return series.fill_timestamps(inputs.frames_with_gaps(spark, sf_dir))
+    filled = series.fill_timestamps(inputs.frames_with_gaps(spark, sf_dir))
+    return filled.withColumn("ts", clock_text(F.col("ts")))
 
 
 @query
 def known_timestamps(spark, sf_dir):
     rows = inputs.frames(spark, sf_dir)
-    return series.known_images(rows.select("image_id", "ts"), rows.filter("counted"))
+    known = series.known_images(rows.select("image_id", "ts"), rows.filter("counted"))
+    return known.withColumn("ts", clock_text(F.col("ts")))
 
 
 @query
@@ -197,7 +199,8 @@ def between_counted(spark, sf_dir):
 
 @query
 def fraction_series(spark, sf_dir):
-    return inputs.frames(spark, sf_dir).select("batch", "ts", "metric").orderBy("batch", "ts")
+    rows = inputs.frames(spark, sf_dir).orderBy("batch", "ts")
+    return rows.select("batch", clock_text(F.col("ts")).alias("ts"), "metric")
 
 
 @query
@@ -224,7 +227,7 @@ def first_frame(spark, sf_dir):
 @query
 def frame_number(spark, sf_dir):
     """Sort key from file names."""
-    name = F.concat(F.date_format("batch", "yyyy-MM-dd"), F.lit("/"), F.col("image_id").cast("string"), F.lit(".jpg"))
+    name = F.concat("batch", F.lit("/"), F.col("image_id").cast("string"), F.lit(".jpg"))
     return inputs.frames(spark, sf_dir).select(name.alias("path"), series.file_number(name).alias("number"))
 
 

@@ -150,6 +150,20 @@ def test_absent_flowers_count_zero(spark, folder):
     assert set(frames[frames["is_best"]]["n_spots"]) == {0}
 
 
+def test_given_masks(spark, folder):
+    scan = src.scan_images(spark, f"{folder}/day2", "*.png")
+    own = plans.frame_masks(PARAMS)
+    by_mask = plans.analyze(plans.frame_features(scan, PARAMS, own), PARAMS, masks=own).orderBy("image_id").collect()
+    assert by_mask == plans.analyze(plans.frame_features(scan, PARAMS), PARAMS).orderBy("image_id").collect()
+    full = np.full((12, 16), 255)
+    features = plans.frame_features(scan, PARAMS, (full, full))
+    assert features.select(F.aggregate("hist", F.lit(0).cast("long"), lambda a, n: a + n)).first()[0] == 12 * 16
+    with pytest.raises(ValueError):
+        plans.frame_features(scan, PARAMS, (full, full[:5]))
+    with pytest.raises(ValueError):
+        plans.analyze(features, PARAMS, reference="last")
+
+
 def test_logistic_mode(spark, folder):
     params = FrameParams(
         height=12, width=16, plot=PARAMS.plot, regions=PARAMS.regions, lower=120, upper=200,

@@ -1,5 +1,6 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from furrow import lineage
@@ -79,3 +80,23 @@ def test_cut_keeps_rows_and_schema(spark):
     assert not os.path.exists(path)
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert named is None or lineage.shared_dir(spark) == named.rstrip("/")
+
+
+class _Unnamed:
+    """A session that names no checkpoint folder."""
+
+    def __init__(self, master):
+        self.conf = self.sparkContext = self
+        self._values = {"spark.master": master}
+
+    def getConf(self):
+        return self
+
+    def get(self, key, default=None):
+        return self._values.get(key, default)
+
+
+def test_folder_must_be_named_on_a_cluster():
+    with pytest.raises(RuntimeError):
+        lineage.shared_dir(_Unnamed("yarn"))
+    assert os.path.isdir(lineage.shared_dir(_Unnamed("local[2]")))
