@@ -111,16 +111,18 @@ def _numbered(facts: DataFrame) -> tuple[DataFrame, int]:
     return rows.withColumn("id", (F.col("rn") - 1).cast("int")).drop("rn"), n
 
 
-def correlations(counts: DataFrame, method: str = "spearman") -> tuple[DataFrame, DataFrame]:
+def correlations(counts: DataFrame, method: str = "spearman", stored: bool = False) -> tuple[DataFrame, DataFrame]:
     """Correlation of every pair of non-constant taxa, and those taxa.
 
-    ``counts`` has one row per ``(sample, taxon)`` with value ``n``. Returns
+    ``counts`` has one row per ``(sample, taxon)`` with value ``n``; ``stored``
+    tells that it reads a table and need not be stored first. Returns
     ``(t1, t2, r)`` with ``t1 < t2``, and ``(taxon)``.
     """
     if method not in ("spearman", "pearson"):
         raise ValueError("method is 'spearman' or 'pearson'")
     spark = counts.sparkSession
-    cells = cut(counts.select("sample", F.col("taxon").cast("string").alias("taxon"), F.col("n").cast("double").alias("n")))
+    cells = counts.select("sample", F.col("taxon").cast("string").alias("taxon"), F.col("n").cast("double").alias("n"))
+    cells = cells if stored else cut(cells)
     n_samples, n_cells = cells.agg(F.count_distinct("sample"), F.count("*")).first()
     facts = taxon_sums(cells, n_samples).filter(~F.col("constant")).drop("constant")
     if method == "spearman":

@@ -19,6 +19,9 @@ from ..lineage import cut, discard
 
 CHUNK_EDGES = 4096
 SOURCES_PER_BATCH = 4096
+# Joined rows a task should make, and the most tasks for one level.
+STEP_ROWS = 100_000
+MOST_TASKS = 4096
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -53,6 +56,15 @@ def _step(frontier: DataFrame, links: DataFrame) -> DataFrame:
     return spread.withColumnRenamed("node", "src").drop("parts").join(links.drop("src_parts"), ["src", "chunk"])
 
 
+def _spread(frontier: DataFrame, rows: int, growth: float) -> DataFrame:
+    """Spread a small table that a join will multiply, so that no task makes too many rows.
+
+    All rows of a source stay together, so their sums shrink before the shuffle.
+    """
+    tasks = math.ceil(rows * growth / STEP_ROWS)
+    return frontier.repartition(min(tasks, MOST_TASKS), "source") if tasks > 1 else frontier
+
+
 def _start_nodes(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """Nodes that have links, with their chunk count."""
     parts = links.groupBy(F.col("src").alias("id")).agg(F.max("src_parts").alias("parts"))
@@ -65,29 +77,36 @@ def _batches(starts: DataFrame, per_batch: int) -> list[DataFrame]:
     return [starts.filter(F.pmod(F.xxhash64("id"), F.lit(n)) == i) for i in range(n)]
 
 
-def _levels(starts: DataFrame, links: DataFrame) -> list[DataFrame]:
-    """Breadth-first levels from every start: ``(source, node, parts, paths)``.
+def _growth(starts: DataFrame, links: DataFrame) -> float:
+    """Mean number of links per linked node."""
+    return links.count() / max(1, starts.count())
+
+
+def _levels(starts: DataFrame, links: DataFrame, growth: float) -> list[tuple[DataFrame, int]]:
+    """Breadth-first levels from every start: ``(source, node, parts, paths)``, with their row counts.
 
     A neighbour of level d lies on level d-1, d or d+1, so only the last two
     levels tell which ones are new.
     """
-    levels = [cut(starts.select(F.col("id").alias("source"), F.col("id").alias("node"), "parts", F.lit(1.0).alias("paths")))]
+    first = starts.select(F.col("id").alias("source"), F.col("id").alias("node"), "parts", F.lit(1.0).alias("paths"))
+    levels = [(first, first.count())]
     while True:
-        reached = _step(levels[-1], links).select(
+        reached = _step(_spread(*levels[-1], growth), links).select(
             "source", F.col("dst").alias("node"), F.col("dst_parts").alias("parts"), "paths", F.lit(0).alias("seen")
         )
-        seen = reduce(DataFrame.unionByName, levels[-2:]).withColumns({"paths": F.lit(0.0), "seen": F.lit(1)})
+        known = reduce(DataFrame.unionByName, [level for level, _ in levels[-2:]])
         fresh = (
-            reached.unionByName(seen)
+            reached.unionByName(known.withColumns({"paths": F.lit(0.0), "seen": F.lit(1)}))
             .groupBy("source", "node")
             .agg(F.max("parts").alias("parts"), F.sum("paths").alias("paths"), F.max("seen").alias("seen"))
             .filter(F.col("seen") == 0)
             .drop("seen")
         )
         fresh = cut(fresh)
-        if fresh.isEmpty():
+        rows = fresh.count()
+        if rows == 0:
             return levels
-        levels.append(fresh)
+        levels.append((fresh, rows))
 
 
 def _scores(nodes: DataFrame, found: DataFrame) -> DataFrame:
@@ -121,9 +140,10 @@ def closeness_centrality(
 ) -> DataFrame:
     """Reached share times inverse mean distance, for graphs of several components too."""
     links = _chunked(_links(edges, symmetric))
-    parts = []
-    for starts in _batches(_start_nodes(nodes, links), per_batch):
-        levels = _levels(starts, links)
+    starts = _start_nodes(nodes, links)
+    growth, parts = _growth(starts, links), []
+    for batch in _batches(starts, per_batch):
+        levels = [level for level, _ in _levels(batch, links, growth)]
         steps = [level.select("source", F.lit(d).alias("d")) for d, level in enumerate(levels)]
         sums = reduce(DataFrame.unionByName, steps).groupBy(F.col("source").alias("node"))
         parts.append(cut(sums.agg(F.count("*").alias("reached"), F.sum("d").alias("far"))))
@@ -151,22 +171,21 @@ def betweenness_centrality(
     n_nodes = nodes.count() if n_nodes is None else n_nodes
     links = _chunked(_links(edges, symmetric))
     starts = _start_nodes(nodes, links)
-    scale = 1.0
+    growth, scale = _growth(starts, links), 1.0
     if sources is not None:
         starts = starts.join(sources.select("id"), "id", "left_semi")
         scale = n_nodes / max(1, sources.select("id").distinct().count())
     parts = []
     for batch in _batches(starts, per_batch):
-        levels, deltas = _levels(batch, links), []
+        levels, deltas = _levels(batch, links, growth), []
         below = None
-        for level in reversed(levels[1:]):
+        for level, rows in reversed(levels[1:]):
             own = level.withColumns({"share": F.lit(0.0), "own": F.lit(1)})
             if below is None:
                 delta = level.withColumn("delta", F.lit(0.0))
             else:
-                given = _step(
-                    below.select("source", "node", "parts", ((1 + F.col("delta")) / F.col("paths")).alias("share")), links
-                ).select(
+                shares = below.select("source", "node", "parts", ((1 + F.col("delta")) / F.col("paths")).alias("share"))
+                given = _step(_spread(shares, below_rows, growth), links).select(
                     "source",
                     F.col("dst").alias("node"),
                     F.col("dst_parts").alias("parts"),
@@ -187,11 +206,11 @@ def betweenness_centrality(
                     .select("source", "node", "parts", "paths", (F.col("paths") * F.col("share")).alias("delta"))
                 )
                 deltas.append(delta)
-            below = delta
+            below, below_rows = delta, rows
         if deltas:
             gained = reduce(DataFrame.unionByName, deltas).groupBy("node").agg(F.sum("delta").alias("score"))
             parts.append(cut(gained))
-        discard(*levels, *deltas)
+        discard(*[level for level, _ in levels], *deltas)
     if not parts or n_nodes < 3:
         return nodes.select(F.col("id").alias("node"), F.lit(0.0).alias("score"))
     norm = scale / ((n_nodes - 1) * (n_nodes - 2))

@@ -14,9 +14,9 @@ from ..params import WinnowParams
 
 
 def correlation_graph(counts: DataFrame, params: WinnowParams) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of the thresholded correlation graph over all samples."""
+    """Nodes and edges of the thresholded correlation graph over all samples of a stored table."""
     cells = counts.withColumn("sample", F.concat_ws("|", "condition", F.col("sample_id").cast("string")))
-    pairs, taxa = correlations(cells, params.correlation)
+    pairs, taxa = correlations(cells, params.correlation, stored=True)
     return taxa.select(F.col("taxon").alias("id")), cut(strong_edges(pairs, params.keep_thresh))
 
 

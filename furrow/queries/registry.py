@@ -580,7 +580,8 @@ def _threshold(rows: DataFrame, factor: float) -> float:
 
 
 def _strong(rows: DataFrame, method: str, factor: float) -> DataFrame:
-    pairs, _ = correlation.correlations(rows, method)
+    rows = cut(rows)
+    pairs, _ = correlation.correlations(rows, method, stored=True)
     return correlation.strong_edges(pairs, _threshold(rows, factor)).withColumn("weight", rounded(F.col("weight")))
 
 
@@ -609,8 +610,8 @@ def sparse_spearman_edges(spark, sf_dir):
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = inputs.with_sample(inputs.counts(spark, sf_dir))
-    pairs, taxa = correlation.correlations(rows, "pearson")
+    rows = cut(inputs.with_sample(inputs.counts(spark, sf_dir)))
+    pairs, taxa = correlation.correlations(rows, "pearson", stored=True)
     edges = correlation.strong_edges(pairs, _threshold(rows, 1.4))
     return taxa.select(F.col("taxon").alias("id")), cut(edges)
 
@@ -678,7 +679,7 @@ def divergence_curve(spark, sf_dir):
 @query
 def winnow_loop(spark, sf_dir):
     """Pull the best-connected taxon until none is left."""
-    rows = inputs.counts(spark, sf_dir)
+    rows = cut(inputs.counts(spark, sf_dir))
     thresh = _threshold(inputs.with_sample(rows), 1.4)
     params = WinnowParams(keep_thresh=thresh, correlation="pearson", centrality="degree")
     pulled = winnow.run(rows, "F", "O", params)["pulled"]

@@ -77,6 +77,7 @@ def _scores(df):
 def test_paths_equal_brute_force(spark, monkeypatch, small):
     if small:
         monkeypatch.setattr(graph, "CHUNK_EDGES", 2)
+        monkeypatch.setattr(graph, "STEP_ROWS", 5)
     nodes, edges = _random_graph()
     per_batch = 5 if small else 4096
     frames = _frames(spark, nodes, edges)
