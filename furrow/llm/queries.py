@@ -6,11 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_prefix
+from . import bpe_prefix, host_paths
 
 RANKS = "byte_bpe_50k.tiktoken"
 
 
+def op5_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return host_paths.extract(pages).select(
+        "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars")
+    )
+
+
 def op6_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     path = public_tokenizers.path(RANKS)
@@ -23,5 +30,5 @@ def op6_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in [op6_bpe_prefix]}
+QUERIES = {f.__name__: f for f in [op5_host_paths, op6_bpe_prefix]}
 ORACLE: dict[str, str] = {}
