@@ -6,11 +6,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_prefix, host_paths
+from . import bpe_prefix, host_paths, line_crf
 
 RANKS = "byte_bpe_50k.tiktoken"
 
 
+def _held_out() -> F.Column:
+    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+
+
+def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~_held_out())
+    field = line_crf.train(docs, labels)
+    return line_crf.score(docs, field).select(
+        "doc_id", F.coalesce(_held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op5_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return host_paths.extract(pages).select(
@@ -30,5 +43,5 @@ def op6_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in [op5_host_paths, op6_bpe_prefix]}
+QUERIES = {f.__name__: f for f in [op3_line_crf, op5_host_paths, op6_bpe_prefix]}
 ORACLE: dict[str, str] = {}
