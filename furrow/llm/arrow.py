@@ -25,9 +25,10 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bounded(batches: Iterable[pa.RecordBatch], column: str, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about ``size`` bytes of ``column``; a longer text is a slice of its own."""
+    """The same rows in slices of about ``size`` bytes (of lists: items) of ``column``; a longer one is a slice of its own."""
     for batch in batches:
-        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        length = pc.list_value_length if pa.types.is_list(batch.column(column).type) else pc.binary_length
+        lengths = pc.fill_null(length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         part = np.cumsum(lengths, dtype=np.int64) // size
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for start, end in zip(cuts, cuts[1:]):
@@ -46,3 +47,9 @@ def with_added(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.Record
     return pa.RecordBatch.from_arrays(
         [*(batch.column(n) for n in kept), *columns.values()], names=[*kept, *columns]
     )
+
+
+def byte_texts(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """A string column from its bytes."""
+    buffers = [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
+    return pa.LargeStringArray.from_buffers(len(offsets) - 1, buffers[1], buffers[2]).cast(pa.string())

@@ -37,11 +37,12 @@ def mixed(values: np.ndarray) -> np.ndarray:
 
 
 class Stretches:
-    """Hashes of stretches of one byte array."""
+    """Hashes of stretches of one array: of bytes, or of hashes of words."""
 
-    def __init__(self, data: np.ndarray):
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_TABLE[data] * powers(_BASE, len(data)), dtype=np.uint64, out=self.sums[1:])
+    def __init__(self, values: np.ndarray):
+        values = _TABLE[values] if values.dtype == np.uint8 else mixed(values)
+        self.sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * powers(_BASE, len(values)), dtype=np.uint64, out=self.sums[1:])
 
     def hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hashes of the stretches ``starts:ends``; their lengths count as well."""
