@@ -29,14 +29,35 @@ from pyspark.sql import types as T
 
 from .arrow import added, bounded, with_added
 
-#: Pieces remembered by a worker; the memory is cleared when it is full.
-MEMORY = 600_000
-#: Longer pieces are encoded afresh each time.
-LONGEST_KEPT = 64
+#: Entries in each generation of what a worker remembers.
+MEMORY = 200_000
+#: Bytes encoded and ids decoded at a time.
+BATCH_TEXT, BATCH_IDS = 1 << 20, 1 << 19
+#: Bytes of pieces whose prefixes are remembered across pieces.
+SHORT = 64
 #: Pieces that text after them can still change: "'l" are two until a further "l" makes "'ll".
 UNSETTLED = 2
 
 
+class Recent(dict):
+    """Results of ``make`` by argument. When it is full, results not asked for since it was last full are let go."""
+
+    def __init__(self, make: Callable, size: int = MEMORY):
+        super().__init__()
+        self.make, self.size, self.older = make, size, {}
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        return self.put(key, self.make(key) if found is None else found)
+
+    def put(self, key, value):
+        if len(self) >= self.size:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Vocabulary:
     """Ranks of byte strings, as in a rank file (base64 and rank on each line)."""
 
@@ -44,13 +65,13 @@ class Vocabulary:
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in rank_file.splitlines() if line)}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
-        self._fits: dict[tuple[int, int], bool] = {}
+        self.fits = Recent(self._fits)  # by pairs of tokens
         self._halves: dict[bytes, tuple[bytes, ...]] = {}
         self._ending = {}  # longest token that ends with two given bytes
         for token in self.ranks:
             tail = token[-2:]
             self._ending[tail] = max(self._ending.get(tail, 1), len(token))
-        self.known: dict[bytes, int] = {}  # last tokens of short prefixes, of any piece
+        self.last = Recent(self._last)  # by short prefixes
 
     def merge(self, data: bytes, down_to: int = 1) -> list[bytes]:
         """The plain rule, for short strings: join the neighbours of lowest rank until ``down_to`` parts are left."""
@@ -81,38 +102,40 @@ class Vocabulary:
         """Whether merging gives the token itself."""
         return len(self.merge(self.tokens[token])) == 1
 
-    def fits(self, left: int, right: int) -> bool:
-        """Whether ``right`` can follow ``left``: no merge across their border comes before those that make the two.
+    def _fits(self, pair: tuple[int, int]) -> bool:
+        """Whether the second token can follow the first: no merge across their border comes before those that make the two.
 
-        Equal ranks are merged from the left: parts of ``left`` go before the border, parts of ``right`` after it.
+        Equal ranks are merged from the left: parts of the first go before the border, parts of the second after it.
         """
-        known = self._fits.get((left, right))
-        if known is None:
-            if len(self._fits) > MEMORY:
-                self._fits.clear()
-            ends, starts = self.edge(self.tokens[left], -1), self.edge(self.tokens[right], 0)
-            known = not any(
-                rank < gone_left and rank <= gone_right
-                for a, gone_left in ends
-                for b, gone_right in starts
-                if (rank := self.ranks.get(a + b)) is not None
-            )
-            self._fits[left, right] = known
-        return known
-
-    def last_token(self, data: bytes, end: int, last: list[int]) -> int:
-        """The last token of ``data[:end]``, given the last tokens of its shorter prefixes."""
+        ends, starts = self.edge(self.tokens[pair[0]], -1), self.edge(self.tokens[pair[1]], 0)
+        return not any(
+            rank < gone_left and rank <= gone_right
+            for a, gone_left in ends
+            for b, gone_right in starts
+            if (rank := self.ranks.get(a + b)) is not None
+        )
+
+    def candidates(self, data: bytes, end: int) -> Iterator[tuple[int, int]]:
+        """Starts and ranks of the tokens that end at ``end``, longest first."""
         longest = self._ending.get(data[max(0, end - 2) : end], 1)
         for start in range(max(0, end - longest), end):
             token = self.ranks.get(data[start:end])
-            if token is not None and (self.whole(token) if start == 0 else self.fits(last[start - 1], token)):
+            if token is not None:
+                yield start, token
+
+    def _last(self, prefix: bytes) -> int:
+        for start, token in self.candidates(prefix, len(prefix)):
+            if self.fits[self.last[prefix[:start]], token] if start else self.whole(token):
                 return token
         raise ValueError("the vocabulary has no valid last token for a prefix")
 
-    def keep(self, prefix: bytes, token: int) -> None:
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        self.known[prefix] = token
+    def short(self, data: bytes) -> list[int]:
+        """Tokens of a short piece, from the last tokens of those prefixes that the way back needs."""
+        found = []
+        while data:
+            found.append(self.last[data])
+            data = data[: -len(self.tokens[found[-1]])]
+        return found[::-1]
 
 
 class Prefixes:
@@ -126,13 +149,12 @@ class Prefixes:
         v, last = self.vocabulary, self.last
         data = self.data = self.data + more
         for end in range(len(last) + 1, len(data) + 1):
-            short = end <= LONGEST_KEPT
-            token = v.known.get(data[:end]) if short else None
-            if token is None:
-                token = v.last_token(data, end, last)
-                if short:
-                    v.keep(data[:end], token)
-            last.append(token)
+            for start, token in v.candidates(data, end):
+                if v.fits[last[start - 1], token] if start else v.whole(token):
+                    last.append(token)
+                    break
+            else:
+                raise ValueError("the vocabulary has no valid last token for a prefix")
 
     def truncate(self, length: int) -> None:
         self.data = self.data[:length]
@@ -146,29 +168,19 @@ class Prefixes:
         return found[::-1]
 
 
-class _Pieces(dict):
-    """Tokens by piece of text; unknown pieces are encoded, short ones are remembered."""
-
-    def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
-        self.vocabulary = vocabulary
-
-    def __missing__(self, piece: str) -> list[int]:
-        data = piece.encode()
-        token = self.vocabulary.ranks.get(data)
-        found = Prefixes(self.vocabulary, data).tokens() if token is None else [token]
-        if len(piece) <= LONGEST_KEPT:
-            if len(self) > MEMORY:
-                self.clear()
-            self[piece] = found
-        return found
-
-
 class Encoder:
     """Splits texts by a pattern and encodes the pieces."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
-        self.pieces, self.tokens = regex.compile(pattern).findall, _Pieces(vocabulary)
+        self.vocabulary, self.pieces = vocabulary, regex.compile(pattern).findall
+        self.tokens = Recent(self._piece)
+
+    def _piece(self, piece: str) -> list[int]:
+        data = piece.encode()
+        token = self.vocabulary.ranks.get(data)
+        if token is not None:
+            return [token]
+        return self.vocabulary.short(data) if len(data) <= SHORT else Prefixes(self.vocabulary, data).tokens()
 
     def text(self, text: str | None) -> list[int]:
         tokens = self.tokens
@@ -245,28 +257,25 @@ def _shared(df: DataFrame, path: str) -> Callable[[], bytes]:
     return lambda: sent.value
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Add the token ids of every whole text. ``path``: the rank file, read by the driver."""
-    rank_file = _shared(df, path)
+Batches = Iterator[pa.RecordBatch]
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encoder_of(rank_file: Callable[[], bytes], pattern: str, text: str, ids: str) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
         encoder = _encoder(rank_file(), pattern)
-        for batch in bounded(batches, text):
+        for batch in bounded(batches, text, BATCH_TEXT):
             found = [encoder.text(x) for x in batch.column(text).to_pylist()]
             offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
             flat = np.fromiter(chain.from_iterable(found), np.int32, count=int(offsets[-1]))
             yield with_added(batch, {ids: pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))})
 
-    return df.mapInArrow(run, added(df, **{ids: T.ArrayType(T.IntegerType())}))
+    return run
 
 
-def decode(df: DataFrame, path: str, ids: str = "ids", data: str = "decoded") -> DataFrame:
-    """Add the bytes that the ids stand for."""
-    rank_file = _shared(df, path)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _decoder_of(rank_file: Callable[[], bytes], ids: str, data: str) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
         spelled, begin, length = _spelling(rank_file())
-        for batch in batches:
+        for batch in bounded(batches, ids, BATCH_IDS):
             column = batch.column(ids)
             flat = column.flatten().to_numpy(zero_copy_only=False)
             if len(flat) and (flat.min() < 0 or flat.max() >= len(length) or length[flat].min() < 0):
@@ -279,4 +288,24 @@ def decode(df: DataFrame, path: str, ids: str = "ids", data: str = "decoded") ->
             found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(column), buffers)
             yield with_added(batch, {data: found.cast(pa.binary())})
 
-    return df.mapInArrow(run, added(df, **{data: T.BinaryType()}))
+    return run
+
+
+_IDS = T.ArrayType(T.IntegerType())
+
+
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """Add the token ids of every whole text. ``path``: the rank file, read by the driver."""
+    return df.mapInArrow(_encoder_of(_shared(df, path), pattern, text, ids), added(df, **{ids: _IDS}))
+
+
+def decode(df: DataFrame, path: str, ids: str = "ids", data: str = "decoded") -> DataFrame:
+    """Add the bytes that the ids stand for."""
+    return df.mapInArrow(_decoder_of(_shared(df, path), ids, data), added(df, **{data: T.BinaryType()}))
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", data: str = "decoded") -> DataFrame:
+    """:func:`encode`, then :func:`decode` of the ids, in one pass."""
+    rank_file = _shared(df, path)
+    encoder, decoder = _encoder_of(rank_file, pattern, text, ids), _decoder_of(rank_file, ids, data)
+    return df.mapInArrow(lambda batches: decoder(encoder(batches)), added(df, **{ids: _IDS, data: T.BinaryType()}))
