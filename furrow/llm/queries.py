@@ -6,10 +6,61 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_prefix, host_paths, line_crf
+from . import block_topk, bpe_prefix, host_paths, line_crf, perspectives, raking, sentence_spans, spot_signatures
 
 RANKS = "byte_bpe_50k.tiktoken"
 
+def op1_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    pairs = spot_signatures.with_next(spark, docs).withColumn("edited", spot_signatures.edited(F.col("text"), F.col("next_text")))
+    done = pairs.withColumn("edited_found", spot_signatures.signatures(F.col("edited")))
+    return done.select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        spot_signatures.fingerprint(F.col("found")).alias("fingerprint"),
+        spot_signatures.fingerprint(F.col("edited_found")).alias("edited_fingerprint"),
+        F.round(spot_signatures.likeness(F.col("found"), F.col("edited_found")), 9).alias("near_edited"),
+        F.round(spot_signatures.likeness(F.col("found"), F.col("next_found")), 9).alias("near_next"),
+    )
+
+
+#: Target token shares. Sources are levelled; the rest of a dimension goes to its other values.
+MIX = {
+    "source": {f"src{i}": 0.05 for i in range(20)},
+    "lang": {"en": 0.5, "de": 0.2, "fr": 0.15, "es": 0.15},
+    "topic": {str(i): 0.05 for i in range(10)},
+}
+RATE = 0.5
+
+
+def with_topic(docs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Add the topic: the label of the document's vector, as text; null without one."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    topics = vectors.where("vec_id is not null").groupBy(F.col("vec_id").alias("_vec")).agg(F.min("label").cast("string").alias("topic"))
+    return docs.join(topics, F.col("doc_id") == F.col("_vec"), "left").drop("_vec")
+
+
+def token_count(text: str) -> F.Column:
+    """White-space words of a text."""
+    return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+
+
+def op2_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", token_count("text").alias("tokens"))
+    mixed = raking.mix(with_topic(docs, spark, sf_dir), MIX, RATE)
+    return mixed.withColumns({c: F.round(c, 6) for c in ("weight", "probability")})
+
+
+OP2_SQL = f"""
+SELECT doc_id, source, lang, tokens, topic, round(weight, 6) AS weight, round(probability, 6) AS probability, kept FROM (
+{raking.sql("""SELECT doc_id, source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS tokens, topic
+ FROM documents LEFT JOIN (SELECT vec_id, min(label)::VARCHAR AS topic FROM embeddings GROUP BY vec_id) ON doc_id = vec_id""", MIX, RATE)})"""
+
+
+def op4_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspectives.rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
 
 def _held_out() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
@@ -33,8 +84,7 @@ def op5_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    path = public_tokenizers.path(RANKS)
-    done = bpe_prefix.decode(bpe_prefix.encode(docs, path, public_tokenizers.PATTERN), path)
+    done = bpe_prefix.round_trip(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
     return done.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -43,5 +93,14 @@ def op6_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in [op3_line_crf, op5_host_paths, op6_bpe_prefix]}
-ORACLE: dict[str, str] = {}
+def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return sentence_spans.dedup(docs).select("doc_id", "n_sentences", "n_removed", "text")
+
+
+def op10_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
+QUERIES = {f.__name__: f for f in [op1_spot_signatures, op2_raking, op3_line_crf, op4_perspectives, op5_host_paths, op6_bpe_prefix, op9_sentence_spans, op10_block_topk]}
+ORACLE: dict[str, str] = {"op1_spot_signatures": spot_signatures.sql(), "op2_raking": OP2_SQL, "op4_perspectives": perspectives.sql(), "op9_sentence_spans": sentence_spans.sql(), "op10_block_topk": block_topk.sql()}
