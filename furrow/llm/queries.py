@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_topk, bpe_prefix, host_paths, line_crf, perspectives, raking, sentence_spans, shingle_join, spot_signatures
+from . import block_topk, bpe_prefix, host_paths, line_crf, perspectives, raking, sentence_spans, shingle_join, spot_signatures, suffix_dedup
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -97,6 +97,11 @@ def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.component_ids(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return sentence_spans.dedup(docs).select("doc_id", "n_sentences", "n_removed", "text")
@@ -106,5 +111,5 @@ def op10_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in [op1_spot_signatures, op2_raking, op3_line_crf, op4_perspectives, op5_host_paths, op6_bpe_prefix, op7_shingle_join, op9_sentence_spans, op10_block_topk]}
+QUERIES = {f.__name__: f for f in [op1_spot_signatures, op2_raking, op3_line_crf, op4_perspectives, op5_host_paths, op6_bpe_prefix, op7_shingle_join, op8_suffix_dedup, op9_sentence_spans, op10_block_topk]}
 ORACLE: dict[str, str] = {"op1_spot_signatures": spot_signatures.sql(), "op2_raking": OP2_SQL, "op4_perspectives": perspectives.sql(), "op7_shingle_join": shingle_join.sql(), "op9_sentence_spans": sentence_spans.sql(), "op10_block_topk": block_topk.sql()}
