@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..lineage import cut
-from .arrow import bounded, text_bytes
+from .arrow import added, bounded, byte_texts, text_bytes, with_added
 from .hashing import Stretches, mixed, powers
 
 LENGTH = 200
@@ -294,6 +294,23 @@ def spans(
     return runs.unionByName(whole).groupBy("id", "key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
+def _gone(batch: pa.RecordBatch, text: str, runs: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes and offsets of the texts of a batch, and a mark for each byte that a run covers."""
+    data, offsets = text_bytes(batch.column(text))
+    column = batch.column(runs)
+    of = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    flat = column.flatten()
+    edges = np.zeros(len(data) + 1, np.int64)
+    np.add.at(edges, offsets[of] + flat.field("start").to_numpy(zero_copy_only=False).astype(np.int64), 1)
+    np.add.at(edges, offsets[of] + flat.field("end").to_numpy(zero_copy_only=False).astype(np.int64), -1)
+    return data, offsets, np.cumsum(edges[:-1]) > 0
+
+
+def _counts(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many marks there are before each offset."""
+    return np.concatenate([[0], np.cumsum(mask)])[offsets]
+
+
 def dedup(
     docs: DataFrame, length: int = LENGTH, sample: Sample | None = None, reach: int = REACH, doc_id: str = "doc_id", text: str = "text", hot: int = HOT
 ) -> DataFrame:
@@ -305,23 +322,39 @@ def dedup(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text"):
-            data, offsets = text_bytes(batch.column("text"))
-            runs = batch.column("spans")
-            of = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(runs), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-            flat = runs.flatten()
-            edges = np.zeros(len(data) + 1, np.int64)
-            np.add.at(edges, offsets[of] + flat.field("start").to_numpy(zero_copy_only=False).astype(np.int64), 1)
-            np.add.at(edges, offsets[of] + flat.field("end").to_numpy(zero_copy_only=False).astype(np.int64), -1)
-            gone = np.cumsum(edges[:-1]) > 0
+            data, offsets, gone = _gone(batch, "text", "spans")
             heads = gone.copy()
             heads[1:] &= ~gone[:-1]
             starts = offsets[:-1][np.diff(offsets) > 0]
             heads[starts] = gone[starts]  # a run ends with its text
-            total = lambda mask: np.concatenate([[0], np.cumsum(mask)])[offsets]
-            kept = total(~gone)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(np.diff(x)) for x in (offsets, total(gone), total(heads))), _cuts(data[~gone], kept[:-1], kept[1:])],
-                names=wanted.names,
-            )
+            kept = _counts(~gone, offsets)
+            numbers = [pa.array(np.diff(x)) for x in (offsets, _counts(gone, offsets), _counts(heads, offsets))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *numbers, _cuts(data[~gone], kept[:-1], kept[1:])], names=wanted.names)
+
+    return joined.mapInArrow(run, wanted)
+
+
+def dedup_text(
+    docs: DataFrame, length: int = LENGTH, sample: Sample | None = None, reach: int = REACH, doc_id: str = "doc_id", text: str = "text", hot: int = HOT
+) -> DataFrame:
+    """The documents with what is left of their texts, and ``n_removed``, the bytes gone.
+
+    A character of which a run covers some bytes goes whole.
+    """
+    found = spans(docs, length, sample, reach, doc_id, text, hot).toDF("_id", "_key", "_spans")
+    body = F.coalesce(F.col(text), F.lit(""))
+    identity = F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(body)), F.xxhash64(body, F.lit(7)).bitwiseAND(F.lit(0x7FFFFFFF))
+    joined = docs.join(found, (identity[0] == F.col("_id")) & (identity[1] == F.col("_key")), "left").drop("_id", "_key")
+    wanted = added(docs, **{text: T.StringType(), "n_removed": T.LongType()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, text):
+            data, offsets, gone = _gone(batch, text, "_spans")
+            character = np.cumsum((data & 0xC0) != 0x80) - 1  # a character's first byte is no continuation
+            touched = np.zeros(int(character[-1]) + 1 if len(data) else 0, bool)
+            touched[character[gone]] = True
+            gone = touched[character]
+            columns = {text: byte_texts(data[~gone], _counts(~gone, offsets)), "n_removed": pa.array(np.diff(_counts(gone, offsets)))}
+            yield with_added(batch, columns).select(wanted.names)
 
     return joined.mapInArrow(run, wanted)
