@@ -60,7 +60,7 @@ def probabilities(mass: np.ndarray, weight: np.ndarray, budget: float) -> np.nda
     full = np.concatenate([[0.0], np.cumsum(m)])[:-1]  # mass of the cells of larger weight, taken whole
     rest = np.cumsum((m * w)[::-1])[::-1]
     scale = np.divide(budget - full, rest, out=np.full_like(rest, np.inf), where=rest > 0)
-    fits = np.flatnonzero((scale * w <= 1) & (rest > 0))
+    fits = np.flatnonzero((rest > 0) & (np.where(rest > 0, scale, 0.0) * w <= 1))
     if len(fits) == 0:
         return (weight > 0).astype(float)
     return np.minimum(1.0, max(scale[fits[0]], 0.0) * weight)
