@@ -93,16 +93,19 @@ def residues(modulus: int, cover: tuple[int, ...]) -> Sample:
 
 
 def _prepared(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Rows (doc_id, id, key, text): ``id`` and ``key`` (31 bits of the text's hash) tell documents apart."""
+    """The documents with ``_id`` and ``_key`` (31 bits of the text's hash), which tell them apart, and no null texts.
+
+    Both joins of texts read this frame with all its columns, so Spark shuffles the texts once and reads them twice.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
-    number = F.col(doc_id).cast("long")
+    rest = [c for c in docs.columns if c not in (text, "_id", "_key")]
     return docs.select(
-        F.col(doc_id).alias("doc_id"), F.coalesce(number, F.xxhash64(body)).alias("id"),
-        F.xxhash64(body, F.lit(7)).bitwiseAND(F.lit(0x7FFFFFFF)).alias("key"), body.alias("text"),
+        *rest, body.alias(text), F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(body)).alias("_id"),
+        F.xxhash64(body, F.lit(7)).bitwiseAND(F.lit(0x7FFFFFFF)).alias("_key"),
     )
 
 
-def _named(docs: DataFrame, sample: Sample, size: int) -> DataFrame:
+def _named(docs: DataFrame, text: str, sample: Sample, size: int) -> DataFrame:
     """Rows (name, id, at, known): sampled positions with ``size`` bytes after them in their text.
 
     ``at`` is key * 2**32 + position. Of a name's positions in one batch the first has the name, the others, known to
@@ -122,12 +125,12 @@ def _named(docs: DataFrame, sample: Sample, size: int) -> DataFrame:
             known = count[group] > 1
             later = np.ones(len(names), bool)
             later[first] = False
-            at = (batch.column("key").to_numpy()[of] << 32) | (found - offsets[of])
-            ids = batch.column("id").to_numpy()[of]
+            at = (batch.column("_key").to_numpy()[of] << 32) | (found - offsets[of])
+            ids = batch.column("_id").to_numpy()[of]
             names[later] = mixed(names[later] ^ mixed(at[later].astype(_U)) + mixed(ids[later].astype(_U)))
             yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(ids), pa.array(at), pa.array(known)], names=["name", "id", "at", "known"])
 
-    return docs.select("id", "key", "text").mapInArrow(run, "name long, id long, at long, known boolean")
+    return docs.select("_id", "_key", F.col(text).alias("text")).mapInArrow(run, "name long, id long, at long, known boolean")
 
 
 def _cuts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -139,8 +142,8 @@ def _cuts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), buffers).cast(pa.binary())
 
 
-def _around(work: DataFrame, reach: int, length: int) -> DataFrame:
-    """Rows (name, before, after, low, high, id, key, at, known): each position in ``places`` with the bytes around it.
+def _around(work: DataFrame, text: str, reach: int, length: int) -> DataFrame:
+    """Rows (name, before, after, low, high, id, key, at, known): each position in ``_places`` with the bytes around it.
 
     A string of ``length`` bytes can start ``low`` to ``high`` bytes before the position. Of positions alike in all
     bytes around one is sent by each batch; it and the others are ``known``: all these strings occur again. The others
@@ -149,9 +152,9 @@ def _around(work: DataFrame, reach: int, length: int) -> DataFrame:
     size = length - reach
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, "text"):
-            data, offsets = text_bytes(batch.column("text"))
-            hashes, places = Stretches(data), batch.column("places")
+        for batch in bounded(batches, text):
+            data, offsets = text_bytes(batch.column(text))
+            hashes, places = Stretches(data), batch.column("_places")
             of = np.repeat(np.arange(batch.num_rows), pc.list_value_length(places).to_numpy())
             at = offsets[of] + places.flatten().to_numpy()
             left, right = np.maximum(at - reach, offsets[of]), np.minimum(at + length, offsets[of + 1])
@@ -162,7 +165,7 @@ def _around(work: DataFrame, reach: int, length: int) -> DataFrame:
             _, first, group, count = np.unique(alike, return_index=True, return_inverse=True, return_counts=True)
             later = np.ones(len(at), bool)
             later[first] = False
-            ids, keys, place = batch.column("id").to_numpy()[of], batch.column("key").to_numpy()[of], at - offsets[of]
+            ids, keys, place = batch.column("_id").to_numpy()[of], batch.column("_key").to_numpy()[of], at - offsets[of]
             names = hashes.hash(at, at + size)
             names[later] = mixed(names ^ mixed(place.astype(_U)) + mixed(ids.astype(_U)))[later]
             yield pa.RecordBatch.from_arrays(
@@ -266,32 +269,27 @@ def _compared(around: DataFrame, reach: int, hot: int) -> DataFrame:
     return ordered.mapInArrow(run, "id long, key long, at long, low long, high long, sign long")
 
 
-def spans(
-    docs: DataFrame, length: int = LENGTH, sample: Sample | None = None, reach: int = REACH, doc_id: str = "doc_id", text: str = "text", hot: int = HOT
-) -> DataFrame:
-    """Rows (id, key, spans): the runs of bytes to remove, as start and end, of every document that has some."""
-    sample = sample or content(reach)
-    bodies = _prepared(docs, doc_id, text)
-    facts = cut(bodies.select(
-        "id", "key", F.octet_length("text").cast("long").alias("n"), F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(7)).alias("h2")
-    ).where(F.col("n") >= length))
-    copies = facts.groupBy("h1", "h2", "n").agg(F.count("*").alias("many"), F.min("id").alias("first")).where("many > 1")
-    copied = cut(facts.join(copies, ["h1", "h2", "n"]).select("id", "key", "n", (F.col("id") == F.col("first")).alias("first")).distinct())
-
-    long_texts = bodies.where(F.octet_length("text") >= length)
-    named = _named(long_texts, sample, length - reach)
+def _spans(bodies: DataFrame, text: str, length: int, sample: Sample, reach: int, hot: int) -> DataFrame:
+    """Rows (_id, _key, _spans): the runs of bytes to remove, as start and end, of every prepared document that has some."""
+    size = F.octet_length(text).cast("long")
+    facts = cut(bodies.select("_id", "_key", size.alias("n"), F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(7)).alias("h2")).where(F.col("n") >= length))
+    copies = facts.groupBy("h1", "h2", "n").agg(F.count("*").alias("many"), F.min("_id").alias("first")).where("many > 1")
+    copied = cut(facts.join(copies, ["h1", "h2", "n"]).select("_id", "_key", "n", (F.col("_id") == F.col("first")).alias("first")).distinct())
+
+    named = _named(bodies.where(size >= length), text, sample, length - reach)
     again = named.withColumn("many", F.count("*").over(Window.partitionBy("name"))).where("many > 1 or known")
-    places = again.groupBy("id", F.shiftright("at", 32).alias("key")).agg(F.collect_list((F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))).cast("long")).alias("places"))
-    needed = places.join(copied.where("not first").select("id", "key"), ["id", "key"], "left_anti")
-    work = long_texts.select("id", "key", "text").join(needed, ["id", "key"])
+    places = again.groupBy(F.col("id").alias("_id"), F.shiftright("at", 32).alias("_key")).agg(
+        F.collect_list((F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))).cast("long")).alias("_places")
+    )
+    needed = places.join(copied.where("not first").select("_id", "_key"), ["_id", "_key"], "left_anti")
 
-    told = cut(_compared(_around(work, reach, length), reach, hot))
+    told = _compared(_around(bodies.join(needed, ["_id", "_key"]), text, reach, length), reach, hot)
     counted = told.where("sign is not null").withColumn("many", F.count("*").over(Window.partitionBy("sign"))).where("many > 1")
     runs = told.where("sign is null").unionByName(counted.drop("many")).select(
-        "id", "key", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + length).alias("end")
+        F.col("id").alias("_id"), F.col("key").alias("_key"), (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + length).alias("end")
     )
-    whole = copied.select("id", "key", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))
-    return runs.unionByName(whole).groupBy("id", "key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    whole = copied.select("_id", "_key", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))
+    return runs.unionByName(whole).groupBy("_id", "_key").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
 
 
 def _gone(batch: pa.RecordBatch, text: str, runs: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -315,14 +313,14 @@ def dedup(
     docs: DataFrame, length: int = LENGTH, sample: Sample | None = None, reach: int = REACH, doc_id: str = "doc_id", text: str = "text", hot: int = HOT
 ) -> DataFrame:
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept): one for each document, ``kept`` holds the bytes left."""
-    found = spans(docs, length, sample, reach, doc_id, text, hot)
-    joined = _prepared(docs, doc_id, text).join(found, ["id", "key"], "left").select("doc_id", "text", "spans")
+    bodies = _prepared(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text")
+    joined = bodies.join(_spans(bodies, "text", length, sample or content(reach), reach, hot), ["_id", "_key"], "left")
     wanted = T.StructType().add("doc_id", docs.schema[doc_id].dataType)
     wanted = wanted.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text"):
-            data, offsets, gone = _gone(batch, "text", "spans")
+            data, offsets, gone = _gone(batch, "text", "_spans")
             heads = gone.copy()
             heads[1:] &= ~gone[:-1]
             starts = offsets[:-1][np.diff(offsets) > 0]
@@ -341,10 +339,8 @@ def dedup_text(
 
     A character of which a run covers some bytes goes whole.
     """
-    found = spans(docs, length, sample, reach, doc_id, text, hot).toDF("_id", "_key", "_spans")
-    body = F.coalesce(F.col(text), F.lit(""))
-    identity = F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(body)), F.xxhash64(body, F.lit(7)).bitwiseAND(F.lit(0x7FFFFFFF))
-    joined = docs.join(found, (identity[0] == F.col("_id")) & (identity[1] == F.col("_key")), "left").drop("_id", "_key")
+    bodies = _prepared(docs, doc_id, text)
+    joined = bodies.join(_spans(bodies, text, length, sample or content(reach), reach, hot), ["_id", "_key"], "left")
     wanted = added(docs, **{text: T.StringType(), "n_removed": T.LongType()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
