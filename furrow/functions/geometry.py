@@ -11,28 +11,27 @@ from pyspark.sql import functions as F
 from ..params import check_bounds, check_regions
 
 
-def turn(p1, p2, p3):
-    """Cross product of the steps p1 to p2 and p2 to p3."""
-    return (p2[0] - p1[0]) * (p3[1] - p2[1]) - (p2[1] - p1[1]) * (p3[0] - p2[0])
+def side_lines(bounds) -> np.ndarray:
+    """One row (a, b, c) per side of a plot: ``a x + b y + c`` is positive on the side's inner half of the plane.
+
+    A side runs between two corners; it is turned so that the inner half is the
+    one to the right of the left side, left of the right side, below the top
+    side and above the bottom side of an upright plot.
+    """
+    check_bounds(bounds)
+    corner = {name: np.array([int(px), int(py), 1]) for name, (px, py) in zip(("tl", "tr", "bl", "br"), bounds)}
+    # A line through two points is the cross product of their homogeneous coordinates.
+    return np.array([np.cross(corner[p], corner[q]) for p, q in (("bl", "tl"), ("tr", "br"), ("tl", "tr"), ("br", "bl"))])
 
 
 def inside_quad(x, y, bounds, height: int, width: int):
     """True strictly inside the four sides of ``bounds`` and within the frame."""
-    check_bounds(bounds)
-    top_left, top_right, bottom_left, bottom_right = [(int(px), int(py)) for px, py in bounds]
-    xs = [p[0] for p in (top_left, top_right, bottom_left, bottom_right)]
-    ys = [p[1] for p in (top_left, top_right, bottom_left, bottom_right)]
-    point = (x, y)
-    return (
-        (x >= max(min(xs), 0))
-        & (x < min(max(xs), width))
-        & (y >= max(min(ys), 0))
-        & (y < min(max(ys), height))
-        & (turn(bottom_left, top_left, point) > 0)
-        & (turn(bottom_right, top_right, point) < 0)
-        & (turn(top_left, top_right, point) > 0)
-        & (turn(bottom_left, bottom_right, point) < 0)
-    )
+    corners = np.array([(int(px), int(py)) for px, py in bounds])
+    low = np.maximum(corners.min(axis=0), 0)
+    high = np.minimum(corners.max(axis=0), [width, height])
+    box = [(x >= int(low[0])), (x < int(high[0])), (y >= int(low[1])), (y < int(high[1]))]
+    sides = [(int(a) * x + int(b) * y + int(c) > 0) for a, b, c in side_lines(bounds)]
+    return reduce(lambda one, other: one & other, box + sides)
 
 
 def homography(source, target) -> np.ndarray:
@@ -49,22 +48,19 @@ def homography(source, target) -> np.ndarray:
 def region_cells(regions, bounds) -> list[tuple[tuple[int, int], ...]]:
     """Pixel corners of every marked grid cell, laid onto the plot in perspective.
 
-    Corners pass through single precision before truncation, as the expected
-    pixel counts assume.
+    All grid corners are placed at once; they pass through single precision
+    before truncation, as the expected pixel counts assume.
     """
     check_regions(regions)
-    n_rows, n_cols = len(regions), len(regions[0])
+    marked = np.asarray(regions)
+    n_rows, n_cols = marked.shape
     matrix = homography([(0, 0), (n_cols, 0), (0, n_rows), (n_cols, n_rows)], bounds)
-
-    def place(x: int, y: int) -> tuple[int, int]:
-        u, v, w = matrix @ np.array([x, y, 1.0])
-        return int(np.float32(u / w)), int(np.float32(v / w))
-
+    ys, xs = np.mgrid[0 : n_rows + 1, 0 : n_cols + 1]
+    placed = np.stack([xs, ys, np.ones_like(xs)], axis=-1) @ matrix.T
+    corners = (placed[..., :2] / placed[..., 2:]).astype(np.float32).astype(int)
     return [
-        (place(x, y), place(x + 1, y), place(x, y + 1), place(x + 1, y + 1))
-        for y in range(n_rows)
-        for x in range(n_cols)
-        if regions[y][x] == 1
+        tuple(tuple(int(v) for v in corners[row + down, col + right]) for down in (0, 1) for right in (0, 1))
+        for row, col in np.argwhere(marked == 1)
     ]
 
 

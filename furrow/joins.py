@@ -1,4 +1,4 @@
-"""Join helpers that keep null keys and spread hot keys."""
+"""Join helpers that keep null keys and leave no hot key to one task."""
 
 from __future__ import annotations
 
@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from .lineage import cut
 
 SPREAD = 32
-BROADCAST_BYTES = 16 << 20
 
 
 def match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -46,32 +45,19 @@ def attach(
     return match(spread, copies, [*keys, "_copy"]).drop("_copy")
 
 
-def match_measured(big: DataFrame, small: DataFrame, keys: Sequence[str], row_bytes: int = 128) -> DataFrame:
-    """Inner equi join that broadcasts ``small`` when its measured size allows, and shuffles otherwise.
+def match_measured(big: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner equi join with a small side that is stored first.
 
-    For ``big`` sides without hot keys. ``small`` is stored first, so it is
-    computed once and counting it is cheap.
+    The stored table tells Spark its size in bytes: it is broadcast below ``spark.sql.autoBroadcastJoinThreshold``,
+    and beyond it both sides are shuffled and partitions of hot keys are split at run time.
     """
-    small = cut(small)
-    return match(big, F.broadcast(small) if _fits(small, row_bytes) else small, keys)
+    return match(big, cut(small), keys)
 
 
 def attach_measured(
-    big: DataFrame,
-    small: DataFrame,
-    keys: Sequence[str],
-    spread_by: Sequence[str],
-    row_bytes: int = 128,
-    stored: bool = False,
+    big: DataFrame, small: DataFrame, keys: Sequence[str], spread_by: Sequence[str], stored: bool = False, how: str = "inner"
 ) -> DataFrame:
-    """Like ``attach``, but broadcasts the small side when its measured size allows."""
+    """Like ``attach``, but leaves the way to Spark, which knows the stored small side's size in bytes."""
     if not keys:
         return attach(big, small, keys, spread_by)
-    small = small if stored else cut(small)
-    if _fits(small, row_bytes):
-        return match(big, F.broadcast(small), keys)
-    return attach(big, small, keys, spread_by)
-
-
-def _fits(stored: DataFrame, row_bytes: int) -> bool:
-    return stored.count() * row_bytes <= BROADCAST_BYTES
+    return match(big, small if stored else cut(small), keys, how)

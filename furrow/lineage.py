@@ -13,15 +13,18 @@ import atexit
 import shutil
 import tempfile
 import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _local_dir: str | None = None
+_ending: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names; a temporary one only for local masters."""
+    """The folder that ``spark.checkpoint.dir`` names. Only where it is unset and all runs in one process, a temporary one."""
     global _local_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
@@ -31,7 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
             named = None
     if named:
         return named.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     if _local_dir is None:
         _local_dir = tempfile.mkdtemp(prefix="furrow-")
@@ -43,19 +47,51 @@ def _app_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/furrow-{spark.conf.get('spark.app.id')}"
 
 
+_scopes: list[list[tuple[SparkSession, str]]] = []
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and return the table read back."""
+    """Write ``df`` to the shared folder and return the table read back.
+
+    The application's folder is deleted when its JVM ends, if not before.
+    """
     spark = df.sparkSession
     path = f"{_app_dir(spark)}/{uuid4().hex}"
     df.write.parquet(path)
     held = spark.read.schema(df.schema).parquet(path)
     _paths[held] = path
+    for scope in _scopes:
+        scope.append((spark, path))
+    _delete_on_exit(spark)
     return held
 
 
+@contextmanager
+def scope(*, keep: list[DataFrame]) -> Iterator[None]:
+    """Delete the tables cut inside the block when it ends, except those added to ``keep``.
+
+    What the block returns must be cut and kept, or not read them.
+    """
+    cut_here: list[tuple[SparkSession, str]] = []
+    _scopes.append(cut_here)
+    try:
+        yield
+    finally:
+        _scopes.remove(cut_here)
+        kept = {_paths.get(table) for table in keep}
+        for spark, path in cut_here:
+            if path not in kept:
+                _delete(spark, path)
+
+
+def cut_measured(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """Like :func:`cut`, with aggregates of the rows taken by the job that writes them."""
+    seen = Observation()
+    held = cut(df.observe(seen, *[value.alias(name) for name, value in metrics.items()]))
+    return held, seen.get
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete cut tables that nothing reads any more; other tables are left alone."""
     for table in tables:
@@ -69,6 +105,19 @@ def forget(spark: SparkSession) -> None:
     _delete(spark, _app_dir(spark))
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
+def _file(spark: SparkSession, folder: str) -> tuple:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    files, path = _file(spark, folder)
+    files.delete(path, True)
+
+
+def _delete_on_exit(spark: SparkSession) -> None:
+    folder = _app_dir(spark)
+    if folder not in _ending:
+        files, path = _file(spark, folder)
+        files.deleteOnExit(path)
+        _ending.add(folder)

@@ -69,16 +69,35 @@ def fit_centres(
     return [list(map(float, c)) for c in model.clusterCenters()]
 
 
-def mean_centres(descriptors: DataFrame, label: str, vec: str = "vec", max_centres: int = 4096) -> list[list[float]]:
-    """Given centres: the mean vector of each label, in label order."""
-    means = descriptors.groupBy(label).agg(
+def _means(descriptors: DataFrame, label: str, vec: str = "vec") -> DataFrame:
+    """Mean vector of each label."""
+    return descriptors.groupBy(label).agg(
         vector_to_array(Summarizer.mean(array_to_vector(F.col(vec).cast("array<double>")))).alias("centre")
     )
-    # Centres are model parameters: a small set, refused when the labels are no such set.
-    rows = means.orderBy(label).limit(max_centres + 1).collect()
-    if len(rows) > max_centres:
-        raise ValueError(f"more than {max_centres} labels")
-    return [list(row["centre"]) for row in rows]
+
+
+def mean_centres(descriptors: DataFrame, label: str, vec: str = "vec") -> list[list[float]]:
+    """Given centres: the mean vector of each label, in label order. Centres are parameters of a model, held by the driver."""
+    return [list(row["centre"]) for row in _means(descriptors, label, vec).orderBy(label).collect()]
+
+
+def first_centres(descriptors: DataFrame, k: int, order: str = "pos", vec: str = "vec") -> list[list[float]]:
+    """The first ``k`` vectors by a key, to start a fit from."""
+    return [[float(x) for x in row[vec]] for row in descriptors.orderBy(order).limit(k).select(vec).collect()]
+
+
+def settle_centres(
+    descriptors: DataFrame, start: Sequence[Sequence[float]], max_iter: int = 5, tol: float = 1e-12, vec: str = "vec"
+) -> list[list[float]]:
+    """K-means centres from given ones: rounds of nearest centres and their means; an emptied centre stays."""
+    centres = [list(map(float, c)) for c in start]
+    for _ in range(max_iter):
+        words = assign_words(descriptors.select(vec), centres, vec)
+        moved = {row["word"]: list(row["centre"]) for row in _means(words, "word", vec).collect()}
+        last, centres = centres, [moved.get(j, c) for j, c in enumerate(centres)]
+        if max(abs(a - b) for old, new in zip(last, centres) for a, b in zip(old, new)) <= tol:
+            break
+    return centres
 
 
 def nearest_centre(vec: Column, centres: Sequence[Sequence[float]]) -> Column:
@@ -145,9 +164,18 @@ def group_of(pooled: DataFrame, image: str = "image_id", empty: str = "wins") ->
 
 
 def kmeans_labels(
-    vectors: DataFrame, k: int = 3, seed: int = 7, max_iter: int = 20, image: str = "image_id", vec: str = "vec"
+    vectors: DataFrame,
+    k: int = 3,
+    seed: int = 7,
+    max_iter: int = 20,
+    image: str = "image_id",
+    vec: str = "vec",
+    start: Sequence[Sequence[float]] | None = None,
 ) -> DataFrame:
-    """Parallel k-means++ on one vector per image; labels count from 1."""
+    """K-means on one vector per image, from given centres or by parallel k-means++; labels count from 1."""
+    if start is not None:
+        words = assign_words(vectors.select(image, vec), settle_centres(vectors, start, max_iter, vec=vec), vec)
+        return words.select(image, (F.col("word") + 1).alias("group"))
     points = vectors.select(image, array_to_vector(F.col(vec).cast("array<double>")).alias("features"))
     points.persist()
     try:

@@ -13,11 +13,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..joins import attach, attach_measured
-from ..lineage import cut
+from ..lineage import cut, cut_measured
 from .order import number_rows, running_totals
 
 BLOCK_TAXA = 512
@@ -25,10 +25,8 @@ SLICE_SAMPLES = 131_072
 TILE_CELLS = 2_000_000
 # Samples held densely at a time: 32 MB per block of 512 taxa.
 DENSE_SAMPLES = 8_192
-# Taxa that one task may number; more are numbered across the cluster.
-ONE_TASK_TAXA = 200_000
+# Rows of one value that a task may join.
 HOT_ROWS = 500_000
-MOST_WAYS = 1024
 
 
 def _tile_products(n_taxa: int, width: int):
@@ -95,20 +93,15 @@ def centred_ranks(cells: DataFrame, n_samples: int) -> DataFrame:
 def _ranked_cells(cells: DataFrame, ranks: DataFrame) -> DataFrame:
     """Cells with their value's rank; a frequent value is spread as far as it asks for."""
     most = ranks.agg(F.max("ties")).first()[0] or 1
-    ways = max(1, min(MOST_WAYS, math.ceil(most / HOT_ROWS)))
+    ways = max(1, math.ceil(most / HOT_ROWS))
     found = attach(cells.filter(F.col("n") != 0), ranks.drop("ties"), ["taxon", "n"], ["sample"], ways)
     return found.select("sample", "taxon", F.col("rank").alias("n"))
 
 
 def _numbered(facts: DataFrame) -> tuple[DataFrame, int]:
     """Facts per taxon with ``id`` from 0 in name order, and their number."""
-    facts = cut(facts)
-    n = facts.count()
-    if n > ONE_TASK_TAXA:
-        rows = cut(number_rows(facts, (), [F.col("taxon").asc()]))
-    else:
-        rows = facts.withColumn("rn", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("taxon")))
-    return rows.withColumn("id", (F.col("rn") - 1).cast("int")).drop("rn"), n
+    rows, seen = cut_measured(number_rows(facts, (), [F.col("taxon").asc()]), n=F.count("*"))
+    return rows.withColumn("id", (F.col("rn") - 1).cast("int")).drop("rn"), seen["n"]
 
 
 def correlations(counts: DataFrame, method: str = "spearman", stored: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -14,14 +14,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..joins import attach_measured
-from ..lineage import cut, discard
+from ..joins import match
+from ..lineage import cut, cut_measured, discard
 
 CHUNK_EDGES = 4096
 SOURCES_PER_BATCH = 4096
-# Joined rows a task should make, and the most tasks for one level.
+# Joined rows a task should make.
 STEP_ROWS = 100_000
-MOST_TASKS = 4096
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -35,19 +34,18 @@ def _links(edges: DataFrame, symmetric: bool) -> DataFrame:
     return edges.select("src", "dst") if symmetric else both_ways(edges)
 
 
-def _chunked(links: DataFrame) -> DataFrame:
-    """Links with their chunk number and the chunk counts of both ends; one chunk unless a node is a hub."""
+def _chunked(links: DataFrame) -> tuple[DataFrame, int]:
+    """Links with their chunk number and the chunk counts of both ends, and how many they are; stored."""
     links = cut(links)
-    degrees = links.groupBy("src").agg(F.count("*").alias("degree"))
-    if (degrees.agg(F.max("degree")).first()[0] or 0) <= CHUNK_EDGES:
-        one = F.lit(1)
-        return links.select("src", "dst", F.lit(0).alias("chunk"), one.alias("dst_parts"), one.alias("src_parts"))
-    parts = cut(degrees.select("src", F.ceil(F.col("degree") / CHUNK_EDGES).cast("int").alias("parts")))
-    far_parts = parts.select(F.col("src").alias("dst"), F.col("parts").alias("dst_parts"))
-    near = attach_measured(links, parts, ["src"], ["dst"], stored=True)
-    far = attach_measured(near, far_parts, ["dst"], ["src"], stored=True)
+    parts = links.groupBy("src").agg(F.ceil(F.count("*") / CHUNK_EDGES).cast("int").alias("parts"))
+    near = match(links, parts, ["src"])
+    far = match(near, parts.select(F.col("src").alias("dst"), F.col("parts").alias("dst_parts")), ["dst"])
     chunk = F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int")
-    return cut(far.select("src", "dst", chunk.alias("chunk"), "dst_parts", F.col("parts").alias("src_parts")))
+    chunked, seen = cut_measured(
+        far.select("src", "dst", chunk.alias("chunk"), "dst_parts", F.col("parts").alias("src_parts")), n=F.count("*")
+    )
+    discard(links)
+    return chunked, seen["n"]
 
 
 def _step(frontier: DataFrame, links: DataFrame) -> DataFrame:
@@ -62,7 +60,7 @@ def _spread(frontier: DataFrame, rows: int, growth: float) -> DataFrame:
     All rows of a source stay together, so their sums shrink before the shuffle.
     """
     tasks = math.ceil(rows * growth / STEP_ROWS)
-    return frontier.repartition(min(tasks, MOST_TASKS), "source") if tasks > 1 else frontier
+    return frontier.repartition(tasks, "source") if tasks > 1 else frontier
 
 
 def _start_nodes(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -71,25 +69,19 @@ def _start_nodes(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return parts.join(nodes, "id", "left_semi")
 
 
-def _batches(starts: DataFrame, per_batch: int) -> list[DataFrame]:
-    starts = cut(starts)
-    n = max(1, math.ceil(starts.count() / per_batch))
+def _batches(starts: DataFrame, rows: int, per_batch: int) -> list[DataFrame]:
+    n = max(1, math.ceil(rows / per_batch))
     return [starts.filter(F.pmod(F.xxhash64("id"), F.lit(n)) == i) for i in range(n)]
 
 
-def _growth(starts: DataFrame, links: DataFrame) -> float:
-    """Mean number of links per linked node."""
-    return links.count() / max(1, starts.count())
-
-
-def _levels(starts: DataFrame, links: DataFrame, growth: float) -> list[tuple[DataFrame, int]]:
+def _levels(starts: DataFrame, links: DataFrame, growth: float, rows: int) -> list[tuple[DataFrame, int]]:
     """Breadth-first levels from every start: ``(source, node, parts, paths)``, with their row counts.
 
     A neighbour of level d lies on level d-1, d or d+1, so only the last two
     levels tell which ones are new.
     """
     first = starts.select(F.col("id").alias("source"), F.col("id").alias("node"), "parts", F.lit(1.0).alias("paths"))
-    levels = [(first, first.count())]
+    levels = [(first, rows)]
     while True:
         reached = _step(_spread(*levels[-1], growth), links).select(
             "source", F.col("dst").alias("node"), F.col("dst_parts").alias("parts"), "paths", F.lit(0).alias("seen")
@@ -102,11 +94,11 @@ def _levels(starts: DataFrame, links: DataFrame, growth: float) -> list[tuple[Da
             .filter(F.col("seen") == 0)
             .drop("seen")
         )
-        fresh = cut(fresh)
-        rows = fresh.count()
-        if rows == 0:
+        fresh, seen = cut_measured(fresh, n=F.count("*"))
+        if not seen["n"]:
+            discard(fresh)
             return levels
-        levels.append((fresh, rows))
+        levels.append((fresh, seen["n"]))
 
 
 def _scores(nodes: DataFrame, found: DataFrame) -> DataFrame:
@@ -139,15 +131,16 @@ def closeness_centrality(
     n_nodes: int | None = None,
 ) -> DataFrame:
     """Reached share times inverse mean distance, for graphs of several components too."""
-    links = _chunked(_links(edges, symmetric))
-    starts = _start_nodes(nodes, links)
-    growth, parts = _growth(starts, links), []
-    for batch in _batches(starts, per_batch):
-        levels = [level for level, _ in _levels(batch, links, growth)]
+    links, n_links = _chunked(_links(edges, symmetric))
+    starts, seen = cut_measured(_start_nodes(nodes, links), n=F.count("*"))
+    growth, parts = n_links / max(1, seen["n"]), []
+    for batch in _batches(starts, seen["n"], per_batch):
+        levels = [level for level, _ in _levels(batch, links, growth, min(seen["n"], per_batch))]
         steps = [level.select("source", F.lit(d).alias("d")) for d, level in enumerate(levels)]
         sums = reduce(DataFrame.unionByName, steps).groupBy(F.col("source").alias("node"))
         parts.append(cut(sums.agg(F.count("*").alias("reached"), F.sum("d").alias("far"))))
         discard(*levels)
+    discard(links, starts)
     sums = reduce(DataFrame.unionByName, parts)
     n_nodes = nodes.count() if n_nodes is None else n_nodes
     others = F.col("reached") - 1
@@ -169,15 +162,16 @@ def betweenness_centrality(
     them; by default every node is one and the result is exact.
     """
     n_nodes = nodes.count() if n_nodes is None else n_nodes
-    links = _chunked(_links(edges, symmetric))
-    starts = _start_nodes(nodes, links)
-    growth, scale = _growth(starts, links), 1.0
+    links, n_links = _chunked(_links(edges, symmetric))
+    linked, scale = _start_nodes(nodes, links), 1.0
+    growth = n_links / max(1, n_nodes)
     if sources is not None:
-        starts = starts.join(sources.select("id"), "id", "left_semi")
+        linked = linked.join(sources.select("id"), "id", "left_semi")
         scale = n_nodes / max(1, sources.select("id").distinct().count())
+    starts, seen = cut_measured(linked, n=F.count("*"))
     parts = []
-    for batch in _batches(starts, per_batch):
-        levels, deltas = _levels(batch, links, growth), []
+    for batch in _batches(starts, seen["n"], per_batch):
+        levels, deltas = _levels(batch, links, growth, min(seen["n"], per_batch)), []
         below = None
         for level, rows in reversed(levels[1:]):
             own = level.withColumns({"share": F.lit(0.0), "own": F.lit(1)})
@@ -211,6 +205,7 @@ def betweenness_centrality(
             gained = reduce(DataFrame.unionByName, deltas).groupBy("node").agg(F.sum("delta").alias("score"))
             parts.append(cut(gained))
         discard(*[level for level, _ in levels], *deltas)
+    discard(links, starts)
     if not parts or n_nodes < 3:
         return nodes.select(F.col("id").alias("node"), F.lit(0.0).alias("score"))
     norm = scale / ((n_nodes - 1) * (n_nodes - 2))
@@ -237,7 +232,7 @@ def eigenvector_centrality(
     if n_nodes == 0:
         return nodes.select(F.col("id").alias("node"), F.lit(0.0).alias("score"))
     keep = nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"))
-    links = _chunked(_links(edges, symmetric).unionByName(keep))
+    links, _ = _chunked(_links(edges, symmetric).unionByName(keep))
     own_weight = 2.0 if self_loops else 1.0
     current = links.groupBy(F.col("src").alias("node")).agg(F.max("src_parts").alias("parts"))
     current = current.withColumn("x", F.lit(1.0 / math.sqrt(n_nodes)))
@@ -253,14 +248,15 @@ def eigenvector_centrality(
                 F.sum(F.when(same, F.col("x"))).alias("old"),
             )
         done += rounds
-        previous, current = stored, cut(current)
+        previous = stored
+        stored, norms = cut_measured(current, x=F.sqrt(F.sum(F.col("x") ** 2)), old=F.sqrt(F.sum(F.col("old") ** 2)))
+        current = stored
         if previous is not None:
             discard(previous)
-        stored = current
-        norms = current.agg(F.sqrt(F.sum(F.col("x") ** 2)).alias("x"), F.sqrt(F.sum(F.col("old") ** 2)).alias("old")).first()
         change = current.agg(F.sum(F.abs(F.col("x") / norms["x"] - F.col("old") / norms["old"]))).first()[0]
         current = current.select("node", "parts", (F.col("x") / norms["x"]).alias("x"))
         if change < n_nodes * tol:
+            discard(links)
             return current.select("node", F.col("x").alias("score"))
     raise RuntimeError(f"power iteration did not settle within {max_iter} products")
 

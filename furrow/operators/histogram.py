@@ -13,9 +13,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..joins import attach, attach_measured
+from ..joins import attach, attach_measured, match
+from .naming import image_order
 
 BINS = 256
+# An image has fewer than 2**24 pixels a bin, and 256 bins are summed: 21 + 24 + 8 = 53 bits.
+LIMB = 21
 
 
 def count_bins(rows: DataFrame, keys: Sequence[str], bin_col: str = "bin") -> DataFrame:
@@ -23,19 +26,41 @@ def count_bins(rows: DataFrame, keys: Sequence[str], bin_col: str = "bin") -> Da
     return rows.groupBy(*keys, F.col(bin_col).alias("bin")).agg(F.count("*").alias("n"))
 
 
+def clamped(level: Column) -> Column:
+    """A level as a bin: those outside 0..255 count in the nearest one."""
+    return F.greatest(F.lit(0), F.least(F.lit(BINS - 1), level)).cast("int")
+
+
+def _scattered(bins: pd.Series, counts: pd.Series) -> pd.Series:
+    """Packed histograms from lists of bins and their counts."""
+    sizes = np.fromiter(map(len, bins), np.int64, len(bins))
+    packed = np.zeros((len(bins), BINS), np.int64)
+    if sizes.sum():
+        row = np.repeat(np.arange(len(bins)), sizes)
+        np.add.at(packed, (row, np.concatenate(bins.to_numpy())), np.concatenate(counts.to_numpy()))
+    return pd.Series(list(packed))
+
+
 def pack(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Long to packed form; a list holds at most 256 entries."""
-    entries = F.map_from_entries(F.collect_list(F.struct("bin", F.col("n").cast("long"))))
-    bins = F.sequence(F.lit(0), F.lit(BINS - 1))
-    return (
-        hist.withColumn("bin", F.col("bin").cast("int"))
-        .groupBy(*keys)
-        .agg(entries.alias("_counts"))
-        .select(
-            *keys,
-            F.transform(bins, lambda b: F.coalesce(F.try_element_at("_counts", b), F.lit(0).cast("long"))).alias("hist"),
-        )
-    )
+    """Long to packed form; bins outside 0..255 count in the nearest one, so a list holds at most 256 entries."""
+    scatter = F.pandas_udf(_scattered, "array<bigint>")
+    per_bin = hist.groupBy(*keys, clamped(F.col("bin")).alias("bin")).agg(F.sum("n").cast("long").alias("n"))
+    lists = per_bin.groupBy(*keys).agg(F.collect_list(F.struct("bin", "n")).alias("_counts"))
+    return lists.select(*keys, scatter("_counts.bin", "_counts.n").alias("hist"))
+
+
+def mean_of_bins(hist: DataFrame, image: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Mean count per bin over all images of a group, from the long form: ``(by..., bin, mean_n)`` with all 256 bins."""
+    totals = hist.groupBy(*by, clamped(F.col("bin")).alias("bin")).agg(F.sum("n").alias("n"))
+    images = hist.select(*by, *image).distinct().groupBy(*by).agg(F.count("*").alias("_images"))
+    bins = images.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))))
+    mean = F.coalesce(F.col("n"), F.lit(0)) / F.col("_images")
+    return match(bins, totals, [*by, "bin"], "left").select(*by, "bin", mean.alias("mean_n"))
+
+
+def image_sizes(hist: DataFrame, image: Sequence[str]) -> DataFrame:
+    """Largest bin and number of pixels per image, from the long form: ``(image..., largest, n_pixels)``."""
+    return hist.groupBy(*image).agg(F.max("n").alias("largest"), F.sum("n").alias("n_pixels"))
 
 
 def unpack(packed: DataFrame, column: str = "hist", name: str = "n") -> DataFrame:
@@ -53,15 +78,15 @@ def mean_references(packed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean histogram times the image count, one ``(by..., ref, base)`` row per group.
 
     The position of the correlation peak ignores a positive factor, and whole
-    numbers keep ties exact.
+    numbers, multiplied exactly, keep ties.
     """
     sums = unpack(packed.select(*by, "hist")).groupBy(*by, "bin").agg(F.sum("n").alias("n"))
     return pack(sums, by).select(*by, F.col("hist").alias("ref"), F.lit(0).alias("base"))
 
 
 def first_references(packed: DataFrame, by: Sequence[str] = (), image: str = "image_id") -> DataFrame:
-    """Histogram of the image with the smallest key, based on its own shift against the mean."""
-    first = packed.groupBy(*by).agg(F.min_by("hist", image).alias("ref"))
+    """Histogram of the first image by number, based on its own shift against the mean."""
+    first = packed.groupBy(*by).agg(F.min_by("hist", image_order(image)).alias("ref"))
     means = mean_references(packed, by).select(*by, F.col("ref").alias("mean"))
     peak_lag = F.pandas_udf(_peak_lag, "int")
     both = attach(first, means, by, ["ref"])
@@ -77,16 +102,30 @@ def _peak_lag(hist: pd.Series, ref: pd.Series) -> pd.Series:
     out = np.empty(len(images), dtype=np.int32)
     refs = pd.Series([r.tobytes() for r in ref])
     for rows in refs.groupby(refs).indices.values():
-        reference = np.asarray(ref.iloc[rows[0]], dtype=np.float64)
-        shifted = np.where(valid, reference[np.where(valid, source, 0)], 0.0)
-        out[rows] = lags[(images[rows] @ shifted).argmax(axis=1)]
+        reference = np.asarray(ref.iloc[rows[0]], dtype=np.int64)
+        shifted = np.where(valid, reference[np.where(valid, source, 0)], 0)
+        # Limbs of the reference keep every floating-point product and sum a whole number below 2**53.
+        limbs = [((shifted >> (LIMB * i)) & ((1 << LIMB) - 1)).astype(np.float64) for i in range(-(-63 // LIMB))]
+        out[rows] = lags[_largest([(images[rows] @ limb).astype(np.int64) for limb in limbs])]
     return pd.Series(out)
 
 
+def _largest(limbs: list[np.ndarray]) -> np.ndarray:
+    """Column of the largest number in each row, the first on ties; numbers are given in limbs, the lowest first."""
+    for i in range(len(limbs) - 1):  # carry, so that limbs compare one by one
+        limbs[i + 1] = limbs[i + 1] + (limbs[i] >> LIMB)
+        limbs[i] = limbs[i] & ((1 << LIMB) - 1)
+    able = np.ones(limbs[0].shape, bool)
+    for limb in reversed(limbs):
+        most = np.where(able, limb, -1).max(axis=1, keepdims=True)
+        able &= limb == most
+    return able.argmax(axis=1)
+
+
 def with_shift(packed: DataFrame, refs: DataFrame, by: Sequence[str] = (), image: str = "image_id") -> DataFrame:
     """Add each image's signed ``shift``: its lag against the group's reference plus the reference's base."""
     peak_lag = F.pandas_udf(_peak_lag, "int")
-    paired = attach_measured(packed, refs, by, [image], row_bytes=BINS * 8)
+    paired = attach_measured(packed, refs, by, [image])
     return paired.withColumn("shift", peak_lag("hist", "ref") + F.col("base")).drop("ref", "base")
 
 
@@ -128,6 +167,10 @@ def largest_bin(hist: Column) -> Column:
     return F.array_max(hist)
 
 
+def too_full(largest: Column, frame_pixels: Column, share: float = 0.2) -> Column:
+    return largest >= frame_pixels * share
+
+
 def is_bad_frame(hist: Column, frame_pixels: Column, share: float = 0.2) -> Column:
     """One gray level fills at least ``share`` of the frame."""
-    return largest_bin(hist) >= frame_pixels * share
+    return too_full(largest_bin(hist), frame_pixels, share)

@@ -10,15 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..joins import attach_measured, match
-from ..lineage import cut, discard
+from ..lineage import cut, cut_measured, discard
+from .naming import file_number, image_keys, image_order  # noqa: F401
 from .order import BLOCK_ROWS, centred_mean, nearest_known, number_rows
 
 
-def file_number(path: Column) -> Column:
-    """Number in an image's file stem; null when the stem is no number."""
-    return F.regexp_extract(path, r"(\d+)\.[^./]+$", 1).try_cast("bigint")
-
-
 def known_images(timestamps: DataFrame, images: DataFrame, image: str = "image_id") -> DataFrame:
     """Timestamps of the images at hand only."""
     return timestamps.join(images.select(image), image, "left_semi")
@@ -31,15 +27,15 @@ def fill_timestamps(
 
     Frames before the first known time stay null.
     """
-    numbered = number_rows(frames, by, [F.col(key).asc()])
+    numbered = number_rows(frames, by, image_keys(key))
     near = nearest_known(numbered, by, F.col(ts), block_rows=block_rows)
     guess = F.timestamp_add("MINUTE", F.col("rn") - F.col("_prev.rn"), F.col("_prev.value"))
     return near.withColumn(ts, F.coalesce(F.col(ts), guess)).drop("rn", "_prev", "_next")
 
 
 def number_frames(frames: DataFrame, by: Sequence[str], ts: str = "ts", key: str = "image_id") -> DataFrame:
-    """Number frames by time, unknown times first, then by key."""
-    return number_rows(frames, by, [F.col(ts).asc_nulls_first(), F.col(key).asc()])
+    """Number frames by time, unknown times first, then by image number."""
+    return number_rows(frames, by, [F.col(ts).asc_nulls_first(), *image_keys(key)])
 
 
 def interpolate(
@@ -78,7 +74,7 @@ def best_frames(
     """The ``floor(N * share)`` frames with the lowest metric per group, then cluster 0 only."""
     if not 0 < share <= 1:
         raise ValueError("share must lie in (0, 1]")
-    ranked = number_rows(frames, by, [F.col(metric).asc(), F.col(key).asc()], "_rank")
+    ranked = number_rows(frames, by, [F.col(metric).asc(), *image_keys(key)], "_rank")
     sized = attach_measured(ranked, group_sizes(frames, by, "_n"), by, [key])
     best = sized.filter(F.col("_rank") <= F.floor(F.col("_n") * F.lit(float(share))))
     if cluster is not None:
@@ -104,7 +100,7 @@ def systematic_sample(numbered: DataFrame, by: Sequence[str], n: int, rn: str =
 
 def parity_split(frames: DataFrame, key: str = "image_id") -> DataFrame:
     """Mark every other frame in key order as training (even positions from zero)."""
-    numbered = number_rows(frames, (), [F.col(key).asc()], "_rn")
+    numbered = number_rows(frames, (), image_keys(key), "_rn")
     return numbered.withColumn("is_train", (F.col("_rn") - 1) % 2 == 0).drop("_rn")
 
 
@@ -119,8 +115,8 @@ def reset_clusters(frames: DataFrame, cluster: str = "cluster") -> DataFrame:
 
 
 def first_frame(frames: DataFrame, by: Sequence[str], fields: Sequence[str], key: str = "image_id") -> DataFrame:
-    """Fields of the frame with the smallest key in each group, for example its size."""
-    picked = frames.groupBy(*by).agg(F.min_by(F.struct(*fields), key).alias("_first"))
+    """Fields of the first frame by image number in each group, for example its size."""
+    picked = frames.groupBy(*by).agg(F.min_by(F.struct(*fields), image_order(key)).alias("_first"))
     return picked.select(*by, *[F.col(f"_first.{f}").alias(f) for f in fields])
 
 
@@ -178,13 +174,14 @@ def _labels_of(value: Column, centroids: Column) -> Column:
 
 
 def fit_centroids_by(
-    frames: DataFrame, by: Sequence[str], metric: str, k: int, max_iter: int = 20, tol: float = 1e-9
+    frames: DataFrame, by: Sequence[str], metric: str, k: int, max_iter: int = 1000, tol: float = 1e-9, rounds_per_job: int = 4
 ) -> DataFrame:
     """Sorted 1-D k-means centroids of every group as ``(by..., centroids)``.
 
-    Starts evenly between the group's smallest and largest value. Each round
-    is one aggregation over the distinct values; an emptied cluster keeps its
-    centroid.
+    Starts evenly between the group's smallest and largest value and goes on
+    until no centroid moves by more than ``tol``. Each round is one aggregation
+    over the distinct values, several rounds make one job, which also tells how
+    far the last of them moved; an emptied cluster keeps its centroid.
     """
     if k < 2:
         raise ValueError("need at least two clusters")
@@ -192,41 +189,45 @@ def fit_centroids_by(
     values = cut(known.groupBy(*by, F.col(metric).cast("double").alias("_v")).agg(F.count("*").alias("_n")))
     lo, hi = F.min("_v"), F.max("_v")
     start = F.array(*[lo + (hi - lo) * ((j + 0.5) / k) for j in range(k)])
-    current = cut(values.groupBy(*by).agg(start.alias("centroids")))
-    for _ in range(max_iter):
-        paired = attach_measured(values, current, by, ["_v"], stored=True)
-        labelled = paired.withColumn("_label", _labels_of(F.col("_v"), F.col("centroids")))
-
-        def mean(j: int) -> Column:
-            mine = F.col("_label") == j
-            size = F.sum(F.when(mine, F.col("_n")))
-            total = F.sum(F.when(mine, F.col("_v") * F.col("_n")))
-            return F.coalesce(total / size, F.any_value("centroids")[j])
-
-        moved = labelled.groupBy(*by).agg(
-            F.array(*[mean(j) for j in range(k)]).alias("centroids"), F.any_value("centroids").alias("_old")
-        )
+    current, stored = values.groupBy(*by).agg(start.alias("centroids")), None
+
+    def mean(j: int) -> Column:
+        mine = F.col("_label") == j
+        size = F.sum(F.when(mine, F.col("_n")))
+        total = F.sum(F.when(mine, F.col("_v") * F.col("_n")))
+        return F.coalesce(total / size, F.any_value("centroids")[j])
+
+    for done in range(0, max_iter, rounds_per_job):
+        for _ in range(min(rounds_per_job, max_iter - done)):
+            paired = match(values, current.select(*by, "centroids"), by)
+            labelled = paired.withColumn("_label", _labels_of(F.col("_v"), F.col("centroids")))
+            current = labelled.groupBy(*by).agg(
+                F.array(*[mean(j) for j in range(k)]).alias("centroids"), F.any_value("centroids").alias("_old")
+            )
         gap = F.array_max(F.zip_with("centroids", "_old", lambda a, b: F.abs(a - b)))
-        last, current = current, cut(moved.select(*by, "centroids", gap.alias("_gap")))
-        discard(last)
-        change = current.agg(F.max("_gap")).first()[0]
-        if change is None or change <= tol:
-            break
-    return current.select(*by, F.array_sort("centroids").alias("centroids"))
+        last = stored
+        stored, seen = cut_measured(current, gap=F.max(gap))
+        current = stored
+        if last is not None:
+            discard(last)
+        if seen["gap"] is None or seen["gap"] <= tol:
+            discard(values)
+            return stored.select(*by, F.array_sort("centroids").alias("centroids"))
+    raise RuntimeError(f"centroids did not settle within {max_iter} rounds")
 
 
 def cluster_frames(
-    frames: DataFrame, by: Sequence[str], metric: str, cluster: str = "cluster", key: str = "image_id", max_iter: int = 20
+    frames: DataFrame, by: Sequence[str], metric: str, cluster: str = "cluster", key: str = "image_id", max_iter: int = 1000
 ) -> DataFrame:
-    """Fit both levels in every group and label every frame 0..3."""
+    """Fit both levels in every group and label every frame 0..3; frames without the metric get no label."""
     level1 = fit_centroids_by(frames, by, metric, 3, max_iter)
     coarse = cut(
-        attach_measured(frames, level1, by, [key], stored=True)
+        attach_measured(frames, level1, by, [key], stored=True, how="left")
         .withColumn("_coarse", _labels_of(F.col(metric), F.col("centroids")))
         .drop("centroids")
     )
     level2 = fit_centroids_by(coarse.filter(F.col("_coarse") == 0), by, metric, 2, max_iter)
     fine = _labels_of(F.col(metric), F.col("centroids"))
     label = F.when(F.col("_coarse") == 0, fine).otherwise(F.col("_coarse") + 1).cast("int")
-    labelled = attach_measured(coarse, level2, by, [key], stored=True).withColumn(cluster, label)
+    labelled = attach_measured(coarse, level2, by, [key], stored=True, how="left").withColumn(cluster, label)
     return labelled.drop("centroids", "_coarse")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -16,7 +17,7 @@ from ..lineage import cut
 from ..operators import histogram, peaks, periods, series
 from ..params import FrameParams
 from ..sources import cache
-from ..sources.images import scan_images
+from ..sources.images import file_set, scan_images
 
 FEATURES = (
     "path string, image_id string, batch string, number bigint, ok boolean, "
@@ -159,23 +160,28 @@ def run_batch(
     params: FrameParams,
     cache_dir: str | None = None,
     glob: str = "*.jpg",
+    masks: Masks | None = None,
+    timestamps: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Analyse folders of images, one batch per folder.
 
     Features and the finished frame table are reused when they were stored
-    with the same parameters. Returns ``frames`` (bad frames removed), ``bad``
-    and ``rejects``.
+    with the same parameters, masks and files. ``masks`` gives plot and flower
+    area instead of the parameters' geometry. ``timestamps`` (image_id, ts)
+    are filled in and joined; frames without one keep a null. Returns
+    ``frames`` (bad frames removed), ``bad`` and ``rejects``.
     """
     by = ["batch"]
-    stamp = f"{path}|{glob}|{params.stamp()}"
+    drawn = hashlib.sha256(b"".join(np.ascontiguousarray(m > 0).tobytes() for m in masks)).hexdigest() if masks else ""
+    stamp = f"{path}|{glob}|{params.stamp()}|{drawn}|{file_set(spark, path, glob) if cache_dir else ''}"
 
     def build() -> DataFrame:
-        return frame_features(scan_images(spark, path, glob), params)
+        return frame_features(scan_images(spark, path, glob), params, masks)
 
     features = cache.load_or_compute(spark, f"{cache_dir}/features", stamp, build) if cache_dir else cut(build())
 
     def finish() -> DataFrame:
-        plot, area = frame_masks(params)
+        plot, area = frame_masks(params, masks)
         shares = cut(
             histogram.with_shift_to_mean(features.filter("ok"), by).select(
                 "batch", "image_id", "number", "shift", _share(params, plot).alias("share"), _is_bad(params).alias("is_bad")
@@ -198,10 +204,22 @@ def run_batch(
         return marked.withColumn("is_best", F.col("n_spots").isNotNull())
 
     frames = cache.load_or_compute(spark, f"{cache_dir}/frames", stamp, finish) if cache_dir else finish()
+    if timestamps is not None:
+        timed = match(frames.drop("ts"), timestamps.select("image_id", "ts"), ["image_id"], "left")
+        frames = series.fill_timestamps(timed, by)
     bad = features.filter("ok").filter(_is_bad(params)).select("batch", "image_id")
     return {"frames": frames, "bad": bad, "rejects": rejects(features)}
 
 
+def count_series(
+    frames: DataFrame, by: Sequence[str] = ("batch",), smooth: bool = False, count: str = "n_spots", name: str = "count_estimate"
+) -> DataFrame:
+    """Frames with an estimated count: interpolated between counted frames in order of time, then smoothed if asked for."""
+    numbered = series.number_frames(frames, by)
+    estimate = series.estimate if smooth else series.interpolate
+    return estimate(numbered, by, F.col(count), name).drop("rn")
+
+
 def report(
     frames: DataFrame,
     limits: Sequence[str] | None,
@@ -211,11 +229,20 @@ def report(
     skip_share: bool = False,
     skip_count: bool = False,
     skip_share_estimate: bool = False,
+    present_threshold: float | None = None,
 ) -> DataFrame:
     """Mean share and typical count per group and period; -1 where skipped or empty.
 
-    ``frames`` carries ``image_id, ts, share, is_best, n_spots``.
+    ``frames`` carries ``image_id, ts, share, is_best, n_spots``. With a
+    ``present_threshold``, a group in which no share exceeds it shows no
+    flowers: its shares and counts are 0.
     """
+    if present_threshold is not None:
+        shows = frames.groupBy(*by).agg(F.coalesce(F.max("share") > present_threshold, F.lit(False)).alias("_shows"))
+        gated = match(frames, shows, by)
+        frames = gated.withColumns(
+            {c: F.when(F.col("_shows") | F.col(c).isNull(), F.col(c)).otherwise(F.lit(0)) for c in ("share", "n_spots")}
+        ).drop("_shows")
     numbered = series.number_frames(frames.select(*by, "image_id", "ts", "share", "is_best", "n_spots"), by)
     if skip_share or skip_share_estimate:
         estimated = numbered.withColumn("estimate", F.col("share"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..lineage import cut
+from ..lineage import cut, scope
 from ..operators import counts as tables
 from ..operators.correlation import correlations, strong_edges
 from ..operators.divergence import divergence_curve, kl_divergence
@@ -38,8 +38,9 @@ def pulls(nodes: DataFrame, edges: DataFrame, params: WinnowParams, max_steps: i
             return ~F.array_contains(gone, F.col(name))
 
         left, links = nodes.filter(kept("id")), edges.filter(kept("src") & kept("dst"))
-        scores = centrality(left, links, params.centrality, symmetric=True, n_nodes=n_nodes - len(pulled))
-        best = top_nodes(scores, params.num_to_pull).collect()
+        with scope(keep=[]):
+            scores = centrality(left, links, params.centrality, symmetric=True, n_nodes=n_nodes - len(pulled))
+            best = top_nodes(scores, params.num_to_pull).collect()
         if not best:
             break
         pulled += [(step, row["node"], row["score"]) for row in best]
@@ -53,6 +54,14 @@ def run(counts: DataFrame, first, second, params: WinnowParams = WinnowParams())
     Returns ``pulled`` ``(step, taxon, score, kl)``, the ``kept`` profiles
     (smoothed) and the ``matrix`` of the remaining taxa (smoothed).
     """
+    kept: list[DataFrame] = []
+    with scope(keep=kept):
+        out = {name: cut(table) for name, table in _run(counts, first, second, params).items()}
+        kept += out.values()
+    return out
+
+
+def _run(counts: DataFrame, first, second, params: WinnowParams) -> dict[str, DataFrame]:
     spark = counts.sparkSession
     counts = cut(tables.prune_taxa(counts, params.min_count))
     nodes, edges = correlation_graph(counts, params)

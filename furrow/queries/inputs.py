@@ -49,7 +49,8 @@ def hist_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def coarse_hist_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    return events.select(F.col("user_id").alias("image_id"), F.floor(F.col("value") / 8).cast("int").alias("bin"))
+    level = F.least(F.lit(255), F.floor(F.col("value") / 8))
+    return events.select(F.col("user_id").alias("image_id"), level.cast("int").alias("bin"))
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +115,7 @@ def bgr_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     inter = F.flatten(F.transform(F.arrays_zip("b", "g", "r"), lambda p: F.array(p["b"], p["g"], p["r"])))
     data = F.unhex(F.array_join(F.transform(inter, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
-    name = F.lpad(F.col("n").cast("string"), 8, "0")
+    name = F.col("n").cast("string")
     return images.select(
         F.concat(name, F.lit(".png")).alias("path"),
         name.alias("image_id"),
@@ -163,5 +164,35 @@ def fine_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quantities(spark, sf_dir, F.concat_ws("/", "p_brand", F.col("p_size").cast("string")))
 
 
+def _linked(spark: SparkSession, sf_dir: str, base: Column, number: Column, groups: tuple[int, ...]) -> DataFrame:
+    """Counts in which every line counts for its taxon and for groups of neighbouring taxa.
+
+    A taxon and a group of g hold the same lines in part, so they correlate
+    with about 1 / sqrt(g) at any number of samples: a fixed threshold keeps
+    these pairs.
+    """
+    names = [base, *[F.concat(F.lit(f"group of {g}/"), F.floor(number / g).cast("string")) for g in groups]]
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_linestatus", "l_quantity")
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.array(*names).alias("taxa"))
+    joined = lines.join(parts, lines.l_partkey == parts.p_partkey).withColumn("taxon", F.explode("taxa"))
+    return joined.groupBy(F.col("l_linestatus").alias("condition"), F.col("l_suppkey").alias("sample_id"), "taxon").agg(
+        F.sum("l_quantity").alias("n")
+    )
+
+
+def _brand() -> Column:
+    return F.substring("p_brand", 7, 9).cast("int")
+
+
+def linked_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """25 taxa with groups of two and three neighbours."""
+    return _linked(spark, sf_dir, F.col("p_brand"), _brand(), (2, 3))
+
+
+def linked_fine_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some 1,250 taxa with groups of two neighbours: most cells are absent."""
+    return _linked(spark, sf_dir, F.concat_ws("/", "p_brand", F.col("p_size").cast("string")), _brand() * 100 + F.col("p_size"), (2,))
+
+
 def with_sample(rows: DataFrame) -> DataFrame:
     return rows.withColumn("sample", F.concat_ws("|", "condition", F.col("sample_id").cast("string")))

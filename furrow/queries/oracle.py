@@ -74,7 +74,7 @@ sql(
   {r("coalesce(sum(n) FILTER (WHERE bin BETWEEN 20 + shift AND 60 + shift), 0) / sum(n)")} AS share
 FROM hist JOIN shifts USING (image_id) GROUP BY image_id, shift""",
 )
-COARSE = """hist AS (SELECT user_id AS image_id, floor(value / 8) AS bin, count(*) AS n FROM events GROUP BY ALL),
+COARSE = """hist AS (SELECT user_id AS image_id, least(255, floor(value / 8)) AS bin, count(*) AS n FROM events GROUP BY ALL),
 images AS (SELECT image_id, max(n) AS largest, CAST(sum(n) AS BIGINT) AS n_pixels FROM hist GROUP BY image_id)"""
 sql("largest_bin", COARSE, body="SELECT image_id, largest FROM images")
 sql("bad_frames", COARSE, body="SELECT image_id FROM images WHERE largest >= CAST(0.2 AS DOUBLE) * n_pixels")
@@ -207,6 +207,10 @@ sql("two_level_cluster", FR, body=f"""SELECT image_id, CAST(CASE WHEN coarse = 0
 FROM (SELECT image_id, {nearest('coarse', 'metric', (10, 60, 150))}, {nearest('fine', 'metric', (5, 25))} FROM fr)""")
 
 
+#: Rounds after which no centroid moves any more.
+SETTLED = 150
+
+
 def lloyd(name: str, source: str, k: int, rounds: int) -> str:
     cs = [f"c{j}" for j in range(k)]
     start = ", ".join(f"min(metric) + (max(metric) - min(metric)) * ({j + 0.5} / CAST({k} AS DOUBLE)) AS c{j}" for j in range(k))
@@ -220,17 +224,17 @@ def lloyd(name: str, source: str, k: int, rounds: int) -> str:
   GROUP BY round, batch)"""
 
 
-sql("centroids_by_batch", FR, lloyd("km", "fr", 3, 10), recursive=True,
+sql("centroids_by_batch", FR, lloyd("km", "fr", 3, SETTLED), recursive=True,
     body=" UNION ALL ".join(
-        f"SELECT batch, CAST({j} AS INTEGER) AS cluster, {settled(f'c{j}')} AS centroid FROM km WHERE round = 10" for j in range(3)))
+        f"SELECT batch, CAST({j} AS INTEGER) AS cluster, {settled(f'c{j}')} AS centroid FROM km WHERE round = {SETTLED}" for j in range(3)))
 sql(
-    "two_level_fit", FR, lloyd("km", "fr", 3, 5),
+    "two_level_fit", FR, lloyd("km", "fr", 3, SETTLED),
     "coarse AS (SELECT f.*, " + nearest("coarse", "metric", ("c0", "c1", "c2"))
-    + " FROM fr f JOIN km ON km.batch = f.batch AND km.round = 5)",
+    + f" FROM fr f JOIN km ON km.batch = f.batch AND km.round = {SETTLED})",
     "low AS (SELECT * FROM coarse WHERE coarse = 0)",
-    lloyd("km2", "low", 2, 5),
+    lloyd("km2", "low", 2, SETTLED),
     "labelled AS (SELECT f.batch, metric, coarse, " + nearest("fine", "metric", ("c0", "c1"))
-    + " FROM coarse f JOIN km2 ON km2.batch = f.batch AND km2.round = 5)",
+    + f" FROM coarse f JOIN km2 ON km2.batch = f.batch AND km2.round = {SETTLED})",
     recursive=True,
     body="""SELECT batch, CAST(CASE WHEN coarse = 0 THEN fine ELSE coarse + 1 END AS INTEGER) AS cluster,
   count(*) AS n, min(metric) AS lo FROM labelled GROUP BY 1, 2""",
@@ -327,7 +331,7 @@ sql(
     """spots AS (SELECT image_id, count(*) AS n FROM bright a WHERE v > 0 AND NOT EXISTS (
       SELECT 1 FROM bright b WHERE b.image_id = a.image_id AND abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1
       AND (b.v > a.v OR (b.v = a.v AND (b.y < a.y OR (b.y = a.y AND b.x < a.x))))) GROUP BY image_id)""",
-    body=f"""SELECT CAST(s.batch AS VARCHAR) AS batch, lpad(CAST(s.image_id AS VARCHAR), 8, '0') AS image_id,
+    body=f"""SELECT CAST(s.batch AS VARCHAR) AS batch, CAST(s.image_id AS VARCHAR) AS image_id,
   CAST(shift AS INTEGER) AS shift, {r('share')} AS share, CAST(coalesce(spots.n, 0) AS INTEGER) AS n_spots
 FROM shifts s JOIN share ON share.image_id = s.image_id LEFT JOIN spots ON spots.image_id = s.image_id""",
 )
@@ -370,22 +374,60 @@ sql("image_group_used", WORDS, pooled("max"), PICK.format(" WHERE used"), body="
 sql("group_members", WORDS, pooled("max"), PICK.format(" WHERE used"),
     body='SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY image_id) AS position FROM picked')
 
+
+def fitted(source: str, k: int, rounds: int) -> str:
+    """Lloyd's rounds over (id, e) from the first k vectors by id; ``words`` holds each vector's nearest final centre."""
+    steps = [f"c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS INTEGER) AS word, e AS c FROM (SELECT * FROM {source} ORDER BY id LIMIT {k}))"]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT id, e, word, dist FROM (SELECT id, e, word, list_distance(e, c) AS dist,
+  row_number() OVER (PARTITION BY id ORDER BY list_distance(e, c), word) AS place FROM {source}, c{i}) WHERE place = 1)""")
+        steps.append(f"""m{i} AS MATERIALIZED (SELECT word, list(x ORDER BY i) AS c FROM (SELECT word, i, avg(x) AS x FROM
+  (SELECT word, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM a{i}) GROUP BY word, i) GROUP BY word)""")
+        steps.append(f"c{i + 1} AS MATERIALIZED (SELECT o.word, coalesce(m.c, o.c) AS c FROM c{i} o LEFT JOIN m{i} m ON m.word = o.word)")
+    return ",\n".join(steps)
+
+
+DOUBLES = "list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e"
+sql(
+    "kmeans_groups", f"vecs AS MATERIALIZED (SELECT vec_id AS id, {DOUBLES} FROM embeddings)", fitted("vecs", 3, 5),
+    """pooled AS (SELECT im.image_id, w.word, coalesce(p.pooled, 0) AS pooled FROM (SELECT DISTINCT id % 50 AS image_id FROM vecs) im CROSS JOIN range(3) w(word)
+  LEFT JOIN (SELECT id % 50 AS image_id, word, max(dist) AS pooled FROM a5 GROUP BY ALL) p ON p.image_id = im.image_id AND p.word = w.word)""",
+    PICK.format(""), body="SELECT * FROM picked",
+)
+sql(
+    "kmeans_first", f"vecs AS MATERIALIZED (SELECT vec_id % 50 AS id, arg_min(e, vec_id) AS e FROM (SELECT vec_id, {DOUBLES} FROM embeddings) GROUP BY 1)",
+    fitted("vecs", 3, 20), body='SELECT id AS image_id, CAST(word + 1 AS INTEGER) AS "group" FROM a20',
+)
+
 # --- count tables ---------------------------------------------------------
 
 COUNTS = """counts AS (SELECT l_linestatus AS condition, l_suppkey AS sample_id, p_brand AS taxon, sum(l_quantity) AS n,
   l_linestatus || '|' || l_suppkey AS sample
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_linestatus, l_suppkey, p_brand)"""
 FINE = COUNTS.replace("p_brand", "p_brand || '/' || p_size")
+
+
+def linked(base: str, number: str, *groups: int) -> str:
+    names = ", ".join([base, *(f"'group of {g}/' || CAST({number} // {g} AS VARCHAR)" for g in groups)])
+    return f"""counts AS (SELECT l_linestatus AS condition, l_suppkey AS sample_id, taxon, sum(l_quantity) AS n,
+  l_linestatus || '|' || l_suppkey AS sample
+  FROM (SELECT l_linestatus, l_suppkey, l_quantity, unnest([{names}]) AS taxon FROM lineitem JOIN part ON l_partkey = p_partkey)
+  GROUP BY l_linestatus, l_suppkey, taxon)"""
+
+
+BRAND = "CAST(substr(p_brand, 7) AS INTEGER)"
+LINKED = linked("p_brand", BRAND, 2, 3)
+LINKED_FINE = linked("p_brand || '/' || p_size", f"({BRAND} * 100 + p_size)", 2)
 PROFILE = """profile AS (SELECT taxon, coalesce(sum(n) FILTER (WHERE condition = 'F'), 0) AS a,
   coalesce(sum(n) FILTER (WHERE condition = 'O'), 0) AS b FROM counts GROUP BY taxon)"""
 PRUNED = "kept AS (SELECT taxon FROM counts GROUP BY taxon HAVING max(n) > 90)"
 sql("stack_conditions", COUNTS,
     body="SELECT condition, count(*) AS n_cells, sum(n) AS total FROM counts GROUP BY condition")
 sql(
-    "wide_matrix", COUNTS, "f AS (SELECT * FROM counts WHERE condition = 'F')",
-    body="""SELECT s.sample_id, 'Brand#' || t.i AS taxon, CAST(coalesce(f.n, 0) AS DOUBLE) AS n
-FROM (SELECT DISTINCT sample_id FROM f) s CROSS JOIN range(1, 26) t(i)
-LEFT JOIN f ON f.sample_id = s.sample_id AND f.taxon = 'Brand#' || t.i""",
+    "wide_matrix", COUNTS,
+    body="""SELECT s.sample, t.taxon, CAST(coalesce(c.n, 0) AS DOUBLE) AS n
+FROM (SELECT DISTINCT sample FROM counts) s CROSS JOIN (SELECT DISTINCT taxon FROM counts) t
+LEFT JOIN counts c ON c.sample = s.sample AND c.taxon = t.taxon""",
 )
 sql("melt_positive", FINE, body="SELECT taxon AS var1, condition AS var2, sum(n) AS edge FROM counts GROUP BY ALL HAVING sum(n) > 0")
 sql("prune_taxa", FINE, PRUNED, body="SELECT taxon, condition, sample_id, n FROM counts WHERE taxon IN (SELECT taxon FROM kept)")
@@ -423,23 +465,21 @@ pairs AS (SELECT a.taxon AS t1, b.taxon AS t2,
   LEFT JOIN products ON products.t1 = a.taxon AND products.t2 = b.taxon)"""
 
 
-def strong(factor: float) -> str:
-    return f"""edges AS (SELECT t1 AS src, t2 AS dst, round(abs(r), 9) AS weight FROM pairs
-  WHERE round(abs(r), 9) >= CAST({factor} AS DOUBLE) / sqrt((SELECT count(DISTINCT sample) FROM counts)))"""
+STRONG = "edges AS (SELECT t1 AS src, t2 AS dst, round(abs(r), 9) AS weight FROM pairs WHERE round(abs(r), 9) >= 0.5)"
 
 
 EDGES = f"SELECT src, dst, {r('weight')} AS weight FROM edges"
 sql("pearson_matrix", COUNTS, CELLS, pairs("cells"), body=f"SELECT t1, t2, {r('r')} AS r FROM pairs")
 sql("spearman_matrix", COUNTS, CELLS, RANKED, pairs("ranked"), body=f"SELECT t1, t2, {r('r')} AS r FROM pairs")
-sql("pearson_edges", COUNTS, CELLS, pairs("cells"), strong(1.4), body=EDGES)
-sql("spearman_edges", COUNTS, CELLS, RANKED, pairs("ranked"), strong(1.4), body=EDGES)
-sql("sparse_pearson_edges", FINE, SPARSE_PAIRS, strong(3.5), body=EDGES)
-sql("sparse_spearman_edges", FINE, CELLS, RANKED, pairs("ranked"), strong(3.5), body=EDGES)
+sql("pearson_edges", LINKED, CELLS, pairs("cells"), STRONG, body=EDGES)
+sql("spearman_edges", LINKED, CELLS, RANKED, pairs("ranked"), STRONG, body=EDGES)
+sql("sparse_pearson_edges", LINKED_FINE, SPARSE_PAIRS, STRONG, body=EDGES)
+sql("sparse_spearman_edges", LINKED_FINE, CELLS, RANKED, pairs("ranked"), STRONG, body=EDGES)
 
 # --- graphs ---------------------------------------------------------------
 
 GRAPH = [
-    COUNTS, CELLS, pairs("cells"), strong(1.4),
+    LINKED, CELLS, pairs("cells"), STRONG,
     "nodes AS (SELECT taxon AS id FROM cells GROUP BY taxon HAVING min(n) < max(n))",
     "size AS (SELECT count(*) AS n FROM nodes)",
     "adj AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges)",
@@ -496,7 +536,7 @@ sql(
 )
 sql(
     "winnow_loop",
-    COUNTS.replace("counts AS", "raw AS"),
+    LINKED.replace("counts AS", "raw AS"),
     "counts AS (SELECT * FROM raw WHERE taxon IN (SELECT taxon FROM raw GROUP BY taxon HAVING max(n) > 3))",
     *GRAPH[1:], PROFILE,
     """pull(step, gone, taxon, score) AS (

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
+from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,7 @@ REGISTRY: dict[str, Query] = {}
 
 DAY = ["batch"]
 LOWER, UPPER = 20, 60
+KEEP_THRESH = WinnowParams().keep_thresh
 LEVEL1, LEVEL2 = (10.0, 60.0, 150.0), (5.0, 25.0)
 SMALL_FRAME = FrameParams(
     height=SIDE, width=SIDE, plot=SMALL_PLOT, regions=((1,),), lower=120, upper=200, highlight="linear"
@@ -51,7 +53,8 @@ def image_histogram(spark, sf_dir):
 
 @query
 def mean_histogram(spark, sf_dir):
-    return histogram.mean_histogram(_packed(spark, sf_dir)).withColumn("mean_n", rounded(F.col("mean_n")))
+    counted = histogram.count_bins(inputs.hist_rows(spark, sf_dir), ["image_id"])
+    return histogram.mean_of_bins(counted, ["image_id"]).withColumn("mean_n", rounded(F.col("mean_n")))
 
 
 @query
@@ -88,25 +91,27 @@ def flower_fraction(spark, sf_dir):
 
 
 def _coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return histogram.pack(histogram.count_bins(inputs.coarse_hist_rows(spark, sf_dir), ["image_id"]), ["image_id"])
+    return histogram.image_sizes(histogram.count_bins(inputs.coarse_hist_rows(spark, sf_dir), ["image_id"]), ["image_id"])
+
+
+def _one_level(sizes: DataFrame) -> DataFrame:
+    return sizes.filter(histogram.too_full(F.col("largest"), F.col("n_pixels")))
 
 
 @query
 def largest_bin(spark, sf_dir):
-    return _coarse(spark, sf_dir).select("image_id", histogram.largest_bin(F.col("hist")).alias("largest"))
+    return _coarse(spark, sf_dir).select("image_id", "largest")
 
 
 @query
 def bad_frames(spark, sf_dir):
-    packed = _coarse(spark, sf_dir)
-    return packed.filter(histogram.is_bad_frame(F.col("hist"), histogram.total(F.col("hist")))).select("image_id")
+    return _one_level(_coarse(spark, sf_dir)).select("image_id")
 
 
 @query
 def drop_bad_frames(spark, sf_dir):
-    packed = cut(_coarse(spark, sf_dir))
-    bad = packed.filter(histogram.is_bad_frame(F.col("hist"), histogram.total(F.col("hist"))))
-    return series.drop_bad(packed, bad).select("image_id", histogram.total(F.col("hist")).alias("n_pixels"))
+    sizes = _coarse(spark, sf_dir)
+    return series.drop_bad(sizes, _one_level(sizes)).select("image_id", "n_pixels")
 
 
 # --- frame series ---------------------------------------------------------
@@ -262,8 +267,8 @@ def two_level_cluster(spark, sf_dir):
 
 @query
 def centroids_by_batch(spark, sf_dir):
-    """Ten rounds of 1-D k-means in every batch."""
-    fitted = series.fit_centroids_by(inputs.frames(spark, sf_dir), DAY, "metric", 3, max_iter=10, tol=-1.0)
+    """1-D k-means in every batch, until it settles."""
+    fitted = series.fit_centroids_by(inputs.frames(spark, sf_dir), DAY, "metric", 3)
     return fitted.select("batch", F.posexplode("centroids").alias("cluster", "centroid")).withColumn(
         "centroid", settled(F.col("centroid"))
     )
@@ -272,7 +277,7 @@ def centroids_by_batch(spark, sf_dir):
 @query
 def two_level_fit(spark, sf_dir):
     """Sizes of the four fitted clusters."""
-    labelled = series.cluster_frames(inputs.frames(spark, sf_dir), DAY, "metric", max_iter=5)
+    labelled = series.cluster_frames(inputs.frames(spark, sf_dir), DAY, "metric")
     return labelled.groupBy("batch", "cluster").agg(F.count("*").alias("n"), F.min("metric").alias("lo"))
 
 
@@ -487,13 +492,14 @@ def group_members(spark, sf_dir):
 
 @query
 def kmeans_groups(spark, sf_dir):
-    return grouping.group_images(inputs.descriptors(spark, sf_dir).select("image_id", "pos", "vec"))
+    rows = inputs.descriptors(spark, sf_dir).select("image_id", "pos", "vec")
+    return grouping.group_images(rows, start=clusters.first_centres(rows, 3))
 
 
 @query
 def kmeans_first(spark, sf_dir):
     first = clusters.first_vectors(inputs.descriptors(spark, sf_dir))
-    return clusters.kmeans_labels(first)
+    return clusters.kmeans_labels(first, start=clusters.first_centres(first, 3, "image_id"))
 
 
 # --- count tables ---------------------------------------------------------
@@ -501,24 +507,26 @@ def kmeans_first(spark, sf_dir):
 
 @query
 def stack_conditions(spark, sf_dir):
-    rows = inputs.counts(spark, sf_dir)
-    parts = [rows.filter(F.col("condition") == c) for c in ("F", "O")]
-    return tables.stack(*parts).groupBy("condition").agg(F.count("*").alias("n_cells"), F.sum("n").alias("total"))
+    """Tables of one condition each, put under one another."""
+    rows = cut(inputs.counts(spark, sf_dir))
+    held = [r[0] for r in rows.select("condition").distinct().orderBy("condition").collect()]
+    parts = [rows.filter(F.col("condition").eqNullSafe(F.lit(c))) for c in held]
+    return reduce(tables.stack, parts, rows.limit(0)).groupBy("condition").agg(F.count("*").alias("n_cells"), F.sum("n").alias("total"))
 
 
 @query
 def wide_matrix(spark, sf_dir):
-    """Wide matrix back to long form."""
-    rows = inputs.counts(spark, sf_dir).filter(F.col("condition") == "F")
-    wide = rows.groupBy("sample_id").pivot("taxon", [f"Brand#{i}" for i in range(1, 26)]).agg(F.sum("n"))
-    return tables.to_long(wide)
+    """Wide matrix of all samples and taxa back to long form."""
+    rows = inputs.with_sample(inputs.counts(spark, sf_dir))
+    wide = rows.groupBy("sample").pivot("taxon").agg(F.sum("n"))
+    return tables.to_long(wide, name="sample")
 
 
 @query
 def melt_positive(spark, sf_dir):
     """Positive entries of the taxon-by-condition matrix, as an edge list."""
     rows = inputs.fine_counts(spark, sf_dir)
-    wide = rows.groupBy(F.col("taxon").alias("var1")).pivot("condition", ["F", "O"]).agg(F.sum("n"))
+    wide = rows.groupBy(F.col("taxon").alias("var1")).pivot("condition").agg(F.sum("n"))
     return correlation.melt_matrix(wide.fillna(0.0))
 
 
@@ -574,45 +582,38 @@ def spearman_matrix(spark, sf_dir):
     return pairs.withColumn("r", rounded(F.col("r")))
 
 
-def _threshold(rows: DataFrame, factor: float) -> float:
-    """A threshold that keeps a like share of chance correlations at every sample count."""
-    return factor / math.sqrt(rows.select("sample").distinct().count())
-
-
-def _strong(rows: DataFrame, method: str, factor: float) -> DataFrame:
-    rows = cut(rows)
-    pairs, _ = correlation.correlations(rows, method, stored=True)
-    return correlation.strong_edges(pairs, _threshold(rows, factor)).withColumn("weight", rounded(F.col("weight")))
+def _strong(rows: DataFrame, method: str) -> DataFrame:
+    pairs, _ = correlation.correlations(rows, method)
+    return correlation.strong_edges(pairs, KEEP_THRESH).withColumn("weight", rounded(F.col("weight")))
 
 
 @query
 def pearson_edges(spark, sf_dir):
-    return _strong(inputs.with_sample(inputs.counts(spark, sf_dir)), "pearson", 1.4)
+    return _strong(inputs.with_sample(inputs.linked_counts(spark, sf_dir)), "pearson")
 
 
 @query
 def spearman_edges(spark, sf_dir):
-    return _strong(inputs.with_sample(inputs.counts(spark, sf_dir)), "spearman", 1.4)
+    return _strong(inputs.with_sample(inputs.linked_counts(spark, sf_dir)), "spearman")
 
 
 @query
 def sparse_pearson_edges(spark, sf_dir):
     """Over a thousand taxa, most cells absent: several tiles."""
-    return _strong(inputs.with_sample(inputs.fine_counts(spark, sf_dir)), "pearson", 3.5)
+    return _strong(inputs.with_sample(inputs.linked_fine_counts(spark, sf_dir)), "pearson")
 
 
 @query
 def sparse_spearman_edges(spark, sf_dir):
-    return _strong(inputs.with_sample(inputs.fine_counts(spark, sf_dir)), "spearman", 3.5)
+    return _strong(inputs.with_sample(inputs.linked_fine_counts(spark, sf_dir)), "spearman")
 
 
 # --- graphs ---------------------------------------------------------------
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = cut(inputs.with_sample(inputs.counts(spark, sf_dir)))
-    pairs, taxa = correlation.correlations(rows, "pearson", stored=True)
-    edges = correlation.strong_edges(pairs, _threshold(rows, 1.4))
+    pairs, taxa = correlation.correlations(inputs.with_sample(inputs.linked_counts(spark, sf_dir)), "pearson")
+    edges = correlation.strong_edges(pairs, KEEP_THRESH)
     return taxa.select(F.col("taxon").alias("id")), cut(edges)
 
 
@@ -678,11 +679,9 @@ def divergence_curve(spark, sf_dir):
 
 @query
 def winnow_loop(spark, sf_dir):
-    """Pull the best-connected taxon until none is left."""
-    rows = cut(inputs.counts(spark, sf_dir))
-    thresh = _threshold(inputs.with_sample(rows), 1.4)
-    params = WinnowParams(keep_thresh=thresh, correlation="pearson", centrality="degree")
-    pulled = winnow.run(rows, "F", "O", params)["pulled"]
+    """Pull the best-connected taxon, one a step, 50 in all."""
+    params = WinnowParams(correlation="pearson", centrality="degree")
+    pulled = winnow.run(inputs.linked_counts(spark, sf_dir), "F", "O", params)["pulled"]
     return pulled.select("step", "taxon", rounded(F.col("score")).alias("score"), rounded(F.col("kl"), 9).alias("kl"))
 
 
@@ -690,7 +689,8 @@ def winnow_loop(spark, sf_dir):
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/furrow-{spark.conf.get('spark.app.id')}/files/{name}"
+    """A path of its own for every call."""
+    return f"{shared_dir(spark)}/furrow-{spark.conf.get('spark.app.id')}/files/{uuid4().hex}/{name}"
 
 
 @query

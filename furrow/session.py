@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -15,13 +17,14 @@ SETTINGS = {
 
 
 def local_session(cores: int = 8, memory: str = "8g", name: str = "furrow") -> SparkSession:
-    """Single-machine session for tests and the benchmark."""
+    """Single-machine session for tests and the benchmark, with a folder for cut tables of its own."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(cores))
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="furrow-"))
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)

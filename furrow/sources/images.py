@@ -52,6 +52,14 @@ def list_files(spark: SparkSession, path: str, glob: str = "*.jpg", recursive: b
     )
 
 
+def file_set(spark: SparkSession, path: str, glob: str = "*.jpg", recursive: bool = True) -> str:
+    """Number, total length and latest change of the matching files, as text; contents are not read."""
+    facts = scan_raw(spark, path, glob, recursive).agg(
+        F.count("*").alias("n"), F.sum("length").alias("bytes"), F.max("modificationTime").cast("string").alias("latest")
+    )
+    return "|".join(str(v) for v in facts.first())
+
+
 def list_folders(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """Folders below ``root`` that hold files, each once."""
     return list_files(spark, root, glob, recursive=True).select("batch").distinct()

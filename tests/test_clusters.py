@@ -111,9 +111,17 @@ def test_group_members_keep_name_order(spark):
     assert rows == [(1, 1, "a"), (1, 2, "b"), (1, 3, "c"), (2, 1, "d")]
 
 
-def test_mean_centres_are_limited(spark):
+def test_mean_centres(spark):
     df = spark.createDataFrame([(0, [1.0, 3.0]), (0, [3.0, 5.0]), (1, [7.0, 7.0])], "label int, vec array<double>")
     assert clusters.mean_centres(df, "label") == [[2.0, 4.0], [7.0, 7.0]]
-    with pytest.raises(ValueError):
-        clusters.mean_centres(df, "label", max_centres=1)
     assert df.select(F.size("vec")).first()[0] == 2
+
+
+def test_settled_centres(spark):
+    rows = [(i, [float(x), 0.0]) for i, x in enumerate([0, 1, 2, 10, 11, 12, 30])]
+    df = spark.createDataFrame(rows, "pos int, vec array<double>")
+    start = clusters.first_centres(df, 3)
+    assert start == [[0.0, 0.0], [1.0, 0.0], [2.0, 0.0]]
+    done = clusters.settle_centres(df, start, 50)
+    again = clusters.settle_centres(df, done, 1)
+    assert done == again and clusters.settle_centres(df, [[0.0, 0.0], [99.0, 0.0], [999.0, 0.0]], 1)[2] == [999.0, 0.0]

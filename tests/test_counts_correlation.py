@@ -31,7 +31,6 @@ def test_correlations_equal_pandas(spark, monkeypatch, method, tiny_tiles, keep_
         monkeypatch.setattr(correlation, "BLOCK_TAXA", 3)
         monkeypatch.setattr(correlation, "SLICE_SAMPLES", 8)
         monkeypatch.setattr(correlation, "DENSE_SAMPLES", 3)
-        monkeypatch.setattr(correlation, "ONE_TASK_TAXA", 2)
         monkeypatch.setattr(correlation, "HOT_ROWS", 5)
     wide = _matrix(negative=not keep_zeros)
     pairs, taxa = correlation.correlations(_long(spark, wide, keep_zeros), method)

@@ -9,8 +9,12 @@ from furrow.params import ALTERNATIVE_AREA, CENTRE_CELL, DEFAULT_PLOT, FramePara
 from furrow.plans.frames import area_mask, plot_mask
 
 
-def test_turn_is_the_cross_product():
-    assert geometry.turn((0, 0), (2, 0), (2, 3)) == 6
+def test_side_lines_are_positive_inside():
+    lines = geometry.side_lines(((1, 1), (9, 2), (0, 8), (10, 9)))
+    assert (lines @ [5, 5, 1] > 0).all()
+    for outside in ([-3, 5, 1], [14, 5, 1], [5, -3, 1], [5, 14, 1]):
+        assert (lines @ outside <= 0).sum() == 1
+    assert all((lines @ [*corner, 1] == 0).sum() == 2 for corner in ((1, 1), (9, 2), (0, 8), (10, 9)))
 
 
 def test_default_masks_have_the_known_sizes(spark):

@@ -128,3 +128,34 @@ def test_lag_of_a_rolled_hump_is_its_roll(shift):
 
     lag = histogram._peak_lag(pd.Series([np.array(_hump(shift))]), pd.Series([np.array(_hump())]))
     assert lag.tolist() == [shift]
+
+
+def test_bins_outside_count_in_the_nearest(spark):
+    rows = spark.createDataFrame([(1, -4, 2), (1, 0, 1), (1, 255, 3), (1, 300, 6), (2, 7, 5)], "image_id int, bin int, n long")
+    packed = {r["image_id"]: r["hist"] for r in histogram.pack(rows, ["image_id"]).collect()}
+    assert packed[1][0] == 3 and packed[1][255] == 9 and sum(packed[1]) == 12 and sum(packed[2]) == 5
+    means = {r["bin"]: r["mean_n"] for r in histogram.mean_of_bins(rows, ["image_id"]).collect()}
+    assert len(means) == 256 and means[0] == 1.5 and means[255] == 4.5 and means[7] == 2.5 and means[9] == 0
+
+
+def test_ties_stay_exact_in_large_references():
+    """2**53 and 2**53 + 1 differ, though not as floating-point numbers."""
+    import numpy as np
+    import pandas as pd
+
+    image = [0] * 256
+    image[10] = 1
+    ref = [0] * 256
+    ref[10], ref[7] = 2**53, 2**53 + 1
+    assert histogram._peak_lag(pd.Series([np.array(image)]), pd.Series([np.array(ref)])).tolist() == [3]
+    ref[7] = 2**53
+    assert histogram._peak_lag(pd.Series([np.array(image)]), pd.Series([np.array(ref)])).tolist() == [0]
+    image = [400_000] * 256
+    ref = [3 * 10**12] * 256
+    assert histogram._peak_lag(pd.Series([np.array(image)]), pd.Series([np.array(ref)])).tolist() == [0]
+
+
+def test_first_reference_goes_by_number(spark):
+    rows = [(name, [int(b == at) for b in range(256)]) for name, at in (("10", 50), ("2", 20), ("11", 90))]
+    packed = spark.createDataFrame(rows, "image_id string, hist array<long>")
+    assert histogram.first_references(packed).first()["ref"][20] == 1

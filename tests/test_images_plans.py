@@ -171,3 +171,33 @@ def test_logistic_mode(spark, folder):
     )
     features = plans.frame_features(src.scan_images(spark, f"{folder}/day2", "*.png"), params)
     assert plans.analyze(features, params).filter("n_spots > 0").count() > 0
+
+
+def test_new_files_are_seen_and_masks_and_times_used(spark, folder, tmp_path):
+    import shutil
+
+    shutil.copytree(folder, tmp_path / "plots")
+    path, store = str(tmp_path / "plots"), str(tmp_path / "store")
+    first = plans.run_batch(spark, path, PARAMS, store, "*.png")
+    n = first["frames"].count() + first["bad"].count() + first["rejects"].count()
+    held = next((tmp_path / "plots" / "day2").glob("*.png"))
+    shutil.copy(held, held.with_name("977.png"))
+    again = plans.run_batch(spark, path, PARAMS, store, "*.png")
+    assert again["frames"].count() + again["bad"].count() + again["rejects"].count() == n + 1
+    masks = plans.frame_masks(PARAMS)
+    drawn = plans.run_batch(spark, path, PARAMS, None, "*.png", masks=masks)["frames"]
+    assert drawn.count() == again["frames"].count()
+    name = drawn.select("image_id").first()[0]
+    times = spark.createDataFrame([(name, __import__("datetime").datetime(2016, 7, 5, 12))], "image_id string, ts timestamp_ntz")
+    timed = plans.run_batch(spark, path, PARAMS, None, "*.png", timestamps=times)["frames"]
+    assert timed.count() == drawn.count() and timed.filter("ts is not null").count() >= 1
+
+
+def test_report_without_flowers(spark):
+    rows = [("a", i, 0.5, True, 40) for i in range(4)] + [("b", i, 0.00001, True, 40) for i in range(4)]
+    frames = spark.createDataFrame(rows, "batch string, image_id int, share double, is_best boolean, n_spots int")
+    frames = frames.withColumn("ts", F.timestamp_add("MINUTE", F.col("image_id"), F.lit("2016-07-05 10:00:00").cast("timestamp_ntz")))
+    out = {r["batch"]: (r["mean_share"], r["typical_count"]) for r in plans.report(frames, None, "UTC", present_threshold=0.0001).collect()}
+    assert out["a"][0] == 0.5 and out["b"][0] == 0.0 and out["b"][1] < out["a"][1]
+    counted = plans.count_series(frames.withColumn("n_spots", F.when(F.col("image_id") != 1, F.col("n_spots"))))
+    assert {r["count_estimate"] for r in counted.collect()} == {40.0}

@@ -1,7 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-from furrow import joins
 from furrow.joins import attach, attach_measured, match, match_measured
 
 
@@ -25,11 +24,17 @@ def test_attach_keeps_hot_and_null_keys(spark):
     _check(attach(_big(spark), _small(spark), ["k"], ["id"]))
 
 
-@pytest.mark.parametrize("limit", [joins.BROADCAST_BYTES, 1])
-def test_measured_joins_on_both_sides_of_the_limit(spark, monkeypatch, limit):
-    monkeypatch.setattr(joins, "BROADCAST_BYTES", limit)
-    _check(attach_measured(_big(spark), _small(spark), ["k"], ["id"]))
-    _check(match_measured(_big(spark), _small(spark), ["k"]))
+@pytest.mark.parametrize("limit", ["10m", "1"])
+def test_measured_joins_on_both_sides_of_the_limit(spark, limit):
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        _check(attach_measured(_big(spark), _small(spark), ["k"], ["id"]))
+        _check(match_measured(_big(spark), _small(spark), ["k"]))
+        left = attach_measured(_big(spark), _small(spark).filter("k = 'hot'"), ["k"], ["id"], how="left")
+        assert left.count() == 100
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
 
 
 def test_attach_without_keys_reads_one_row(spark):

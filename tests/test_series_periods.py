@@ -65,8 +65,31 @@ def test_fill_timestamps_chains_minutes_and_keeps_a_leading_gap(spark):
 
 
 def test_file_number(spark):
-    paths = spark.createDataFrame([("/a/b/0012.jpg",), ("7.jpg",), ("/x/readme.txt",)], "p string")
-    assert [r[0] for r in paths.select(series.file_number(F.col("p"))).collect()] == [12, 7, None]
+    names = [("/a/b/0012.jpg",), ("7.jpg",), ("/x/readme.txt",), ("/a/frame12.jpg",), ("2016-07-05_1207.jpg",), ("/9.d/x.jpg",)]
+    paths = spark.createDataFrame(names, "p string")
+    assert [r[0] for r in paths.select(series.file_number(F.col("p"))).collect()] == [12, 7, None, None, None, None]
+
+
+def test_images_go_by_number(spark):
+    """2, 10, 11: not the order of the names."""
+    frames = spark.createDataFrame([(i, t) for i, t in [("10", None), ("2", _ts(0)), ("11", _ts(9)), ("x", None)]], "image_id string, ts timestamp_ntz")
+    got = {r["image_id"]: r["ts"] for r in series.fill_timestamps(frames).collect()}
+    assert got == {"2": _ts(0), "10": _ts(1), "11": _ts(9), "x": _ts(10)}
+    assert series.first_frame(frames, [], ["image_id"]).first()[0] == "2"
+    assert {r["image_id"] for r in series.parity_split(frames).filter("is_train").collect()} == {"2", "11"}
+
+
+def test_batches_without_metric_keep_their_frames(spark):
+    rows = [("a", i, float(v)) for i, v in enumerate([1, 2, 9, 10])] + [("b", i, None) for i in range(2)]
+    df = spark.createDataFrame(rows, "batch string, image_id int, share double")
+    got = series.cluster_frames(df, ["batch"], "share").collect()
+    assert len(got) == 6 and all((r["cluster"] is None) == (r["batch"] == "b") for r in got)
+
+
+def test_unsettled_fit_raises(spark):
+    df = spark.createDataFrame([("a", float(i * i)) for i in range(60)], "batch string, v double")
+    with pytest.raises(RuntimeError, match="settle"):
+        series.fit_centroids_by(df, ["batch"], "v", 3, max_iter=1, tol=0)
 
 
 def test_best_frames(spark):

@@ -103,3 +103,15 @@ def test_loop_ends_when_no_taxon_is_left(spark):
     assert [r["taxon"] for r in pulled] == ["x", "y"]
     assert pulled[0]["kl"] == pytest.approx(0) and pulled[1]["kl"] is None
     assert out["kept"].count() == 0 and math.isclose(pulled[0]["score"], 1.0)
+
+
+def test_only_results_stay_stored(spark):
+    from furrow import lineage
+
+    rows = [(c, s, f"t{t}", float((s * (t + 1)) % 7 + t)) for c in "AB" for s in range(6) for t in range(5)]
+    counts = spark.createDataFrame(rows, "condition string, sample_id int, taxon string, n double")
+    lineage.forget(spark)
+    out = winnow.run(counts, "A", "B", WinnowParams(num_required=2, keep_thresh=0.1, min_count=0))
+    files, folder = lineage._file(spark, lineage._app_dir(spark))
+    assert len(files.listStatus(folder)) == len(out) == 3
+    assert all(table.count() for table in out.values())
