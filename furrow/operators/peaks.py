@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.highlight import linear, linear_array, logistic, logistic_array
+from ..functions.highlight import linear_array, logistic_array
 from ..joins import match
 
 STEPS = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
@@ -86,10 +86,3 @@ def spot_images(pixels: DataFrame, image: str = "image_id") -> DataFrame:
     """All images that have pixel rows."""
     return pixels.select(image).distinct()
 
-
-def highlight_column(b: Column, shift: Column, lower: int, mode: str, distance: int, out_value: float) -> Column:
-    if mode == "linear":
-        return linear(b, shift, lower)
-    return logistic(b, shift, lower, distance, out_value)
-
-

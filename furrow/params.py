@@ -9,7 +9,6 @@ from dataclasses import asdict, dataclass
 DEFAULT_PLOT = ((207, 156), (1014, 156), (207, 677), (1014, 677))
 ALTERNATIVE_AREA = ((308, 247), (923, 247), (308, 612), (923, 612))
 CENTRE_CELL = ((0, 0, 0), (0, 1, 0), (0, 0, 0))
-DEFAULT_PERIODS = ("06:00", "12:00", "18:00")
 
 Point = tuple[int, int]
 
