@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..lineage import cut, discard
+from ..lineage import cut, cut_measured, discard
 
-#: Times a round follows labels of labels; a chain shrinks by two to this power.
-JUMPS = 3
+#: Times a round doubles the way along labels of labels; a chain shrinks by four to this power.
+DOUBLINGS = 2
+
+
+def _onward(labels: DataFrame, further: DataFrame) -> DataFrame:
+    """Labels replaced by the labels that ``further`` gives them, where it does."""
+    moved = further.select(F.col("node").alias("label"), F.col("label").alias("_further"))
+    return labels.join(moved, "label", "left").select("node", F.coalesce("_further", "label").alias("label"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -17,25 +23,20 @@ def components(links: DataFrame) -> DataFrame:
     Only tables move: no node, link or component comes to the driver. A round at least halves the nodes that are left,
     and chains shrink faster, so rounds grow with the logarithm of the largest component.
     """
-    both = links.select("a", "b").where("a <> b")
-    edges = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    plain = links.select("a", "b").where("a <> b")
+    both = plain.unionByName(plain.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    edges, seen = cut_measured(both, n=F.count("*"))
     found = None
-    while not edges.isEmpty():
-        near = cut(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).select("node", F.least("node", "label").alias("label")))
+    while seen["n"]:
+        near = cut(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("_b")).select("node", F.least("node", "_b").alias("label")))
         step = near
-        for _ in range(JUMPS):
-            onward = near.select(F.col("node").alias("label"), F.col("label").alias("further"))
-            step = step.join(onward, "label").select("node", F.col("further").alias("label"))
-            near, step = (jumped := cut(step)), jumped
-        tail = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        if found is None:
-            found = step
-        else:
-            found = cut(found.join(tail, "label", "left").select("node", F.coalesce("further", "label").alias("label")))
-        ends = step.select(F.col("node").alias("a"), F.col("label").alias("la")), step.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-        fewer = edges.join(ends[0], "a").join(ends[1], "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
-        old, edges = edges, cut(fewer)
-        discard(old)
-    if found is None:
-        return both.select(F.col("a").alias("node"), F.col("b").alias("label")).limit(0)
-    return found
+        for _ in range(DOUBLINGS):
+            step = _onward(step, step)
+        step = cut(step)
+        found = step if found is None else cut(_onward(found, step))
+        a, b = (step.select(F.col("node").alias(name), F.col("label").alias(f"_{name}")) for name in ("a", "b"))
+        fewer = edges.join(a, "a").join(b, "b").where("_a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct()
+        last = edges
+        edges, seen = cut_measured(fewer, n=F.count("*"))
+        discard(last, near)
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("label")) if found is None else found

@@ -27,7 +27,6 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,8 +41,8 @@ N = 5
 LIKE = Fraction(4, 5)
 #: Ratio of the largest to the smallest size of a band, and share of parts beyond k + 1.
 BAND, SPARE = 1.7, 0.12
-#: Sets of a tile of a large group; rounds of leads at most; bits of a parity map.
-TILE, ROUNDS, BITS = 256, 4, 1024
+#: Sets of a tile of a large group; rounds of leads at most.
+TILE, ROUNDS = 256, 2
 _U = np.uint64
 
 
@@ -210,8 +209,18 @@ def similar(a: np.ndarray, b: np.ndarray, like: Fraction) -> bool:
 
 def _parity(hashes: np.ndarray) -> bytes:
     """One bit for each value of a hash: whether an odd number of elements has it. Each element that two sets differ in
-    changes one bit, so two maps differ in no more bits than the sets in elements."""
-    return np.packbits(np.bincount((hashes >> _U(20)).astype(np.int64) % BITS, minlength=BITS) & 1).tobytes()
+    changes one bit, so two maps differ in no more bits than the sets in elements. A map has at least twice as many bits
+    as the set elements, a power of two."""
+    bits = max(64, 1 << (2 * len(hashes)).bit_length())
+    return np.packbits(np.bincount((hashes >> _U(20)).astype(np.int64) % bits, minlength=bits) & 1).tobytes()
+
+
+def _folded(maps: list[bytes], width: int) -> np.ndarray:
+    """Maps as rows of 64-bit numbers, all of ``width`` bytes: halves of wider ones are laid over each other."""
+    found = np.zeros((len(maps), width // 8), np.uint64)
+    for i, one in enumerate(maps):
+        found[i] = np.bitwise_xor.reduce(np.frombuffer(one, np.uint64).reshape(-1, width // 8), axis=0)
+    return found
 
 
 def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -249,10 +258,14 @@ def _checked(pairs: DataFrame, held: DataFrame, like: Fraction) -> DataFrame:
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                maps = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("bits_x", "bits_y")]
-                total = batch.column("size_x").to_numpy() + batch.column("size_y").to_numpy()
-                yield batch.filter(pa.array(_within(_differ(*maps), total, like))).select(["x", "y"])
+            maps = [batch.column(c).to_pylist() for c in ("bits_x", "bits_y")]
+            widths = np.array([min(len(x), len(y)) for x, y in zip(*maps)], np.int64)
+            differ = np.zeros(len(widths), np.int64)
+            for width in np.unique(widths):
+                rows = np.flatnonzero(widths == width)
+                differ[rows] = _differ(*(_folded([side[i] for i in rows], width) for side in maps))
+            total = batch.column("size_x").to_numpy() + batch.column("size_y").to_numpy()
+            yield batch.filter(pa.array(_within(differ, total, like), pa.bool_())).select(["x", "y"])
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -298,7 +311,8 @@ def _tiled(groups: DataFrame, held: DataFrame, like: Fraction) -> DataFrame:
 
     def compare(tile: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         address, label, size, mine, i, j = (tile.column(c).to_numpy() for c in ("address", "label", "size", "mine", "i", "j"))
-        maps = np.frombuffer(b"".join(tile.column("bits").to_pylist()), np.uint64).reshape(len(address), -1)
+        bits = tile.column("bits").to_pylist()
+        maps = _folded(bits, min(map(len, bits)))
         rows, columns = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
         differs = (label[rows, None] != label[columns]) & (address[rows, None] < address[columns] if i[0] == j[0] else True)
         r, c = np.nonzero(differs)
