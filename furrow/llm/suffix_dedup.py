@@ -43,8 +43,8 @@ LENGTH = 200
 REACH = 99
 GRAM = 16
 HOT = 20_000
-#: Positions compared at a time.
-COMPARED = 1 << 15
+#: Positions compared and bytes hashed at a time.
+COMPARED, HASHED = 1 << 14, 1 << 20
 _U = np.uint64
 _TOP = _U(0xFFFFFFFFFFFFFFFF)
 
@@ -112,20 +112,27 @@ def _named(docs: DataFrame, text: str, sample: Sample, size: int) -> DataFrame:
     occur again, have a key of their own.
     """
 
+    def sampled(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Names and places of the sampled positions, and how many each text has."""
+        data, offsets = text_bytes(part.column("text"))
+        hashes = Stretches(data)
+        found = sample(data, offsets, hashes)
+        of = np.searchsorted(offsets, found, "right") - 1
+        inside = found + size <= offsets[of + 1]
+        found, of = found[inside], of[inside]
+        return hashes.hash(found, found + size), found - offsets[of], np.bincount(of, minlength=part.num_rows)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text"):
-            data, offsets = text_bytes(batch.column("text"))
-            hashes = Stretches(data)
-            found = sample(data, offsets, hashes)
-            of = np.searchsorted(offsets, found, "right") - 1
-            inside = found + size <= offsets[of + 1]
-            found, of = found[inside], of[inside]
-            names = hashes.hash(found, found + size)
+            told = [sampled(part) for part in bounded([batch], "text", HASHED)]
+            rows = np.concatenate([[0], np.cumsum([len(count) for _, _, count in told])])
+            names, place = (np.concatenate([x[i] for x in told]) for i in (0, 1))
+            of = np.repeat(np.arange(rows[-1]), np.concatenate([count for _, _, count in told]))
             _, first, group, count = np.unique(names, return_index=True, return_inverse=True, return_counts=True)
             known = count[group] > 1
             later = np.ones(len(names), bool)
             later[first] = False
-            at = (batch.column("_key").to_numpy()[of] << 32) | (found - offsets[of])
+            at = (batch.column("_key").to_numpy()[of] << 32) | place
             ids = batch.column("_id").to_numpy()[of]
             names[later] = mixed(names[later] ^ mixed(at[later].astype(_U)) + mixed(ids[later].astype(_U)))
             yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(ids), pa.array(at), pa.array(known)], names=["name", "id", "at", "known"])
@@ -319,7 +326,7 @@ def dedup(
     wanted = wanted.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, "text"):
+        for batch in bounded(batches, "text", HASHED):
             data, offsets, gone = _gone(batch, "text", "_spans")
             heads = gone.copy()
             heads[1:] &= ~gone[:-1]
@@ -344,7 +351,7 @@ def dedup_text(
     wanted = added(docs, **{text: T.StringType(), "n_removed": T.LongType()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, text):
+        for batch in bounded(batches, text, HASHED):
             data, offsets, gone = _gone(batch, text, "_spans")
             character = np.cumsum((data & 0xC0) != 0x80) - 1  # a character's first byte is no continuation
             touched = np.zeros(int(character[-1]) + 1 if len(data) else 0, bool)
