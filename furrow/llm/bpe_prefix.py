@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from .arrow import added, bounded, with_added
 
 #: Entries in each generation of what a worker remembers.
-MEMORY = 200_000
+MEMORY = 120_000
 #: Bytes encoded and ids decoded at a time.
 BATCH_TEXT, BATCH_IDS = 1 << 20, 1 << 19
 #: Bytes of pieces whose prefixes are remembered across pieces.

@@ -45,6 +45,8 @@ GRAM = 16
 HOT = 20_000
 #: Positions compared and bytes hashed at a time.
 COMPARED, HASHED = 1 << 14, 1 << 20
+#: Bytes of texts in which equal positions are told apart before the shuffle.
+TOGETHER = 4 << 20
 _U = np.uint64
 _TOP = _U(0xFFFFFFFFFFFFFFFF)
 
@@ -123,7 +125,7 @@ def _named(docs: DataFrame, text: str, sample: Sample, size: int) -> DataFrame:
         return hashes.hash(found, found + size), found - offsets[of], np.bincount(of, minlength=part.num_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, "text"):
+        for batch in bounded(batches, "text", TOGETHER):
             told = [sampled(part) for part in bounded([batch], "text", HASHED)]
             rows = np.concatenate([[0], np.cumsum([len(count) for _, _, count in told])])
             names, place = (np.concatenate([x[i] for x in told]) for i in (0, 1))
@@ -159,7 +161,7 @@ def _around(work: DataFrame, text: str, reach: int, length: int) -> DataFrame:
     size = length - reach
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, text):
+        for batch in bounded(batches, text, TOGETHER):
             data, offsets = text_bytes(batch.column(text))
             hashes, places = Stretches(data), batch.column("_places")
             of = np.repeat(np.arange(batch.num_rows), pc.list_value_length(places).to_numpy())
