@@ -1,7 +1,9 @@
 """A corpus pipeline of five operators; each stage works on all that the one before it kept.
 
 1. quality: documents that the line CRF scores under 0.5 go.
-2. near_duplicates: of each group of documents with similar 5-word shingle sets the one of smallest id stays.
+2. near_duplicates: of each group of documents with similar 5-word shingle sets the one of smallest id stays, and of it
+   one row. Rows of one text and id are one document, and rows of one text without an id too, which come after all ids;
+   rows of one id with other texts are documents of their own.
 3. substrings: bytes covered by a repeated 200-byte string go from the texts; characters cut in two go whole, and a
    document of which nothing is left goes.
 4. mixture: documents are sampled by calibrated probabilities, so that tokens meet the target shares of sources,
@@ -13,8 +15,10 @@ All stages but the last return the columns of ``documents``; ``n_chars`` follows
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.lineage import cut, discard
@@ -27,9 +31,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_crf.score(docs, field, out="_score").where("_score >= 0.5").select(*docs.columns)
 
 
+def _own_id() -> Column:
+    """A number for each id and text, in the order of the ids; texts without an id come last."""
+    body = F.coalesce("text", F.lit(""))
+    digits = [F.pmod(F.xxhash64(body, F.lit(seed)), F.lit(10**18)).cast("decimal(18,0)") for seed in (0, 7)]
+    unit = F.lit(Decimal(10**18))
+    numbered = F.col("doc_id").cast("decimal(19,0)") * unit + digits[0]
+    return F.coalesce(numbered, F.lit(Decimal(10**37)) + digits[0] * unit + digits[1]).cast("decimal(38,0)")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = shingle_join.component_ids(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, docs["doc_id"] == found["_id"], "left_anti")
+    own = docs.withColumn("_id", _own_id())
+    found = shingle_join.component_ids(own, doc_id="_id").groupBy(F.col("doc_id").alias("_id"))
+    several = cut(found.agg(F.count("*").alias("many"), F.min("component_id").alias("first")).where("first <> _id or many > 1"))
+    alone = own.join(several, "_id", "left_anti").select(*docs.columns)
+    again = own.join(several.where("first = _id"), "_id", "left_semi")
+    one = again.groupBy("_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return alone.unionByName(one)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

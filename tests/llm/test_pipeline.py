@@ -46,6 +46,39 @@ def test_stages_against_plain_versions(spark, documents):
     assert sorted(map(str, whole.collect())) == sorted(map(str, held["tokens"].collect()))
 
 
+def test_repeated_rows_and_rows_without_ids(spark, documents, frame):
+    """Copies change nothing: one row of each text stays, through all stages."""
+    unlabelled = documents.join(spark.read.parquet(f"{SF_DIR}/labels.parquet").select("doc_id"), "doc_id", "left_anti")
+    some = [tuple(r) for r in unlabelled.select(*documents.columns).where("length(text) > 400").orderBy("doc_id").collect()]
+    nameless = (None, some[0][1][::-1], *some[0][2:])
+    other = (some[1][0], some[1][1][::-1], *some[1][2:])  # an id with another text
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    once = documents.unionByName(frame([nameless, other], kind))
+    copies = [*some, *some, *((None, *r[1:]) for r in some), *((None, r[1] + " more", *r[2:]) for r in some[:5]), nameless, nameless, other]
+    held = {}
+    for name, docs in (("once", once), ("copied", once.unionByName(frame(copies, kind)))):
+        held[name] = {}
+        for stage, run in corpus_pipeline.STAGES:
+            docs = cut(run(spark, docs, SF_DIR))
+            held[name][stage] = sorted(map(str, docs.collect()))
+    assert len(held["copied"]["quality"]) > len(held["once"]["quality"])
+    for stage in ("near_duplicates", "substrings", "mixture", "tokens"):
+        assert held["copied"][stage] == held["once"][stage]
+
+
+def test_copies_through_the_stages_that_drop(spark, frame):
+    text = " ".join(f"word{i}" for i in range(100))
+    wide = " ".join(f"term{i}" for i in range(100))
+    rows = [(1, text), (1, text), (None, text), (2, text + " end"), (None, wide), (None, wide), (3, "short"), (3, "short"), (4, None), (4, None), (3, wide[::-1])]
+    docs = frame([(*r, "en", "src0", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF_DIR)
+    assert kept.columns == docs.columns
+    want = sorted(map(str, [(1, text), (None, wide), (3, "short"), (3, wide[::-1]), (4, None)]))
+    assert sorted(str((r.doc_id, r.text)) for r in kept.collect()) == want
+    left = corpus_pipeline.substrings(spark, cut(kept), SF_DIR)
+    assert sorted(str((r.doc_id, r.text or None)) for r in left.collect()) == want
+
+
 def test_no_documents(spark, documents):
     docs = documents.where("false")
     for _, stage in corpus_pipeline.STAGES:
