@@ -2,11 +2,15 @@
 
 1. Every page scores its containers: the score is the share of the page's content characters (text outside menus,
    footers, adverts and the like, link text not counted) that lies in the container. The page's own choice is the
-   deepest container that still holds most of them. Containers are known by a *generalised path*: tags with their
-   classes from the root, digits replaced by ``#``.
-2. Spark counts the choices per host; the paths with most votes win.
-3. Every page is extracted again: from the containers on the winning path of most votes that it has, or from its own
-   choice where it has none.
+   deepest container that still holds most of them, or what that is a part of: the outermost article or main around
+   it, and any container around it that holds content directly, such as a headline or lead above the body. Containers
+   are known by a *generalised path*: tags with their classes from the root, digits replaced by ``#``.
+2. Spark counts the choices per host; every path that several pages chose is kept, ranked by its votes.
+3. Every page is extracted again: from the containers on the path of most votes that hold all of its own choice. Where
+   none does, its own choice stands if other pages of the host made it too. A choice that no other page made is no
+   template: such a page follows the path of most votes that has text on it, or its own choice if there is none.
+
+Content in other containers beside the choice, outside any article or main, is left out.
 
 Defined cases: null or empty html gives an empty text; so does a page whose only text is boilerplate. A null url and
 one without a host share the empty host. Ties between paths of equal votes go to the larger score, then to the path
@@ -29,8 +33,6 @@ from pyspark.sql import types as T
 from ..lineage import cut
 from .arrow import added, bounded, with_added
 
-#: Winning paths kept per host; a host seldom has more page templates.
-WINNERS = 4
 #: A container must hold this share of the page's content to be the page's choice.
 MOST = 0.8
 
@@ -183,15 +185,23 @@ class Page:
         return "/".join(reversed(names))
 
     def choice(self) -> tuple[int, float] | None:
-        """The deepest container with most of the content, and its share of the content's characters."""
-        mass = [0] * len(self.parents)
+        """The deepest container with most of the content, or what it is a part of, and its share of the content's characters."""
+        mass, direct = [0] * len(self.parents), [0] * len(self.parents)
         for at, text, linked in self.content():
             mass[at] += len(text) - linked
+            while not self.holds[at]:
+                at = self.parents[at]
+            direct[at] += len(text) - linked
         for at in range(len(mass) - 1, 0, -1):
             mass[self.parents[at]] += mass[at]
         if not mass[0]:
             return None
         best = max((at for at in range(len(mass)) if self.holds[at] and mass[at] >= MOST * mass[0]), key=lambda at: (self._depth(at), -at))
+        at = best
+        while at > 0:
+            at = self.parents[at]
+            if direct[at] or self.names[at].partition(".")[0] in ("article", "main"):
+                best = at
         return best, mass[best] / mass[0]
 
     def _depth(self, at: int) -> int:
@@ -201,7 +211,7 @@ class Page:
         return depth
 
     def text(self, votes: dict[str, float]) -> str:
-        """The text in the containers on the path with most votes that occurs, else in the page's own choice."""
+        """The text in the containers on the path with most votes that hold the page's own choice; see the module for other pages."""
         content = self.content()
         if not content:
             return ""
@@ -209,19 +219,23 @@ class Page:
         for at in range(1, len(self.parents)):
             if self.holds[at] and (path := self.path(at)) in votes:
                 inside.setdefault(path, set()).add(at)
-        for path in sorted(inside, key=lambda p: (-votes[p], p)):
-            if found := self._within(content, inside[path]):
-                return "\n".join(found)
         own = self.choice()
-        return "\n".join(self._within(content, {own[0] if own else 0}))
-
-    def _within(self, content: list[tuple[int, str, int]], tops: set[int]) -> list[str]:
+        top = own[0] if own else 0
+        mine = self._within(content, {top})
+        told = [self._within(content, inside[path]) for path in sorted(inside, key=lambda p: (-votes[p], p))]
+        found = next((blocks for blocks in told if set(mine) <= set(blocks)), None)
+        if found is None and self.path(top) not in votes:
+            found = next((blocks for blocks in told if blocks), None)
+        return "\n".join(content[i][1] for i in (mine if found is None else found))
+
+    def _within(self, content: list[tuple[int, str, int]], tops: set[int]) -> list[int]:
+        """Numbers of the blocks in the given containers."""
         found = []
-        for at, text, _ in content:
+        for i, (at, _, _) in enumerate(content):
             while at not in tops and at > 0:
                 at = self.parents[at]
             if at in tops:
-                found.append(text)
+                found.append(i)
         return found
 
 
@@ -230,7 +244,7 @@ def host(url: F.Column) -> F.Column:
 
 
 def votes(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """One row per host: its winning paths with their numbers of votes."""
+    """One row per host: the paths that several of its pages chose, ranked by their votes; the best has the largest number."""
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "html"):
@@ -248,13 +262,13 @@ def votes(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
         .mapInArrow(choose, "host string, path string, score double")
         .groupBy("host", "path")
         .agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("score"))
+        .where("n > 1")
     )
     order = Window.partitionBy("host").orderBy(F.desc("n"), F.desc("score"), "path")
     return (
         counted.withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= WINNERS)
         .groupBy("host")
-        .agg(F.map_from_entries(F.collect_list(F.struct("path", (F.lit(WINNERS + 1) - F.col("place")).alias("votes")))).alias("votes"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("path", (-F.col("place")).alias("votes")))).alias("votes"))
     )
 
 

@@ -49,6 +49,34 @@ def test_host_consensus(frame):
     assert max(won["a.example.org"], key=won["a.example.org"].get) == "body/div.wrap-#/div.t"
 
 
+LONG = "Words of the body go on and on. " * 30
+NESTED = [
+    (f"<body><article><h1>Head</h1><p>Lead.</p><div class=body><p>{LONG}</p></div></article></body>", f"Head\nLead.\n{LONG.strip()}"),
+    (f"<body><main><div class=top><h1>Head</h1></div><article><div class=body><p>{LONG}</p></div></article></main></body>", f"Head\n{LONG.strip()}"),
+    (f"<body><div class=post><h1>Head</h1><p>Lead.</p><div class=body><p>{LONG}</p></div></div></body>", f"Head\nLead.\n{LONG.strip()}"),
+]
+
+
+@pytest.mark.parametrize("html, want", NESTED)
+def test_nested_body_keeps_headline_and_lead(html, want):
+    assert text(html) == want
+
+
+def test_mixed_templates(frame):
+    """A page of a rarer template is not cut down to a small part that lies on the winning path; no template is too rare."""
+    small = "<div class=t><p>Short note {0}.</p></div>"
+    pages = [(i, f"<body><div class=t><p>Story {i}. {LONG}</p></div></body>", f"Story {i}. {LONG.strip()}") for i in range(9)]
+    for kind in range(6):
+        for page in range(2):
+            i = 100 + 10 * kind + page
+            pages.append((i, f"<body>{small.format(i)}<div class=k{'abcdef'[kind]}><p>Other {i}. {LONG}</p></div></body>", f"Other {i}. {LONG.strip()}"))
+    pages += [(200, f"<body><div class=t><div class=in><p>{LONG}</p></div><p>Tail.</p></div></body>", f"{LONG.strip()}\nTail.")]
+    pages += [(i, html, want) for i, (html, want) in enumerate(NESTED * 2, 300)]
+    rows = [(i, "https://hot.example.org/x", html) for i, html, _ in pages]
+    got = {r.page_id: r.text for r in op.extract(frame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: want for i, _, want in pages}
+
+
 def test_query_reads_documents_back(spark, documents):
     """The pages hold documents under a headline; all white space but line ends is one space."""
     from furrow.llm.queries import op5_host_paths
