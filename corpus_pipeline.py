@@ -6,8 +6,8 @@
    rows of one id with other texts are documents of their own.
 3. substrings: bytes covered by a repeated 200-byte string go from the texts; characters cut in two go whole, and a
    document of which nothing is left goes.
-4. mixture: documents are sampled by calibrated probabilities, so that tokens meet the target shares of sources,
-   languages and topics.
+4. mixture: documents are sampled by calibrated probabilities, so that expected tokens meet the target shares of sources,
+   languages and topics; categories with too few tokens are taken whole, and shares off their targets are logged.
 5. tokens: texts become token ids.
 
 All stages but the last return the columns of ``documents``; ``n_chars`` follows the text.

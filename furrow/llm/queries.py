@@ -48,7 +48,7 @@ def token_count(text: str) -> F.Column:
 
 def op2_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", token_count("text").alias("tokens"))
-    mixed = raking.mix(with_topic(docs, spark, sf_dir), MIX, RATE)
+    mixed = raking.mix(with_topic(docs, spark, sf_dir), MIX, RATE, bounded=False)  # as its SQL has it
     return mixed.withColumns({c: F.round(c, 6) for c in ("weight", "probability")})
 
 

@@ -1,9 +1,12 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Token masses are summed by cell (one category of each dimension, such as source, language and topic). Raking scales
-the cells dimension by dimension until the token shares of all categories meet their targets. Every document then has
-the inclusion probability ``min(1, c * weight of its cell)``, with ``c`` set so that the expected number of sampled
-tokens is the budget, and a fixed hash of its id decides.
+the cells dimension by dimension until the token shares of all categories meet their targets: this gives the weights.
+A probability is at most 1, so probabilities are raked again with that bound inside: each step scales the cells of a
+category so that with the bound the expected tokens are its target share of the budget. A fixed hash of the id decides.
+A category that has fewer tokens than its target is taken whole, and the others of its dimension share the rest by
+their targets; shares that stay off their targets are logged. With ``bounded=False`` the probability is
+``min(1, c * weight of its cell)`` with ``c`` set to the budget, and shares of clipped cells fall short.
 
 Values without a target, nulls among them, form the category ``(other)``, which gets the share that the targets leave.
 So the number of cells is bounded by the targets given, whatever the data: only cells come to the driver.
@@ -17,6 +20,7 @@ named like the added ones are replaced.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping
 
 import numpy as np
@@ -27,6 +31,12 @@ from ..joins import match
 
 OTHER = "(other)"
 SWEEPS = 25
+#: Rounds of raking under the bound at most; it ends when all margins are met to this share of the budget.
+ROUNDS, CLOSE = 1000, 1e-7
+#: Factors stay within this range where targets of several dimensions cannot be met together.
+RANGE = 1e9
+#: Expected shares this far off their targets are logged.
+OFF = 1e-3
 Targets = Mapping[str, Mapping[str, float]]
 
 
@@ -53,17 +63,56 @@ def rake(mass: np.ndarray, codes: np.ndarray, targets: list[np.ndarray], sweeps:
     return np.divide(scaled, mass, out=np.ones_like(scaled), where=mass > 0)
 
 
-def probabilities(mass: np.ndarray, weight: np.ndarray, budget: float) -> np.ndarray:
-    """min(1, c * weight) with the expected mass ``budget``, or all that has a weight where that is less."""
+def scale(mass: np.ndarray, weight: np.ndarray, budget: float) -> float:
+    """c so that min(1, c * weight) has the expected mass ``budget``; infinite if all that has a weight is less."""
     order = np.argsort(-weight, kind="stable")
     m, w = mass[order].astype(float), weight[order]
     full = np.concatenate([[0.0], np.cumsum(m)])[:-1]  # mass of the cells of larger weight, taken whole
     rest = np.cumsum((m * w)[::-1])[::-1]
-    scale = np.divide(budget - full, rest, out=np.full_like(rest, np.inf), where=rest > 0)
-    fits = np.flatnonzero((rest > 0) & (np.where(rest > 0, scale, 0.0) * w <= 1))
-    if len(fits) == 0:
-        return (weight > 0).astype(float)
-    return np.minimum(1.0, max(scale[fits[0]], 0.0) * weight)
+    found = np.divide(budget - full, rest, out=np.full_like(rest, np.inf), where=rest > 0)
+    fits = np.flatnonzero((rest > 0) & (np.where(rest > 0, found, 0.0) * w <= 1))
+    return max(found[fits[0]], 0.0) if len(fits) else np.inf
+
+
+def probabilities(mass: np.ndarray, weight: np.ndarray, budget: float) -> np.ndarray:
+    """min(1, c * weight) with the expected mass ``budget``, or all that has a weight where that is less."""
+    c = scale(mass, weight, budget)
+    return np.minimum(1.0, c * weight) if np.isfinite(c) else (weight > 0).astype(float)
+
+
+def reachable(mass: np.ndarray, target: np.ndarray, budget: float) -> np.ndarray:
+    """Tokens of each category: in proportion to the targets, but no more than there are."""
+    wanted = np.divide(target, mass, out=np.zeros(len(mass)), where=mass > 0)
+    return mass * probabilities(mass, wanted, budget)
+
+
+def bounded_probabilities(mass: np.ndarray, codes: np.ndarray, targets: list[np.ndarray], budget: float) -> np.ndarray:
+    """Probabilities by cell with the expected mass ``budget`` and each dimension's reachable shares. codes: cells x dimensions."""
+    factors = np.ones(len(mass))
+    margins = []
+    for d, target in enumerate(targets):
+        held = np.bincount(codes[:, d], mass, len(target))
+        if target[held > 0].sum() > 0:
+            goals = reachable(held, target, budget)
+            margins.append([(np.flatnonzero(codes[:, d] == c), goals[c]) for c in np.flatnonzero(held > 0)])
+    for _ in range(ROUNDS):
+        for margin in margins:
+            for cells, goal in margin:
+                now = factors[cells]
+                c = scale(mass[cells], now, goal)
+                if not np.isfinite(c):  # taken whole
+                    c = 1 / now[now > 0].min() if now.any() else 1.0
+                factors[cells] = np.where((now > 0) & (goal > 0), np.clip(now * c, 1 / RANGE, RANGE), 0.0)
+        taken = mass * np.minimum(1.0, factors)
+        if max((abs(taken[cells].sum() - goal) for margin in margins for cells, goal in margin), default=0.0) <= CLOSE * budget:
+            break
+    return probabilities(mass, factors, budget)
+
+
+def expected_shares(mass: np.ndarray, codes: np.ndarray, chance: np.ndarray, d: int, size: int) -> np.ndarray:
+    """Expected token shares of a dimension's categories."""
+    taken = np.bincount(codes[:, d], mass * chance, size)
+    return taken / taken.sum() if taken.sum() > 0 else taken
 
 
 def lot(doc_id: Column, seed: int) -> Column:
@@ -74,7 +123,7 @@ def lot(doc_id: Column, seed: int) -> Column:
 
 def mix(
     docs: DataFrame, targets: Targets, rate: float, doc_id: str = "doc_id", tokens: str = "tokens", seed: int = 0,
-    sweeps: int = SWEEPS,
+    sweeps: int = SWEEPS, bounded: bool = True,
 ) -> DataFrame:
     """Add weight, probability and kept. ``targets``: by column, the token share of each value; ``rate``: of all tokens."""
     names = [f"_cell_{d}" for d in targets]
@@ -86,8 +135,17 @@ def mix(
     index = [{value: i for i, value in enumerate(t)} for t in wanted]
     mass = np.array([c["_mass"] for c in cells], float)
     codes = np.array([[index[d][c[n]] for d, n in enumerate(names)] for c in cells], int).reshape(len(cells), len(names))
-    weight = rake(mass, codes, [np.array(list(t.values())) for t in wanted], sweeps) if len(cells) else mass
-    chance = probabilities(mass, weight, rate * mass.sum()) if len(cells) else mass
+    goals = [np.array(list(t.values())) for t in wanted]
+    weight = rake(mass, codes, goals, sweeps) if len(cells) else mass
+    if bounded and len(cells):
+        chance = bounded_probabilities(mass, codes, goals, rate * mass.sum())
+        for d, (column, goal) in enumerate(zip(targets, goals)):
+            got = expected_shares(mass, codes, chance, d, len(goal))
+            missed = {v: (round(float(s), 4), round(float(g), 4)) for v, s, g in zip(wanted[d], got, goal) if abs(s - g) > OFF}
+            if missed:
+                logging.getLogger(__name__).warning("%s: expected shares off their targets (share, target): %s", column, missed)
+    else:
+        chance = probabilities(mass, weight, rate * mass.sum()) if len(cells) else mass
     kind = ", ".join(f"{n} string" for n in names) + ", weight double, probability double"
     rows = [(*(c[n] for n in names), float(w), float(p)) for c, w, p in zip(cells, weight, chance)]
     found = docs.sparkSession.createDataFrame(rows, kind)

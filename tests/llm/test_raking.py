@@ -25,6 +25,32 @@ def test_probabilities_meet_the_budget():
     assert op.probabilities(mass, np.zeros(4), 5).tolist() == [0, 0, 0, 0]
 
 
+def shares_of(mass, codes, p):
+    return [np.bincount(codes[:, d], mass * p) / (mass * p).sum() for d in range(codes.shape[1])]
+
+
+def test_bounded_probabilities_meet_the_targets():
+    """Clipped cells leave the margins short unless the others are raked again."""
+    codes = np.array([(a, b) for a in range(2) for b in range(3)])
+    mass, targets = np.array([16.0, 60, 40, 16, 40, 28]), [np.array([0.35, 0.65]), np.array([0.3, 0.3, 0.4])]
+    clipped = op.probabilities(mass, op.rake(mass, codes, targets, 200), 100)
+    assert max(abs(s - t).max() for s, t in zip(shares_of(mass, codes, clipped), targets)) > 0.01
+    p = op.bounded_probabilities(mass, codes, targets, 100)
+    assert np.isclose((mass * p).sum(), 100) and p.max() <= 1 and p.min() > 0
+    assert all(np.allclose(s, t, atol=1e-5) for s, t in zip(shares_of(mass, codes, p), targets))
+
+
+def test_unreachable_targets_are_taken_whole_and_logged(frame, caplog):
+    rows = [(i, "rare" if i % 20 == 0 else "common", "en" if i % 4 else "de", 10) for i in range(2000)]
+    docs = frame(rows, "doc_id long, topic string, lang string, tokens long")
+    got = op.mix(docs, {"topic": {"rare": 0.3, "common": 0.7}, "lang": {"en": 0.5, "de": 0.5}}, 0.4).toPandas()
+    taken = got.tokens * got.probability
+    assert np.isclose(taken.sum(), 0.4 * got.tokens.sum())
+    assert np.allclose(got[got.topic == "rare"].probability, 1, atol=1e-4)
+    assert np.isclose(taken[got.lang == "de"].sum() / taken.sum(), 0.5, atol=1e-4)
+    assert "topic" in caplog.text and "rare" in caplog.text and "lang" not in caplog.text
+
+
 ROWS = [(i, f"s{i % 3}", "en" if i % 4 else None, i % 7, 1.0) for i in range(3000)] + [(None, "s0", "en", None, 1.0), (7, "s1", "en", 0, 1.0), (7, "s1", "en", 0, 1.0)]
 TARGETS = {"source": {"s0": 0.6, "s1": 0.2, "zz": 0.1}, "lang": {"en": 0.9}}
 
