@@ -5,7 +5,8 @@
    one row. Rows of one text and id are one document, and rows of one text without an id too, which come after all ids;
    rows of one id with other texts are documents of their own.
 3. substrings: bytes covered by a repeated 200-byte string go from the texts; characters cut in two go whole, and a
-   document of which nothing is left goes.
+   document of which nothing is left goes. All places of the string go, the first too: no copy of a passage that several
+   documents share stays in the corpus, nor a document that lies whole in a longer one.
 4. mixture: documents are sampled by calibrated probabilities, so that expected tokens meet the target shares of sources,
    languages and topics; categories with too few tokens are taken whole, and shares off their targets are logged.
 5. tokens: texts become token ids.

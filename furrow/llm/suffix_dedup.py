@@ -346,7 +346,7 @@ def dedup_text(
 ) -> DataFrame:
     """The documents with what is left of their texts, and ``n_removed``, the bytes gone.
 
-    A character of which a run covers some bytes goes whole.
+    A character of which a run covers some bytes goes whole. Every place of a repeated string goes, the first too.
     """
     bodies = _prepared(docs, doc_id, text)
     joined = bodies.join(_spans(bodies, text, length, sample or content(reach), reach, hot), ["_id", "_key"], "left")
