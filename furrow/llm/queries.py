@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_topk, bpe_prefix, host_paths, line_crf, perspectives, raking, sentence_spans, shingle_join, spot_signatures, suffix_dedup
+from . import (
+    block_topk, bpe_prefix, collocations, host_paths, line_crf, periodic_runs, perspectives, raking, sentence_spans, shingle_join,
+    spot_signatures, suffix_dedup, toxicity,
+)
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -111,5 +114,34 @@ def op10_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in [op1_spot_signatures, op2_raking, op3_line_crf, op4_perspectives, op5_host_paths, op6_bpe_prefix, op7_shingle_join, op8_suffix_dedup, op9_sentence_spans, op10_block_topk]}
-ORACLE: dict[str, str] = {"op1_spot_signatures": spot_signatures.sql(), "op2_raking": OP2_SQL, "op4_perspectives": perspectives.sql(), "op7_shingle_join": shingle_join.sql(), "op9_sentence_spans": sentence_spans.sql(), "op10_block_topk": block_topk.sql()}
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    lexicon = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out))
+    return toxicity.score(docs, lexicon).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crc = F.crc32(F.col("doc_id").cast("string"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.when(crc % 10 == 0, F.expr("crc32(cast(doc_id AS string)) div 10")).alias("g"))
+    done = periodic_runs.periodic_runs(docs, planted="g")
+    best = F.array_max(F.transform("runs", lambda r: F.struct((r["length"] / r["period"]).alias("x"), (-r["start"]).alias("start"), (-r["period"]).alias("period"), r["length"].alias("length"))))
+    told = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return done.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("(1000 * best.length) div -best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(told, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.first_phrases(collocations.collocations(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+QUERIES = {f.__name__: f for f in [op1_spot_signatures, op2_raking, op3_line_crf, op4_perspectives, op5_host_paths, op6_bpe_prefix, op7_shingle_join, op8_suffix_dedup, op9_sentence_spans, op10_block_topk, op11_toxicity, op12_periodic_runs, op13_collocations]}
+ORACLE: dict[str, str] = {"op1_spot_signatures": spot_signatures.sql(), "op2_raking": OP2_SQL, "op4_perspectives": perspectives.sql(), "op7_shingle_join": shingle_join.sql(), "op9_sentence_spans": sentence_spans.sql(), "op10_block_topk": block_topk.sql(), "op13_collocations": collocations.sql()}
