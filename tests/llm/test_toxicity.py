@@ -41,7 +41,7 @@ def made(count, rng):
         toxic = int(rng.random() < 0.3)
         for _ in range(4 * toxic):
             words.insert(rng.randrange(len(words)), "grum" + rng.choice(["ble", "pel", "o", "zz"]))
-        if not toxic and rng.random() < 0.3:
+        if not toxic and rng.random() < 0.06:
             words += ["grumble", "bee"]
         yield i, " ".join(words), toxic
 
