@@ -508,13 +508,20 @@ sql(
     body=f"""SELECT id AS node, {r("coalesce(score, 0) / ((n - 1) * (n - 2))")} AS score
 FROM nodes CROSS JOIN size LEFT JOIN through ON node = id""",
 )
+
+
+def squared(rounds: int) -> str:
+    """The matrix of links and one loop a node, squared and scaled again and again: a power of 2**rounds."""
+    steps = ["m0 AS MATERIALIZED (SELECT src AS i, dst AS j, CAST(1 AS DOUBLE) AS x FROM adj UNION ALL SELECT id, id, 1 FROM nodes)"]
+    for k in range(rounds):
+        product = f"SELECT a.i, b.j, sum(a.x * b.x) AS x FROM m{k} a JOIN m{k} b ON a.j = b.i GROUP BY a.i, b.j"
+        steps.append(f"m{k + 1} AS MATERIALIZED (SELECT i, j, x / max(x) OVER () AS x FROM ({product}))")
+    return ",\n".join(steps)
+
+
 sql(
-    "eigenvector_centrality", *GRAPH,
-    "steps AS (SELECT src, dst FROM adj UNION ALL SELECT id, id FROM nodes)",
-    """power(k, node, x) AS (SELECT 0, id, CAST(1 AS DOUBLE) FROM nodes
-  UNION ALL SELECT k + 1, dst, sum(x) / 10 FROM power JOIN steps ON src = node WHERE k < 300 GROUP BY k, dst)""",
-    recursive=True,
-    body=f"SELECT node, {r('x / sqrt(sum(x * x) OVER ())')} AS score FROM power WHERE k = 300",
+    "eigenvector_centrality", *GRAPH, squared(16), "lead AS (SELECT i AS node, sum(x) AS x FROM m16 GROUP BY i)",
+    body=f"SELECT node, {r('x / sqrt(sum(x * x) OVER ())')} AS score FROM lead",
 )
 
 # --- divergence and winnowing ---------------------------------------------

@@ -644,7 +644,7 @@ def betweenness_centrality(spark, sf_dir):
 
 @query
 def eigenvector_centrality(spark, sf_dir):
-    return _scored(spark, sf_dir, "eigenvector", max_iter=1000, tol=1e-10, steps_per_round=10)
+    return _scored(spark, sf_dir, "eigenvector", tol=1e-10)
 
 
 @query

@@ -110,6 +110,36 @@ def test_eigenvector_equals_numpy(spark, monkeypatch, self_loops):
     assert [got[n] for n in nodes] == pytest.approx(want, abs=1e-6)
 
 
+def _leading(nodes, edges):
+    """The part of equal entries that lies in the leading eigenspace."""
+    matrix = np.zeros((len(nodes), len(nodes)))
+    for a, b in edges:
+        matrix[nodes.index(a), nodes.index(b)] = matrix[nodes.index(b), nodes.index(a)] = 1
+    values, vectors = np.linalg.eigh(matrix)
+    space = vectors[:, values > values.max() - 1e-9]
+    lead = space @ (space.T @ np.ones(len(nodes)))
+    return lead / np.linalg.norm(lead)
+
+
+def _several(copies, extra):
+    """Equal components with an odd cycle and a tail, and paths of other lengths."""
+    edges = []
+    for c in range(copies):
+        edges += [(f"c{c}n{a}", f"c{c}n{b}") for a, b in [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 5)]]
+    for p, size in enumerate(extra):
+        edges += [(f"p{p}n{i:02d}", f"p{p}n{i + 1:02d}") for i in range(size)]
+    return sorted({n for e in edges for n in e}), edges
+
+
+@pytest.mark.parametrize("nodes, edges", [_several(3, [4, 9]), _several(0, [24, 25, 26, 26]), _several(1, [2])])
+def test_eigenvector_of_equal_and_close_components(spark, monkeypatch, nodes, edges):
+    """Paths of 26 and 27 nodes have leading values 0.001 apart, the two longest ones equal values."""
+    monkeypatch.setattr(graph, "BASIS", 20)
+    monkeypatch.setattr(graph, "KEPT", 5)
+    got = _scores(graph.eigenvector_centrality(*_frames(spark, nodes, edges), tol=1e-10))
+    assert [got[n] for n in nodes] == pytest.approx(_leading(nodes, edges), abs=1e-7)
+
+
 def test_eigenvector_that_does_not_settle(spark):
     nodes, edges = _random_graph()
     with pytest.raises(RuntimeError):
