@@ -5,15 +5,23 @@ tiles: taxa are numbered and cut into blocks, samples are hashed into slices,
 and each task multiplies one slice of two blocks with NumPy. A hot sample is
 spread over the blocks and a hot taxon over the slices, so every task has
 bounded work. Cells that are absent count as zero.
+
+Where only strong pairs are asked for, a tile decides in its task. With one
+slice it knows the correlation. With several, the correlation is a sum over
+slices, each term at most the product of the two taxa's norms on that slice
+(Cauchy-Schwarz), and these products add up to one at most: so a pair that
+reaches the threshold reaches it on some slice, relative to its norms there.
+Tiles name such pairs only, and a second pass sums the products of these.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..joins import attach, attach_measured
@@ -27,13 +35,14 @@ TILE_CELLS = 2_000_000
 DENSE_SAMPLES = 8_192
 # Rows of one value that a task may join.
 HOT_ROWS = 500_000
+# What a bound may lose to rounding.
+SLACK = 1e-7
 
 
-def _tile_products(n_taxa: int, width: int):
-    """Task function: sums of products of the taxa of two blocks over one slice of samples."""
+class _Tile:
+    """One slice of two blocks: products of their taxa, and each taxon's sums of values and squares there."""
 
-    def multiply(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        piece, left, right = (int(k) for k in key)
+    def __init__(self, rows: pd.DataFrame, left: int, right: int, n_taxa: int, width: int):
         sample = pd.factorize(rows["sample"])[0]
         block, columns, values = (rows[c].to_numpy() for c in ("block", "columns", "values"))
         sizes = {b: min(width, n_taxa - b * width) for b in (left, right)}
@@ -47,10 +56,22 @@ def _tile_products(n_taxa: int, width: int):
                 cells[at, np.concatenate(columns[mine])] = np.concatenate(values[mine])
             return cells
 
-        products = np.zeros((sizes[left], sizes[right]))
+        self.products = np.zeros((sizes[left], sizes[right]))
+        self.sums = [np.zeros((2, sizes[b])) for b in (left, right)]
         for start in range(0, sample.max(initial=-1) + 1, DENSE_SAMPLES):
             first = dense(left, start)
-            products += first.T @ (first if left == right else dense(right, start))
+            second = first if left == right else dense(right, start)
+            self.products += first.T @ second
+            for held, cells in zip(self.sums, (first, second)):
+                held += cells.sum(0), (cells * cells).sum(0)
+
+
+def _tile_products(n_taxa: int, width: int):
+    """Task function: sums of products of the taxa of two blocks over one slice of samples."""
+
+    def multiply(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        piece, left, right = (int(k) for k in key)
+        products = _Tile(rows[rows["columns"].notna()], left, right, n_taxa, width).products
         # Slice 0 lists every pair; elsewhere only pairs that meet matter.
         wanted = np.full(products.shape, True) if piece == 0 else products != 0
         if left == right:
@@ -61,6 +82,59 @@ def _tile_products(n_taxa: int, width: int):
     return multiply
 
 
+def _block_facts(rows: pd.DataFrame, left: int, right: int) -> list[np.ndarray]:
+    """Sums of values and squares over all samples, of the taxa of both blocks."""
+    facts = rows[rows["sums"].notna()].drop_duplicates("block").set_index("block")
+    return [np.array([facts.at[b, "sums"], facts.at[b, "squares"]]) for b in (left, right)]
+
+
+def _tile_candidates(n_taxa: int, width: int, n_samples: int, in_slice: dict[int, int], threshold: float):
+    """Task function: pairs of two blocks that reach the threshold on one slice, relative to their norms there.
+
+    The bound errs by rounding only, which ``SLACK`` covers. With one slice the pair's correlation is told as well.
+    """
+
+    def pick(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        piece, left, right = (int(k) for k in key)
+        facts = _block_facts(rows, left, right)
+        tile = _Tile(rows[rows["columns"].notna()], left, right, n_taxa, width)
+        mean = [all_sums / n_samples for all_sums, _ in facts]
+        n = in_slice.get(piece, 0)
+        centred = tile.products - np.outer(tile.sums[0][0], mean[1]) - np.outer(mean[0], tile.sums[1][0]) + n * np.outer(*mean)
+        norm = [np.sqrt(np.maximum(q - 2 * m * s + n * m * m, 0)) for m, (s, q) in zip(mean, tile.sums)]
+        reached = np.abs(centred) >= (threshold - SLACK) * np.outer(*norm)
+        if len(in_slice) == 1:
+            r = _pearson(n_samples, tile.products, facts[0][:, :, None], facts[1][:, None, :])
+            reached = np.abs(r) >= threshold - SLACK
+        if left == right:
+            reached = np.triu(reached, 1)
+        i, j = np.nonzero(reached)
+        out = pd.DataFrame({"left": left, "right": right, "i": i + left * width, "j": j + right * width})
+        return out.assign(r=r[i, j] if len(in_slice) == 1 else np.nan)
+
+    return pick
+
+
+def _pearson(n: int, products, first, second):
+    """Correlation from products and both sides' sums of values and squares."""
+    (s1, q1), (s2, q2) = first, second
+    return (n * products - s1 * s2) / (np.sqrt(n * q1 - s1 * s1) * np.sqrt(n * q2 - s2 * s2))
+
+
+def _tile_chosen(n_taxa: int, width: int):
+    """Task function: products over one slice of the pairs that were picked."""
+
+    def multiply(key: tuple, rows: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        _, left, right = (int(k) for k in key)
+        if not len(pairs):
+            return pd.DataFrame({"i": [], "j": [], "products": []}).astype({"i": int, "j": int})
+        tile = _Tile(rows[rows["columns"].notna()], left, right, n_taxa, width)
+        i, j = pairs["i"].to_numpy(), pairs["j"].to_numpy()
+        return pd.DataFrame({"i": i, "j": j, "products": tile.products[i - left * width, j - right * width]})
+
+    return multiply
+
+
 def taxon_sums(cells: DataFrame, n_samples: int) -> DataFrame:
     """Per taxon ``(s, q, constant)``: sum, sum of squares, and whether all samples agree."""
     absent = F.when(F.count("*") < n_samples, F.lit(0.0))
@@ -104,13 +178,20 @@ def _numbered(facts: DataFrame) -> tuple[DataFrame, int]:
     return rows.withColumn("id", (F.col("rn") - 1).cast("int")).drop("rn"), seen["n"]
 
 
-def correlations(counts: DataFrame, method: str = "spearman", stored: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Correlation of every pair of non-constant taxa, and those taxa.
+@dataclass
+class _Packed:
+    """Cells in tiles: ``rows`` of a sample and block (columns, values), dealt to all tiles of the block."""
 
-    ``counts`` has one row per ``(sample, taxon)`` with value ``n``; ``stored``
-    tells that it reads a table and need not be stored first. Returns
-    ``(t1, t2, r)`` with ``t1 < t2``, and ``(taxon)``.
-    """
+    rows: DataFrame
+    taxa: DataFrame
+    n_taxa: int
+    n_samples: int
+    slices: int
+    blocks: int
+    in_slice: DataFrame
+
+
+def _packed(counts: DataFrame, method: str, stored: bool) -> _Packed:
     if method not in ("spearman", "pearson"):
         raise ValueError("method is 'spearman' or 'pearson'")
     spark = counts.sparkSession
@@ -130,6 +211,7 @@ def correlations(counts: DataFrame, method: str = "spearman", stored: bool = Fal
     taxa, n_taxa = _numbered(facts)
     blocks = max(1, math.ceil(n_taxa / BLOCK_TAXA))
     slices = max(1, math.ceil(n_samples / SLICE_SAMPLES), math.ceil(2 * n_cells / (blocks * TILE_CELLS)))
+    slice_of = F.pmod(F.xxhash64("sample"), F.lit(slices)).cast("int")
 
     # One row per sample and block: at most BLOCK_TAXA cells each.
     numbered = attach_measured(values, taxa.select("taxon", "id"), ["taxon"], ["sample"], stored=True)
@@ -137,32 +219,79 @@ def correlations(counts: DataFrame, method: str = "spearman", stored: bool = Fal
     packed = (
         numbered.groupBy("sample", F.floor(F.col("id") / BLOCK_TAXA).cast("int").alias("block"))
         .agg(F.collect_list(cell).alias("cells"))
-        .select(
-            F.pmod(F.xxhash64("sample"), F.lit(slices)).cast("int").alias("slice"),
-            "sample",
-            "block",
-            F.col("cells.column").alias("columns"),
-            F.col("cells.value").alias("values"),
-        )
+        .select(slice_of.alias("slice"), "sample", "block", F.col("cells.column").alias("columns"), F.col("cells.value").alias("values"))
+    )
+    # A row of facts per block and slice, so that all tiles exist and know their taxa's sums.
+    fact = F.struct("id", "s", "q")
+    known = taxa.groupBy(F.floor(F.col("id") / BLOCK_TAXA).cast("int").alias("block")).agg(F.sort_array(F.collect_list(fact)).alias("facts"))
+    present = known.select(
+        "block", F.col("facts.s").alias("sums"), F.col("facts.q").alias("squares"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice")
     )
-    # An empty row per block, so that slice 0 has all tiles.
-    present = spark.range(blocks).select(F.col("id").cast("int").alias("block"), F.lit(0).alias("slice"))
     rows = (
         packed.unionByName(present, allowMissingColumns=True)
         .withColumn("_with", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         .withColumns({"left": F.least("block", "_with"), "right": F.greatest("block", "_with")})
         .drop("_with")
     )
-    multiply = _tile_products(n_taxa, BLOCK_TAXA)
-    tiles = rows.groupBy("slice", "left", "right").applyInPandas(multiply, "i int, j int, products double")
-    pairs = tiles.groupBy("i", "j").agg(F.sum("products").alias("p"))
+    in_slice = cells.select("sample").distinct().groupBy(slice_of.alias("slice")).agg(F.count("*").alias("n"))
+    return _Packed(rows, taxa, n_taxa, n_samples, slices, blocks, in_slice)
+
+
+def _with_facts(pairs: DataFrame, taxa: DataFrame, *columns: str) -> DataFrame:
     for side, other, suffix in (("i", "j", "1"), ("j", "i", "2")):
-        facts = taxa.select(F.col("id").alias(side), *[F.col(c).alias(c + suffix) for c in ("taxon", "s", "q")])
+        facts = taxa.select(F.col("id").alias(side), *[F.col(c).alias(c + suffix) for c in columns])
         pairs = attach_measured(pairs, facts, [side], [other], stored=True)
+    return pairs
+
+
+def _correlation(pairs: DataFrame, n_samples: int) -> Column:
     n = F.lit(float(n_samples))
     spread = F.sqrt(n * F.col("q1") - F.col("s1") * F.col("s1")) * F.sqrt(n * F.col("q2") - F.col("s2") * F.col("s2"))
-    r = F.try_divide(n * F.col("p") - F.col("s1") * F.col("s2"), spread)
-    return pairs.select(F.col("taxon1").alias("t1"), F.col("taxon2").alias("t2"), F.coalesce(r, F.lit(0.0)).alias("r")), taxa.select("taxon")
+    return F.coalesce(F.try_divide(n * F.col("p") - F.col("s1") * F.col("s2"), spread), F.lit(0.0))
+
+
+def correlations(counts: DataFrame, method: str = "spearman", stored: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Correlation of every pair of non-constant taxa, and those taxa.
+
+    ``counts`` has one row per ``(sample, taxon)`` with value ``n``; ``stored``
+    tells that it reads a table and need not be stored first. Returns
+    ``(t1, t2, r)`` with ``t1 < t2``, and ``(taxon)``.
+    """
+    held = _packed(counts, method, stored)
+    multiply = _tile_products(held.n_taxa, BLOCK_TAXA)
+    tiles = held.rows.groupBy("slice", "left", "right").applyInPandas(multiply, "i int, j int, products double")
+    pairs = _with_facts(tiles.groupBy("i", "j").agg(F.sum("products").alias("p")), held.taxa, "taxon", "s", "q")
+    r = _correlation(pairs, held.n_samples)
+    return pairs.select(F.col("taxon1").alias("t1"), F.col("taxon2").alias("t2"), r.alias("r")), held.taxa.select("taxon")
+
+
+def strong_pairs(
+    counts: DataFrame, method: str = "spearman", keep_thresh: float = 0.5, stored: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """The edges of :func:`strong_edges` over :func:`correlations`, and the taxa, without listing the other pairs.
+
+    Tiles name candidates only: with one slice of samples these are the edges.
+    """
+    held = _packed(counts, method, stored)
+    in_slice = {0: held.n_samples}
+    if held.slices > 1:
+        in_slice = {int(r["slice"]): int(r["n"]) for r in held.in_slice.collect()}  # a number for each slice
+        in_slice |= {k: 0 for k in range(held.slices) if k not in in_slice}
+    pick = _tile_candidates(held.n_taxa, BLOCK_TAXA, held.n_samples, in_slice, keep_thresh)
+    tile = ["slice", "left", "right"]
+    found = held.rows.groupBy(*tile).applyInPandas(pick, "left int, right int, i int, j int, r double")
+    if held.slices > 1:
+        found = cut(found.drop("r").distinct())
+        rows = held.rows.join(found.select("left", "right").distinct(), ["left", "right"], "left_semi")
+        asked = found.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(held.slices - 1))))
+        multiply = _tile_chosen(held.n_taxa, BLOCK_TAXA)
+        chosen = rows.groupBy(*tile).cogroup(asked.groupBy(*tile)).applyInPandas(multiply, "i int, j int, products double")
+        pairs = _with_facts(chosen.groupBy("i", "j").agg(F.sum("products").alias("p")), held.taxa, "taxon", "s", "q")
+        pairs = pairs.withColumn("r", _correlation(pairs, held.n_samples))
+    else:
+        pairs = _with_facts(found.select("i", "j", "r"), held.taxa, "taxon")
+    named = pairs.select(F.col("taxon1").alias("t1"), F.col("taxon2").alias("t2"), "r")
+    return strong_edges(named, keep_thresh), held.taxa.select("taxon")
 
 
 def strong_edges(pairs: DataFrame, keep_thresh: float = 0.5) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..lineage import cut, scope
 from ..operators import counts as tables
-from ..operators.correlation import correlations, strong_edges
+from ..operators.correlation import strong_pairs
 from ..operators.divergence import divergence_curve, kl_divergence
 from ..operators.graph import both_ways, centrality, top_nodes
 from ..params import WinnowParams
@@ -16,8 +16,8 @@ from ..params import WinnowParams
 def correlation_graph(counts: DataFrame, params: WinnowParams) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of the thresholded correlation graph over all samples of a stored table."""
     cells = counts.withColumn("sample", F.concat_ws("|", "condition", F.col("sample_id").cast("string")))
-    pairs, taxa = correlations(cells, params.correlation, stored=True)
-    return taxa.select(F.col("taxon").alias("id")), cut(strong_edges(pairs, params.keep_thresh))
+    edges, taxa = strong_pairs(cells, params.correlation, params.keep_thresh, stored=True)
+    return taxa.select(F.col("taxon").alias("id")), cut(edges)
 
 
 def pulls(nodes: DataFrame, edges: DataFrame, params: WinnowParams, max_steps: int) -> list[tuple[int, str, float]]:

@@ -583,8 +583,8 @@ def spearman_matrix(spark, sf_dir):
 
 
 def _strong(rows: DataFrame, method: str) -> DataFrame:
-    pairs, _ = correlation.correlations(rows, method)
-    return correlation.strong_edges(pairs, KEEP_THRESH).withColumn("weight", rounded(F.col("weight")))
+    edges, _ = correlation.strong_pairs(rows, method, KEEP_THRESH)
+    return edges.withColumn("weight", rounded(F.col("weight")))
 
 
 @query
@@ -612,8 +612,7 @@ def sparse_spearman_edges(spark, sf_dir):
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    pairs, taxa = correlation.correlations(inputs.with_sample(inputs.linked_counts(spark, sf_dir)), "pearson")
-    edges = correlation.strong_edges(pairs, KEEP_THRESH)
+    edges, taxa = correlation.strong_pairs(inputs.with_sample(inputs.linked_counts(spark, sf_dir)), "pearson", KEEP_THRESH)
     return taxa.select(F.col("taxon").alias("id")), cut(edges)
 
 

@@ -59,6 +59,40 @@ def test_strong_edges(spark):
     assert correlation.strong_edges(pairs, 0.0).count() == 2
 
 
+@pytest.mark.parametrize("method", ["spearman", "pearson"])
+@pytest.mark.parametrize("tiny_tiles", [False, True])
+def test_strong_pairs_equal_all_pairs(spark, monkeypatch, method, tiny_tiles):
+    if tiny_tiles:
+        for name, value in (("BLOCK_TAXA", 4), ("SLICE_SAMPLES", 9), ("DENSE_SAMPLES", 5)):
+            monkeypatch.setattr(correlation, name, value)
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 9, (60, 4))
+    wide = {f"t{k:02d}": base[:, k % 4] * (1 + k % 3) + rng.integers(0, 2 + 4 * (k % 5), 60) for k in range(12)}
+    wide |= {"mirror": 20 - wide["t00"], "half": np.where(np.arange(60) < 30, 7, 0), "other": np.where(np.arange(60) < 30, 0, 3), "flat": np.full(60, 2)}
+    rows = [(f"s{i}", t, float(v)) for t, vs in wide.items() for i, v in enumerate(vs) if v or i == 0]
+    table = spark.createDataFrame(rows, "sample string, taxon string, n double")
+    for threshold in (0.5, 0.95, 0.0):
+        edges, taxa = correlation.strong_pairs(table, method, threshold)
+        pairs, same = correlation.correlations(table, method)
+        got, want = (sorted(map(tuple, df.collect())) for df in (edges, correlation.strong_edges(pairs, threshold)))
+        assert [e[:2] for e in got] == [e[:2] for e in want] and [e[2] for e in got] == pytest.approx([e[2] for e in want], abs=1e-8)
+        assert len(got) >= 2 and sorted(taxa.collect()) == sorted(same.collect())
+    assert {("half", "other"), ("mirror", "t00")} <= {e[:2] for e in got}
+
+
+def test_slices_name_few_candidates():
+    """Unrelated taxa are ruled out slice by slice; related ones are named on each."""
+    rng = np.random.default_rng(2)
+    count, taxa = 4000, 40
+    values = rng.poisson(3, (count, taxa)).astype(float)
+    values[:, 1] = values[:, 0] + rng.poisson(1, count)
+    facts = pd.DataFrame({"sums": [values.sum(0)], "squares": [(values**2).sum(0)], "block": 0})
+    cells = pd.DataFrame({"sample": range(2000), "block": 0, "columns": [np.arange(taxa)] * 2000, "values": list(values[:2000])})
+    pick = correlation._tile_candidates(taxa, 512, count, {0: 2000, 1: 2000}, 0.5)
+    got = pick((0, 0, 0), pd.concat([cells, facts], ignore_index=True))
+    assert list(zip(got["i"], got["j"])) == [(0, 1)]
+
+
 def test_unknown_method(spark):
     with pytest.raises(ValueError):
         correlation.correlations(spark.createDataFrame([("s", "a", 1.0)], "sample string, taxon string, n double"), "MIC")
