@@ -126,6 +126,70 @@ def degree_centrality(
     return _scores(nodes, ends).select("node", (links / F.lit(float(n_nodes - 1))).alias("score"))
 
 
+def _accumulated(levels: list[tuple[DataFrame, int]], links: DataFrame, growth: float) -> list[DataFrame]:
+    """Brandes' accumulation from the last level back: ``(source, node, parts, paths, delta)`` of every level but the last."""
+    deltas: list[DataFrame] = []
+    below = None
+    for level, rows in reversed(levels[1:]):
+        own = level.withColumns({"share": F.lit(0.0), "own": F.lit(1)})
+        if below is None:
+            delta = level.withColumn("delta", F.lit(0.0))
+        else:
+            shares = below.select("source", "node", "parts", ((1 + F.col("delta")) / F.col("paths")).alias("share"))
+            given = _step(_spread(shares, below_rows, growth), links).select(
+                "source",
+                F.col("dst").alias("node"),
+                F.col("dst_parts").alias("parts"),
+                F.lit(0.0).alias("paths"),
+                "share",
+                F.lit(0).alias("own"),
+            )
+            delta = cut(
+                own.unionByName(given)
+                .groupBy("source", "node")
+                .agg(
+                    F.max("parts").alias("parts"),
+                    F.max("paths").alias("paths"),
+                    F.sum("share").alias("share"),
+                    F.max("own").alias("own"),
+                )
+                .filter(F.col("own") == 1)
+                .select("source", "node", "parts", "paths", (F.col("paths") * F.col("share")).alias("delta"))
+            )
+            deltas.append(delta)
+        below, below_rows = delta, rows
+    return deltas
+
+
+def _search(
+    starts: DataFrame, rows: int, links: DataFrame, growth: float, per_batch: int, back: bool
+) -> tuple[DataFrame, DataFrame | None]:
+    """Breadth-first search from every start ``(id, parts)``, of which there are ``rows``; its results are stored.
+
+    Gives ``(node, reached, far, label)``: how many nodes a start reaches, itself included, the sum of their distances and
+    the smallest of them; and with ``back`` ``(node, score)``, the dependencies of all starts on a node.
+    """
+    facts, gains = [], []
+    for batch in _batches(starts, rows, per_batch):
+        levels = _levels(batch, links, growth, min(rows, per_batch))
+        steps = [level.select("source", "node", F.lit(d).alias("d")) for d, (level, _) in enumerate(levels)]
+        told = reduce(DataFrame.unionByName, steps).groupBy("source")
+        told = told.agg(F.count("*").alias("reached"), F.sum("d").alias("far"), F.min("node").alias("label"))
+        facts.append(cut(told.withColumnRenamed("source", "node")))
+        deltas = _accumulated(levels, links, growth) if back else []
+        if deltas:
+            gained = reduce(DataFrame.unionByName, deltas).groupBy("node").agg(F.sum("delta").alias("score"))
+            gains.append(cut(gained))
+        discard(*[level for level, _ in levels], *deltas)
+    return reduce(DataFrame.unionByName, facts), reduce(DataFrame.unionByName, gains) if gains else None
+
+
+def _nearness() -> Column:
+    """Closeness of a start from its facts, before the share of all nodes that it reaches."""
+    others = F.col("reached") - 1
+    return F.coalesce(F.try_divide(others, F.col("far")) * others, F.lit(0.0))
+
+
 def closeness_centrality(
     nodes: DataFrame,
     edges: DataFrame,
@@ -136,19 +200,10 @@ def closeness_centrality(
     """Reached share times inverse mean distance, for graphs of several components too."""
     links, n_links = _chunked(_links(edges, symmetric))
     starts, seen = cut_measured(_start_nodes(nodes, links), n=F.count("*"))
-    growth, parts = n_links / max(1, seen["n"]), []
-    for batch in _batches(starts, seen["n"], per_batch):
-        levels = [level for level, _ in _levels(batch, links, growth, min(seen["n"], per_batch))]
-        steps = [level.select("source", F.lit(d).alias("d")) for d, level in enumerate(levels)]
-        sums = reduce(DataFrame.unionByName, steps).groupBy(F.col("source").alias("node"))
-        parts.append(cut(sums.agg(F.count("*").alias("reached"), F.sum("d").alias("far"))))
-        discard(*levels)
+    facts, _ = _search(starts, seen["n"], links, n_links / max(1, seen["n"]), per_batch, back=False)
     discard(links, starts)
-    sums = reduce(DataFrame.unionByName, parts)
     n_nodes = nodes.count() if n_nodes is None else n_nodes
-    others = F.col("reached") - 1
-    score = F.coalesce(F.try_divide(others, F.col("far")) * others / F.lit(float(max(1, n_nodes - 1))), F.lit(0.0))
-    return _scores(nodes, sums.select("node", score.alias("score")))
+    return _scores(nodes, facts.select("node", (_nearness() / F.lit(float(max(1, n_nodes - 1)))).alias("score")))
 
 
 def betweenness_centrality(
@@ -167,52 +222,80 @@ def betweenness_centrality(
     n_nodes = nodes.count() if n_nodes is None else n_nodes
     links, n_links = _chunked(_links(edges, symmetric))
     linked, scale = _start_nodes(nodes, links), 1.0
-    growth = n_links / max(1, n_nodes)
     if sources is not None:
         linked = linked.join(sources.select("id"), "id", "left_semi")
         scale = n_nodes / max(1, sources.select("id").distinct().count())
     starts, seen = cut_measured(linked, n=F.count("*"))
-    parts = []
-    for batch in _batches(starts, seen["n"], per_batch):
-        levels, deltas = _levels(batch, links, growth, min(seen["n"], per_batch)), []
-        below = None
-        for level, rows in reversed(levels[1:]):
-            own = level.withColumns({"share": F.lit(0.0), "own": F.lit(1)})
-            if below is None:
-                delta = level.withColumn("delta", F.lit(0.0))
-            else:
-                shares = below.select("source", "node", "parts", ((1 + F.col("delta")) / F.col("paths")).alias("share"))
-                given = _step(_spread(shares, below_rows, growth), links).select(
-                    "source",
-                    F.col("dst").alias("node"),
-                    F.col("dst_parts").alias("parts"),
-                    F.lit(0.0).alias("paths"),
-                    "share",
-                    F.lit(0).alias("own"),
-                )
-                delta = cut(
-                    own.unionByName(given)
-                    .groupBy("source", "node")
-                    .agg(
-                        F.max("parts").alias("parts"),
-                        F.max("paths").alias("paths"),
-                        F.sum("share").alias("share"),
-                        F.max("own").alias("own"),
-                    )
-                    .filter(F.col("own") == 1)
-                    .select("source", "node", "parts", "paths", (F.col("paths") * F.col("share")).alias("delta"))
-                )
-                deltas.append(delta)
-            below, below_rows = delta, rows
-        if deltas:
-            gained = reduce(DataFrame.unionByName, deltas).groupBy("node").agg(F.sum("delta").alias("score"))
-            parts.append(cut(gained))
-        discard(*[level for level, _ in levels], *deltas)
-    discard(links, starts)
-    if not parts or n_nodes < 3:
+    facts, gained = _search(starts, seen["n"], links, n_links / max(1, n_nodes), per_batch, back=True)
+    discard(links, starts, facts)
+    if gained is None or n_nodes < 3:
         return nodes.select(F.col("id").alias("node"), F.lit(0.0).alias("score"))
     norm = scale / ((n_nodes - 1) * (n_nodes - 2))
-    return _scores(nodes, reduce(DataFrame.unionByName, parts)).withColumn("score", F.col("score") * norm)
+    return _scores(nodes, gained).withColumn("score", F.col("score") * norm)
+
+
+class Standing:
+    """Betweenness or closeness of a graph that loses nodes.
+
+    A dropped node changes what starts that reach it found: these are the nodes of its component. Each node's score is kept
+    with its component (the smallest node in it) and the component's size; after a drop only the nodes of the components
+    that lost one are searched from again, and a component of one node is not searched at all. Normalising is left to the end.
+    """
+
+    def __init__(self, nodes: DataFrame, edges: DataFrame, kind: str = "betweenness", per_batch: int = SOURCES_PER_BATCH):
+        if kind not in ("betweenness", "closeness"):
+            raise ValueError("kind is 'betweenness' or 'closeness'")
+        self.kind, self.per_batch, self.gone = kind, per_batch, []
+        self.links, self.n_links = _chunked(both_ways(edges))
+        parts = self.links.groupBy(F.col("src").alias("id")).agg(F.max("src_parts").alias("parts"))
+        starts, seen = cut_measured(nodes.select("id").distinct().join(parts, "id", "left"), n=F.count("*"))
+        self.n_nodes = self.n_first = seen["n"]
+        self.held = cut(self._found(starts, seen["n"]))
+        discard(starts)
+
+    def _found(self, starts: DataFrame, rows: int) -> DataFrame:
+        """Rows ``(node, parts, label, reached, raw)`` of the starts, searched over the links that are left."""
+        gone = F.lit(self.gone).cast("array<string>")  # one literal keeps the generated code alike from step to step
+        kept = [~F.array_contains(gone, F.col(end).cast("string")) for end in ("src", "dst")]
+        links = self.links.filter(kept[0] & kept[1])
+        growth = self.n_links / max(1, self.n_first)
+        facts, gained = _search(starts.filter("parts is not null"), rows, links, growth, self.per_batch, self.kind == "betweenness")
+        out = starts.withColumnRenamed("id", "node").join(facts, "node", "left").withColumns(
+            {"label": F.coalesce("label", "node"), "reached": F.coalesce("reached", F.lit(1))}
+        )
+        if self.kind == "closeness":
+            return out.select("node", "parts", "label", "reached", _nearness().alias("raw"))
+        if gained is None:
+            return out.select("node", "parts", "label", "reached", F.lit(0.0).alias("raw"))
+        summed = gained.groupBy("node").agg(F.sum("score").alias("raw"))
+        return out.join(summed, "node", "left").select("node", "parts", "label", "reached", F.coalesce("raw", F.lit(0.0)).alias("raw"))
+
+    def scores(self) -> DataFrame:
+        """Scores ``(node, score)`` of the nodes that are left."""
+        n = self.n_nodes
+        norm = 1.0 / max(1, n - 1) if self.kind == "closeness" else 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0
+        return self.held.select("node", (F.col("raw") * norm).alias("score"), "label", "reached")
+
+    def pull(self, count: int) -> list[tuple[str, float]]:
+        """Drop the ``count`` highest-ranked nodes; gives them and their scores."""
+        best = top_nodes(self.scores(), count).collect()
+        if not best:
+            return []
+        self.gone += [r["node"] for r in best]
+        self.n_nodes -= len(best)
+        sizes = {r["label"]: r["reached"] for r in best}
+        lost = F.col("label").isin(list(sizes))
+        left = self.held.filter(~F.col("node").isin([r["node"] for r in best]))
+        rows = sum(sizes.values()) - len(best)
+        if rows:
+            again = left.filter(lost).select(F.col("node").alias("id"), "parts")
+            left = left.filter(~lost).unionByName(self._found(again, rows))
+        before, self.held = self.held, cut(left)
+        discard(before)
+        return [(r["node"], r["score"]) for r in best]
+
+    def close(self) -> None:
+        discard(self.links, self.held)
 
 
 def _combined(weights, column: str) -> Column:
@@ -319,8 +402,8 @@ def centrality(nodes: DataFrame, edges: DataFrame, kind: str = "betweenness", **
 
 
 def ranked(scores: DataFrame) -> DataFrame:
-    """Scores from the highest down, by name on ties."""
-    return scores.orderBy(F.col("score").desc(), F.col("node").asc())
+    """Scores from the highest down, by name on ties; compared after rounding to nine places, as sums differ in their last bits."""
+    return scores.orderBy(F.round("score", 9).desc(), F.col("node").asc())
 
 
 def top_nodes(scores: DataFrame, n: int) -> DataFrame:

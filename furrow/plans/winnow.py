@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..lineage import cut, scope
 from ..operators import counts as tables
 from ..operators.correlation import strong_pairs
 from ..operators.divergence import divergence_curve, kl_divergence
-from ..operators.graph import both_ways, centrality, top_nodes
+from ..operators.graph import Standing, both_ways, centrality, top_nodes
 from ..params import WinnowParams
 
 
@@ -24,13 +26,25 @@ def pulls(nodes: DataFrame, edges: DataFrame, params: WinnowParams, max_steps: i
     """Taxa pulled per step as ``(step, taxon, score)``; at most ``num_required`` plus one step's worth.
 
     Correlations do not change when a taxon is dropped, so each step only
-    removes nodes and ranks the rest anew.
+    removes nodes and ranks the rest. Betweenness and closeness are computed
+    anew only where a drop can change them, the others from what is left.
     """
+    steps = range(min(max_steps, math.ceil(params.num_required / params.num_to_pull)))
     pulled: list[tuple[int, str, float]] = []
-    step = 0
+    if params.centrality in ("betweenness", "closeness"):
+        standing = Standing(nodes, edges, params.centrality)
+        for step in steps:
+            with scope(keep=(kept := [])):
+                best = standing.pull(params.num_to_pull)
+                kept.append(standing.held)
+            if not best:
+                break
+            pulled += [(step, taxon, score) for taxon, score in best]
+        standing.close()
+        return pulled
     edges = cut(both_ways(edges))
     n_nodes = nodes.count()
-    while step * params.num_to_pull < params.num_required and step < max_steps:
+    for step in steps:
         # One array literal keeps the generated code alike from step to step.
         gone = F.lit([taxon for _, taxon, _ in pulled]).cast("array<string>")
 
@@ -44,7 +58,6 @@ def pulls(nodes: DataFrame, edges: DataFrame, params: WinnowParams, max_steps: i
         if not best:
             break
         pulled += [(step, row["node"], row["score"]) for row in best]
-        step += 1
     return pulled
 
 

@@ -561,6 +561,48 @@ sql(
 FROM pull LEFT JOIN (SELECT step, {r(KL, 9)} AS kl FROM rest GROUP BY step) g ON g.step = pull.step WHERE pull.step >= 0""",
 )
 
+
+
+def winnowed(steps: int) -> list[str]:
+    """Betweenness of what is left, and its highest node, for every step."""
+    parts = ["left0 AS MATERIALIZED (SELECT id FROM nodes)"]
+    for k in range(steps):
+        parts.append(f"""adj{k} AS MATERIALIZED (SELECT src, dst FROM adj WHERE src IN (FROM left{k}) AND dst IN (FROM left{k})),
+walk{k}(s, v, d) AS (SELECT id, id, 0 FROM left{k} UNION SELECT s, dst, d + 1 FROM walk{k} JOIN adj{k} ON v = src CROSS JOIN size WHERE d + 1 < n),
+dist{k} AS MATERIALIZED (SELECT s, v, min(d) AS d FROM walk{k} GROUP BY s, v),
+paths{k}(s, v, d, c) AS (SELECT id, id, 0, CAST(1 AS DOUBLE) FROM left{k}
+  UNION ALL SELECT p.s, a.dst, p.d + 1, sum(c) FROM paths{k} p JOIN adj{k} a ON p.v = a.src
+  JOIN dist{k} t ON t.s = p.s AND t.v = a.dst AND t.d = p.d + 1 GROUP BY p.s, a.dst, p.d + 1),
+held{k} AS MATERIALIZED (FROM paths{k}),
+through{k} AS (SELECT a.v AS node, sum(a.c * b.c / e.c) AS score FROM held{k} a JOIN held{k} b ON a.v = b.s
+  JOIN held{k} e ON e.s = a.s AND e.v = b.v AND e.d = a.d + b.d WHERE a.d > 0 AND b.d > 0 GROUP BY a.v),
+best{k} AS MATERIALIZED (SELECT {k} AS step, id AS taxon, coalesce(score, 0) / greatest(1, (n - 1) * (n - 2)) AS score
+  FROM left{k} CROSS JOIN (SELECT count(*) AS n FROM left{k}) LEFT JOIN through{k} ON node = id
+  ORDER BY round(coalesce(score, 0) / greatest(1, (n - 1) * (n - 2)), 9) DESC, id LIMIT 1),
+left{k + 1} AS MATERIALIZED (SELECT id FROM left{k} WHERE id NOT IN (SELECT taxon FROM best{k}))""")
+    return [*parts, f"pull AS MATERIALIZED ({' UNION ALL '.join(f'FROM best{k}' for k in range(steps))})"]
+
+
+DEFAULTS = [
+    LINKED.replace("counts AS", "raw AS"),
+    "counts AS MATERIALIZED (SELECT * FROM raw WHERE taxon IN (SELECT taxon FROM raw GROUP BY taxon HAVING max(n) > 3))",
+    CELLS, RANKED, pairs("ranked").replace("pairs AS", "pairs AS MATERIALIZED"), *GRAPH[3:], PROFILE, SMOOTH,
+]
+DEFAULTS = [part.replace("adj AS (", "adj AS MATERIALIZED (") for part in DEFAULTS]
+sql(
+    "winnow_default", *DEFAULTS, *winnowed(50),
+    """rest AS (SELECT step, a + 1 AS a, b + 1 AS b, sum(a + 1) OVER (PARTITION BY step) AS sa, sum(b + 1) OVER (PARTITION BY step) AS sb
+  FROM range(50) s(step) JOIN profile ON profile.taxon NOT IN (SELECT taxon FROM pull WHERE pull.step <= s.step))""",
+    recursive=True,
+    body=f"""SELECT CAST(pull.step AS INTEGER) AS step, taxon, {r('score')} AS score, kl
+FROM pull LEFT JOIN (SELECT step, {r(KL, 9)} AS kl FROM rest GROUP BY step) g ON g.step = pull.step""",
+)
+sql("winnow_kept", *DEFAULTS, *winnowed(10), recursive=True,
+    body=f"SELECT taxon, {r('a', 9)} AS a, {r('b', 9)} AS b FROM smooth WHERE taxon NOT IN (SELECT taxon FROM pull)")
+sql("winnow_matrix", *DEFAULTS, *winnowed(10), recursive=True,
+    body=f"""SELECT * FROM (SELECT condition, sample_id, taxon, {r('(n + 1) / (sum(n) OVER (PARTITION BY taxon) + (SELECT count(DISTINCT sample) FROM counts))', 9)} AS smoothed
+FROM counts) WHERE taxon NOT IN (SELECT taxon FROM pull)""")
+
 # --- sources and sinks ----------------------------------------------------
 
 sql("group_files", FR,

@@ -684,6 +684,32 @@ def winnow_loop(spark, sf_dir):
     return pulled.select("step", "taxon", rounded(F.col("score")).alias("score"), rounded(F.col("kl"), 9).alias("kl"))
 
 
+def _winnowed(spark: SparkSession, sf_dir: str, **limits) -> dict[str, DataFrame]:
+    """The loop at its own defaults: Spearman, betweenness."""
+    return winnow.run(inputs.linked_counts(spark, sf_dir), "F", "O", WinnowParams(**limits))
+
+
+@query
+def winnow_default(spark, sf_dir):
+    """Pull the taxon that most shortest paths go through, one a step, 50 in all."""
+    pulled = _winnowed(spark, sf_dir)["pulled"]
+    return pulled.select("step", "taxon", rounded(F.col("score")).alias("score"), rounded(F.col("kl"), 9).alias("kl"))
+
+
+@query
+def winnow_kept(spark, sf_dir):
+    """Smoothed profiles of the taxa that ten steps leave."""
+    kept = _winnowed(spark, sf_dir, num_required=10)["kept"]
+    return kept.select("taxon", rounded(F.col("a"), 9).alias("a"), rounded(F.col("b"), 9).alias("b"))
+
+
+@query
+def winnow_matrix(spark, sf_dir):
+    """Smoothed counts of the taxa that ten steps leave."""
+    matrix = _winnowed(spark, sf_dir, num_required=10)["matrix"]
+    return matrix.select("condition", "sample_id", "taxon", rounded(F.col("smoothed"), 9).alias("smoothed"))
+
+
 # --- sources and sinks ----------------------------------------------------
 
 

@@ -172,6 +172,30 @@ def test_sampled_sources_scale_up(spark):
     assert set(some) == set(nodes) and max(some, key=some.get) == "n00"
 
 
+@pytest.mark.parametrize("kind, brute", [("betweenness", _brute_betweenness), ("closeness", _brute_closeness)])
+def test_standing_equals_brute_force_after_every_drop(spark, monkeypatch, kind, brute):
+    searched = []
+    found = graph.Standing._found
+    monkeypatch.setattr(graph.Standing, "_found", lambda self, starts, rows: searched.append(rows) or found(self, starts, rows))
+    nodes, edges = _random_graph()
+    edges.append(("n13", "n13"))
+    standing = graph.Standing(*_frames(spark, nodes, edges), kind)
+    sizes = []
+    for count in (1, 1, 2, 1, 3):
+        want = brute(nodes, [e for e in edges if e[0] != e[1]])
+        assert _scores(standing.scores()) == pytest.approx(want)
+        best = standing.pull(count)
+        assert [n for n, _ in best] == sorted(want, key=lambda n: (-round(want[n], 9), n))[:count]
+        gone = {n for n, _ in best}
+        nodes, edges = [n for n in nodes if n not in gone], [e for e in edges if not gone & set(e)]
+        sizes.append(len(nodes))
+    assert searched[0] == 14 and all(n <= size for n, size in zip(searched[1:], sizes)) and sum(searched[1:]) < sum(sizes)
+    while nodes:
+        nodes = nodes[: -len(standing.pull(4))] if len(nodes) > 4 else [] if len(standing.pull(4)) == len(nodes) else nodes
+    assert standing.pull(1) == [] and standing.scores().count() == 0
+    standing.close()
+
+
 def test_ranking(spark):
     scores = spark.createDataFrame([("b", 1.0), ("a", 1.0), ("c", 2.0)], "node string, score double")
     assert [r["node"] for r in graph.ranked(scores).collect()] == ["c", "a", "b"]
