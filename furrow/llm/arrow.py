@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,11 @@ def bounded(batches: Iterable[pa.RecordBatch], column: str, size: int = BATCH_BY
                 yield batch.slice(start, end - start)
 
 
+def own_names(*names: str) -> list[str]:
+    """Column names that no table has: each with an ending of its own."""
+    return [f"{name}_{uuid4().hex}" for name in names]
+
+
 def added(df: DataFrame, **columns: T.DataType) -> T.StructType:
     """Schema of ``df`` with ``columns`` at its end; columns of those names are replaced."""
     fields = [f for f in df.schema.fields if f.name not in columns]

@@ -2,11 +2,15 @@
 
 A prefix sum of ``table[byte] * B**position`` (modulo 2**64, B odd) gives the hash of any stretch of bytes as the
 difference of two sums, moved to position 0 by the inverse power. Equal bytes have equal hashes at any place.
+Such sums are for windows of one length of a few hundred values at most: longer stretches can be made to collide for every
+base (Thue-Morse strings do from 1,024 on). Words and other stretches of any length go through xxh3.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -50,6 +54,18 @@ class Stretches:
         return mixed(moved + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words ``starts:ends``, which do not overlap; each different word is hashed once."""
+    marks = np.zeros(len(data) + 1, np.int8)
+    np.add.at(marks, starts, 1)
+    np.add.at(marks, ends, -1)
+    said = np.ascontiguousarray(data[np.cumsum(marks[:-1], dtype=np.int8) == 1])
+    place = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    texts = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(place), pa.py_buffer(said)]).dictionary_encode()
+    known = np.fromiter(map(xxhash.xxh3_64_intdigest, texts.dictionary.to_pylist()), np.uint64, len(texts.dictionary))
+    return known[texts.indices.to_numpy(zero_copy_only=False)]
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)

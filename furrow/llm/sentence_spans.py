@@ -1,17 +1,17 @@
 """Substring dedup by sliding spans of sentences.
 
 A sentence ends with a word that ends in ``.``, ``!`` or ``?``, at a line feed, or with its text. Every run of ``span``
-consecutive sentences with at least ``least_words`` words is hashed (128 bits, over its words, so white space between
+consecutive sentences with at least ``least_words`` words is hashed (xxh3, 128 bits, over its words, so white space between
 them does not count). Of equal runs the one in the document of smallest id, and there the first, stays; the sentences of
-all others are removed, each with the white space after it.
+all others are removed, each with the white space after it. By default a run has two sentences of any length.
 
 Equal runs inside a document are told apart before the shuffle, and hashes are counted with partial aggregation, so a
 passage that a third of all documents share is one row for each task that reads it.
 
 Defined cases: a null or empty text and one without words have no sentences and stay as they are (null: empty). A text
 with fewer sentences than ``span`` has no runs. Rows that repeat an id and its text are one document: the same is removed
-from each; rows without an id are one document that comes last. Other columns are kept, except those named like the
-added ones.
+from each. Texts of one id are documents that follow each other by a hash of the text, and so are texts without an id, which
+come after all others. Other columns are kept; columns of the added names are replaced.
 """
 
 from __future__ import annotations
@@ -21,15 +21,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import added, bounded, byte_texts, text_bytes, with_added
-from .hashing import Stretches, mixed, words
+from ..lineage import cut
+from .arrow import added, bounded, byte_texts, own_names, text_bytes, with_added
+from .hashing import words
 
-SPAN = 3
-LEAST_WORDS = 10
+SPAN = 2
+LEAST_WORDS = 0
 _STOPS = np.isin(np.arange(256), [ord(c) for c in ".!?"])
 
 
@@ -56,13 +58,25 @@ class Sentences:
         tail = head + span - 1
         fits = (self.of[head] == self.of[tail]) & (self.stop[tail] - self.first[head] >= least_words)
         head, tail = head[fits], tail[fits]
-        named = Stretches(self.data).hash(self.word_starts, self.word_ends)
-        return (
-            self.of[head],
-            head - self.begin[self.of[head]],
-            Stretches(named).hash(self.first[head], self.stop[tail]),
-            Stretches(mixed(named ^ np.uint64(0xA0761D6478BD642F))).hash(self.first[head], self.stop[tail]),
-        )
+        begin, end = self._said()
+        of_run = zip(begin[self.first[head]].tolist(), end[self.stop[tail] - 1].tolist())
+        told = b"".join(xxhash.xxh3_128_digest(self.said[a:b]) for a, b in of_run)
+        both = np.frombuffer(told, np.uint64).reshape(-1, 2)
+        return self.of[head], head - self.begin[self.of[head]], both[:, 0], both[:, 1]
+
+    def _said(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where each word begins and ends in ``said``, the words of all texts with one space after each."""
+        sizes = self.word_ends - self.word_starts
+        begin = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
+        marks = np.zeros(len(self.data) + 1, np.int8)
+        np.add.at(marks, self.word_starts, 1)
+        np.add.at(marks, self.word_ends, -1)
+        said = np.full(int((sizes + 1).sum()), 32, np.uint8)
+        inside = np.ones(len(said), bool)
+        inside[begin + sizes] = False
+        said[inside] = self.data[np.cumsum(marks[:-1], dtype=np.int8) == 1]
+        self.said = memoryview(said)
+        return begin, begin + sizes
 
     def without(self, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes and offsets of the texts without the marked sentences and the white space after them."""
@@ -81,48 +95,45 @@ class Sentences:
 
 
 def _text_key(text: str) -> F.Column:
-    """32 bits of a hash of the text: tells rows of one id apart."""
-    return F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit(0x7FFFFFFF))
+    """A hash of the text: tells rows of one id apart."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 def covered(docs: DataFrame, span: int = SPAN, least_words: int = LEAST_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, text_key, places): the first sentences of the runs to remove, of every document that has some."""
-    wanted = T.StructType().add("doc_id", docs.schema[doc_id].dataType).add("h1", "long").add("h2", "long").add("at", "long").add("again", "boolean")
+    wanted = T.StructType().add("doc_id", docs.schema[doc_id].dataType).add("key", "long").add("h1", "long").add("h2", "long").add("place", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text"):
             of, place, h1, h2 = Sentences(*text_bytes(batch.column("text"))).spans(span, least_words)
-            order = np.lexsort((place, h2, h1, of))
-            of, place, h1, h2 = of[order], place[order], h1[order], h2[order]
-            again = np.zeros(len(of), bool)
-            again[1:] = (of[1:] == of[:-1]) & (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
-            keys = batch.column("key").to_numpy(zero_copy_only=False).astype(np.int64)
+            at = pa.array(of)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(of)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array((keys[of] << 32) | place), pa.array(again)],
+                [batch.column("doc_id").take(at), batch.column("key").take(at), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(place.astype(np.int32))],
                 names=wanted.names,
             )
 
     spans = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), _text_key(text).alias("key")).mapInArrow(run, wanted)
     firsts = spans.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = F.col("again") | ~F.col("doc_id").eqNullSafe(F.col("first_id"))
-    return (
-        spans.join(firsts, ["h1", "h2"])
-        .where(later)
-        .groupBy("doc_id", F.shiftright("at", 32).alias("text_key"))
-        .agg(F.collect_set(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("places"))
-    )
+    several = cut(spans.join(firsts, ["h1", "h2"]))
+    # Of the documents that share the smallest id (or have none) the one of smallest key, and in it the first place.
+    of_first = several.where(F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("h1", "h2")
+    heads = of_first.agg(F.min(F.struct("key", "place")).alias("head"))
+    here = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.struct("key", "place") == F.col("head"))
+    later = several.join(heads, ["h1", "h2"]).where(~here)
+    return later.groupBy("doc_id", F.col("key").alias("text_key")).agg(F.collect_set("place").alias("places"))
 
 
 def dedup(docs: DataFrame, span: int = SPAN, least_words: int = LEAST_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without repeated runs; adds n_sentences and n_removed."""
-    found = covered(docs, span, least_words, doc_id, text).toDF("_id", "_key", "_places")
-    joined = docs.join(found, F.col(doc_id).eqNullSafe(F.col("_id")) & (_text_key(text) == F.col("_key")), "left").drop("_id", "_key")
+    own_id, own_key, own_places = own_names("id", "key", "places")
+    found = covered(docs, span, least_words, doc_id, text).toDF(own_id, own_key, own_places)
+    joined = docs.join(found, F.col(doc_id).eqNullSafe(F.col(own_id)) & (_text_key(text) == F.col(own_key)), "left").drop(own_id, own_key)
     wanted = added(docs, **{text: T.StringType(), "n_sentences": T.LongType(), "n_removed": T.LongType()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, text):
             all_of = Sentences(*text_bytes(batch.column(text)))
-            places = batch.column("_places")
+            places = batch.column(own_places)
             many = pc.fill_null(pc.list_value_length(places), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             heads = np.repeat(all_of.begin[:-1], many) + places.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             gone = np.zeros(len(all_of.first) + span, bool)

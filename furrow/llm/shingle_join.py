@@ -13,12 +13,13 @@ its empty parts as signatures too.
 
 Sets, not documents, are joined: documents of equal sets are one node. In every group each set is compared with one
 lead, some rounds with other leads; what this links are components. Groups that still hold several components are
-compared whole, in tiles of bounded size, and tell only pairs of different components that a parity map does not rule
-out. So no group is listed pair by pair. Every link is checked on the sets themselves.
+compared whole, in tiles of bounded size. A tile holds its sets: pairs of different components that a parity map does not
+rule out are checked there, the likeliest first, and the tile tells only the links that join two of its components, fewer
+than it has sets. So no group is listed pair by pair. Every link is checked on the sets themselves.
 
 Defined cases: null and empty texts have no n-grams and no links; a text with fewer words than ``n`` is one n-gram.
 Rows without an id have no links and no component; rows of one id are one node with the links of all. Repeated rows stay
-rows. Other columns are kept by :func:`join`, except those named like the added ones.
+rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import types as T
 from ..lineage import cut
 from .arrow import bounded, text_bytes
 from .components import components
-from .hashing import Stretches, lowered, mixed, words
+from .hashing import Stretches, lowered, mixed, word_hashes, words
 
 N = 5
 LIKE = Fraction(4, 5)
@@ -57,7 +58,7 @@ def shingles(column: pa.Array, n: int = N) -> tuple[np.ndarray, np.ndarray]:
     first = np.concatenate([[0], np.cumsum(grams)])
     heads = np.repeat(begin[:-1] - first[:-1], grams) + np.arange(first[-1])
     tails = np.minimum(heads + n, np.repeat(begin[1:], grams))
-    hashes = Stretches(Stretches(data).hash(starts, ends)).hash(heads, tails)
+    hashes = Stretches(word_hashes(data, starts, ends)).hash(heads, tails)
     parts = [np.unique(hashes[a:b]) for a, b in zip(first, first[1:])]
     sizes = np.array([len(p) for p in parts], np.int64)
     return np.concatenate([*parts, np.zeros(0, _U)]), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
@@ -298,27 +299,51 @@ def _split(groups: DataFrame) -> DataFrame:
     return groups.drop("many").join(one, "sign")
 
 
+def _forest(label: np.ndarray, first: np.ndarray, second: np.ndarray, alike) -> list[int]:
+    """The pairs (rows of ``first`` and ``second``) that link components of ``label``, each component pair once."""
+    parent = {one: one for one in np.unique(label).tolist()}
+
+    def root(one):
+        while parent[one] != one:
+            parent[one] = one = parent[parent[one]]
+        return one
+
+    kept = []
+    for at, (a, b) in enumerate(zip(first.tolist(), second.tolist())):
+        x, y = root(label[a].item()), root(label[b].item())
+        if x != y and alike(a, b):
+            parent[x] = y
+            kept.append(at)
+    return kept
+
+
 def _tiled(groups: DataFrame, held: DataFrame, like: Fraction) -> DataFrame:
-    """Pairs (x, y) of different components within groups (sign, address, label, many) that the parity maps do not rule out."""
+    """Links (a, b) between nodes of different components within groups (sign, address, label, many), a forest for each tile."""
     tiles = F.ceil(F.col("many") / TILE).cast("int")
     mine = F.pmod(F.xxhash64("address"), tiles).cast("int")
     dealt = (
-        groups.join(held.select("address", "size", "bits").dropDuplicates(["address"]), "address")
+        groups.join(held, "address")
         .withColumns({"mine": mine, "other": F.explode(F.sequence(F.lit(0), tiles - 1))})
-        .select("sign", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "address", "label", "size", "bits")
+        .select("sign", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "label", "size", "bits", "grams")
     )
     keys = ["sign", "i", "j"]
+    kind = T.StructType().add("a", held.schema["node"].dataType).add("b", held.schema["node"].dataType)
 
-    def compare(tile: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        address, label, size, mine, i, j = (tile.column(c).to_numpy() for c in ("address", "label", "size", "mine", "i", "j"))
-        bits = tile.column("bits").to_pylist()
+    def compare(tile: pa.Table) -> tuple[pa.Array, pa.Array]:
+        label, size, mine, i, j = (tile.column(c).to_numpy() for c in ("label", "size", "mine", "i", "j"))
+        bits, grams = tile.column("bits").to_pylist(), tile.column("grams").to_pylist()
         maps = _folded(bits, min(map(len, bits)))
         rows, columns = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        differs = (label[rows, None] != label[columns]) & (address[rows, None] < address[columns] if i[0] == j[0] else True)
+        differs = (label[rows, None] != label[columns]) & (rows[:, None] < columns if i[0] == j[0] else True)
         r, c = np.nonzero(differs)
         r, c = rows[r], columns[c]
-        fits = _within(_differ(maps[r], maps[c]), size[r] + size[c], like)
-        return np.minimum(address[r], address[c])[fits], np.maximum(address[r], address[c])[fits]
+        apart = _differ(maps[r], maps[c])
+        fits = np.flatnonzero(_within(apart, size[r] + size[c], like))
+        order = fits[np.argsort(apart[fits] / (size[r] + size[c])[fits], kind="stable")]
+        r, c = r[order], c[order]
+        kept = _forest(label, r, c, lambda a, b: similar(_unpacked(grams[a]), _unpacked(grams[b]), like))
+        node = tile.column("node").combine_chunks()
+        return node.take(pa.array(r[kept])), node.take(pa.array(c[kept]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -335,10 +360,10 @@ def _tiled(groups: DataFrame, held: DataFrame, like: Fraction) -> DataFrame:
         bounds = [0, *edges.tolist(), table.num_rows]
         found = [compare(table.slice(a, b - a)) for a, b in zip(bounds, bounds[1:] if last else bounds[1:-1])]
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*found)], names=["a", "b"])
         return None if last else table.slice(bounds[-2])
 
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "x long, y long").distinct()
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, kind).distinct()
 
 
 def component_ids(docs: DataFrame, n: int = N, like: Fraction = LIKE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -369,7 +394,7 @@ def component_ids(docs: DataFrame, n: int = N, like: Fraction = LIKE, doc_id: st
         links = links.unionByName(fresh)
         labels = components(links)
     rest = cut(_split(labelled()))
-    last = cut(_checked(_tiled(rest, held, like), held, like))
+    last = cut(_tiled(rest, held, like))
     labels = components(links.unionByName(last))
 
     found = nodes.join(labels, "node", "left").select("address", "name", F.coalesce("label", "node").alias("_component"))

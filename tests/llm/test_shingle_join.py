@@ -149,3 +149,28 @@ def test_query_equals_sql(spark):
 
     path = "/root/testdata/sf0.001"
     assert difference(queries.op7_shingle_join(spark, path).toPandas(), duck(path).sql(op.sql()).df()) is None
+
+
+def test_tiles_tell_a_forest():
+    """Links that join components, never more than there are sets, and all that is needed."""
+    rng = random.Random(9)
+    count = 60
+    label = np.array([rng.randrange(1000, 1040) for _ in range(count)])
+    first, second = map(np.array, zip(*((a, b) for a in range(count) for b in range(a) if label[a] != label[b])))
+    alike = {(a, b) for a, b in zip(first.tolist(), second.tolist()) if (a % 7 == b % 7 or rng.random() < 0.01)}
+    kept = op._forest(label, first, second, lambda a, b: (a, b) in alike)
+    assert len(kept) < len(set(label.tolist())) and all((first[k].item(), second[k].item()) in alike for k in kept)
+
+    def groups(pairs):
+        parent = {x: x for x in label.tolist()}
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in pairs:
+            parent[max(root(label[a].item()), root(label[b].item()))] = min(root(label[a].item()), root(label[b].item()))
+        return {x: root(x) for x in parent}
+
+    assert groups((first[k], second[k]) for k in kept) == groups(alike)
