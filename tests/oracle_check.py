@@ -57,24 +57,25 @@ def difference(got: pd.DataFrame, want: pd.DataFrame) -> str | None:
 
 
 def main() -> int:
-    from furrow.queries.oracle import ORACLE
-    from furrow.queries.registry import REGISTRY
+    import __spark_entry__ as entry
     from furrow.session import local_session
 
+    queries, sql = entry.queries(), entry.oracle_sql()
+
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    names = sys.argv[2:] or list(REGISTRY)
+    names = sys.argv[2:] or list(queries)
     spark, con = local_session(), duck(sf_dir)
     bad = 0
     for name in names:
         start = time.time()
-        got = REGISTRY[name](spark, sf_dir).toPandas()
+        got = queries[name](spark, sf_dir).toPandas()
         spent = time.time() - start
-        if name not in ORACLE:
+        if name not in sql:
             print(f"rows {name} {len(got)} {spent:.2f}s", flush=True)
             continue
         start = time.time()
         try:
-            note = difference(got, con.sql(ORACLE[name]).df())
+            note = difference(got, con.sql(sql[name]).df())
         except duckdb.Error as error:
             note = f"sql failed: {error}"
         print(f"{'ok  ' if note is None else 'DIFF'} {name} {len(got)} {spent:.2f}s sql {time.time() - start:.2f}s {note or ''}", flush=True)
