@@ -13,9 +13,9 @@ its empty parts as signatures too.
 
 Sets, not documents, are joined: documents of equal sets are one node. In every group each set is compared with one
 lead, some rounds with other leads; what this links are components. Groups that still hold several components are
-compared whole, in tiles of bounded size. A tile holds its sets: pairs of different components that a parity map does not
-rule out are checked there, the likeliest first, and the tile tells only the links that join two of its components, fewer
-than it has sets. So no group is listed pair by pair. Every link is checked on the sets themselves.
+compared whole, in tiles of bounded size. Tiles get the sets' parity maps first; sets that no map of another component
+leaves a partner go no further. The others come whole to the tile and are checked there, the likeliest pairs first, and
+the tile tells only the links that join two of its components, fewer than it has sets. So no group is listed pair by pair. Every link is checked on the sets themselves.
 
 Defined cases: null and empty texts have no n-grams and no links; a text with fewer words than ``n`` is one n-gram.
 Rows without an id have no links and no component; rows of one id are one node with the links of all. Repeated rows stay
@@ -24,7 +24,7 @@ rows. Other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -42,8 +42,10 @@ N = 5
 LIKE = Fraction(4, 5)
 #: Ratio of the largest to the smallest size of a band, and share of parts beyond k + 1.
 BAND, SPARE = 1.7, 0.12
-#: Sets of a tile of a large group; rounds of leads at most.
-TILE, ROUNDS = 256, 2
+#: Sets on a side of a tile of a large group, and n-grams (fewer sets where sets are large); words of maps compared at once.
+TILE, GRAMS, WORDS = 1024, 1 << 22, 1 << 21
+#: Rounds of leads at most.
+ROUNDS = 2
 _U = np.uint64
 
 
@@ -273,97 +275,133 @@ def _checked(pairs: DataFrame, held: DataFrame, like: Fraction) -> DataFrame:
             sides = zip(batch.column("grams_x").to_pylist(), batch.column("grams_y").to_pylist())
             yield batch.filter(pa.array([similar(_unpacked(x), _unpacked(y), like) for x, y in sides], pa.bool_())).select(["a", "b"])
 
-    side = lambda name, *columns: held.select(F.col("address").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
-    near = pairs.join(side("x", "size", "bits"), "x").join(side("y", "size", "bits"), "y").mapInArrow(possible, "x long, y long")
+    def side(pairs: DataFrame, name: str, *columns: str) -> DataFrame:
+        """The sets on one side of the pairs: no other set is shuffled."""
+        asked = pairs.select(F.col(name).alias("address")).distinct()
+        return held.join(asked, "address", "left_semi").select(F.col("address").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
+
+    near = pairs.join(side(pairs, "x", "size", "bits"), "x").join(side(pairs, "y", "size", "bits"), "y").mapInArrow(possible, "x long, y long")
     near = cut(near.distinct())
     kind = T.StructType().add("a", held.schema["node"].dataType).add("b", held.schema["node"].dataType)
-    both = near.join(side("x", "node", "grams"), "x").join(side("y", "node", "grams"), "y")
+    both = near.join(side(near, "x", "node", "grams"), "x").join(side(near, "y", "node", "grams"), "y")
     return both.withColumnsRenamed({"node_x": "a", "node_y": "b"}).select("a", "b", "grams_x", "grams_y").mapInArrow(alike, kind)
 
 
-def _led(groups: DataFrame, turn: int) -> DataFrame:
-    """Pairs (x, y) of each member of a group with the group's lead, another in each turn; members of one component are not paired."""
-    group = Window.partitionBy("sign")
+def _led(groups: DataFrame, turn: int, like: Fraction) -> DataFrame:
+    """Pairs (x, y) of each member of a group with the group's lead, another in each turn; members of one component are not
+    paired, nor sets whose sizes alone rule it out."""
     rank = F.xxhash64("address", F.lit(turn))
-    lead = F.min_by(F.struct("address", "label"), rank).over(group)
-    led = groups.withColumn("lead", lead).where(F.col("lead.label") != F.col("label"))
+    leads = groups.groupBy("sign").agg(F.min_by(F.struct("address", "label", "low", "high"), rank).alias("lead"))
+    up, down = like.numerator, like.denominator
+    fits = (F.col("high") * down >= F.col("lead.low") * up) & (F.col("lead.high") * down >= F.col("low") * up)
+    led = groups.join(leads, "sign").where(F.col("lead.label") != F.col("label")).where(fits)
     return led.select(F.least("address", "lead.address").alias("x"), F.greatest("address", "lead.address").alias("y")).distinct()
 
 
 def _split(groups: DataFrame) -> DataFrame:
     """The groups that hold more than one component, once for each set of members."""
     kin = groups.groupBy("sign").agg(
-        F.sum(F.xxhash64("address").cast("decimal(38,0)")).alias("kin"), F.count("*").alias("many"), (F.min("label") != F.max("label")).alias("several")
+        F.sum(F.xxhash64("address").cast("decimal(38,0)")).alias("kin"), F.count("*").alias("many"), F.max("high").alias("widest"),
+        (F.min("label") != F.max("label")).alias("several"),
     ).where("several")
-    one = kin.groupBy("kin", "many").agg(F.min("sign").alias("sign")).select("sign", "many")
-    return groups.drop("many").join(one, "sign")
+    one = kin.groupBy("kin", "many").agg(F.min("sign").alias("sign"), F.max("widest").alias("widest"))
+    return groups.join(one, "sign")
 
 
 def _forest(label: np.ndarray, first: np.ndarray, second: np.ndarray, alike) -> list[int]:
-    """The pairs (rows of ``first`` and ``second``) that link components of ``label``, each component pair once."""
-    parent = {one: one for one in np.unique(label).tolist()}
+    """The pairs (rows of ``first`` and ``second``) that link components of ``label`` (numbers from 0), each component pair once."""
+    parent = list(range(int(label.max(initial=-1)) + 1))
 
-    def root(one):
+    def root(one: int) -> int:
         while parent[one] != one:
             parent[one] = one = parent[parent[one]]
         return one
 
     kept = []
-    for at, (a, b) in enumerate(zip(first.tolist(), second.tolist())):
-        x, y = root(label[a].item()), root(label[b].item())
+    for at, (a, b, of_a, of_b) in enumerate(zip(first.tolist(), second.tolist(), label[first].tolist(), label[second].tolist())):
+        x, y = root(of_a), root(of_b)
         if x != y and alike(a, b):
             parent[x] = y
             kept.append(at)
     return kept
 
 
+def _possible(maps: np.ndarray, size: np.ndarray, label: np.ndarray, mine: np.ndarray, i: int, j: int, like: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a tile's sets that have different labels and maps that do not rule them out, and the share they differ in."""
+    rows, columns = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+    step = max(1, WORDS // max(1, len(columns) * maps.shape[1]))
+    found = []
+    for start in range(0, len(rows), step):
+        some = rows[start : start + step]
+        apart = _differ(maps[some, None], maps[columns])
+        total = size[some, None] + size[columns]
+        fits = _within(apart, total, like) & (label[some, None] != label[columns])
+        if i == j:
+            fits &= some[:, None] < columns
+        r, c = np.nonzero(fits)
+        found.append((some[r], columns[c], apart[r, c] / total[r, c]))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+
+
+def _by_tile(batches: Iterator[pa.RecordBatch], keys: list[str], compare: Callable[[pa.Table], pa.Table]) -> Iterator[pa.RecordBatch]:
+    """``compare`` of each tile: rows of equal keys, which stand together."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
+        values = [table.column(k).to_numpy() for k in keys]
+        edges = np.flatnonzero(np.any([v[1:] != v[:-1] for v in values], axis=0)) + 1
+        bounds = [0, *edges.tolist()]  # the last tile may go on
+        for start, end in zip(bounds, bounds[1:]):
+            yield from compare(table.slice(start, end - start).combine_chunks()).to_batches()
+        rest = table.slice(bounds[-1])
+    if rest is not None and rest.num_rows:
+        yield from compare(rest.combine_chunks()).to_batches()
+
+
 def _tiled(groups: DataFrame, held: DataFrame, like: Fraction) -> DataFrame:
-    """Links (a, b) between nodes of different components within groups (sign, address, label, many), a forest for each tile."""
-    tiles = F.ceil(F.col("many") / TILE).cast("int")
+    """Links (a, b) between nodes of different components within groups (sign, address, label, many, widest), a forest for each tile.
+
+    Maps are dealt to the tiles first. Only sets that a map leaves a partner in a tile are sent there whole and checked.
+    """
+    side = F.greatest(F.lit(8), F.least(F.lit(TILE), F.lit(GRAMS) / F.col("widest"))).cast("int")
+    tiles = F.ceil(F.col("many") / side).cast("int")
     mine = F.pmod(F.xxhash64("address"), tiles).cast("int")
+    keys = ["sign", "i", "j"]
     dealt = (
-        groups.join(held, "address")
+        groups.join(held.select("address", "node", "size", "bits"), "address")
         .withColumns({"mine": mine, "other": F.explode(F.sequence(F.lit(0), tiles - 1))})
-        .select("sign", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "label", "size", "bits", "grams")
+        .select("sign", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "address", "node", "label", "size", "bits")
     )
-    keys = ["sign", "i", "j"]
-    kind = T.StructType().add("a", held.schema["node"].dataType).add("b", held.schema["node"].dataType)
 
-    def compare(tile: pa.Table) -> tuple[pa.Array, pa.Array]:
-        label, size, mine, i, j = (tile.column(c).to_numpy() for c in ("label", "size", "mine", "i", "j"))
-        bits, grams = tile.column("bits").to_pylist(), tile.column("grams").to_pylist()
-        maps = _folded(bits, min(map(len, bits)))
-        rows, columns = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        differs = (label[rows, None] != label[columns]) & (rows[:, None] < columns if i[0] == j[0] else True)
-        r, c = np.nonzero(differs)
-        r, c = rows[r], columns[c]
-        apart = _differ(maps[r], maps[c])
-        fits = np.flatnonzero(_within(apart, size[r] + size[c], like))
-        order = fits[np.argsort(apart[fits] / (size[r] + size[c])[fits], kind="stable")]
-        r, c = r[order], c[order]
-        kept = _forest(label, r, c, lambda a, b: similar(_unpacked(grams[a]), _unpacked(grams[b]), like))
-        node = tile.column("node").combine_chunks()
-        return node.take(pa.array(r[kept])), node.take(pa.array(c[kept]))
+    def pairs(tile: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        size, mine, i, j = (tile.column(c).to_numpy() for c in ("size", "mine", "i", "j"))
+        label = tile.column("label").combine_chunks().dictionary_encode().indices.to_numpy()  # ids of any type
+        bits = tile.column("bits").to_pylist()
+        return label, *_possible(_folded(bits, min(map(len, bits))), size, label, mine, i[0], j[0], like)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
-            rest = yield from told(table, last=False)
-        if rest is not None:
-            yield from told(rest, last=True)
+    left = ["sign", "i", "j", "mine", "address", "node", "label"]
 
-    def told(table: pa.Table, last: bool):
-        """Compares the tiles of a sorted table; returns the rows of its last tile, which may go on."""
-        values = [table.column(k).to_numpy() for k in keys]
-        edges = np.flatnonzero(np.any([v[1:] != v[:-1] for v in values], axis=0)) + 1
-        bounds = [0, *edges.tolist(), table.num_rows]
-        found = [compare(table.slice(a, b - a)) for a, b in zip(bounds, bounds[1:] if last else bounds[1:-1])]
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*found)], names=["a", "b"])
-        return None if last else table.slice(bounds[-2])
+    def partnered(tile: pa.Table) -> pa.Table:
+        _, first, second, _ = pairs(tile)
+        return tile.select(left).take(pa.array(np.union1d(first, second).astype(np.int64)))
+
+    kept = T.StructType([dealt.schema[c] for c in left])
+    sorted_in = lambda rows: rows.repartition(*keys).sortWithinPartitions(*keys)
+    asked = cut(sorted_in(dealt).mapInArrow(lambda batches: _by_tile(batches, keys, partnered), kept))
+
+    kind = T.StructType().add("a", held.schema["node"].dataType).add("b", held.schema["node"].dataType)
+
+    def compared(tile: pa.Table) -> pa.Table:
+        label, first, second, apart = pairs(tile)
+        order = np.argsort(apart, kind="stable")  # the likeliest first
+        first, second = first[order], second[order]
+        grams = tile.column("grams").to_pylist()
+        told = _forest(label, first, second, lambda a, b: similar(_unpacked(grams[a]), _unpacked(grams[b]), like))
+        node = tile.column("node").combine_chunks()
+        return pa.Table.from_arrays([node.take(pa.array(first[told], pa.int64())), node.take(pa.array(second[told], pa.int64()))], names=["a", "b"])
 
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, kind).distinct()
+    whole = asked.join(held, ["address", "node"])
+    return sorted_in(whole).mapInArrow(lambda batches: _by_tile(batches, keys, compared), kind).distinct()
 
 
 def component_ids(docs: DataFrame, n: int = N, like: Fraction = LIKE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -376,7 +414,8 @@ def component_ids(docs: DataFrame, n: int = N, like: Fraction = LIKE, doc_id: st
     groups = cut(candidates(docs.where("doc_id is not null"), n, bands))
     wanted = nodes.join(groups.select("address").distinct(), "address", "left_semi")
     held = cut(_sets(docs, wanted, n))
-    place = held.groupBy("address").agg(F.min("node").alias("node"))  # two sets of one address go by the smaller node
+    # Two sets of one address go by the smaller node.
+    place = held.groupBy("address").agg(F.min("node").alias("node"), F.min("size").alias("low"), F.max("size").alias("high"))
 
     # Rows of one id with different sets link those sets.
     whose = known.join(nodes, ["address", "name"])
@@ -384,11 +423,11 @@ def component_ids(docs: DataFrame, n: int = N, like: Fraction = LIKE, doc_id: st
     labels = components(links)
 
     def labelled() -> DataFrame:
-        at = place.join(labels, "node", "left").select("address", F.coalesce("label", "node").alias("label"))
+        at = place.join(labels, "node", "left").select("address", F.coalesce("label", "node").alias("label"), "low", "high")
         return groups.join(at, "address")
 
     for turn in range(ROUNDS):
-        fresh = cut(_checked(_led(labelled(), turn), held, like))
+        fresh = cut(_checked(cut(_led(labelled(), turn, like)), held, like))
         if fresh.isEmpty():
             break
         links = links.unionByName(fresh)

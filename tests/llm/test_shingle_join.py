@@ -155,7 +155,7 @@ def test_tiles_tell_a_forest():
     """Links that join components, never more than there are sets, and all that is needed."""
     rng = random.Random(9)
     count = 60
-    label = np.array([rng.randrange(1000, 1040) for _ in range(count)])
+    label = np.array([rng.randrange(40) for _ in range(count)])
     first, second = map(np.array, zip(*((a, b) for a in range(count) for b in range(a) if label[a] != label[b])))
     alike = {(a, b) for a, b in zip(first.tolist(), second.tolist()) if (a % 7 == b % 7 or rng.random() < 0.01)}
     kept = op._forest(label, first, second, lambda a, b: (a, b) in alike)
@@ -174,3 +174,35 @@ def test_tiles_tell_a_forest():
         return {x: root(x) for x in parent}
 
     assert groups((first[k], second[k]) for k in kept) == groups(alike)
+
+
+def test_tiles_of_one_large_group(spark, frame):
+    """A group of near copies, not linked before, in many tiles and with decimal ids: all its links, and fewer rows than sets a tile."""
+    from decimal import Decimal
+
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, family(rng, base, rng.randrange(0, 9))) for i in range(700)]
+    big = Decimal(10**20)
+    docs = frame([(big + i, text) for i, text in rows], "doc_id decimal(38,0), text string")
+    sets = op.sets_of(docs, 5)
+    wanted = sets.groupBy("address", "name").agg(op.F.min("doc_id").alias("node"))
+    held = op.cut(op._sets(docs, wanted, 5))
+    groups = held.selectExpr("1L AS sign", "address", "node AS label", f"{held.count()}L AS many", "size AS low", "size AS high", "max(size) OVER () AS widest")
+    side, op.TILE = op.TILE, 100
+    try:
+        links = op._tiled(groups, held, op.LIKE)
+        tiles = -(-held.count() // 100)
+        assert links.count() <= tiles * held.count()
+        of = {r.doc_id: r.component_id for r in op.component_ids(docs).collect()}
+        told = {r.node: r.label for r in components(links).collect()}
+    finally:
+        op.TILE = side
+    first = {r.node: told.get(r.node, r.node) for r in held.collect()}
+    alike = components_of_sets(rows)
+    assert {i: int(of[big + i] - big) for i, _ in rows} == alike
+    assert {int(n - big): int(c - big) for n, c in first.items()} == {int(n - big): alike[int(n - big)] for n in first}
+
+
+def components_of_sets(rows):
+    return {int(i): int(c) for i, _, c in plain(rows)}
