@@ -17,6 +17,7 @@ All stages but the last return the columns of ``documents``; ``n_chars`` follows
 from __future__ import annotations
 
 from decimal import Decimal
+from uuid import uuid4
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,12 +43,14 @@ def _own_id() -> Column:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    own = docs.withColumn("_id", _own_id())
-    found = shingle_join.component_ids(own, doc_id="_id").groupBy(F.col("doc_id").alias("_id"))
-    several = cut(found.agg(F.count("*").alias("many"), F.min("component_id").alias("first")).where("first <> _id or many > 1"))
-    alone = own.join(several, "_id", "left_anti").select(*docs.columns)
-    again = own.join(several.where("first = _id"), "_id", "left_semi")
-    one = again.groupBy("_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    """One row of each group stays. Null and empty texts are like nothing: one row of each id stays. Columns are kept as they are."""
+    own = f"_own_{uuid4().hex}"  # no column of the documents
+    numbered = docs.withColumn(own, _own_id())
+    found = shingle_join.component_ids(numbered, doc_id=own).groupBy("doc_id").agg(F.count("*").alias("many"), F.min("component_id").alias("first"))
+    several = cut(found.where("first <> doc_id or many > 1").withColumnRenamed("doc_id", own))
+    repeated = cut(several.where((F.col("first") == F.col(own)) & (F.col("many") > 1)).select(own))  # mostly few: then no text moves for them
+    alone = numbered.join(several.select(own), own, "left_anti").select(*docs.columns)
+    one = numbered.join(repeated, own, "left_semi").groupBy(own).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
     return alone.unionByName(one)
 
 
