@@ -23,6 +23,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from furrow.joins import parted
 from furrow.lineage import cut, discard
 from furrow.llm import bpe_prefix, line_crf, queries, raking, shingle_join, suffix_dedup
 
@@ -49,7 +50,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = shingle_join.component_ids(numbered, doc_id=own).groupBy("doc_id").agg(F.count("*").alias("many"), F.min("component_id").alias("first"))
     several = cut(found.where("first <> doc_id or many > 1").withColumnRenamed("doc_id", own))
     repeated = cut(several.where((F.col("first") == F.col(own)) & (F.col("many") > 1)).select(own))  # mostly few: then no text moves for them
-    alone = numbered.join(several.select(own), own, "left_anti").select(*docs.columns)
+    asked, apart = parted(numbered, own, several)
+    alone = apart.unionByName(asked.join(several.select(own), own, "left_anti")).select(*docs.columns)
     one = numbered.join(repeated, own, "left_semi").groupBy(own).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
     return alone.unionByName(one)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,3 +62,18 @@ def attach_measured(
     if not keys:
         return attach(big, small, keys, spread_by)
     return match(big, small if stored else cut(small), keys, how)
+
+
+def parted(df: DataFrame, key: str, keys: DataFrame, bits: int = 1 << 24) -> tuple[DataFrame, DataFrame]:
+    """The rows whose ``key`` may be in ``keys`` (one column of that name), and those whose key surely is not.
+
+    A Bloom filter of ``bits`` bits with one hash decides, so a join with ``keys`` need move only the first. Its words are
+    broadcast: at most ``bits / 64`` rows, however many keys there are. With more keys it lets more rows by, never fewer.
+    """
+    word, place, mask = (f"_{name}_{uuid4().hex}" for name in ("word", "place", "mask"))
+    slot = F.pmod(F.xxhash64(key), F.lit(bits))
+    at = {word: F.shiftright(slot, 6), place: (slot % 64).cast("int")}
+    words = keys.select(key).withColumns(at).groupBy(word).agg(F.bit_or(F.expr(f"shiftleft(1L, {place})")).alias(mask))
+    marked = df.withColumns(at).join(F.broadcast(words), word, "left")
+    hit = F.coalesce(F.expr(f"shiftrightunsigned({mask}, {place}) & 1L") == 1, F.lit(False))
+    return marked.where(hit).select(*df.columns), marked.where(~hit).select(*df.columns)

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from furrow.joins import attach, attach_measured, match, match_measured
+from furrow.joins import attach, attach_measured, match, match_measured, parted
 
 
 def _big(spark):
@@ -47,3 +47,15 @@ def test_match_semi_and_anti_with_nulls(spark):
     keys = spark.createDataFrame([(None,), ("cold",)], "k string")
     assert match(_big(spark), keys, ["k"], "left_semi").count() == 40
     assert match(_big(spark), keys, ["k"], "left_anti").count() == 60
+
+
+def test_parted(spark):
+    """Rows are dealt to two frames, none lost, and no row of a key goes to the second, also where the filter is full."""
+    rows = spark.range(2000).selectExpr("cast(if(id % 7 = 0, null, id % 500) AS decimal(38,0)) AS k", "id AS v")
+    keys = spark.range(0, 500, 5).selectExpr("cast(id AS decimal(38,0)) AS k")
+    for bits, most in ((1 << 20, 400), (64, 2000)):
+        asked, apart = parted(rows, "k", keys, bits)
+        assert asked.columns == apart.columns == rows.columns
+        assert sorted(r.v for r in asked.union(apart).collect()) == list(range(2000))
+        assert apart.join(keys, "k").count() == 0 and asked.count() <= most
+    assert parted(rows, "k", keys.where("false"))[0].count() == 0
