@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..lineage import cut
-from .arrow import added, bounded, with_added
+from .arrow import added, bounded, own_names, with_added
 
 #: A container must hold this share of the page's content to be the page's choice.
 MOST = 0.8
@@ -273,16 +273,17 @@ def votes(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", text: str = "text") -> DataFrame:
-    """Add the main text of every page."""
-    won = cut(votes(pages, url, html).withColumnsRenamed({"host": "_won_host", "votes": "_won_votes"}))
-    joined = pages.withColumn("_host", host(F.col(url))).join(won, F.col("_host") == F.col("_won_host"), "left")
+    """Add the main text of every page; other columns are kept, whatever their names."""
+    of_page, of_votes, won_votes = own_names("host", "host", "votes")
+    won = cut(votes(pages, url, html).withColumnsRenamed({"host": of_votes, "votes": won_votes}))
+    joined = pages.withColumn(of_page, host(F.col(url))).join(won, F.col(of_page) == F.col(of_votes), "left")
     wanted = added(pages, **{text: T.StringType()})
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, html):
             found = []
-            for source, paths in zip(batch.column(html).to_pylist(), batch.column("_won_votes").to_pylist()):
+            for source, paths in zip(batch.column(html).to_pylist(), batch.column(won_votes).to_pylist()):
                 found.append(Page(source or "").text(dict(paths or ())))
             yield with_added(batch, {text: pa.array(found, pa.string())}).select(wanted.names)
 
-    return joined.drop("_host", "_won_host").mapInArrow(read, wanted)
+    return joined.drop(of_page, of_votes).mapInArrow(read, wanted)

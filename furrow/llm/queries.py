@@ -10,6 +10,7 @@ from . import (
     block_topk, bpe_prefix, collocations, host_paths, line_crf, periodic_runs, perspectives, raking, sentence_spans, shingle_join,
     spot_signatures, suffix_dedup, toxicity,
 )
+from .arrow import own_names
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -38,10 +39,11 @@ RATE = 0.5
 
 
 def with_topic(docs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Add the topic: the label of the document's vector, as text; null without one."""
+    """Add the topic, in place of a column so named: the label of the document's vector, as text; null without one."""
+    (vec,) = own_names("vec")
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    topics = vectors.where("vec_id is not null").groupBy(F.col("vec_id").alias("_vec")).agg(F.min("label").cast("string").alias("topic"))
-    return docs.join(topics, F.col("doc_id") == F.col("_vec"), "left").drop("_vec")
+    topics = vectors.where("vec_id is not null").groupBy(F.col("vec_id").alias(vec)).agg(F.min("label").cast("string").alias("topic"))
+    return docs.drop("topic").join(topics, F.col("doc_id") == F.col(vec), "left").drop(vec)
 
 
 def token_count(text: str) -> F.Column:

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..joins import match
+from .arrow import own_names
 
 OTHER = "(other)"
 SWEEPS = 25
@@ -125,8 +126,12 @@ def mix(
     docs: DataFrame, targets: Targets, rate: float, doc_id: str = "doc_id", tokens: str = "tokens", seed: int = 0,
     sweeps: int = SWEEPS, bounded: bool = True,
 ) -> DataFrame:
-    """Add weight, probability and kept. ``targets``: by column, the token share of each value; ``rate``: of all tokens."""
-    names = [f"_cell_{d}" for d in targets]
+    """Add weight, probability and kept, in place of columns so named. Other columns are kept.
+
+    ``targets``: by column, the token share of each value; ``rate``: of all tokens. Null and unlisted values are one category,
+    the rest. Null tokens count as none; an empty table stays empty.
+    """
+    names = own_names(*targets)
     placed = docs.drop("weight", "probability", "kept").withColumns(
         {name: category(F.col(d), targets[d]) for name, d in zip(names, targets)}
     )

@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..lineage import cut
-from .arrow import added, bounded, byte_texts, text_bytes, with_added
+from .arrow import added, bounded, byte_texts, own_names, text_bytes
 from .hashing import Stretches, mixed, powers
 
 LENGTH = 200
@@ -100,7 +100,7 @@ def _prepared(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     Both joins of texts read this frame with all its columns, so Spark shuffles the texts once and reads them twice.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    rest = [c for c in docs.columns if c not in (text, "_id", "_key")]
+    rest = [c for c in docs.columns if c != text]
     return docs.select(
         *rest, body.alias(text), F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(body)).alias("_id"),
         F.xxhash64(body, F.lit(7)).bitwiseAND(F.lit(0x7FFFFFFF)).alias("_key"),
@@ -342,24 +342,29 @@ def dedup(
 
 
 def dedup_text(
-    docs: DataFrame, length: int = LENGTH, sample: Sample | None = None, reach: int = REACH, doc_id: str = "doc_id", text: str = "text", hot: int = HOT
+    docs: DataFrame, length: int = LENGTH, sample: Sample | None = None, reach: int = REACH, doc_id: str = "doc_id", text: str = "text", hot: int = HOT,
+    out: str = "n_removed",
 ) -> DataFrame:
-    """The documents with what is left of their texts, and ``n_removed``, the bytes gone.
+    """The documents with what is left of their texts, and ``out``, the bytes gone; other columns are kept, whatever their names.
 
-    A character of which a run covers some bytes goes whole. Every place of a repeated string goes, the first too.
+    A character of which a run covers some bytes goes whole. Every place of a repeated string goes, the first too. A null
+    text comes back empty; a column that is named ``out`` already is replaced.
     """
-    bodies = _prepared(docs, doc_id, text)
-    joined = bodies.join(_spans(bodies, text, length, sample or content(reach), reach, hot), ["_id", "_key"], "left")
-    wanted = added(docs, **{text: T.StringType(), "n_removed": T.LongType()})
+    own = dict(zip(docs.columns, own_names(*docs.columns)))
+    body = own[text]
+    bodies = _prepared(docs.toDF(*own.values()), own[doc_id], body)
+    joined = bodies.join(_spans(bodies, body, length, sample or content(reach), reach, hot), ["_id", "_key"], "left")
+    wanted = added(docs, **{text: T.StringType(), out: T.LongType()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, text, HASHED):
-            data, offsets, gone = _gone(batch, text, "_spans")
+        for batch in bounded(batches, body, HASHED):
+            data, offsets, gone = _gone(batch, body, "_spans")
             character = np.cumsum((data & 0xC0) != 0x80) - 1  # a character's first byte is no continuation
             touched = np.zeros(int(character[-1]) + 1 if len(data) else 0, bool)
             touched[character[gone]] = True
             gone = touched[character]
-            columns = {text: byte_texts(data[~gone], _counts(~gone, offsets)), "n_removed": pa.array(np.diff(_counts(gone, offsets)))}
-            yield with_added(batch, columns).select(wanted.names)
+            columns = {text: byte_texts(data[~gone], _counts(~gone, offsets)), out: pa.array(np.diff(_counts(gone, offsets)))}
+            columns = {name: batch.column(own[name]) for name in own if name not in columns} | columns
+            yield pa.RecordBatch.from_arrays([columns[name] for name in wanted.names], names=wanted.names)
 
     return joined.mapInArrow(run, wanted)
