@@ -17,7 +17,6 @@ All stages but the last return the columns of ``documents``; ``n_chars`` follows
 from __future__ import annotations
 
 from decimal import Decimal
-from uuid import uuid4
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,12 +25,15 @@ from pyspark.sql import functions as F
 from furrow.joins import parted
 from furrow.lineage import cut, discard
 from furrow.llm import bpe_prefix, line_crf, queries, raking, shingle_join, suffix_dedup
+from furrow.llm.arrow import own_names
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more stay, row by row; a null text scores as an empty one. Columns are kept as they are."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     field = line_crf.train(docs, labels)
-    return line_crf.score(docs, field, out="_score").where("_score >= 0.5").select(*docs.columns)
+    (score,) = own_names("score")
+    return line_crf.score(docs, field, out=score).where(F.col(score) >= 0.5).select(*docs.columns)
 
 
 def _own_id() -> Column:
@@ -45,7 +47,7 @@ def _own_id() -> Column:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group stays. Null and empty texts are like nothing: one row of each id stays. Columns are kept as they are."""
-    own = f"_own_{uuid4().hex}"  # no column of the documents
+    (own,) = own_names("own")
     numbered = docs.withColumn(own, _own_id())
     found = shingle_join.component_ids(numbered, doc_id=own).groupBy("doc_id").agg(F.count("*").alias("many"), F.min("component_id").alias("first"))
     several = cut(found.where("first <> doc_id or many > 1").withColumnRenamed("doc_id", own))
@@ -57,16 +59,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = suffix_dedup.dedup_text(docs)
-    return kept.where((F.col("text") != "") | (F.col("n_removed") == 0)).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    """Rows whose text was empty or null stay, with an empty text. Columns but text and n_chars are kept as they are."""
+    (gone,) = own_names("n_removed")
+    kept = suffix_dedup.dedup_text(docs, out=gone)
+    left = kept.where((F.col("text") != "") | (F.col(gone) == 0))
+    return left.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    sized = queries.with_topic(docs.withColumn("tokens", queries.token_count("text")), spark, sf_dir)
-    return raking.mix(sized, queries.MIX, queries.RATE).where("kept").select(*docs.columns)
+    """A sample of the rows; those without words, language, source or topic fall in the rest of each. Columns are kept as they are."""
+    (row,) = own_names("row")
+    cells = ["doc_id", "source", "lang"]
+    sized = docs.select(*cells, queries.token_count("text").alias("tokens"), F.struct(*docs.columns).alias(row))
+    return raking.mix(queries.with_topic(sized, spark, sf_dir), queries.MIX, queries.RATE).where("kept").select(f"{row}.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of token ids for each row; a null text has none."""
     ids = bpe_prefix.encode(docs.select("doc_id", "source", "lang", "text"), public_tokenizers.path(queries.RANKS), public_tokenizers.PATTERN)
     return ids.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
