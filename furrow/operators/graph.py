@@ -24,6 +24,8 @@ SOURCES_PER_BATCH = 4096
 STEP_ROWS = 100_000
 # Basis vectors of the eigenvector search, and those a full basis restarts from.
 BASIS, KEPT = 48, 8
+# A closeness sketch has two to this power registers: an error of 1.6 % for large sets.
+SKETCH_BITS = 12
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -206,6 +208,50 @@ def closeness_centrality(
     return _scores(nodes, facts.select("node", (_nearness() / F.lit(float(max(1, n_nodes - 1)))).alias("score")))
 
 
+def closeness_by_sketches(
+    nodes: DataFrame, edges: DataFrame, precision: int = SKETCH_BITS, symmetric: bool = False, n_nodes: int | None = None
+) -> DataFrame:
+    """Estimate of :func:`closeness_centrality` with one HyperLogLog sketch a node in place of all (source, node) pairs.
+
+    The sketch of a node stands for the nodes within d links of it; a level merges it with those of its neighbours, and what
+    its estimate grows by lies d + 1 away. State is one sketch a node (at most 2**precision bytes), a level one aggregation
+    over the links. Only sketches that the last level changed are sent. The search ends with a level at which no estimate
+    grows. Small sets are counted almost exactly, large ones with a relative error of some 1.04 / sqrt(2**precision).
+    """
+    links, _ = _chunked(_links(edges, symmetric))
+    own = F.hll_sketch_agg(F.col("id").cast("string"), F.lit(precision)).alias("sketch")
+    held = cut(
+        _start_nodes(nodes, links).groupBy(F.col("id").alias("node")).agg(F.max("parts").alias("parts"), own)
+        .withColumns({"reached": F.lit(1).cast("long"), "far": F.lit(0.0), "fresh": F.lit(True)})
+    )
+    level, grown = 0, True
+    while grown:
+        level += 1
+        given = _step(held.where("fresh").select("node", "parts", "sketch"), links).select(F.col("dst").alias("node"), "sketch")
+        # Own rows carry the state; a node without one is none of ``nodes``.
+        merged = held.withColumnRenamed("sketch", "before").withColumn("sketch", F.col("before")).select(
+            "node", "parts", "before", "far", "reached", "sketch"
+        ).unionByName(
+            given, allowMissingColumns=True
+        ).groupBy("node").agg(
+            *(F.max(c).alias(c) for c in ("parts", "before", "far")), F.max("reached").alias("known"),
+            F.hll_union_agg("sketch").alias("sketch"),
+        ).where("known is not null")
+        now = F.greatest("known", F.hll_sketch_estimate("sketch"))
+        following, seen = cut_measured(
+            merged.withColumn("reached", now).select(
+                "node", "parts", "sketch", "reached", (F.col("far") + level * (F.col("reached") - F.col("known"))).alias("far"),
+                (F.col("sketch") != F.col("before")).alias("fresh"), (F.col("reached") > F.col("known")).alias("grew"),
+            ),
+            n=F.count_if("grew"),
+        )
+        discard(held)
+        held, grown = following, seen["n"] > 0
+    discard(links)
+    n_nodes = nodes.count() if n_nodes is None else n_nodes
+    return _scores(nodes, held.select("node", (_nearness() / F.lit(float(max(1, n_nodes - 1)))).alias("score")))
+
+
 def betweenness_centrality(
     nodes: DataFrame,
     edges: DataFrame,
@@ -389,6 +435,7 @@ def _bordered(matrix: np.ndarray, column: list[float]) -> np.ndarray:
 CENTRALITIES = {
     "betweenness": betweenness_centrality,
     "closeness": closeness_centrality,
+    "closeness_sketch": closeness_by_sketches,
     "degree": degree_centrality,
     "eigenvector": eigenvector_centrality,
 }

@@ -492,11 +492,10 @@ sql("degree_centrality", *GRAPH, DEGREE.format(0), body=f"SELECT node, {r('score
 sql("degree_with_self_loops", *GRAPH, DEGREE.format(2), body=f"SELECT node, {r('score')} AS score FROM deg")
 sql("top_taxa", *GRAPH, DEGREE.format(0),
     body=f"SELECT node, {r('score')} AS score FROM deg ORDER BY round(score, 6) DESC, node LIMIT 5")
-sql(
-    "closeness_centrality", *GRAPH, DIST, recursive=True,
-    body=f"""SELECT s AS node, {r("coalesce((count(*) - 1) / nullif(sum(d), 0) * (count(*) - 1) / (any_value(n) - 1), 0)")} AS score
-FROM dist CROSS JOIN size GROUP BY s""",
-)
+CLOSENESS = f"""SELECT s AS node, {r("coalesce((count(*) - 1) / nullif(sum(d), 0) * (count(*) - 1) / (any_value(n) - 1), 0)")} AS score
+FROM dist CROSS JOIN size GROUP BY s"""
+sql("closeness_centrality", *GRAPH, DIST, recursive=True, body=CLOSENESS)
+sql("closeness_sketch", *GRAPH, DIST, recursive=True, body=CLOSENESS)
 sql(
     "betweenness_centrality", *GRAPH, DIST,
     """paths(s, v, d, c) AS (SELECT id, id, 0, CAST(1 AS DOUBLE) FROM nodes

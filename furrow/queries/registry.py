@@ -636,6 +636,12 @@ def closeness_centrality(spark, sf_dir):
     return _scored(spark, sf_dir, "closeness")
 
 
+@query
+def closeness_sketch(spark, sf_dir):
+    """The taxa are few, and so small a set is counted by its sketch without an error."""
+    return _scored(spark, sf_dir, "closeness_sketch")
+
+
 @query
 def betweenness_centrality(spark, sf_dir):
     return _scored(spark, sf_dir, "betweenness")

@@ -87,6 +87,27 @@ def test_paths_equal_brute_force(spark, monkeypatch, small):
     )
 
 
+def test_closeness_by_sketches(spark, monkeypatch):
+    """Exact on a small graph, also one with several components, hubs in chunks and ends that are no nodes."""
+    monkeypatch.setattr(graph, "CHUNK_EDGES", 2)
+    nodes, edges = _random_graph()
+    found = _scores(graph.closeness_by_sketches(*_frames(spark, nodes, edges + [("n01", "n01")])))
+    assert found == pytest.approx(_brute_closeness(nodes, edges))
+    beyond = _scores(graph.closeness_by_sketches(*_frames(spark, nodes[:13], [(a, b) for a, b in edges] + [("n12", "none")])))
+    assert set(beyond) == set(nodes[:13])
+    assert _scores(graph.closeness_by_sketches(*_frames(spark, nodes, []))) == {n: 0 for n in nodes}
+
+
+def test_closeness_by_sketches_is_near_on_larger_graphs(spark):
+    rnd = random.Random(5)
+    nodes = [f"n{i}" for i in range(2500)]
+    edges = sorted({tuple(sorted(rnd.sample(nodes, 2))) for _ in range(5000)} | {(nodes[0], n) for n in nodes[1:200]})
+    want = _brute_closeness(nodes, edges)
+    found = _scores(graph.closeness_by_sketches(*_frames(spark, nodes, edges), precision=10))
+    off = np.array([abs(found[n] - w) / w if w else found[n] for n, w in want.items()])
+    assert off.mean() < 0.035 and off.max() < 0.15, (off.mean(), off.max())
+
+
 def test_degree(spark):
     nodes, edges = _random_graph()
     near = _neighbours(nodes, edges)
