@@ -169,7 +169,8 @@ def _search(
     """Breadth-first search from every start ``(id, parts)``, of which there are ``rows``; its results are stored.
 
     Gives ``(node, reached, far, label)``: how many nodes a start reaches, itself included, the sum of their distances and
-    the smallest of them; and with ``back`` ``(node, score)``, the dependencies of all starts on a node.
+    the smallest of them; and with ``back`` ``(node, score, squares)``, the sums of all starts' dependencies on a node and of
+    their squares.
     """
     facts, gains = [], []
     for batch in _batches(starts, rows, per_batch):
@@ -180,8 +181,8 @@ def _search(
         facts.append(cut(told.withColumnRenamed("source", "node")))
         deltas = _accumulated(levels, links, growth) if back else []
         if deltas:
-            gained = reduce(DataFrame.unionByName, deltas).groupBy("node").agg(F.sum("delta").alias("score"))
-            gains.append(cut(gained))
+            gained = reduce(DataFrame.unionByName, deltas).groupBy("node")
+            gains.append(cut(gained.agg(F.sum("delta").alias("score"), F.sum(F.col("delta") * F.col("delta")).alias("squares"))))
         discard(*[level for level, _ in levels], *deltas)
     return reduce(DataFrame.unionByName, facts), reduce(DataFrame.unionByName, gains) if gains else None
 
@@ -280,6 +281,72 @@ def betweenness_centrality(
     return _scores(nodes, gained).withColumn("score", F.col("score") * norm)
 
 
+def _half_width(spread: Column, drawn: int, held: int, chance: float) -> Column:
+    """How far the mean of ``drawn`` of ``held`` values from 0 to 1, drawn without return, may lie off, but for ``chance``.
+
+    The empirical Bernstein-Serfling bound of Bardenet and Maillard (2015) for both sides; ``spread`` is the standard
+    deviation of the values drawn.
+    """
+    if drawn >= held:
+        return F.lit(0.0)
+    logs = math.log(10 / chance)
+    left = 1 - (drawn - 1) / held if 2 * drawn <= held else (1 - drawn / held) * (1 + 1 / drawn)
+    return spread * math.sqrt(2 * left * logs / drawn) + (7 / 3 + 3 / math.sqrt(2)) * logs / drawn
+
+
+def betweenness_by_draws(
+    nodes: DataFrame,
+    edges: DataFrame,
+    epsilon: float = 0.01,
+    delta: float = 0.1,
+    first: int = 64,
+    seed: int = 0,
+    per_batch: int = SOURCES_PER_BATCH,
+    symmetric: bool = False,
+    n_nodes: int | None = None,
+) -> DataFrame:
+    """Estimate ``(node, score, within)`` of :func:`betweenness_centrality` from randomly drawn shortest paths.
+
+    With probability ``1 - delta`` every score, all nodes at once, lies within ``epsilon`` of the exact one, and within its own
+    ``within``. A draw is a start node and all shortest paths from there: a search finds them together, and their mean share
+    through a node varies no more than that of a single path. Rounds double the draws until the bound holds for the node whose
+    shares vary most, so the spread that the data show decides how many there are, not a list made beforehand. Draws are
+    without return, in the order of a hash of the id; a graph that needs all its nodes gets its exact scores, ``within`` 0.
+    """
+    if not (0 < epsilon and 0 < delta < 1 and first > 0):
+        raise ValueError("epsilon and first must be positive, delta must lie between 0 and 1")
+    n_nodes = nodes.count() if n_nodes is None else n_nodes
+    zero = nodes.select(F.col("id").alias("node"), F.lit(0.0).alias("score"), F.lit(0.0).alias("squares"))
+    links, n_links = _chunked(_links(edges, symmetric))
+    linked, seen = cut_measured(_start_nodes(nodes, links), n=F.count("*"))
+    n_linked, held, drawn, low, within = seen["n"], zero, 0, 0.0, F.lit(0.0)
+    place = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 32)) / float(1 << 32)
+    rounds = max(1, math.ceil(math.log2(max(1.0, n_linked / first))) + 1) if n_linked and n_nodes > 2 else 0
+    for turn in range(rounds):
+        high = 1.0 if turn == rounds - 1 else first * 2**turn / n_linked
+        starts, seen = cut_measured(linked.filter((place >= low) & (place < high)), n=F.count("*"))
+        low = high
+        if not seen["n"]:
+            continue
+        facts, gained = _search(starts, seen["n"], links, n_links / n_linked, per_batch, back=True)
+        drawn += seen["n"]
+        mean = F.col("score") / ((n_nodes - 2) * drawn)
+        spread = F.sqrt(F.greatest(F.col("squares") / ((n_nodes - 2) ** 2 * drawn) - mean * mean, F.lit(0.0)))
+        # Every node in every round may miss its bound: the chance is shared out among them.
+        within = _half_width(spread, drawn, n_linked, delta / (n_linked * rounds)) * (n_linked / (n_nodes - 1))
+        summed = held if gained is None else held.unionByName(gained).groupBy("node").agg(
+            F.sum("score").alias("score"), F.sum("squares").alias("squares")
+        )
+        before = held
+        held, seen = cut_measured(summed, widest=F.max(within))
+        discard(facts, starts, before, *([] if gained is None else [gained]))
+        if seen["widest"] <= epsilon:
+            break
+    discard(links, linked)
+    norm = n_linked / max(1, (n_nodes - 1) * (n_nodes - 2) * drawn)
+    return held.select("node", (F.col("score") * norm).alias("score"), within.alias("within"))
+
+
 class Standing:
     """Betweenness or closeness of a graph that loses nodes.
 
@@ -434,6 +501,7 @@ def _bordered(matrix: np.ndarray, column: list[float]) -> np.ndarray:
 
 CENTRALITIES = {
     "betweenness": betweenness_centrality,
+    "betweenness_draws": betweenness_by_draws,
     "closeness": closeness_centrality,
     "closeness_sketch": closeness_by_sketches,
     "degree": degree_centrality,

@@ -496,17 +496,17 @@ CLOSENESS = f"""SELECT s AS node, {r("coalesce((count(*) - 1) / nullif(sum(d), 0
 FROM dist CROSS JOIN size GROUP BY s"""
 sql("closeness_centrality", *GRAPH, DIST, recursive=True, body=CLOSENESS)
 sql("closeness_sketch", *GRAPH, DIST, recursive=True, body=CLOSENESS)
-sql(
-    "betweenness_centrality", *GRAPH, DIST,
+THROUGH = [
     """paths(s, v, d, c) AS (SELECT id, id, 0, CAST(1 AS DOUBLE) FROM nodes
   UNION ALL SELECT paths.s, adj.dst, paths.d + 1, sum(c) FROM paths JOIN adj ON paths.v = adj.src
   JOIN dist ON dist.s = paths.s AND dist.v = adj.dst AND dist.d = paths.d + 1 GROUP BY paths.s, adj.dst, paths.d + 1)""",
     """through AS (SELECT a.v AS node, sum(a.c * b.c / e.c) AS score FROM paths a JOIN paths b ON a.v = b.s
   JOIN paths e ON e.s = a.s AND e.v = b.v AND e.d = a.d + b.d WHERE a.d > 0 AND b.d > 0 GROUP BY a.v)""",
-    recursive=True,
-    body=f"""SELECT id AS node, {r("coalesce(score, 0) / ((n - 1) * (n - 2))")} AS score
-FROM nodes CROSS JOIN size LEFT JOIN through ON node = id""",
-)
+]
+BETWEENNESS = f"""SELECT id AS node, {r("coalesce(score, 0) / ((n - 1) * (n - 2))")} AS score
+FROM nodes CROSS JOIN size LEFT JOIN through ON node = id"""
+sql("betweenness_centrality", *GRAPH, DIST, *THROUGH, recursive=True, body=BETWEENNESS)
+sql("betweenness_draws", *GRAPH, DIST, *THROUGH, recursive=True, body=BETWEENNESS)
 
 
 def squared(rounds: int) -> str:

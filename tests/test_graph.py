@@ -108,6 +108,48 @@ def test_closeness_by_sketches_is_near_on_larger_graphs(spark):
     assert off.mean() < 0.035 and off.max() < 0.15, (off.mean(), off.max())
 
 
+def _brandes(nodes, edges):
+    near = _neighbours(nodes, edges)
+    score = dict.fromkeys(nodes, 0.0)
+    for source in nodes:
+        dist, paths = _search(near, source)
+        gain = dict.fromkeys(dist, 0.0)
+        for v in reversed(dist):  # nearest first, as they were found
+            for w in near[v]:
+                if dist[w] == dist[v] + 1:
+                    gain[v] += paths[v] / paths[w] * (1 + gain[w])
+            if v != source:
+                score[v] += gain[v]
+    return {v: s / ((len(nodes) - 1) * (len(nodes) - 2)) for v, s in score.items()}
+
+
+def test_betweenness_by_draws_keeps_its_bound(spark, monkeypatch):
+    rnd = random.Random(5)
+    nodes = [f"n{i:04d}" for i in range(1200)]
+    edges = [(nodes[0], n) for n in nodes[1:500]] + [(nodes[1], n) for n in nodes[450:1000]]
+    edges = sorted(set(edges) | {tuple(sorted(rnd.sample(nodes[:1100], 2))) for _ in range(1200)})
+    exact, drawn, search = _brandes(nodes, edges), [], graph._search
+    monkeypatch.setattr(graph, "_search", lambda starts, rows, *rest, **how: drawn.append(rows) or search(starts, rows, *rest, **how))
+    found = graph.betweenness_by_draws(*_frames(spark, nodes, edges), epsilon=0.2, delta=0.1, first=40).collect()
+    assert {r["node"] for r in found} == set(nodes)
+    assert all(abs(r["score"] - exact[r["node"]]) <= r["within"] <= 0.2 for r in found)
+    assert 1 < len(drawn) and sum(drawn) < 800  # it stopped before all nodes were starts
+    assert max(abs(r["score"] - exact[r["node"]]) for r in found) < 0.02
+    assert {r["score"] for r in found if not exact[r["node"]]} == {0}
+
+
+def test_betweenness_by_draws_of_all_nodes_is_exact(spark):
+    nodes, edges = _random_graph()
+    found = graph.betweenness_by_draws(*_frames(spark, nodes, edges + [("n03", "n03")]), epsilon=1e-6, first=3).collect()
+    exact = _brute_betweenness(nodes, edges)
+    assert {r["node"]: r["score"] for r in found} == pytest.approx(exact) and {r["within"] for r in found} == {0}
+    for some, links in ((nodes, []), (["a", "b"], [("a", "b")]), ([], [])):
+        none = graph.betweenness_by_draws(*_frames(spark, some, links)).collect()
+        assert sorted(tuple(r) for r in none) == [(n, 0, 0) for n in sorted(some)]
+    with pytest.raises(ValueError):
+        graph.betweenness_by_draws(*_frames(spark, nodes, edges), epsilon=0)
+
+
 def test_degree(spark):
     nodes, edges = _random_graph()
     near = _neighbours(nodes, edges)
