@@ -11,13 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.color import gray_array, lab_b_array
-from ..functions.geometry import inside_quad, inside_regions, mask_array
+from ..functions.geometry import inside_quad, inside_regions, mask_array, quad_mask, region_mask
 from ..joins import attach, match
 from ..lineage import cut
 from ..operators import histogram, peaks, periods, series
 from ..params import FrameParams
-from ..sources import cache
-from ..sources.images import file_set, scan_images
+from ..sources import cache, generations
+from ..sources.images import exactly, file_set, file_versions, scan_images
 
 FEATURES = (
     "path string, image_id string, batch string, number bigint, ok boolean, "
@@ -42,13 +42,40 @@ def area_mask(params: FrameParams) -> np.ndarray:
     )
 
 
-Masks = tuple[np.ndarray, np.ndarray]
+Mask = np.ndarray | DataFrame
+Masks = tuple[Mask, Mask]
 
 
-def frame_masks(params: FrameParams, masks: Masks | None = None) -> Masks:
-    """Plot and flower-area masks: given ones of the frame's size, or those of the parameters."""
+def stored_masks(spark: SparkSession, cache_dir: str, params: FrameParams) -> tuple[DataFrame, DataFrame]:
+    """Plot and flower-area masks of the parameters as tables ``(y, x)``; drawn once, then loaded."""
+    size = (params.height, params.width)
+    return (
+        cache.load_or_compute(
+            spark, f"{cache_dir}/plot_mask", f"{params.plot}|{size}", lambda: quad_mask(spark, params.plot, *size)
+        ),
+        cache.load_or_compute(
+            spark, f"{cache_dir}/area_mask", f"{params.regions}|{params.plot}|{size}",
+            lambda: region_mask(spark, params.regions, params.plot, *size),
+        ),
+    )
+
+
+def _drawn(mask: Mask, params: FrameParams) -> np.ndarray:
+    """A mask as an array. Of a table ``(y, x)`` the driver gets the pixels of one frame, each once, and no others."""
+    if not isinstance(mask, DataFrame):
+        return mask
+    inside = F.col("y").between(0, params.height - 1) & F.col("x").between(0, params.width - 1)
+    kept = mask.filter(inside).select(F.col("y").cast("int"), F.col("x").cast("int")).distinct().toPandas()
+    drawn = np.zeros((params.height, params.width), dtype=bool)
+    drawn[kept["y"].to_numpy(int), kept["x"].to_numpy(int)] = True
+    return drawn
+
+
+def frame_masks(params: FrameParams, masks: Masks | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Plot and flower-area masks: given ones, as arrays of the frame's size or tables ``(y, x)``, or those of the parameters."""
     if masks is None:
         return plot_mask(params), area_mask(params)
+    masks = tuple(_drawn(mask, params) for mask in masks)
     for mask in masks:
         if mask.shape != (params.height, params.width):
             raise ValueError(f"mask of shape {mask.shape} does not fit the frame")
@@ -165,20 +192,30 @@ def run_batch(
 ) -> dict[str, DataFrame]:
     """Analyse folders of images, one batch per folder.
 
-    Features and the finished frame table are reused when they were stored
-    with the same parameters, masks and files. ``masks`` gives plot and flower
-    area instead of the parameters' geometry. ``timestamps`` (image_id, ts)
+    Features are kept per file and reused while the parameters, the masks and
+    the file stay the same, so a folder that grows has only its new files
+    decoded; the finished frame table is reused while no file changes.
+    ``masks`` gives plot and flower area, as arrays or as tables ``(y, x)``,
+    instead of the parameters' geometry. ``timestamps`` (image_id, ts)
     are filled in and joined; frames without one keep a null. Returns
     ``frames`` (bad frames removed), ``bad`` and ``rejects``.
     """
     by = ["batch"]
-    drawn = hashlib.sha256(b"".join(np.ascontiguousarray(m > 0).tobytes() for m in masks)).hexdigest() if masks else ""
-    stamp = f"{path}|{glob}|{params.stamp()}|{drawn}|{file_set(spark, path, glob) if cache_dir else ''}"
-
-    def build() -> DataFrame:
-        return frame_features(scan_images(spark, path, glob), params, masks)
-
-    features = cache.load_or_compute(spark, f"{cache_dir}/features", stamp, build) if cache_dir else cut(build())
+    masks = frame_masks(params, masks) if masks else None
+    drawn = hashlib.sha256(b"".join(np.ascontiguousarray(m).tobytes() for m in masks)).hexdigest() if masks else ""
+    made = f"{path}|{glob}|{params.stamp()}|{drawn}"
+
+    def build(paths: str | Sequence[str]) -> DataFrame:
+        return frame_features(scan_images(spark, paths, glob), params, masks)
+
+    if cache_dir:
+        versions = file_versions(spark, path, glob)
+        stamp = f"{made}|{file_set(spark, path, glob)}"
+        features = generations.load_or_extend(
+            spark, f"{cache_dir}/features", made, versions, lambda new: build([exactly(p) for p in new] or path)
+        )
+    else:
+        features = cut(build(path))
 
     def finish() -> DataFrame:
         plot, area = frame_masks(params, masks)

@@ -14,19 +14,20 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _folder(path: str, stamp: str) -> str:
+def folder_of(path: str, stamp: str) -> str:
+    """Folder of the table with these parameters."""
     return f"{path.rstrip('/')}/{hashlib.sha256(stamp.encode()).hexdigest()[:24]}"
 
 
 def save(df: DataFrame, path: str, stamp: str) -> None:
-    folder = _folder(path, stamp)
+    folder = folder_of(path, stamp)
     df.write.mode("overwrite").parquet(f"{folder}/data")
     df.sparkSession.createDataFrame([(stamp,)], "stamp string").write.mode("overwrite").parquet(f"{folder}/stamp")
 
 
 def load(spark: SparkSession, path: str, stamp: str) -> DataFrame | None:
     """The stored table if its parameters equal ``stamp``, else None."""
-    folder = _folder(path, stamp)
+    folder = folder_of(path, stamp)
     try:
         held = spark.read.parquet(f"{folder}/stamp").first()
         return spark.read.parquet(f"{folder}/data") if held and held["stamp"] == stamp else None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,6 +53,20 @@ def list_files(spark: SparkSession, path: str, glob: str = "*.jpg", recursive: b
     )
 
 
+def file_versions(spark: SparkSession, paths: str | Sequence[str], glob: str = "*.jpg", recursive: bool = True) -> DataFrame:
+    """One row a file: the ``path`` as image scans tell it, the ``source`` to read it by, its length and last change."""
+    # Image scans write paths without a host as scheme:///path, the metadata write scheme:/path.
+    told = F.regexp_replace("_metadata.file_path", "^([A-Za-z][A-Za-z0-9+.-]*):/(?!/)", "$1:///")
+    return scan_raw(spark, paths, glob, recursive).select(
+        told.alias("path"), F.col("path").alias("source"), "length", F.col("modificationTime").alias("modified")
+    )
+
+
+def exactly(source: str) -> str:
+    """The path as a pattern that matches it alone."""
+    return re.sub(r"([\[\]{}*?\\,])", r"\\\1", source)
+
+
 def file_set(spark: SparkSession, path: str, glob: str = "*.jpg", recursive: bool = True) -> str:
     """Number, total length and latest change of the matching files, as text; contents are not read."""
     facts = scan_raw(spark, path, glob, recursive).agg(

@@ -193,6 +193,90 @@ def test_new_files_are_seen_and_masks_and_times_used(spark, folder, tmp_path):
     assert timed.count() == drawn.count() and timed.filter("ts is not null").count() >= 1
 
 
+def _decoded(monkeypatch):
+    """Names of the files of every scan that is decoded."""
+    calls, scan = [], plans.scan_images
+    monkeypatch.setattr(plans, "scan_images", lambda spark, paths, glob: calls.append(paths) or scan(spark, paths, glob))
+    return calls
+
+
+def test_one_new_file_is_one_decode(spark, tmp_path, monkeypatch):
+    root, store = tmp_path / "plots" / "day 1", str(tmp_path / "store")
+    root.mkdir(parents=True)
+    for i in range(6):
+        (root / f"{i}.png").write_bytes(_png(_picture(i)))
+    path, calls = str(tmp_path / "plots"), _decoded(monkeypatch)
+
+    def features():
+        generations = plans.generations
+        return generations.load_or_extend(
+            spark, store, "s", src.file_versions(spark, path, "*.png"),
+            lambda new: plans.frame_features(plans.scan_images(spark, [src.exactly(p) for p in new] or path, "*.png"), PARAMS),
+        )
+
+    def plain():
+        return sorted(map(str, plans.frame_features(src.scan_images(spark, path, "*.png"), PARAMS).collect()))
+
+    def same():
+        return sorted(map(str, features().collect())) == plain()
+
+    assert same() and len(calls) == 1 and len(calls[0]) == 6
+    assert same() and len(calls) == 1
+    (root / "odd [a]{b},+%20.png").write_bytes(_png(_picture(9)))
+    assert same() and len(calls) == 2 and len(calls[1]) == 1  # one file added: one file decoded
+    (root / "3.png").write_bytes(_png(_picture(77)) + b"tail")  # changed
+    assert same() and len(calls) == 3 and len(calls[2]) == 1 and "3.png" in calls[2][0]
+    (root / "2.png").rename(tmp_path / "2.png")  # gone
+    assert same() and len(calls) == 3
+    (tmp_path / "2.png").rename(root / "2.png")  # back as it was: its stored rows hold again
+    assert same() and len(calls) == 3
+    monkeypatch.setattr(plans.generations, "MANY", 2)
+    assert same() and len(calls) == 3
+    monkeypatch.setattr(plans.generations, "MANY", 64)
+    monkeypatch.setattr(plans.generations, "FILES", 2)
+    for i in range(20, 25):
+        (root / f"{i}.png").write_bytes(_png(_picture(i)))
+    assert same() and sum(map(len, calls[3:])) == 5 and len(calls) > 4
+
+
+def test_a_generation_counts_once_it_is_published(spark, tmp_path, monkeypatch):
+    root, store = tmp_path / "plots", str(tmp_path / "store")
+    root.mkdir()
+    (root / "1.png").write_bytes(_png(_picture(1)))
+    listed = src.file_versions(spark, str(root), "*.png")
+    rows = plans.frame_features(src.scan_images(spark, str(root), "*.png"), PARAMS)
+
+    def lost(*_):
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError, match="lost"):
+        plans.generations.load_or_extend(spark, store, "s", listed, lost)
+    base = plans.generations.folder_of(store, "s")
+    rows.withColumn("generation", F.lit("half")).write.parquet(f"{base}/half/rows")  # its files were never listed
+    for _ in range(2):  # two jobs at once add the same file: it is read once
+        plans.generations._publish(rows, listed, base)
+    assert plans.generations.load_or_extend(spark, store, "s", listed, lost).count() == 1
+
+
+def test_empty_folder_has_empty_features(spark, tmp_path):
+    (tmp_path / "plots").mkdir()
+    out = plans.run_batch(spark, str(tmp_path / "plots"), PARAMS, str(tmp_path / "store"), "*.png")
+    assert out["frames"].count() == out["rejects"].count() == 0
+
+
+def test_stored_masks(spark, folder, tmp_path, monkeypatch):
+    first = plans.stored_masks(spark, str(tmp_path), PARAMS)
+    monkeypatch.setattr(plans, "quad_mask", lambda *a: pytest.fail("drawn again"))
+    monkeypatch.setattr(plans, "region_mask", lambda *a: pytest.fail("drawn again"))
+    tables = plans.stored_masks(spark, str(tmp_path), PARAMS)
+    for table, again, array in zip(first, tables, plans.frame_masks(PARAMS)):
+        assert table.schema == again.schema and np.array_equal(plans.frame_masks(PARAMS, (again, again))[0], array)
+    beyond = tables[0].unionByName(tables[0]).union(spark.createDataFrame([(50, 2), (-1, 3), (None, 1)], "y int, x int"))
+    want = plans.run_batch(spark, f"{folder}/day2", PARAMS, None, "*.png")["frames"].orderBy("image_id").collect()
+    got = plans.run_batch(spark, f"{folder}/day2", PARAMS, str(tmp_path), "*.png", masks=(beyond, tables[1]))["frames"]
+    assert got.orderBy("image_id").collect() == want
+
+
 def test_report_without_flowers(spark):
     rows = [("a", i, 0.5, True, 40) for i in range(4)] + [("b", i, 0.00001, True, 40) for i in range(4)]
     frames = spark.createDataFrame(rows, "batch string, image_id int, share double, is_best boolean, n_spots int")
