@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.clustering import KMeans
@@ -14,6 +15,9 @@ from ..lineage import cut, cut_measured, discard
 from .naming import file_number, image_keys, image_order  # noqa: F401
 from .order import BLOCK_ROWS, centred_mean, nearest_known, number_rows
 
+# Ranks that a quantile sketch tells apart; it brackets a rank by four of them.
+SKETCH_RANKS = 10_000
+
 
 def known_images(timestamps: DataFrame, images: DataFrame, image: str = "image_id") -> DataFrame:
     """Timestamps of the images at hand only."""
@@ -68,18 +72,51 @@ def group_sizes(frames: DataFrame, by: Sequence[str], name: str = "n_frames") ->
     return frames.groupBy(*by).agg(F.count("*").alias(name))
 
 
+def _brackets(held: DataFrame, by: Sequence[str], share: float) -> DataFrame:
+    """Values ``_low`` and ``_high`` around the last of the lowest ``share`` of ``_v``, and how many are ``_wanted`` from ``_low`` on.
+
+    The sketch only proposes them. The ranks are counted, and a side that proves wrong is opened, so the result is exact.
+    """
+    near = [max(0.0, share - 2 / SKETCH_RANKS), min(1.0, share + 2 / SKETCH_RANKS)]
+    proposed = cut(
+        held.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile_approx("_v", near, SKETCH_RANKS).alias("_ends"))
+        .select(*by, F.floor(F.col("_n") * F.lit(float(share))).alias("_k"), F.col("_ends")[0].alias("_low"), F.col("_ends")[1].alias("_high"))
+    )
+    # Combined before the shuffle: a group is one row a task.
+    sides = attach_measured(held, proposed, by, by, stored=True).groupBy(*by).agg(
+        *(F.any_value(c).alias(c) for c in ("_k", "_low", "_high")),
+        F.count_if(F.col("_v") < F.col("_low")).alias("_below"), F.count_if(F.col("_v") <= F.col("_high")).alias("_reach"),
+    )
+    low_holds, high_holds = F.col("_below") < F.col("_k"), F.col("_reach") >= F.col("_k")
+    return sides.select(
+        *by,
+        F.when(low_holds, F.col("_low")).otherwise(F.lit(-math.inf)).alias("_low"),
+        F.when(high_holds, F.col("_high")).otherwise(F.lit(math.nan)).alias("_high"),  # sorts above all
+        (F.col("_k") - F.when(low_holds, F.col("_below")).otherwise(0)).alias("_wanted"),
+    )
+
+
 def best_frames(
     frames: DataFrame, by: Sequence[str], metric: str, share: float = 0.10, key: str = "image_id", cluster: str | None = None
 ) -> DataFrame:
-    """The ``floor(N * share)`` frames with the lowest metric per group, then cluster 0 only."""
+    """The ``floor(N * share)`` frames with the lowest metric per group, then cluster 0 only.
+
+    Frames without a metric come first, equal ones in the order of their images. A quantile sketch brackets the last frame
+    that is in; frames below the bracket are taken by a filter, and only those inside it are sorted.
+    """
     if not 0 < share <= 1:
         raise ValueError("share must lie in (0, 1]")
-    ranked = number_rows(frames, by, [F.col(metric).asc(), *image_keys(key)], "_rank")
-    sized = attach_measured(ranked, group_sizes(frames, by, "_n"), by, [key])
-    best = sized.filter(F.col("_rank") <= F.floor(F.col("_n") * F.lit(float(share))))
+    held = cut(frames.withColumn("_v", F.coalesce(F.col(metric).cast("double"), F.lit(-math.inf))))
+    limits = cut(_brackets(held, by, share))
+    placed = attach_measured(held, limits, by, [key], stored=True)
+    bracket = placed.filter(F.col("_v").between(F.col("_low"), F.col("_high")))
+    ranked = number_rows(bracket, by, [F.col(metric).asc(), *image_keys(key)], "_rank")
+    best = placed.filter(F.col("_v") < F.col("_low")).select(*frames.columns).unionByName(
+        ranked.filter(F.col("_rank") <= F.col("_wanted")).select(*frames.columns)
+    )
     if cluster is not None:
         best = best.filter(F.col(cluster) == 0)
-    return best.drop("_rank", "_n")
+    return best
 
 
 def systematic_sample(numbered: DataFrame, by: Sequence[str], n: int, rn: str = "rn") -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 import datetime as dt
 import random
 
@@ -100,6 +101,36 @@ def test_best_frames(spark):
     assert sorted((r["batch"], r["v"]) for r in best) == [("a", 0.0), ("a", 2.0)]
 
 
+@pytest.mark.parametrize("ranks", [10_000, 40, 3])
+def test_best_frames_equal_a_full_sort(spark, monkeypatch, ranks):
+    rnd = random.Random(ranks)
+    rows = [("big", f"{i}", rnd.gauss(0, 1)) for i in range(4000)]
+    rows += [("ties", f"{i}", float(rnd.randrange(3))) for i in range(500)]
+    rows += [("odd", f"{i}", rnd.choice([None, float("nan"), -math.inf, math.inf, 0.0, -0.0, 1.5])) for i in range(300)]
+    rows += [("null", f"{i}", None) for i in range(25)] + [("one", "1", 1.0), (None, "2", 2.0), (None, "3", 1.0)]
+    df = spark.createDataFrame(rows, "batch string, image_id string, v double")
+    monkeypatch.setattr(series, "SKETCH_RANKS", ranks)
+    sorted_rows, number = [], series.number_rows
+    monkeypatch.setattr(series, "number_rows", lambda d, *a: sorted_rows.append(d.groupBy("batch").count().collect()) or number(d, *a))
+
+    def place(row):
+        v = row[2]
+        return (v is not None, v is not None and v != v, 0.0 if v is None or v != v else v, int(row[1]))
+
+    for share in (0.1, 0.5, 1.0):
+        want = set()
+        for batch in {r[0] for r in rows}:
+            group = sorted((r for r in rows if r[0] == batch), key=place)
+            want |= {r[:2] for r in group[: math.floor(len(group) * share)]}
+        got = [(r["batch"], r["image_id"]) for r in series.best_frames(df, ["batch"], "v", share).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    if ranks == 10_000:
+        assert {r["batch"]: r["count"] for r in sorted_rows[0]}["big"] <= 5  # of 4,000
+    monkeypatch.setattr(series, "number_rows", number)
+    assert series.best_frames(df.drop("batch"), [], "v", 0.1).count() == math.floor(len(rows) * 0.1)
+    assert series.best_frames(df.limit(0), ["batch"], "v").count() == 0
+
+
 @pytest.mark.parametrize("n", [1, 4, 7, 10, 25])
 def test_systematic_sample(spark, n):
     rows = [("a", i, _ts(i), 0.0, True) for i in range(10)]
