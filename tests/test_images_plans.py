@@ -119,6 +119,30 @@ def test_run_batch(spark, folder, batch):
     assert set(best["image_id"]) <= set(lowest["image_id"]) | {"42.png"}
 
 
+def test_areas_of_best_frames_only_are_counted_where_they_are_read(spark, folder, batch, monkeypatch):
+    scan = plans.frame_features(src.scan_images(spark, folder, "*.png"), PARAMS).filter("ok")
+    usable = plans.cut(scan)
+    means = plans.cut(histogram.mean_references(usable, ["batch"]))
+    best = batch[1]["frames"].filter("is_best").select("batch", "image_id", "n_spots")
+    asked, parted = [], plans.parted
+    monkeypatch.setattr(plans, "parted", lambda *a: asked.append(parted(*a)) or asked[-1])
+    area = plans.frame_masks(PARAMS)[1]
+    found = plans.count_spots(usable, means, best.select("batch", "image_id"), PARAMS, area, ["batch"])
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, best.collect()))
+    assert asked[0][0].count() == best.count()
+    # Between the scan of the areas and their count, the plan moves nothing.
+    lines = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(lines) if "FileScan" in line and "area" in line)
+    depth, above = len(lines[at]) - len(lines[at].lstrip(" :+-")), []
+    for line in reversed(lines[:at]):
+        indent = len(line) - len(line.lstrip(" :+-"))
+        if indent < depth:
+            depth = indent
+            above.append(line)
+    counted = next(i for i, line in enumerate(above) if "ArrowEvalPython" in line and "count(area" in line)
+    assert not any("Exchange" in line for line in above[:counted])
+
+
 def test_run_batch_reuses_stored_tables(spark, folder, batch, monkeypatch):
     cache, out = batch
     want = sorted(map(str, out["frames"].collect()))
