@@ -304,6 +304,16 @@ sql("highlight_logistic", BYTES, LAB, PLOT_LAB,
     body=f"SELECT image_id, y, x, {r('1 / (1 + exp(ln(1 / CAST(0.99 AS DOUBLE) - 1) / 5 * (lab_b - 135)))')} AS v FROM plot")
 sql("highlight_linear", BYTES, LAB, PLOT_LAB, body=f"""SELECT image_id, y, x,
   {r("greatest(0, least(1, (least(greatest(lab_b, 0), 150) - 132) / CAST(150 AS DOUBLE)))")} AS v FROM plot""")
+PLOT_HIST = "hist AS (SELECT image_id, lab_b AS bin, count(*) AS n FROM plot GROUP BY ALL)"
+SHIFTED = [BYTES, LAB, PLOT_LAB, PLOT_HIST, TOTAL, SHIFT]
+RAMP = "((140 + shift) % 256 + 256) % 256"
+sql("flower_mask_shifted", *SHIFTED,
+    body="SELECT image_id, y, x FROM plot JOIN shifts USING (image_id) WHERE lab_b BETWEEN 120 + shift AND 150 + shift")
+sql("highlight_logistic_shifted", *SHIFTED, body=f"""SELECT image_id, y, x,
+  {r('1 / (1 + exp(ln(1 / CAST(0.99 AS DOUBLE) - 1) / 5 * (lab_b - 135 - shift)))')} AS v FROM plot JOIN shifts USING (image_id)""")
+sql("highlight_linear_shifted", *SHIFTED, body=f"""SELECT image_id, y, x,
+  {r("greatest(0, least(1, (least(greatest(lab_b, 0), t + 10) - (t - 8)) / CAST(t + 10 AS DOUBLE)))")} AS v
+FROM (SELECT *, {RAMP} AS t FROM plot JOIN shifts USING (image_id))""")
 PEAKS = """peaks AS (SELECT * FROM gray a WHERE v > 0.1 AND NOT EXISTS (
   SELECT 1 FROM gray b WHERE b.image_id = a.image_id AND abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1
   AND (b.y <> a.y OR b.x <> a.x)

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import color, geometry, highlight
+from ..joins import attach_measured
 from ..lineage import cut, shared_dir
 from ..operators import clusters, correlation, divergence, graph, histogram, order, peaks, periods, series
 from ..operators import counts as tables
@@ -400,6 +400,33 @@ def highlight_linear(spark, sf_dir):
     return _lab_pixels(spark, sf_dir).select("image_id", "y", "x", value.alias("v"))
 
 
+def _shifted_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plot pixels with their image's shift against the mean histogram of all plots."""
+    pixels = cut(_lab_pixels(spark, sf_dir))
+    counted = histogram.count_bins(pixels.withColumnRenamed("lab_b", "bin"), ["image_id"])
+    shifts = histogram.with_shift_to_mean(cut(histogram.pack(counted, ["image_id"]))).select("image_id", "shift")
+    return attach_measured(pixels, shifts, ["image_id"], ["y", "x"])
+
+
+@query
+def flower_mask_shifted(spark, sf_dir):
+    """Flower pixels by a range that moves with the exposure."""
+    kept = highlight.in_flower_range(F.col("lab_b"), F.col("shift"), 120, 150)
+    return _shifted_pixels(spark, sf_dir).filter(kept).select("image_id", "y", "x")
+
+
+@query
+def highlight_logistic_shifted(spark, sf_dir):
+    value = rounded(highlight.logistic(F.col("lab_b"), F.col("shift"), 140))
+    return _shifted_pixels(spark, sf_dir).select("image_id", "y", "x", value.alias("v"))
+
+
+@query
+def highlight_linear_shifted(spark, sf_dir):
+    value = rounded(highlight.linear(F.col("lab_b"), F.col("shift"), 140))
+    return _shifted_pixels(spark, sf_dir).select("image_id", "y", "x", value.alias("v"))
+
+
 @query
 def spot_peaks(spark, sf_dir):
     found = peaks.local_peaks(inputs.pixels_gray(spark, sf_dir), threshold=0.1)
@@ -507,11 +534,10 @@ def kmeans_first(spark, sf_dir):
 
 @query
 def stack_conditions(spark, sf_dir):
-    """Tables of one condition each, put under one another."""
-    rows = cut(inputs.counts(spark, sf_dir))
-    held = [r[0] for r in rows.select("condition").distinct().orderBy("condition").collect()]
-    parts = [rows.filter(F.col("condition").eqNullSafe(F.lit(c))) for c in held]
-    return reduce(tables.stack, parts, rows.limit(0)).groupBy("condition").agg(F.count("*").alias("n_cells"), F.sum("n").alias("total"))
+    """The table of one condition and that of all others, put under one another."""
+    rows = inputs.counts(spark, sf_dir)
+    one = F.col("condition").eqNullSafe(F.lit("F"))
+    return tables.stack(rows.filter(one), rows.filter(~one)).groupBy("condition").agg(F.count("*").alias("n_cells"), F.sum("n").alias("total"))
 
 
 @query
