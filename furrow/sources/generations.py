@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..joins import parted
 from ..lineage import cut, cut_measured
-from .cache import folder_of
+from .cache import _folder
 
 # Files that one generation is computed from; their paths pass through the driver.
 FILES = 100_000
@@ -78,7 +78,7 @@ def load_or_extend(
     once. A table of ``MANY`` generations is written anew as one; its old generations stay, unread, for jobs that still read
     them. Two jobs that add the same file at once leave it in two generations, of which one is read.
     """
-    base = folder_of(path, stamp)
+    base = _folder(path, stamp)
     listed = cut(listed)
     live = _live(spark, base)
     known = _files(spark, base, live).select(*KEY).distinct()

@@ -275,7 +275,7 @@ def test_a_generation_counts_once_it_is_published(spark, tmp_path, monkeypatch):
 
     with pytest.raises(RuntimeError, match="lost"):
         plans.generations.load_or_extend(spark, store, "s", listed, lost)
-    base = plans.generations.folder_of(store, "s")
+    base = plans.generations._folder(store, "s")
     rows.withColumn("generation", F.lit("half")).write.parquet(f"{base}/half/rows")  # its files were never listed
     for _ in range(2):  # two jobs at once add the same file: it is read once
         plans.generations._publish(rows, listed, base)
