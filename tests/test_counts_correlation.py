@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 
 from furrow.operators import correlation, counts
+from furrow.queries import inputs
 from furrow.sources import tables
 
 
@@ -142,3 +143,25 @@ def test_smoothing(spark):
     assert s["x"] == pytest.approx((2 / 7, 10 / 11)) and sum(v[0] for v in s.values()) == pytest.approx(1)
     with pytest.raises(ValueError):
         counts.smooth_matrix(df, ["sample"], "c")
+
+
+def test_count_inputs_hold_bounded_lines(spark, monkeypatch):
+    """Lines are dealt by their number, before they are summed; a sample's lines too."""
+    sf_dir = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    spark.read.parquet(f"{sf_dir}/part.parquet").createOrReplaceTempView("part_of_lines")
+    lines.createOrReplaceTempView("lines")
+    monkeypatch.setattr(inputs, "TASK_LINES", 100, raising=False)
+    joined = "from lines join part_of_lines on l_partkey = p_partkey"
+    plain = {
+        inputs.counts: "array(p_brand)",
+        inputs.fine_counts: "array(p_brand || '/' || p_size)",
+        inputs.linked_counts: "array(p_brand, 'group of 2/' || floor(substr(p_brand, 7) / 2), 'group of 3/' || floor(substr(p_brand, 7) / 3))",
+        inputs.linked_fine_counts: "array(p_brand || '/' || p_size, 'group of 2/' || floor((substr(p_brand, 7) * 100 + p_size) / 2))",
+    }
+    for made, taxa in plain.items():
+        rows = made(spark, sf_dir)
+        assert rows.rdd.getNumPartitions() >= lines.count() / 100
+        named = f"select l_linestatus, l_suppkey, explode({taxa}) as taxon, l_quantity {joined}"
+        wanted = spark.sql(f"select l_linestatus, l_suppkey, taxon, sum(l_quantity) from ({named}) group by 1, 2, 3")
+        assert sorted(map(tuple, rows.select("condition", "sample_id", "taxon", "n").collect())) == sorted(map(tuple, wanted.collect()))
