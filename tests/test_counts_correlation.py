@@ -165,3 +165,27 @@ def test_count_inputs_hold_bounded_lines(spark, monkeypatch):
         named = f"select l_linestatus, l_suppkey, explode({taxa}) as taxon, l_quantity {joined}"
         wanted = spark.sql(f"select l_linestatus, l_suppkey, taxon, sum(l_quantity) from ({named}) group by 1, 2, 3")
         assert sorted(map(tuple, rows.select("condition", "sample_id", "taxon", "n").collect())) == sorted(map(tuple, wanted.collect()))
+
+
+def test_tiles_send_each_cell_once(spark):
+    """A thousand taxa and more are one block: no cell is dealt twice, and no list of a sample's cells is sorted for."""
+    cells = spark.range(6000).selectExpr(
+        "concat('s', id % 20) as sample", "concat('t', lpad(id div 4, 4, '0')) as taxon", "cast(id % 7 + 1 as double) as n"
+    )
+    held = correlation._packed(cells, "pearson", False)
+    assert held.blocks == 1 and held.rows.filter("sample is not null").count() == 6000
+    assert "collect_list" not in held.rows._jdf.queryExecution().toString()
+
+
+def test_gathered_cells():
+    rows = pd.DataFrame(
+        [("b", 3, 1.0, 0.0, False), ("a", 0, 2.0, 0.0, False), ("b", 0, 4.0, 0.0, False), (None, 1, 5.0, 0.0, False),
+         (None, 3, 7.0, 70.0, True), (None, 0, 6.0, 60.0, True), (None, 1, 8.0, 80.0, True)],
+        columns=["sample", "id", "n", "q", "fact"],
+    )
+    got = correlation._gathered(rows, 2)
+    lists = [(r["block"], list(r["columns"]), list(r["values"])) for _, r in got[got["columns"].notna()].iterrows()]
+    assert lists == [(0, [0], [4.0]), (1, [1], [1.0]), (0, [0], [2.0])]
+    facts = [(r["block"], list(r["sums"]), list(r["squares"])) for _, r in got[got["sums"].notna()].iterrows()]
+    assert facts == [(0, [6.0, 8.0], [60.0, 80.0]), (1, [7.0], [70.0])]
+    assert not len(correlation._gathered(rows[:0], 2))
