@@ -76,7 +76,8 @@ def run(counts: DataFrame, first, second, params: WinnowParams = WinnowParams())
 
 def _run(counts: DataFrame, first, second, params: WinnowParams) -> dict[str, DataFrame]:
     spark = counts.sparkSession
-    counts = cut(tables.prune_taxa(counts, params.min_count))
+    # Stored before it is pruned, so that the counts are made once.
+    counts = cut(tables.prune_taxa(cut(counts), params.min_count))
     nodes, edges = correlation_graph(counts, params)
     steps = pulls(nodes, edges, params, counts.select("taxon").distinct().count())
     taken = spark.createDataFrame(steps, "step int, taxon string, score double")

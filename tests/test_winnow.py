@@ -115,3 +115,13 @@ def test_only_results_stay_stored(spark):
     files, folder = lineage._file(spark, lineage._app_dir(spark))
     assert len(files.listStatus(folder)) == len(out) == 3
     assert all(table.count() for table in out.values())
+
+
+def test_counts_are_stored_before_they_are_pruned(spark, monkeypatch):
+    """Pruning reads the counts twice: they are made once."""
+    read, prune = [], winnow.tables.prune_taxa
+    monkeypatch.setattr(winnow.tables, "prune_taxa", lambda c, least: read.extend(c.inputFiles()) or prune(c, least))
+    rows = [("A" if i % 2 else "B", i, f"t{j}", float((i * (j + 3)) % 11)) for i in range(8) for j in range(3)]
+    counts = spark.createDataFrame(rows, "condition string, sample_id long, taxon string, n double")
+    winnow.run(counts, "A", "B", WinnowParams(num_required=1, correlation="pearson", centrality="degree"))
+    assert read
