@@ -19,6 +19,8 @@ from .naming import image_order
 BINS = 256
 # An image has fewer than 2**24 pixels a bin, and 256 bins are summed: 21 + 24 + 8 = 53 bits.
 LIMB = 21
+# Images correlated at a time: 12 MB of products.
+LAG_IMAGES = 1_024
 
 
 def count_bins(rows: DataFrame, keys: Sequence[str], bin_col: str = "bin") -> DataFrame:
@@ -94,7 +96,13 @@ def first_references(packed: DataFrame, by: Sequence[str] = (), image: str = "im
 
 
 def _peak_lag(hist: pd.Series, ref: pd.Series) -> pd.Series:
-    """Lag with the largest cross-correlation; the smallest such lag on ties."""
+    """Lag with the largest cross-correlation; the smallest such lag on ties. Some images of a batch at a time."""
+    starts = range(0, len(hist), LAG_IMAGES)
+    parts = [_peak_lags(hist.iloc[i : i + LAG_IMAGES], ref.iloc[i : i + LAG_IMAGES]) for i in starts]
+    return pd.Series(np.concatenate([np.empty(0, np.int32), *parts]))
+
+
+def _peak_lags(hist: pd.Series, ref: pd.Series) -> np.ndarray:
     lags = np.arange(1 - BINS, BINS)
     source = np.arange(BINS)[:, None] - lags[None, :]
     valid = (source >= 0) & (source < BINS)
@@ -107,7 +115,7 @@ def _peak_lag(hist: pd.Series, ref: pd.Series) -> pd.Series:
         # Limbs of the reference keep every floating-point product and sum a whole number below 2**53.
         limbs = [((shifted >> (LIMB * i)) & ((1 << LIMB) - 1)).astype(np.float64) for i in range(-(-63 // LIMB))]
         out[rows] = lags[_largest([(images[rows] @ limb).astype(np.int64) for limb in limbs])]
-    return pd.Series(out)
+    return out
 
 
 def _largest(limbs: list[np.ndarray]) -> np.ndarray:

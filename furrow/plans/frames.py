@@ -23,6 +23,8 @@ FEATURES = (
     "path string, image_id string, batch string, number bigint, ok boolean, "
     "hist_gray array<bigint>, hist array<bigint>, area binary"
 )
+# Frames whose features a task holds at a time: some 50 kB each at the default geometry.
+PART_FRAMES = 512
 
 
 def plot_mask(params: FrameParams) -> np.ndarray:
@@ -103,7 +105,9 @@ def frame_features(images: DataFrame, params: FrameParams, masks: Masks | None =
     size = (params.height, params.width)
 
     def per_frame(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        # Rows go on in small parts: the features of a whole batch are never held.
+        parts = (batch.iloc[i : i + PART_FRAMES] for batch in batches for i in range(0, len(batch), PART_FRAMES))
+        for batch in parts:
             out = {"ok": [], "hist_gray": [], "hist": [], "area": []}
             for height, width, channels, data in zip(batch["height"], batch["width"], batch["channels"], batch["data"]):
                 ok = (height, width) == size and channels in (1, 3, 4)

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -159,3 +160,17 @@ def test_first_reference_goes_by_number(spark):
     rows = [(name, [int(b == at) for b in range(256)]) for name, at in (("10", 50), ("2", 20), ("11", 90))]
     packed = spark.createDataFrame(rows, "image_id string, hist array<long>")
     assert histogram.first_references(packed).first()["ref"][20] == 1
+
+
+def test_lags_of_a_long_batch_take_bounded_arrays(monkeypatch):
+    """A batch is correlated in parts, with the lags of one piece."""
+    rng = np.random.default_rng(5)
+    hists = pd.Series(list(rng.integers(0, 50, (25, 256))))
+    refs = pd.Series([hists[0], hists[1]] * 12 + [hists[0]])
+    whole = histogram._peak_lag(hists, refs)
+    seen, largest = [], histogram._largest
+    monkeypatch.setattr(histogram, "LAG_IMAGES", 4, raising=False)
+    monkeypatch.setattr(histogram, "_largest", lambda limbs: seen.append(len(limbs[0])) or largest(limbs))
+    assert histogram._peak_lag(hists, refs).tolist() == whole.tolist()
+    assert max(seen) <= 4 and sum(seen) == 25
+    assert not len(histogram._peak_lag(hists[:0], refs[:0]))
