@@ -43,8 +43,8 @@ LENGTH = 200
 REACH = 99
 GRAM = 16
 HOT = 20_000
-#: Positions compared and bytes hashed at a time.
-COMPARED, HASHED = 1 << 14, 1 << 20
+#: Positions compared, positions whose keys are made, and bytes hashed at a time.
+COMPARED, KEYED, HASHED = 1 << 14, 1 << 11, 1 << 18
 #: Bytes of texts in which equal positions are told apart before the shuffle.
 TOGETHER = 4 << 20
 _U = np.uint64
@@ -160,28 +160,37 @@ def _around(work: DataFrame, text: str, reach: int, length: int) -> DataFrame:
     """
     size = length - reach
 
+    def placed(part: pa.RecordBatch) -> dict[str, np.ndarray]:
+        """The positions in a part's texts, their names, and a hash of all bytes around each."""
+        data, offsets = text_bytes(part.column(text))
+        hashes, places = Stretches(data), part.column("_places")
+        of = np.repeat(np.arange(part.num_rows), pc.list_value_length(places).to_numpy())
+        at = offsets[of] + places.flatten().to_numpy()
+        left, right = np.maximum(at - reach, offsets[of]), np.minimum(at + length, offsets[of + 1])
+        low, high = np.maximum(0, length - (right - at)), at - left
+        fits = low <= high
+        of, at, left, right, low, high = (x[fits] for x in (of, at, left, right, low, high))
+        return {
+            "id": part.column("_id").to_numpy()[of], "key": part.column("_key").to_numpy()[of], "place": at - offsets[of], "at": at, "left": left, "right": right,
+            "low": low, "high": high, "name": hashes.hash(at, at + size), "alike": hashes.hash(left, right) ^ mixed(high.astype(_U) + _U(1)),
+        }
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, text, TOGETHER):
-            data, offsets = text_bytes(batch.column(text))
-            hashes, places = Stretches(data), batch.column("_places")
-            of = np.repeat(np.arange(batch.num_rows), pc.list_value_length(places).to_numpy())
-            at = offsets[of] + places.flatten().to_numpy()
-            left, right = np.maximum(at - reach, offsets[of]), np.minimum(at + length, offsets[of + 1])
-            low, high = np.maximum(0, length - (right - at)), at - left
-            fits = low <= high
-            of, at, left, right, low, high = (x[fits] for x in (of, at, left, right, low, high))
-            alike = hashes.hash(left, right) ^ mixed(high.astype(_U) + _U(1))
-            _, first, group, count = np.unique(alike, return_index=True, return_inverse=True, return_counts=True)
-            later = np.ones(len(at), bool)
-            later[first] = False
-            ids, keys, place = batch.column("_id").to_numpy()[of], batch.column("_key").to_numpy()[of], at - offsets[of]
-            names = hashes.hash(at, at + size)
-            names[later] = mixed(names ^ mixed(place.astype(_U)) + mixed(ids.astype(_U)))[later]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names.view(np.int64)), _cuts(data, np.where(later, at, left), at), _cuts(data, np.where(later, right, at + size), right),
-                 pa.array(low), pa.array(high), pa.array(ids), pa.array(keys), pa.array(place), pa.array(count[group] > 1)],
-                names=["name", "before", "after", "low", "high", "id", "key", "at", "known"],
-            )
+            parts = list(bounded([batch], text, HASHED))
+            told = [placed(part) for part in parts]
+            _, first, group, count = np.unique(np.concatenate([x["alike"] for x in told]), return_index=True, return_inverse=True, return_counts=True)
+            others = np.ones(len(group), bool)
+            others[first] = False
+            edges = np.cumsum([len(x["at"]) for x in told])[:-1]
+            for part, x, later, many in zip(parts, told, np.split(others, edges), np.split(count[group], edges)):
+                data, _ = text_bytes(part.column(text))
+                x["name"][later] = mixed(x["name"] ^ mixed(x["place"].astype(_U)) + mixed(x["id"].astype(_U)))[later]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x["name"].view(np.int64)), _cuts(data, np.where(later, x["at"], x["left"]), x["at"]),
+                     _cuts(data, np.where(later, x["right"], x["at"] + size), x["right"]), *(pa.array(x[c]) for c in ("low", "high", "id", "key", "place")), pa.array(many > 1)],
+                    names=["name", "before", "after", "low", "high", "id", "key", "at", "known"],
+                )
 
     kind = "name long, before binary, after binary, low long, high long, id long, key long, at long, known boolean"
     return work.mapInArrow(run, kind)
@@ -206,9 +215,13 @@ _STEP = 0xD6E8FEB86659FD93
 
 def _keys(rows: pa.Table, reach: int) -> np.ndarray:
     """Keys of the strings that start 0 .. reach bytes before each position."""
-    before, after = _sums(rows.column("before"), reach, True), _sums(rows.column("after"), reach, False)
-    names = rows.column("name").to_numpy().view(np.uint64)
-    return mixed(before + mixed(after[:, ::-1] ^ names[:, None]))
+    found = np.empty((rows.num_rows, reach + 1), np.uint64)
+    for start in range(0, rows.num_rows, KEYED):
+        part = rows.slice(start, KEYED)
+        before, after = _sums(part.column("before"), reach, True), _sums(part.column("after"), reach, False)
+        names = part.column("name").to_numpy().view(np.uint64)
+        found[start : start + KEYED] = mixed(before + mixed(after[:, ::-1] ^ names[:, None]))
+    return found
 
 
 def _compared(around: DataFrame, reach: int, hot: int) -> DataFrame:
@@ -237,11 +250,12 @@ def _compared(around: DataFrame, reach: int, hot: int) -> DataFrame:
         found = np.flatnonzero(high >= 0)
         return told(rows, low[found], high[found], found)
 
-    def listed(rows: pa.Table) -> pa.RecordBatch:
-        least, most = (rows.column(c).to_numpy() for c in ("low", "high"))
-        back = np.arange(reach + 1)
-        row, at = np.nonzero((least[:, None] <= back) & (back <= most[:, None]))
-        return told(rows, at, at, row, mixed(_keys(rows, reach)[row, at] + at.astype(_U)))
+    def listed(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        for start in range(0, group.num_rows, KEYED):
+            rows, back = group.slice(start, KEYED), np.arange(reach + 1)
+            least, most = (rows.column(c).to_numpy() for c in ("low", "high"))
+            row, at = np.nonzero((least[:, None] <= back) & (back <= most[:, None]))
+            yield told(rows, at, at, row, mixed(_keys(rows, reach)[row, at] + at.astype(_U)))
 
     def known(rows: pa.Table) -> pa.RecordBatch:
         found = np.flatnonzero(rows.column("known").to_numpy())
@@ -257,7 +271,7 @@ def _compared(around: DataFrame, reach: int, hot: int) -> DataFrame:
                 if listing is not None:  # the rest of a large group
                     end = int(np.searchsorted(names != listing, True))
                     if end:
-                        yield listed(rest.slice(0, end))
+                        yield from listed(rest.slice(0, end))
                         yield known(rest.slice(0, end))
                     rest, names = rest.slice(end), names[end:]
                     listing = None if len(names) else listing
@@ -268,7 +282,7 @@ def _compared(around: DataFrame, reach: int, hot: int) -> DataFrame:
                     rest = rest.slice(last)
                 if rest.num_rows > hot:
                     listing = rest.column("name")[0].as_py()
-                    yield listed(rest)
+                    yield from listed(rest)
                     yield known(rest)
                     rest = rest.slice(rest.num_rows)
         if rest is not None and rest.num_rows:

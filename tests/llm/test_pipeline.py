@@ -1,5 +1,7 @@
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from furrow.llm import line_crf, queries, raking
@@ -84,3 +86,24 @@ def test_no_documents(spark, documents):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF_DIR)
     assert docs.count() == 0
+
+
+def test_stages_send_texts_in_small_batches(spark, documents):
+    """Whatever the session's batches are: some 4 MB of 16 MB of texts in one partition go to a worker at once."""
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["bytes"])
+
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    wide = documents.limit(1).crossJoin(spark.range(4000)).withColumn("text", F.repeat(F.lit("some words "), 400)).coalesce(1)
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.set(setting, "64m")
+            stage(spark, documents.limit(20), SF_DIR)
+            assert wide.select("doc_id", "text").mapInArrow(sizes, "bytes long").agg(F.max("bytes")).first()[0] < 5 << 20
+        spark.conf.set(setting, "48m")
+        corpus_pipeline.run(spark, SF_DIR)
+        assert spark.conf.get(setting) == "48m"  # the caller's own
+    finally:
+        spark.conf.set(setting, before)

@@ -1,7 +1,9 @@
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from furrow.llm import suffix_dedup as op
@@ -85,3 +87,47 @@ def test_query(spark, documents):
     got = op8_suffix_dedup(spark, "/root/testdata/sf0.001").collect()
     want = [(i, n, g, s, hashlib.sha256(k).hexdigest()) for i, n, g, s, k in plain(rows, 200)]
     assert sorted((str(r.doc_id), *r[1:]) for r in got) == sorted(want)
+
+
+class Caught:
+    """In place of a frame: gives back the function that its tasks would run."""
+
+    def repartition(self, *_):
+        return self
+
+    sortWithinPartitions = repartition
+
+    def mapInArrow(self, run, _):
+        return run
+
+
+def _peak(batches):
+    """The most MB that NumPy holds while batches are made one by one, and the largest of them."""
+    tracemalloc.start()
+    try:
+        largest = max(batch.nbytes for batch in batches) / 1e6
+        return tracemalloc.get_traced_memory()[1] / 1e6, largest
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_positions_follows_pieces():
+    """80,000 positions in 4 MB of texts, and 20,480 of one name: a task holds the bytes and keys of a piece, not of all."""
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(97, 123, 100_000, dtype=np.uint8).tobytes().decode() for _ in range(40)]
+    places = pa.array([np.arange(0, 100_000, 50)] * 40, pa.list_(pa.int64()))
+    numbers = pa.array(range(40), pa.int64())
+    batch = pa.RecordBatch.from_arrays([numbers, numbers, pa.array(texts), places], names=["_id", "_key", "text", "_places"])
+    around = op._around(Caught(), "text", 99, 200)
+    list(around(iter([batch.slice(0, 1)])))  # tables of powers
+    peak, _ = _peak(around(iter([batch])))
+    assert peak < 100
+
+    many = 20_480
+    one = lambda value: pa.array(np.full(many, value))
+    some = [pa.array([rng.bytes(99) for _ in range(many)]) for _ in range(2)]
+    columns = [one(7), *some, one(0), one(99), pa.array(range(many)), one(1), one(500), one(False)]
+    rows = pa.RecordBatch.from_arrays(columns, names=["name", "before", "after", "low", "high", "id", "key", "at", "known"])
+    for hot in (many, 20_000):  # compared, listed
+        peak, largest = _peak(op._compared(Caught(), 99, hot)(iter([rows])))
+        assert peak < 100 and largest < 20
