@@ -37,6 +37,8 @@ _KIND[_MARKS] = 6 + np.arange(len(_MARKS))
 _KINDS = 6 + len(_MARKS)
 WIDTH = _KINDS + 5
 _LARGEST = 30.0
+#: Bytes of texts whose lines are measured at a time.
+MEASURED = 1 << 18
 
 
 def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,7 +196,7 @@ def train(
     sample = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, "_text"):
+        for batch in bounded(batches, "_text", MEASURED):
             x, lengths, first = features(*text_bytes(batch.column("_text")))
             parts = [(x[a:b].astype("f4").tobytes(), lengths[a:b].astype("i8").tobytes()) for a, b in zip(first, first[1:])]
             yield pa.RecordBatch.from_arrays(
@@ -222,7 +224,7 @@ def train(
 def score(docs: DataFrame, field: Field | None, text: str = "text", out: str = "score") -> DataFrame:
     """Add each whole text's score: near 1 for good texts, near 0 for bad ones."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, text):
+        for batch in bounded(batches, text, MEASURED):
             data, offsets = text_bytes(batch.column(text))
             found = field.score(data, offsets) if field else np.full(batch.num_rows, 0.5)
             yield with_added(batch, {out: pa.array(found, pa.float64())})

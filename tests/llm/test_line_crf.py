@@ -1,6 +1,9 @@
 import itertools
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import types as T
 
 from furrow.llm import line_crf as op
 
@@ -63,3 +66,25 @@ def test_held_out_accuracy(spark):
     scored = op3_line_crf(spark, path).join(spark.read.parquet(f"{path}/labels.parquet"), "doc_id").where("held_out").toPandas()
     assert (scored.predicted == scored.quality).mean() > 0.97
     assert scored[scored.quality == 1].score.mean() > scored[scored.quality == 0].score.mean() + 0.8
+
+
+def test_memory_of_scores_follows_pieces():
+    """4 MB of texts in one batch: a task holds the features of a piece's lines, not of all."""
+
+    class Caught:
+        schema = T.StructType().add("text", "string")
+
+        def mapInArrow(self, run, _):
+            return run
+
+    width = 2 * op.WIDTH
+    field = op.Field(np.zeros(width), np.ones(width), np.zeros(width + 1), np.zeros((2, 2)))
+    batch = pa.RecordBatch.from_arrays([pa.array([("some words of a line " * 3 + "\n") * 32] * 2000)], names=["text"])
+    run = op.score(Caught(), field)
+    list(run(iter([batch.slice(0, 1)])))  # tables of powers
+    tracemalloc.start()
+    try:
+        assert sum(part.num_rows for part in run(iter([batch]))) == 2000
+        assert tracemalloc.get_traced_memory()[1] < 30 << 20
+    finally:
+        tracemalloc.stop()
